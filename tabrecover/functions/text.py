@@ -5,27 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace is the Unicode property plus the four ASCII separators
-# U+001C..U+001F. ``F.trim`` removes U+0020 only, so it is not used here.
-_SPACE = r"[\s\x1C-\x1F]"
-_NOT_SPACE = r"[^\s\x1C-\x1F]"
-
-_HAS_TEXT = f"(?U){_NOT_SPACE}"
-_OUTER_SPACE = f"(?U)^{_SPACE}+|{_SPACE}+$"
-_SPACE_RUN = f"(?U){_SPACE}+"
-_FIRST_LINE = rf"(?U){_NOT_SPACE}[^\n]*"
-_TAG = r"<[^>]+>"
+# The whitespace characters, with the four ASCII separators
+# U+001C..U+001F. ``F.trim`` alone removes U+0020 only.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+_SPACE_RUN = f"[{WHITESPACE}]+"
+_TAG = "<[^>]+>"
+# A text without any of these is its own cleaned header.
+_UNCLEAN = f"[<{WHITESPACE.replace(' ', '')}]|  |^ | $"
 _LEADING_NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
 
 
 def is_blank(value: Column) -> Column:
     """True for null and for text made of whitespace only; never null."""
-    return value.isNull() | ~F.coalesce(value, F.lit("")).rlike(_HAS_TEXT)
+    return value.isNull() | (F.ltrim(F.coalesce(value, F.lit("")), F.lit(WHITESPACE)) == "")
 
 
 def trim_space(value: Column) -> Column:
     """Drop whitespace of any kind from both ends."""
-    return F.regexp_replace(value, _OUTER_SPACE, "")
+    return F.trim(value, F.lit(WHITESPACE))
 
 
 def clean_header(raw: Column) -> Column:
@@ -33,9 +35,9 @@ def clean_header(raw: Column) -> Column:
 
     Gives "" when nothing is left, null for null.
     """
-    text = F.regexp_replace(raw, _TAG, "")
-    text = F.regexp_extract(text, _FIRST_LINE, 0)
-    return F.rtrim(F.regexp_replace(text, _SPACE_RUN, " "))
+    untagged = F.ltrim(F.regexp_replace(raw, _TAG, ""), F.lit(WHITESPACE))
+    line = F.regexp_replace(F.substring_index(untagged, "\n", 1), _SPACE_RUN, " ")
+    return F.when(raw.rlike(_UNCLEAN), F.rtrim(line)).otherwise(raw)
 
 
 def is_formula(value: Column) -> Column:

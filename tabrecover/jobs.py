@@ -19,6 +19,7 @@ from tabrecover.operators import headers as H
 from tabrecover.operators import mapping as M
 from tabrecover.operators import reports as R
 from tabrecover.operators import suggest as S
+from tabrecover.plans.checkpoints import stored
 from tabrecover.sinks import writers as W
 from tabrecover.sources import workbook as X
 from tabrecover.sources.files import list_files
@@ -42,7 +43,7 @@ def ingest(spark: SparkSession, roots: Sequence[str], path: str, partitions: int
 def scan(decoded: DataFrame, path: str) -> None:
     """Write headers, their provenance and the statistics of a scan."""
     grid, rejects = X.grid_of(decoded), X.rejects_of(decoded)
-    bounds = B.sheet_bounds(grid)
+    bounds = stored(B.sheet_bounds(grid))
     headers = H.clean_headers(H.sheet_headers(grid, bounds))
     provenance = H.header_provenance(headers)
     provenance.write.parquet(f"{path}/provenance")
@@ -99,6 +100,7 @@ def format_all(
     bounds = B.sheet_bounds(grid)
     if settings.stop_at_table_end:
         bounds = B.table_end(grid, bounds, settings.table_end_tolerance)
+    bounds = stored(bounds)
     headers = H.clean_headers(H.sheet_headers(grid, bounds))
     applicable = Fm.applicable_mappings(H.input_headers(headers), M.normalize_mapping(mapping), layout)
     plans = Fm.sheet_plans(bounds, applicable, layout)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabrecover.functions.text import is_blank
 from tabrecover.grid import SHEET_KEYS
-from tabrecover.plans.blocks import ROW_BLOCK, block_of, per_block
+from tabrecover.plans.blocks import ROW_BLOCK, blocked, per_block
 
 DEFAULT_TOLERANCE = 1
 
@@ -64,7 +64,7 @@ def table_end(
         row_block,
     )
     filled = F.transform(F.col("cells.value"), lambda v: ~is_blank(v))
-    rows = grid.select(*keys, "row", block_of(F.col("row"), row_block).alias("block"), filled.alias("filled"))
+    rows = blocked(grid, row_block).select(*keys, "row", "block", filled.alias("filled"))
     edge_rows = (
         rows.join(edges.drop("max_row"), [*keys, "block"])
         .filter((F.col("row") >= F.col("header_row")) & F.get("filled", F.col("max_col") - 1))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tabrecover.functions.text import is_blank, is_formula, suppress_formula
 from tabrecover.grid import SHEET_KEYS, cell_at
-from tabrecover.plans.blocks import ROW_BLOCK, block_of, per_block
+from tabrecover.plans.blocks import ROW_BLOCK, block_of, blocked, per_block
 from tabrecover.plans.joins import lookup_join
 
 MAX_COLUMNS = 16_384
@@ -75,10 +75,10 @@ def applicable_mappings(
     edges = edges.join(layout.table(normalized), "target", "left_semi")
     edges = edges.select(F.col("scanned").alias("header"), "target")
     matched = lookup_join(headers, edges, ["header"])
-    first = matched.groupBy(*keys, "target").agg(
-        F.min(F.struct("first_col", "header", "value_col")).alias("first")
+    return matched.groupBy(*keys, "target").agg(
+        F.min_by("header", "first_col").alias("header"),
+        F.min_by("value_col", "first_col").alias("value_col"),
     )
-    return first.select(*keys, "target", "first.header", "first.value_col")
 
 
 def uncovered_targets(
@@ -117,18 +117,20 @@ def project_cells(
 ) -> DataFrame:
     """Rows below the header with the whole source cell per target column, nothing dropped yet.
 
-    Gives keys, target_row and one cell struct per named target. Rows go on to
-    the end of the sheet; ``stop_at_table_end`` leaves footers out and needs
-    plans with table_end_row.
+    Gives keys, block (of the input row), target_row and one cell struct per named
+    target. Rows go on to the end of the sheet; ``stop_at_table_end`` leaves
+    footers out and needs plans with table_end_row. A grid stored in buckets by
+    sheet and block is not shuffled.
     """
     keys = list(keys)
     last_row = "table_end_row" if stop_at_table_end else "max_row"
     spread = per_block(plans, F.col("header_row"), F.col(last_row), row_block)
     spread = spread.select(*keys, "block", "header_row", F.col(last_row).alias("last_row"), "input_cols")
-    rows = grid.select(*keys, "row", "cells", block_of(F.col("row"), row_block).alias("block"))
+    rows = blocked(grid, row_block).select(*keys, "block", "row", "cells")
     body = rows.join(spread, [*keys, "block"]).filter("row > header_row and row <= last_row")
     return body.select(
         *keys,
+        "block",
         (F.lit(layout.header_row) + F.col("row") - F.col("header_row")).alias("target_row"),
         *[
             cell_at(F.get("input_cols", F.lit(k))).alias(name)
@@ -141,6 +143,7 @@ def cell_values(projected: DataFrame, layout: Layout, keys: Sequence[str] = SHEE
     """Texts of the projected cells, formulas left empty."""
     return projected.select(
         *keys,
+        "block",
         "target_row",
         *[suppress_formula(F.col(f"`{c}`.value")).alias(c) for c in layout.columns],
     )
@@ -158,34 +161,41 @@ def drop_empty_rows(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def renumber_rows(
-    rows: DataFrame,
-    first_row: int,
-    keys: Sequence[str] = SHEET_KEYS,
-    row_block: int = ROW_BLOCK,
+    rows: DataFrame, first_row: int, long_blocks: DataFrame, keys: Sequence[str] = SHEET_KEYS
 ) -> DataFrame:
     """Close the gaps in target_row: rows of each sheet get first_row, first_row + 1, ...
 
-    Rows are numbered within their block; the blocks of a sheet add up from one
-    count per block.
+    Rows are numbered within their block, which uses the placement the rows have
+    from the join with their plan. Where a sheet has several blocks (listed in
+    ``long_blocks``: keys, block), those are counted and their counts added up;
+    all other rows are read once only.
     """
-    keys = list(keys)
-    blocked = rows.withColumn("_block", block_of(F.col("target_row"), row_block))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    at = [*keys, "block"]
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        blocked.groupBy(*keys, "_block")
+        rows.join(long_blocks, at, "left_semi")
+        .groupBy(*at)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    in_block = Window.partitionBy(*keys, "_block").orderBy("target_row")
-    place = F.row_number().over(in_block) - 1 + F.col("_start") + first_row
+    place = F.row_number().over(Window.partitionBy(*at).orderBy("target_row")) - 1 + first_row
     return (
-        blocked.join(starts, [*keys, "_block"])
-        .withColumn("target_row", place.cast("bigint"))
+        rows.withColumn("_place", place)
+        .join(starts, at, "left")
+        .withColumn("target_row", (F.col("_place") + F.coalesce("_start", F.lit(0))).cast("bigint"))
         .select(*rows.columns)
     )
 
 
+def long_sheet_blocks(
+    bounds: DataFrame, keys: Sequence[str] = SHEET_KEYS, row_block: int = ROW_BLOCK
+) -> DataFrame:
+    """Blocks of the sheets with more rows than one block: keys, block."""
+    long = bounds.filter(F.col("max_row") > row_block)
+    return per_block(long, F.lit(1), F.col("max_row"), row_block).select(*keys, "block")
+
+
 def format_extent(
     bounds: DataFrame, layout: Layout, template_rows: int = 0, keys: Sequence[str] = SHEET_KEYS
 ) -> DataFrame:
@@ -229,15 +239,18 @@ def format_sheets(
     """All sheets in the target layout: keys, target_row, one text column per named target.
 
     ``drop_empty`` removes rows without data and, with ``renumber``, closes the
-    gaps; ``renumber=False`` keeps the aligned row numbers and saves a shuffle.
-    Without ``drop_empty`` every row down to the extent is there.
+    gaps; ``renumber=False`` keeps the aligned row numbers. Without
+    ``drop_empty`` every row down to the extent is there.
     """
     cells = project_cells(grid, plans, layout, keys, stop_at_table_end, row_block)
     rows = cell_values(cells, layout, keys)
     if not drop_empty:
-        return fill_rows(rows, format_extent(plans, layout, keys=keys), layout, keys, row_block)
+        extent = format_extent(plans, layout, keys=keys)
+        return fill_rows(rows.drop("block"), extent, layout, keys, row_block)
     kept = drop_empty_rows(rows, layout.columns)
-    return renumber_rows(kept, layout.header_row + 1, keys, row_block) if renumber else kept
+    if renumber:
+        kept = renumber_rows(kept, layout.header_row + 1, long_sheet_blocks(plans, keys, row_block), keys)
+    return kept.drop("block")
 
 
 def template_overlay(
@@ -288,4 +301,6 @@ def template_overlay(
     if not drop_empty:
         return merged
     kept = merged.filter(has_data(out) | (F.col("target_row") == layout.header_row))
-    return renumber_rows(kept, 1, keys, row_block)
+    kept = kept.withColumn("block", block_of(F.col("target_row"), row_block))
+    extent = format_extent(bounds, layout, last, keys).withColumnRenamed("last_target_row", "max_row")
+    return renumber_rows(kept, 1, long_sheet_blocks(extent, keys, row_block), keys).drop("block")

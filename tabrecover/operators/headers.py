@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from tabrecover.functions.text import clean_header, trim_space
 from tabrecover.grid import SHEET_KEYS
+from tabrecover.plans.joins import lookup_join
+
+# Header rows down to here are looked for in one join of the top rows of all sheets.
+SHALLOW_ROWS = 64
 
 EMPTY, EMPTIED, CLEANED, AS_IS = "empty", "emptied", "cleaned", "as_is"
 
@@ -16,11 +20,18 @@ EMPTY, EMPTIED, CLEANED, AS_IS = "empty", "emptied", "cleaned", "as_is"
 def sheet_headers(grid: DataFrame, bounds: DataFrame, keys: Sequence[str] = SHEET_KEYS) -> DataFrame:
     """Cells of the detected header row, left to right, up to its last cell with text.
 
-    Gives keys, sheet_idx, row, col, text, dtype. The join key holds the row
-    number, so a long sheet spreads over all tasks.
+    Gives keys, sheet_idx, row, col, text, dtype. Nearly all header rows are among
+    the first rows of their sheet, so only those rows are shuffled to be joined.
+    The few sheets with a deeper header are measured and joined by themselves.
+    The key holds the row number, so a long sheet spreads over all tasks.
     """
+    at = [*keys, "row"]
     header_rows = bounds.select(*keys, F.col("header_row").alias("row"))
-    found = grid.join(header_rows, [*keys, "row"])
+    top, deep = F.col("row") <= SHALLOW_ROWS, F.col("row") > SHALLOW_ROWS
+    found = grid.filter(top).join(header_rows.filter(top), at)
+    deep_rows = header_rows.filter(deep)
+    if not deep_rows.isEmpty():
+        found = found.unionByName(lookup_join(grid.filter(deep), deep_rows, at))
     filled_at = F.transform(
         F.col("cells.value"), lambda v, i: F.when(F.coalesce(v, F.lit("")) != "", i + 1).otherwise(0)
     )
@@ -203,9 +214,11 @@ def input_headers(headers: DataFrame, keys: Sequence[str] = SHEET_KEYS) -> DataF
     """Usable headers of every sheet: keys, header, first_col, value_col.
 
     Cells holding zero or false name no column. A repeated header keeps its
-    first place in the order, and its last column gives the values.
+    first place in the order, and its last column gives the values. The rows are
+    placed by sheet, so all steps up to the plan of a sheet share one shuffle; a
+    sheet has 16,384 headers at most.
     """
-    named = headers.filter(F.col("header").isNotNull() & ~_names_nothing())
+    named = headers.filter(F.col("header").isNotNull() & ~_names_nothing()).repartition(*keys)
     return named.groupBy(*keys, "header").agg(
         F.min("col").alias("first_col"), F.max("col").alias("value_col")
     )

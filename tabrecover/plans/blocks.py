@@ -19,6 +19,13 @@ def block_of(row: Column, size: int = ROW_BLOCK) -> Column:
     return F.floor((row - 1) / F.lit(size)).cast("long")
 
 
+def blocked(grid: DataFrame, size: int = ROW_BLOCK) -> DataFrame:
+    """The grid with its block column; a stored grid has it already (see ``land_grid``)."""
+    if "block" in grid.columns and size == ROW_BLOCK:
+        return grid
+    return grid.withColumn("block", block_of(F.col("row"), size))
+
+
 def per_block(
     sheets: DataFrame, first_row: Column, last_row: Column, size: int = ROW_BLOCK
 ) -> DataFrame:

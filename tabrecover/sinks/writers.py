@@ -14,10 +14,28 @@ from tabrecover.plans.blocks import ROW_BLOCK, block_of
 ENTRIES_PER_DOCUMENT = 10_000
 
 
-def land_grid(decoded: DataFrame, path: str) -> DataFrame:
-    """Store decoded workbooks once and give them back as a parquet table."""
-    decoded.write.mode("errorifexists").parquet(path)
-    return decoded.sparkSession.read.schema(decoded.schema).parquet(path)
+def land_grid(
+    decoded: DataFrame,
+    path: str,
+    table: str | None = None,
+    buckets: int = 0,
+    keys: Sequence[str] = SHEET_KEYS,
+) -> DataFrame:
+    """Store decoded workbooks, or any grid, once and give back the stored rows.
+
+    With a table name the rows are stored in buckets by sheet and row block, so
+    that the joins with bounds and plans leave the grid where it is. A bucket
+    never holds more of one sheet than a block of rows.
+    """
+    placed = decoded.withColumn("block", block_of(F.col("row")))
+    if table is None:
+        placed.write.parquet(path)
+        return decoded.sparkSession.read.schema(placed.schema).parquet(path)
+    at = [*keys, "block"]
+    # one writer per bucket, or every task would leave a file in every bucket
+    rows = placed.repartition(buckets, *at)
+    rows.write.bucketBy(buckets, *at).sortBy(*at).option("path", path).format("parquet").saveAsTable(table)
+    return decoded.sparkSession.table(table)
 
 
 def write_lines(lines: DataFrame, path: str, text: str = "header", order: Sequence[str] = ()) -> None:

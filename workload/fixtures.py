@@ -7,10 +7,13 @@ would share a place are merged by an aggregate.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabrecover.grid import CELL_TYPE, cell
+from tabrecover.sources.files import filesystem
+from workload.xlsx import Cell, workbook
 
 LAYOUT = ("part_id", "supplier_id", "qty", "flag", "note")
 
@@ -83,7 +86,7 @@ def order_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("l_partkey").alias("part"),
         F.max("l_suppkey").alias("supplier"),
         F.sum("l_quantity").cast("bigint").alias("quantity"),
-        F.max("l_returnflag").alias("flag"),
+        F.char(F.max(F.ascii("l_returnflag"))).alias("flag"),
     )
     keys = [
         F.concat(F.lit("in/"), key % 3, F.lit("/f"), key % 50, F.lit(".xlsx")).alias("file"),
@@ -168,6 +171,40 @@ def whole_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union([make(spark, sf_dir) for make in makers])
 
 
+def customer_workbooks(spark: SparkSession, sf_dir: str, folder: str) -> int:
+    """Write a workbook with two sheets per 500 customers; gives their number.
+
+    The customer key is unique, so a workbook has 500 rows at most.
+    """
+    customers = table(spark, sf_dir, "customer").select(
+        F.floor(F.col("c_custkey") / 500).alias("book"), "c_custkey", "c_name", "c_acctbal", "c_mktsegment"
+    )
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        path = f"{folder}/book{key[0].as_py()}.xlsx"
+        sheets: dict[str, dict] = {}
+        for r in rows.to_pylist():
+            number = r["c_custkey"]
+            head = {1: Cell("s", "Number"), 2: Cell("inline", "<b>Name</b>"), 4: Cell("s", "Balance"), 5: Cell("s", "Since")}
+            sheet = sheets.setdefault(f"part {number % 2}", {1: head})
+            sheet[number % 500 // 2 + 2] = {
+                1: Cell("n", number),
+                2: Cell("s" if number % 3 else "inline", r["c_name"]),
+                3: Cell("empty", style=4),
+                4: Cell("n", repr(r["c_acctbal"]), 1, formula="1+1"),
+                5: Cell("n", 40000 + number % 1000, 2),
+                6: Cell("b", number % 2),
+            }
+        fs, inner = filesystem(path)
+        with fs.open_output_stream(inner) as out:
+            out.write(workbook(sorted(sheets.items())))
+        return pa.table({"file": [path]})
+
+    fs, inner = filesystem(folder)
+    fs.create_dir(inner, recursive=True)
+    return customers.groupBy("book").applyInArrow(write, "file string").count()
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

@@ -239,6 +239,16 @@ _REQUEST_HEAD = (
 def oracle_sql() -> dict[str, str]:
     o: dict[str, str] = {}
 
+    o["workbook_cells"] = """WITH c AS (SELECT concat('book', c_custkey // 500, '.xlsx') AS file, concat('part ', c_custkey % 2) AS sheet, c_custkey % 500 // 2 + 2 AS r, * FROM customer),
+h AS (SELECT DISTINCT file, sheet FROM c)
+SELECT file, sheet, CAST(r AS BIGINT) AS row, CAST(col AS INTEGER) AS col, v AS value, t AS dtype, nf AS number_format FROM (
+  SELECT file, sheet, r, 1 AS col, CAST(c_custkey AS VARCHAR) AS v, 'n' AS t, 'General' AS nf FROM c
+  UNION ALL SELECT file, sheet, r, 2, c_name, 's', 'General' FROM c
+  UNION ALL SELECT file, sheet, r, 4, CAST(c_acctbal AS VARCHAR), 'n', '0.00' FROM c
+  UNION ALL SELECT file, sheet, r, 5, strftime(DATE '1899-12-30' + CAST(40000 + c_custkey % 1000 AS INTEGER), '%Y-%m-%d %H:%M:%S'), 'd', 'yyyy-mm-dd' FROM c
+  UNION ALL SELECT file, sheet, r, 6, CASE WHEN c_custkey % 2 = 1 THEN 'TRUE' ELSE 'FALSE' END, 'b', 'General' FROM c
+  UNION ALL SELECT file, sheet, 1, 1, 'Number', 's', 'General' FROM h UNION ALL SELECT file, sheet, 1, 2, '<b>Name</b>', 's', 'General' FROM h
+  UNION ALL SELECT file, sheet, 1, 4, 'Balance', 's', 'General' FROM h UNION ALL SELECT file, sheet, 1, 5, 'Since', 's', 'General' FROM h) x"""
     o["table_to_cells"] = """WITH e AS (SELECT event_type AS sheet, event_id + 2 AS r, * FROM events), h AS (SELECT DISTINCT event_type AS sheet FROM events)
 SELECT 'events' AS file, sheet, CAST(r AS BIGINT) AS row, CAST(c AS INTEGER) AS col, v AS value, t AS dtype FROM (
   SELECT sheet, r, 1 AS c, CAST(event_id AS VARCHAR) AS v, 'n' AS t FROM e UNION ALL SELECT sheet, r, 2, CAST(user_id AS VARCHAR), 'n' FROM e

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +19,13 @@ from tabrecover.operators import mapping as M
 from tabrecover.operators import reports as R
 from tabrecover.operators import suggest as S
 from tabrecover.operators import types as T
-from tabrecover.plans.checkpoints import checkpoint_dir
+from tabrecover.plans.blocks import blocked
+from tabrecover.plans.checkpoints import checkpoint_dir, stored
 from tabrecover.sinks import writers as W
 from tabrecover.sources.files import list_files
 from tabrecover.sources.lists import clean_lines, default_targets as seed_targets, mapping_entries
 from tabrecover.sources.tables import table_to_grid
+from tabrecover.sources.workbook import decode_workbooks, grid_of
 from workload import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +37,11 @@ def query(make: Query) -> Query:
     return make
 
 
+def landed(grid: DataFrame) -> DataFrame:
+    """The grid stored as decoding leaves it: the rows of a sheet block in one place."""
+    return stored(blocked(grid).repartition("file", "sheet", "block"))
+
+
 # --- sources ---------------------------------------------------------------
 
 
@@ -43,6 +50,16 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return list_files(spark, [sf_dir], ".parquet").select("name", "length", "audit")
 
 
+@query
+def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks written from the customers, found and decoded."""
+    folder = f"{checkpoint_dir(spark)}/books-{uuid.uuid4().hex}"
+    X.customer_workbooks(spark, sf_dir, folder)
+    decoded = decode_workbooks(list_files(spark, [folder]))
+    cells = grid_to_cells(grid_of(decoded))
+    return cells.withColumn("file", F.element_at(F.split("file", "/"), -1))
+
+
 @query
 def table_to_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = X.table(spark, sf_dir, "events")
@@ -108,8 +125,8 @@ def table_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _headers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    grid = X.whole_grid(spark, sf_dir)
-    bounds = B.sheet_bounds(grid)
+    grid = landed(X.whole_grid(spark, sf_dir))
+    bounds = stored(B.sheet_bounds(grid))
     return bounds, H.clean_headers(H.sheet_headers(grid, bounds))
 
 
@@ -332,13 +349,20 @@ def _orders(spark: SparkSession, sf_dir: str, layout: Fm.Layout = Fm.Layout(X.LA
 
 
 def _planned(spark: SparkSession, grid: DataFrame, layout: Fm.Layout) -> Orders:
-    bounds = B.sheet_bounds(grid)
+    grid = landed(grid)
+    bounds = stored(B.sheet_bounds(grid))
     headers = H.clean_headers(H.sheet_headers(grid, bounds))
     normalized = M.normalize_mapping(X.order_mapping(spark))
     applicable = Fm.applicable_mappings(H.input_headers(headers), normalized, layout)
     return Orders(grid, bounds, headers, applicable, Fm.sheet_plans(bounds, applicable, layout), layout)
 
 
+def _ready(spark: SparkSession, sf_dir: str, layout: Fm.Layout = Fm.Layout(X.LAYOUT)) -> Orders:
+    """The order sheets with their plans stored, as a run of several steps has them."""
+    o = _orders(spark, sf_dir, layout)
+    return replace(o, plans=stored(o.plans))
+
+
 @query
 def applicable_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).applicable
@@ -354,13 +378,13 @@ def uncovered_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def format_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned rows, nothing dropped."""
     o = _orders(spark, sf_dir)
-    return Fm.cell_values(Fm.project_cells(o.grid, o.plans, o.layout), o.layout)
+    return Fm.cell_values(Fm.project_cells(o.grid, o.plans, o.layout), o.layout).drop("block")
 
 
 @query
 def drop_empty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two columns only, so that thousands of rows hold nothing; numbered anew."""
-    o = _orders(spark, sf_dir, Fm.Layout(("supplier_id", "flag")))
+    o = _ready(spark, sf_dir, Fm.Layout(("supplier_id", "flag")))
     return Fm.format_sheets(o.grid, o.plans, o.layout, row_block=4)
 
 
@@ -385,10 +409,10 @@ def format_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _orders(spark, sf_dir)
+    o = _ready(spark, sf_dir)
     projected = Fm.project_cells(o.grid, o.plans, o.layout)
     types = T.column_types(T.column_formats(T.column_profile(projected, o.layout)))
-    return T.typed_rows(Fm.cell_values(projected, o.layout), types)
+    return T.typed_rows(Fm.cell_values(projected, o.layout).drop("block"), types)
 
 
 @query
@@ -412,7 +436,7 @@ def template_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def format_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _orders(spark, sf_dir, Fm.Layout(("supplier_id", "flag", "note")))
+    o = _ready(spark, sf_dir, Fm.Layout(("supplier_id", "flag", "note")))
     return R.format_summary(Fm.project_cells(o.grid, o.plans, o.layout), o.plans, o.layout)
 
 
