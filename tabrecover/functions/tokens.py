@@ -16,8 +16,12 @@ def words(name: Column) -> Column:
     return F.sort_array(F.array_distinct(F.filter(parts, lambda w: w != "")))
 
 
-def grams(name: Column, size: int = 2) -> Column:
-    """Sorted set of character runs of the given size over the joined words."""
+def grams(name: Column) -> Column:
+    """Sorted set of the two-character runs of the joined words, with marks at both ends.
+
+    Empty for a name without words. The runs overlap, so they are read by a
+    pattern that looks ahead and moves one character at a time.
+    """
     text = F.concat(F.lit("^"), F.array_join(words(name), " "), F.lit("$"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - size + 1))
-    return F.sort_array(F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size))))
+    runs = F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), F.lit(1))
+    return F.sort_array(F.array_remove(F.array_distinct(runs), "^$"))

@@ -54,13 +54,3 @@ def cells_to_grid(cells: DataFrame, keys: Sequence[str] = SHEET_KEYS) -> DataFra
         lambda c: F.try_element_at(F.col("_by_col"), c),
     )
     return grouped.select(*keys, F.col("row").cast("bigint").alias("row"), dense.alias("cells"))
-
-
-def value_at(col: Column, cells: str = "cells") -> Column:
-    """Text of the cell in a 1-based column; null outside the row or for a null column."""
-    return F.get(F.col(f"{cells}.value"), col - 1)
-
-
-def cell_at(col: Column, cells: str = "cells") -> Column:
-    """The whole cell in a 1-based column."""
-    return F.get(F.col(cells), col - 1)

@@ -10,13 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabrecover.functions.text import is_blank, is_formula, suppress_formula
-from tabrecover.grid import SHEET_KEYS, cell_at
+from tabrecover.grid import SHEET_KEYS
 from tabrecover.plans.blocks import ROW_BLOCK, block_of, blocked, per_block
 from tabrecover.plans.joins import lookup_join
 
@@ -98,11 +97,12 @@ def sheet_plans(
     Two target columns with one name get the same source; null means uncovered.
     """
     keys = list(keys)
-    by_target = applicable.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("target", "value_col"))).alias("by_target")
+    place = {name: f"_{k}" for k, name in enumerate(dict.fromkeys(t for _, t in layout.named))}
+    sources = applicable.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("target") == name, F.col("value_col"))).alias(c) for name, c in place.items()]
     )
-    cols = [F.try_element_at("by_target", F.lit(name)) for _, name in layout.named]
-    return bounds.join(by_target, keys, "left").select(
+    cols = [F.col(place[name]) for _, name in layout.named]
+    return bounds.join(sources, keys, "left").select(
         *bounds.columns, F.array(*cols).cast("array<int>").alias("input_cols")
     )
 
@@ -115,49 +115,67 @@ def project_cells(
     stop_at_table_end: bool = False,
     row_block: int = ROW_BLOCK,
 ) -> DataFrame:
-    """Rows below the header with the whole source cell per target column, nothing dropped yet.
+    """Rows below the header with the source cell of each named target, nothing dropped yet.
 
-    Gives keys, block (of the input row), target_row and one cell struct per named
-    target. Rows go on to the end of the sheet; ``stop_at_table_end`` leaves
-    footers out and needs plans with table_end_row. A grid stored in buckets by
-    sheet and block is not shuffled.
+    Gives keys, block (of the input row), target_row and picked, an array of
+    cells in the order of ``layout.named``. Rows go on to the end of the sheet;
+    ``stop_at_table_end`` leaves footers out and needs plans with table_end_row.
+    A grid stored in buckets by sheet and block is not shuffled.
     """
+    picked = F.transform("input_cols", lambda c: F.get("cells", c - 1))
+    return _project(grid, "cells", picked, plans, layout, keys, stop_at_table_end, row_block)
+
+
+def project_values(
+    grid: DataFrame,
+    plans: DataFrame,
+    layout: Layout,
+    keys: Sequence[str] = SHEET_KEYS,
+    stop_at_table_end: bool = False,
+    row_block: int = ROW_BLOCK,
+) -> DataFrame:
+    """As ``project_cells``, with the texts only, formulas left empty; reads no other part of
+    the cells."""
+    picked = F.transform("input_cols", lambda c: suppress_formula(F.get("cells", c - 1)))
+    return _project(grid, "cells.value", picked, plans, layout, keys, stop_at_table_end, row_block)
+
+
+def _project(
+    grid: DataFrame,
+    cells: str,
+    picked: Column,
+    plans: DataFrame,
+    layout: Layout,
+    keys: Sequence[str],
+    stop_at_table_end: bool,
+    row_block: int,
+) -> DataFrame:
+    # The picked cells stay one array: an expression per target column would make
+    # generated methods too long to be compiled, from ten columns on.
     keys = list(keys)
     last_row = "table_end_row" if stop_at_table_end else "max_row"
     spread = per_block(plans, F.col("header_row"), F.col(last_row), row_block)
     spread = spread.select(*keys, "block", "header_row", F.col(last_row).alias("last_row"), "input_cols")
-    rows = blocked(grid, row_block).select(*keys, "block", "row", "cells")
+    rows = blocked(grid, row_block).select(*keys, "block", "row", F.col(cells).alias("cells"))
     body = rows.join(spread, [*keys, "block"]).filter("row > header_row and row <= last_row")
-    return body.select(
-        *keys,
-        "block",
-        (F.lit(layout.header_row) + F.col("row") - F.col("header_row")).alias("target_row"),
-        *[
-            cell_at(F.get("input_cols", F.lit(k))).alias(name)
-            for k, name in enumerate(layout.columns)
-        ],
-    )
+    target_row = F.lit(layout.header_row) + F.col("row") - F.col("header_row")
+    return body.select(*keys, "block", target_row.alias("target_row"), picked.alias("picked"))
 
 
-def cell_values(projected: DataFrame, layout: Layout, keys: Sequence[str] = SHEET_KEYS) -> DataFrame:
-    """Texts of the projected cells, formulas left empty."""
-    return projected.select(
-        *keys,
-        "block",
-        "target_row",
-        *[suppress_formula(F.col(f"`{c}`.value")).alias(c) for c in layout.columns],
-    )
+def as_columns(projected: DataFrame, layout: Layout) -> DataFrame:
+    """One column per named target in place of the picked array."""
+    columns = [F.get("picked", F.lit(k)).alias(name) for k, name in enumerate(layout.columns)]
+    return projected.select(*[c for c in projected.columns if c != "picked"], *columns)
 
 
-def has_data(columns: Sequence[str]) -> Column:
-    """True for a row with any value that is neither blank nor a formula."""
-    tests = [~is_blank(F.col(f"`{c}`")) & ~is_formula(F.col(f"`{c}`")) for c in columns]
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
+def has_data(values: Column) -> Column:
+    """True for an array with any text that is neither blank nor a formula."""
+    return F.exists(values, lambda v: ~is_blank(v) & ~is_formula(v))
 
 
-def drop_empty_rows(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Keep the rows with data in any of the given columns."""
-    return rows.filter(has_data(columns))
+def drop_empty_rows(projected: DataFrame) -> DataFrame:
+    """Keep the rows with data in any of the picked texts."""
+    return projected.filter(has_data(F.col("picked")))
 
 
 def renumber_rows(
@@ -242,15 +260,14 @@ def format_sheets(
     gaps; ``renumber=False`` keeps the aligned row numbers. Without
     ``drop_empty`` every row down to the extent is there.
     """
-    cells = project_cells(grid, plans, layout, keys, stop_at_table_end, row_block)
-    rows = cell_values(cells, layout, keys)
+    rows = project_values(grid, plans, layout, keys, stop_at_table_end, row_block)
     if not drop_empty:
         extent = format_extent(plans, layout, keys=keys)
-        return fill_rows(rows.drop("block"), extent, layout, keys, row_block)
-    kept = drop_empty_rows(rows, layout.columns)
+        return as_columns(fill_rows(rows.drop("block"), extent, layout, keys, row_block), layout)
+    kept = drop_empty_rows(rows)
     if renumber:
         kept = renumber_rows(kept, layout.header_row + 1, long_sheet_blocks(plans, keys, row_block), keys)
-    return kept.drop("block")
+    return as_columns(kept.drop("block"), layout)
 
 
 def template_overlay(
@@ -273,13 +290,13 @@ def template_overlay(
     names = dict(zip([i for i, _ in layout.named], layout.columns))
     out = [names.get(i, f"column_{i + 1}") for i in range(len(layout.targets))]
     above = F.col("target_row") <= layout.header_row
-    texts = [
+    shown = [
         F.get(F.col("cells.value"), F.lit(i)) if i not in names
         else F.when(above, F.get(F.col("cells.value"), F.lit(i)))
         for i in range(len(layout.targets))
     ]
     static = template.select(F.col("row").alias("target_row"), "cells").select(
-        "target_row", *[t.alias(c) for t, c in zip(texts, out)]
+        "target_row", *[t.alias(c) for t, c in zip(shown, out)]
     )
     last = template.agg(F.max("row")).first()[0] or layout.header_row
     blocks = per_block(bounds.select(*keys), F.lit(1), F.lit(last), row_block)
@@ -300,7 +317,8 @@ def template_overlay(
     )
     if not drop_empty:
         return merged
-    kept = merged.filter(has_data(out) | (F.col("target_row") == layout.header_row))
+    texts = F.array(*[F.col(f"`{c}`") for c in out])
+    kept = merged.filter((F.col("target_row") == layout.header_row) | has_data(texts))
     kept = kept.withColumn("block", block_of(F.col("target_row"), row_block))
     extent = format_extent(bounds, layout, last, keys).withColumnRenamed("last_target_row", "max_row")
     return renumber_rows(kept, 1, long_sheet_blocks(extent, keys, row_block), keys).drop("block")

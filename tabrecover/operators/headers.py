@@ -35,7 +35,9 @@ def sheet_headers(grid: DataFrame, bounds: DataFrame, keys: Sequence[str] = SHEE
     filled_at = F.transform(
         F.col("cells.value"), lambda v, i: F.when(F.coalesce(v, F.lit("")) != "", i + 1).otherwise(0)
     )
-    cells = F.slice("cells", F.lit(1), F.coalesce(F.array_max(filled_at), F.lit(0)))
+    shortened = F.slice("cells", F.lit(1), F.coalesce(F.array_max(filled_at), F.lit(0)))
+    last = F.get(F.col("cells.value"), F.size("cells") - 1)
+    cells = F.when(F.coalesce(last, F.lit("")) != "", F.col("cells")).otherwise(shortened)
     return found.select(*keys, "sheet_idx", "row", F.posexplode(cells).alias("pos", "cell")).select(
         *keys,
         "sheet_idx",
@@ -48,7 +50,7 @@ def sheet_headers(grid: DataFrame, bounds: DataFrame, keys: Sequence[str] = SHEE
 
 def clean_headers(headers: DataFrame) -> DataFrame:
     """Add raw (trimmed text), header (cleaned; null where nothing is left) and class."""
-    raw = F.coalesce(trim_space(F.col("text")), F.lit(""))
+    text = F.coalesce(F.col("text"), F.lit(""))
     kind = (
         F.when(F.col("raw") == "", EMPTY)
         .when(F.col("header").isNull(), EMPTIED)
@@ -56,8 +58,8 @@ def clean_headers(headers: DataFrame) -> DataFrame:
         .otherwise(AS_IS)
     )
     return (
-        headers.withColumn("raw", raw)
-        .withColumn("header", F.nullif(clean_header(F.col("raw")), F.lit("")))
+        headers.withColumn("raw", trim_space(text))
+        .withColumn("header", F.nullif(clean_header(text), F.lit("")))
         .withColumn("class", kind)
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabrecover.functions.text import is_blank, is_formula, output_name
@@ -16,13 +16,6 @@ NO_HEADER = "no header"
 NO_MAPPING = "no applicable mapping"
 
 
-def _total(parts: Sequence[Column]) -> Column:
-    total = F.lit(0).cast("bigint")
-    for part in parts:
-        total = total + part.cast("bigint")
-    return total
-
-
 def format_summary(
     projected: DataFrame, plans: DataFrame, layout: Layout, keys: Sequence[str] = SHEET_KEYS
 ) -> DataFrame:
@@ -33,11 +26,11 @@ def format_summary(
     the header, up to the sheet's last row, that hold no data.
     """
     keys = list(keys)
-    values = [F.col(f"`{c}`.value") for c in layout.columns]
-    formulas = [is_formula(v) for v in values]
-    copied = [~is_blank(v) & ~is_formula(v) for v in values]
+    values = F.col("picked.value")
+    formulas = F.size(F.filter(values, is_formula)).cast("bigint")
+    copied = F.size(F.filter(values, lambda v: ~is_blank(v) & ~is_formula(v))).cast("bigint")
     counts = (
-        projected.select(*keys, _total(copied).alias("copied"), _total(formulas).alias("formulas"))
+        projected.select(*keys, copied.alias("copied"), formulas.alias("formulas"))
         .groupBy(*keys)
         .agg(
             F.sum("copied").alias("cells_copied"),

@@ -21,12 +21,11 @@ def column_profile(projected: DataFrame, layout: Layout) -> DataFrame:
 
     ``projected`` comes from ``project_cells``; blank and formula cells do not count.
     """
-    tagged = [
-        F.struct(F.lit(c).alias("target"), F.col(f"`{c}`").alias("cell")) for c in layout.columns
-    ]
-    cells = projected.select(F.explode(F.array(*tagged)).alias("t")).select("t.target", "t.cell.*")
+    cells = projected.select(F.posexplode("picked").alias("pos", "cell")).select("pos", "cell.*")
     copied = cells.filter(~is_blank(F.col("value")) & ~is_formula(F.col("value")))
-    return copied.groupBy("target", "dtype", "number_format").agg(F.count(F.lit(1)).alias("cells"))
+    counts = copied.groupBy("pos", "dtype", "number_format").agg(F.count(F.lit(1)).alias("cells"))
+    names = F.array(*[F.lit(c) for c in layout.columns])
+    return counts.select(F.get(names, F.col("pos")).alias("target"), "dtype", "number_format", "cells")
 
 
 def column_formats(profile: DataFrame) -> DataFrame:

@@ -377,8 +377,8 @@ def uncovered_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def format_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned rows, nothing dropped."""
-    o = _orders(spark, sf_dir)
-    return Fm.cell_values(Fm.project_cells(o.grid, o.plans, o.layout), o.layout).drop("block")
+    o = _ready(spark, sf_dir)
+    return Fm.as_columns(Fm.project_values(o.grid, o.plans, o.layout).drop("block"), o.layout)
 
 
 @query
@@ -390,14 +390,14 @@ def drop_empty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def format_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _orders(spark, sf_dir)
+    o = _ready(spark, sf_dir)
     return Fm.format_sheets(o.grid, o.plans, o.layout)
 
 
 @query
 def fill_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row down to the extent, blank rows included."""
-    o = _orders(spark, sf_dir)
+    o = _ready(spark, sf_dir)
     return Fm.format_sheets(o.grid, o.plans, o.layout, drop_empty=False)
 
 
@@ -410,14 +410,14 @@ def format_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _ready(spark, sf_dir)
-    projected = Fm.project_cells(o.grid, o.plans, o.layout)
-    types = T.column_types(T.column_formats(T.column_profile(projected, o.layout)))
-    return T.typed_rows(Fm.cell_values(projected, o.layout).drop("block"), types)
+    profile = T.column_profile(Fm.project_cells(o.grid, o.plans, o.layout), o.layout)
+    rows = Fm.project_values(o.grid, o.plans, o.layout).drop("block")
+    return T.typed_rows(Fm.as_columns(rows, o.layout), T.column_types(T.column_formats(profile)))
 
 
 @query
 def column_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _orders(spark, sf_dir)
+    o = _ready(spark, sf_dir)
     return T.column_formats(T.column_profile(Fm.project_cells(o.grid, o.plans, o.layout), o.layout))
 
 
@@ -426,7 +426,7 @@ def template_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = X.template_grid(spark, sf_dir)
     bounds = B.sheet_bounds(template)
     layout = Fm.Layout.of(H.target_layout(H.sheet_headers(template, bounds)), header_row=2)
-    o = _orders(spark, sf_dir, layout)
+    o = _ready(spark, sf_dir, layout)
     rows = Fm.format_sheets(o.grid, o.plans, layout, renumber=False)
     return Fm.template_overlay(rows, template, o.bounds, layout)
 
