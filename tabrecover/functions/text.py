@@ -13,10 +13,12 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-_SPACE_RUN = f"[{WHITESPACE}]+"
+# The same characters as ranges, without the plain space.
+_OTHER_SPACE = r"\t-\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_SPACE_RUN = f"[ {_OTHER_SPACE}]+"
 _TAG = "<[^>]+>"
 # A text without any of these is its own cleaned header.
-_UNCLEAN = f"[<{WHITESPACE.replace(' ', '')}]|  |^ | $"
+_UNCLEAN = f"[<{_OTHER_SPACE}]|  |^ | $"
 _LEADING_NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
 
 

@@ -19,7 +19,8 @@ from tabrecover.operators import headers as H
 from tabrecover.operators import mapping as M
 from tabrecover.operators import reports as R
 from tabrecover.operators import suggest as S
-from tabrecover.plans.checkpoints import stored
+from tabrecover.plans import checkpoints as C
+from tabrecover.plans.blocks import blocked
 from tabrecover.sinks import writers as W
 from tabrecover.sources import workbook as X
 from tabrecover.sources.files import list_files
@@ -40,10 +41,25 @@ def ingest(spark: SparkSession, roots: Sequence[str], path: str, partitions: int
     return W.land_grid(X.decode_workbooks(list_files(spark, roots), partitions=partitions), path)
 
 
+def ingest_new(
+    spark: SparkSession, roots: Sequence[str], path: str, partitions: int | None = None
+) -> DataFrame:
+    """Decode the workbooks that a stored table does not hold yet and add them to it.
+
+    Files are known by their path; a workbook changed in place is not read again.
+    """
+    stored_rows = spark.read.parquet(path)
+    known = stored_rows.select("file").distinct()
+    new = list_files(spark, roots).join(known, "file", "left_anti")
+    decoded = X.decode_workbooks(new, partitions=partitions)
+    blocked(decoded).write.mode("append").parquet(path)
+    return spark.read.schema(stored_rows.schema).parquet(path)
+
+
 def scan(decoded: DataFrame, path: str) -> None:
     """Write headers, their provenance and the statistics of a scan."""
     grid, rejects = X.grid_of(decoded), X.rejects_of(decoded)
-    bounds = stored(B.sheet_bounds(grid))
+    bounds = C.stored(B.sheet_bounds(grid))
     headers = H.clean_headers(H.sheet_headers(grid, bounds))
     provenance = H.header_provenance(headers)
     provenance.write.parquet(f"{path}/provenance")
@@ -100,7 +116,7 @@ def format_all(
     bounds = B.sheet_bounds(grid)
     if settings.stop_at_table_end:
         bounds = B.table_end(grid, bounds, settings.table_end_tolerance)
-    bounds = stored(bounds)
+    bounds = C.stored(bounds)
     headers = H.clean_headers(H.sheet_headers(grid, bounds))
     applicable = Fm.applicable_mappings(H.input_headers(headers), M.normalize_mapping(mapping), layout)
     plans = Fm.sheet_plans(bounds, applicable, layout)
