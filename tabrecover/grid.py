@@ -22,6 +22,11 @@ CELL_TYPE = "struct<value:string,dtype:string,number_format:string>"
 GRID_SCHEMA = f"file string, sheet_idx bigint, sheet string, row bigint, cells array<{CELL_TYPE}>"
 
 
+def by_name(names: Sequence[str]) -> list[Column]:
+    """Columns by their exact names; a header may hold dots and backticks."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
 def cell(value: Column, dtype: str | Column = "s", number_format: str | Column = "General") -> Column:
     """One cell; null where the value is null."""
     dtype = F.lit(dtype) if isinstance(dtype, str) else dtype

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabrecover.functions.text import is_blank, is_formula, suppress_formula
-from tabrecover.grid import SHEET_KEYS
+from tabrecover.grid import SHEET_KEYS, by_name
 from tabrecover.plans.blocks import ROW_BLOCK, block_of, blocked, per_block
 from tabrecover.plans.joins import lookup_join
 
@@ -202,7 +202,7 @@ def renumber_rows(
         rows.withColumn("_place", place)
         .join(starts, at, "left")
         .withColumn("target_row", (F.col("_place") + F.coalesce("_start", F.lit(0))).cast("bigint"))
-        .select(*rows.columns)
+        .select(*by_name(rows.columns))
     )
 
 
@@ -241,7 +241,7 @@ def fill_rows(
     # a shuffle between the two steps, or all blocks of a sheet unfold in one task
     spread = blocks.repartition(*keys, "block")
     every_row = spread.select(*keys, F.explode(F.sequence(start, stop)).alias("target_row"))
-    return every_row.join(formatted, [*keys, "target_row"], "left").select(*formatted.columns)
+    return every_row.join(formatted, [*keys, "target_row"], "left").select(*by_name(formatted.columns))
 
 
 def format_sheets(
@@ -287,17 +287,17 @@ def template_overlay(
     name are called column_1, column_2, ... by their position.
     """
     keys = list(keys)
+    width = len(layout.targets)
     names = dict(zip([i for i, _ in layout.named], layout.columns))
-    out = [names.get(i, f"column_{i + 1}") for i in range(len(layout.targets))]
-    above = F.col("target_row") <= layout.header_row
-    shown = [
-        F.get(F.col("cells.value"), F.lit(i)) if i not in names
-        else F.when(above, F.get(F.col("cells.value"), F.lit(i)))
-        for i in range(len(layout.targets))
-    ]
-    static = template.select(F.col("row").alias("target_row"), "cells").select(
-        "target_row", *[t.alias(c) for t, c in zip(shown, out)]
-    )
+    out = [names.get(i, f"column_{i + 1}") for i in range(width)]
+    if len({n.lower() for n in out}) < width:
+        raise ValueError("a target is named like a column without a name")
+    texts = F.col("cells.value")
+    named = F.array(*[F.lit(i in names) for i in range(width)])
+    below = F.col("row") > layout.header_row
+    shown = F.transform(named, lambda is_named, i: F.when(~(is_named & below), F.get(texts, i)))
+    static = template.select(F.col("row").alias("target_row"), shown.alias("static"))
+
     last = template.agg(F.max("row")).first()[0] or layout.header_row
     blocks = per_block(bounds.select(*keys), F.lit(1), F.lit(last), row_block)
     start = F.col("block") * row_block + 1
@@ -305,20 +305,21 @@ def template_overlay(
     copies = lookup_join(
         blocks.select(*keys, F.explode(rows).alias("target_row")), static, ["target_row"]
     )
-    own = formatted.select(*keys, "target_row", *layout.columns)
-    both = copies.alias("t").join(own.alias("f"), [*keys, "target_row"], "full_outer")
+    empty = F.lit(None).cast("string")
+    own = F.array(*[by_name([names[i]])[0] if i in names else empty for i in range(width)])
+    both = copies.join(
+        formatted.select(*keys, "target_row", own.alias("own")), [*keys, "target_row"], "full_outer"
+    )
+    nothing = F.array(*[empty] * width)
     merged = both.select(
         *keys,
         "target_row",
-        *[
-            F.coalesce(F.col(f"f.`{c}`"), F.col(f"t.`{c}`")).alias(c) if i in names else F.col(f"t.`{c}`").alias(c)
-            for i, c in enumerate(out)
-        ],
+        F.zip_with(F.coalesce("own", nothing), F.coalesce("static", nothing), lambda o, t: F.coalesce(o, t)).alias("picked"),
     )
-    if not drop_empty:
-        return merged
-    texts = F.array(*[F.col(f"`{c}`") for c in out])
-    kept = merged.filter((F.col("target_row") == layout.header_row) | has_data(texts))
-    kept = kept.withColumn("block", block_of(F.col("target_row"), row_block))
-    extent = format_extent(bounds, layout, last, keys).withColumnRenamed("last_target_row", "max_row")
-    return renumber_rows(kept, 1, long_sheet_blocks(extent, keys, row_block), keys).drop("block")
+    if drop_empty:
+        kept = merged.filter((F.col("target_row") == layout.header_row) | has_data(F.col("picked")))
+        kept = kept.withColumn("block", block_of(F.col("target_row"), row_block))
+        extent = format_extent(bounds, layout, last, keys).withColumnRenamed("last_target_row", "max_row")
+        merged = renumber_rows(kept, 1, long_sheet_blocks(extent, keys, row_block), keys)
+    columns = [F.get("picked", F.lit(i)).alias(name) for i, name in enumerate(out)]
+    return merged.select(*keys, "target_row", *columns)

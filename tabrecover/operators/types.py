@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabrecover.functions.text import is_blank, is_formula
-from tabrecover.grid import SHEET_KEYS
+from tabrecover.grid import SHEET_KEYS, by_name
 from tabrecover.operators.formatting import Layout
 
 # Spark type of a column whose values all have one cell type; any mixture is text.
@@ -60,11 +60,9 @@ def typed_rows(
 ) -> DataFrame:
     """Cast the text columns to their types; blank text in a typed column becomes null."""
     fixed = [*keys, "target_row"]
-    return formatted.select(
-        *fixed,
-        *[
-            F.col(f"`{c}`").try_cast(types[c]).alias(c) if types.get(c, "string") != "string" else F.col(f"`{c}`")
-            for c in formatted.columns
-            if c not in fixed
-        ],
-    )
+    names = [c for c in formatted.columns if c not in fixed]
+    cast = [
+        col.try_cast(types[c]).alias(c) if types.get(c, "string") != "string" else col
+        for c, col in zip(names, by_name(names))
+    ]
+    return formatted.select(*fixed, *cast)

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabrecover.grid import by_name
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 SALTS = 64
@@ -25,7 +27,7 @@ def fits_broadcast(
 
     Meant for tables which are cheap to read, such as a mapping or a target list.
     """
-    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    size = F.octet_length(F.to_json(F.struct(*by_name(df.columns))))
     found = (
         df.limit(max_rows + 1)
         .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size"))
@@ -50,7 +52,7 @@ def salted_join(
     others = [c for c in large.columns if c not in on]
     if not others:
         return large.join(lookup, on, how)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in others]), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(*by_name(others)), F.lit(salts)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return (
         large.withColumn("_salt", salt)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabrecover.grid import by_name
 from tabrecover.plans.checkpoints import settle
 
 _WITHIN = (1 << 33) - 1
@@ -22,7 +23,7 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> Dat
     """
     ranked = settle(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
     ranked = ranked.select(
-        *df.columns,
+        *by_name(df.columns),
         F.shiftright("_id", 33).alias("_part"),
         F.col("_id").bitwiseAND(F.lit(_WITHIN)).alias("_place"),
     )
@@ -30,5 +31,5 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> Dat
     starts = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = starts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return ranked.join(F.broadcast(starts), "_part").select(
-        *df.columns, (F.col("_start") + F.col("_place")).alias(name)
+        *by_name(df.columns), (F.col("_start") + F.col("_place")).alias(name)
     )

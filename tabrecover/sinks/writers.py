@@ -8,11 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabrecover.grid import SHEET_KEYS
+from tabrecover.grid import SHEET_KEYS, by_name
 from tabrecover.plans.blocks import ROW_BLOCK, block_of
 
 ENTRIES_PER_DOCUMENT = 10_000
 
+# Cell texts hold line breaks, quotes and outer spaces; all of them are kept.
+CSV_OPTIONS = {
+    "header": True,
+    "multiLine": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
 
 def land_grid(
     decoded: DataFrame,
@@ -82,12 +91,12 @@ def write_sheets(
     order = [*keys, "target_row"]
     block = block_of(F.col("target_row"), row_block)
     if folder_per_sheet:
-        placed = formatted.repartition(*[F.col(k) for k in keys], block).sortWithinPartitions(*order)
+        placed = formatted.repartition(*by_name(keys), block).sortWithinPartitions(*order)
         writer = placed.write.partitionBy(*keys)
     else:
         writer = formatted.write
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**CSV_OPTIONS)
     writer.format(fmt).save(path)
 
 
@@ -97,13 +106,13 @@ def read_sheets(
     """Read back what ``write_sheets`` wrote; the keys stay text."""
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
-    return reader.format(fmt).load(path).select(*schema.names)
+        reader = reader.options(**CSV_OPTIONS)
+    return reader.format(fmt).load(path).select(*by_name(schema.names))
 
 
 def write_report(report: DataFrame, path: str, fmt: str = "csv") -> None:
     """A report such as the unmapped headers, in its own folder."""
-    writer = report.write.option("header", True) if fmt == "csv" else report.write
+    writer = report.write.options(**CSV_OPTIONS) if fmt == "csv" else report.write
     writer.format(fmt).save(path)
 
 

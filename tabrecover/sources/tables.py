@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabrecover.grid import cell
+from tabrecover.grid import by_name, cell
 from tabrecover.plans.positions import with_position
 
 
@@ -44,7 +44,7 @@ def table_to_grid(
         sheet.cast("string").alias("sheet"),
     ]
     kinds = {f.name: _dtype(f.dataType) for f in df.schema.fields}
-    cells = F.array(*[cell(F.col(f"`{c}`"), kinds[c]) for c in columns])
+    cells = F.array(*[cell(col, kinds[c]) for c, col in zip(columns, by_name(columns))])
     body = df.select(*keys, (row + 1).cast("bigint").alias("row"), cells.alias("cells"))
     names = F.array(*[cell(F.lit(c)) for c in columns])
     heads = df.select(*keys).distinct()

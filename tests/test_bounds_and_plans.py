@@ -202,6 +202,28 @@ def test_footer_is_kept_unless_asked(spark):
     assert [r.target_row for r in gaps] == [3, 4, 7]
 
 
+@pytest.mark.parametrize("row_block", [2, 1 << 17])
+def test_template_cells_stay_around_the_rows(spark, row_block):
+    layout = Fm.Layout(("a.b", "", "c`d"), header_row=2)
+    template = grid_of(spark, {"9": {1: ["Title"], 2: ["a.b", None, "c`d"], 3: ["old", "note", "old"], 4: ["old", "=B1"], 6: [None, "end"]}})
+    grid = grid_of(spark, {"0": {1: ["h0", "h1"], 3: ["1", " "], 4: [None, "x"]}, "1": {1: ["h1"]}})
+    bounds = B.sheet_bounds(grid)
+    entries = [(0, "h0", "a.b", False), (1, "h1", "c`d", False)]
+    stored = spark.createDataFrame(entries, "ord int, scanned string, target string, is_ignored boolean")
+    headers = H.clean_headers(H.sheet_headers(grid, bounds))
+    applicable = Fm.applicable_mappings(H.input_headers(headers), M.normalize_mapping(stored), layout)
+    plans = Fm.sheet_plans(bounds, applicable, layout)
+    rows = Fm.format_sheets(grid, plans, layout, renumber=False, row_block=row_block)
+    merged = Fm.template_overlay(rows, template, bounds, layout, row_block=row_block)
+    assert merged.columns == ["file", "sheet", "target_row", "a.b", "column_2", "c`d"]
+    found = {(r[1], r[2]): tuple(r)[3:] for r in merged.collect()}
+    top = {1: ("Title", None, None), 2: ("a.b", None, "c`d")}
+    assert found == {
+        **{("0", n): v for n, v in {**top, 3: (None, "note", None), 4: ("1", "=B1", " "), 5: (None, None, "x"), 6: (None, "end", None)}.items()},
+        **{("1", n): v for n, v in {**top, 3: (None, "note", None), 4: (None, "end", None)}.items()},
+    }
+
+
 def test_layout_reads_its_columns_in_order(spark):
     table = spark.createDataFrame([("b", 3), ("", 2), ("A", 1), ("a", 4)], "target string, target_col int")
     layout = Fm.Layout.of(table, 5)
