@@ -31,8 +31,10 @@ def fold_decisions(log: DataFrame) -> DataFrame:
         F.count_if(F.col("action") == TOGGLE_IGNORE).alias("all_toggles"),
     )
     toggles = log.filter(F.col("action") == TOGGLE_IGNORE).select("scanned", "seq")
+    maps = last.filter("map_seq is not null").select("scanned", "map_seq")
+    counts = last.select("scanned", F.col("all_toggles").alias("n"))
     later = (
-        salted_join(toggles, last.filter("map_seq is not null").select("scanned", "map_seq"), ["scanned"])
+        salted_join(toggles, maps, ["scanned"], counts=counts)
         .filter("seq > map_seq")
         .groupBy("scanned")
         .agg(F.count(F.lit(1)).alias("later_toggles"))

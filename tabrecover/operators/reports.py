@@ -71,14 +71,14 @@ def sheet_rejects(
 def output_names(bounds: DataFrame, keys: Sequence[str] = SHEET_KEYS) -> DataFrame:
     """Per sheet the output name "<file stem>-<sheet>" and how many outputs share it.
 
-    The count is joined on the name with the file added as salt, since many
-    folders may hold a workbook of the same name.
+    Very many folders may hold a workbook of the same name, so the names are
+    joined as possibly hot keys.
     """
     file, sheet = keys
     named = bounds.select(*keys, output_name(F.col(file), F.col(sheet)).alias("output"))
     shared = named.groupBy("output").agg(F.count(F.lit(1)).alias("sheets"))
-    clashes = shared.filter("sheets > 1")
-    return salted_join(named, clashes, ["output"], "left").select(
+    counts = shared.withColumnRenamed("sheets", "n")
+    return salted_join(named, shared.filter("sheets > 1"), ["output"], "left", counts).select(
         *keys, "output", F.coalesce("sheets", F.lit(1).cast("bigint")).alias("sheets")
     )
 

@@ -174,7 +174,7 @@ def _similar(
         size = F.size(column)
         length = size - F.ceil(size * F.lit(least) - F.lit(1e-9)).cast("int") + 1
         ranked = (
-            salted_join(sets.select(column, F.explode(column).alias("token")), frequency, ["token"], "left")
+            lookup_join(sets.select(column, F.explode(column).alias("token")), frequency, ["token"], "left")
             .groupBy(column)
             .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("ranked"))
         )
@@ -183,7 +183,7 @@ def _similar(
 
     sets = named.filter(F.size("tokens") > 0).select("tokens").distinct()
     targets_by_token = prefix(wanted.select("t_tokens"), "t_tokens").join(wanted, "t_tokens")
-    pairs = salted_join(prefix(sets, "tokens"), targets_by_token, ["token"])
+    pairs = lookup_join(prefix(sets, "tokens"), targets_by_token, ["token"])
     shared = F.size(F.array_intersect("tokens", "t_tokens"))
     score = shared / (F.size("tokens") + F.size("t_tokens") - shared)
     best = (

@@ -3,7 +3,7 @@
 One header text may make up a third of all header cells, so a plain equi-join
 on the header would put a third of the data into one task. ``lookup_join``
 broadcasts the lookup side when its measured size allows it and otherwise
-spreads the large side over salted keys.
+cuts the hot keys of the large side into parts.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from tabrecover.grid import by_name
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
-SALTS = 64
+HOT_ROWS = 1_000_000
 
 
 def fits_broadcast(
@@ -36,29 +36,43 @@ def fits_broadcast(
     return found["n"] <= max_rows and found["size"] <= max_bytes
 
 
+def key_counts(large: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows per key: the key columns and n."""
+    return large.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+
+
 def salted_join(
     large: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    salts: int = SALTS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi-join with every key of the large side spread over ``salts`` groups.
+    """Equi-join with the hot keys of the large side cut into parts.
 
-    The salt is a hash of the other columns, so a task run again computes the
-    same one. ``how`` is inner, left, left_semi or left_anti.
+    A key with more than ``HOT_ROWS`` rows gets one part per ``HOT_ROWS`` of
+    them, and only its lookup rows are copied, once per part. All other keys
+    are joined as they are. The list of hot keys is broadcast: it has at most
+    one row per ``HOT_ROWS`` rows of the large side. Parts go by a hash of the
+    other columns, so a task run again computes the same ones. ``counts`` (key,
+    n) saves counting where the caller has done so. ``how`` is inner, left,
+    left_semi or left_anti.
     """
     on = list(on)
     others = [c for c in large.columns if c not in on]
     if not others:
         return large.join(lookup, on, how)
-    salt = F.pmod(F.xxhash64(*by_name(others)), F.lit(salts)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return (
-        large.withColumn("_salt", salt)
-        .join(lookup.withColumn("_salt", copies), [*on, "_salt"], how)
-        .drop("_salt")
+    counted = key_counts(large, on) if counts is None else counts
+    hot = counted.filter(F.col("n") > HOT_ROWS).select(
+        *on, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("_parts")
     )
+    hot = F.broadcast(hot)
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    part = F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64(*by_name(others)), parts))
+    copies = F.explode(F.sequence(F.lit(0), parts - 1))
+    left = large.join(hot, on, "left").withColumn("_part", part.cast("int")).drop("_parts")
+    right = lookup.join(hot, on, "left").withColumn("_part", copies).drop("_parts")
+    return left.join(right, [*on, "_part"], how).drop("_part")
 
 
 def lookup_join(

@@ -49,7 +49,8 @@ def test_fold(spark, seed):
     assert states_of(D.fold_decisions(spark.createDataFrame(log, LOG_SCHEMA))) == replay(log)
 
 
-def test_fold_of_one_hot_header(spark):
+def test_fold_of_one_hot_header(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_ROWS", 100)
     log = [("hot", i, D.MAP if i == 500 else D.TOGGLE_IGNORE, "t" if i == 500 else None) for i in range(2000)]
     log += [("cold", 1, D.MAP, "x")]
     assert states_of(D.fold_decisions(spark.createDataFrame(log, LOG_SCHEMA))) == replay(log)
@@ -168,8 +169,10 @@ def test_salted_join_is_the_plain_join(spark, how, monkeypatch):
     large = spark.createDataFrame([(i, f"k{i % 7 if i % 3 else 0}") for i in range(500)], "i int, k string")
     lookup = spark.createDataFrame([(f"k{i}", i) for i in range(0, 9, 2)], "k string, v int")
     want = sorted(map(str, large.join(lookup, ["k"], how).collect()))
-    salted = joins.salted_join(large, lookup, ["k"], how)
-    assert sorted(map(str, salted.collect())) == want
+    assert sorted(map(str, joins.salted_join(large, lookup, ["k"], how).collect())) == want
+    monkeypatch.setattr(joins, "HOT_ROWS", 60)
+    assert joins.key_counts(large, ["k"]).filter("n > 60").count() == 1
+    assert sorted(map(str, joins.salted_join(large, lookup, ["k"], how).collect())) == want
     monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
     assert sorted(map(str, joins.lookup_join(large, lookup, ["k"], how).collect())) == want
 
