@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabrecover.functions.text import leading_number, trim_space
 from tabrecover.functions.tokens import grams, words
 from tabrecover.operators.mapping import decided_headers
+from tabrecover.plans.checkpoints import stored
 from tabrecover.plans.joins import lookup_join, salted_join
 from tabrecover.plans.positions import with_position
 
@@ -142,6 +143,7 @@ def suggest_similar(
     Confidence is the larger of two overlaps (shared over all): of the words,
     and of the two-character runs. Ties go to the first target in byte order.
     """
+    headers = stored(headers.select(F.col("header").alias("scanned")).distinct())
     found = _similar(headers, targets, words, min_confidence).unionByName(
         _similar(headers, targets, grams, min_confidence)
     )
@@ -152,21 +154,24 @@ def suggest_similar(
 def _similar(
     headers: DataFrame, targets: DataFrame, tokens: Callable[[Column], Column], least: float
 ) -> DataFrame:
-    """Exact set-similarity join with prefix filtering: scanned, target, minus_score.
+    """Exact set-similarity join of distinct headers with prefix filtering: scanned, target,
+    minus_score.
 
     Two sets with an overlap of at least ``least`` share a token among the first
     ``n - ceil(least * n) + 1`` of each, whatever the order of tokens. Tokens are
     ordered by how few targets have them, so a frequent word joins only where a
     name has nothing rarer. Names with the same tokens are one set, scored once.
+    The tables made from the targets are stored, since they are measured and used.
     """
-    named = headers.select(F.col("header").alias("scanned")).distinct().withColumn("tokens", tokens(F.col("scanned")))
+    named = headers.withColumn("tokens", tokens(F.col("scanned")))
     wanted = (
         targets.withColumn("t_tokens", tokens(F.col("target")))
         .filter(F.size("t_tokens") > 0)
         .groupBy("t_tokens")
         .agg(F.min("target").alias("target"))
     )
-    frequency = (
+    wanted = stored(wanted)
+    frequency = stored(
         wanted.select(F.explode("t_tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -182,7 +187,7 @@ def _similar(
         return ranked.select(column, F.explode(F.transform(rare, lambda r: r["token"])).alias("token"))
 
     sets = named.filter(F.size("tokens") > 0).select("tokens").distinct()
-    targets_by_token = prefix(wanted.select("t_tokens"), "t_tokens").join(wanted, "t_tokens")
+    targets_by_token = stored(prefix(wanted.select("t_tokens"), "t_tokens").join(wanted, "t_tokens"))
     pairs = lookup_join(prefix(sets, "tokens"), targets_by_token, ["token"])
     shared = F.size(F.array_intersect("tokens", "t_tokens"))
     score = shared / (F.size("tokens") + F.size("t_tokens") - shared)
