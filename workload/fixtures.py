@@ -155,12 +155,11 @@ def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blank_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheets with nothing but whitespace, one per hundred orders."""
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 100 = 0")
-    return orders.select(
+    """Sheets with nothing but whitespace, one per customer."""
+    return table(spark, sf_dir, "customer").select(
         F.lit("blank").alias("file"),
-        F.col("o_orderkey").alias("sheet_idx"),
-        F.col("o_orderkey").cast("string").alias("sheet"),
+        F.col("c_custkey").alias("sheet_idx"),
+        F.col("c_custkey").cast("string").alias("sheet"),
         *_row(1, text("  "), text("\t")),
     )
 
@@ -216,11 +215,14 @@ def order_mapping(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ORDER_MAPPING, "ord int, scanned string, target string, is_ignored boolean")
 
 
-def event_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A long stored mapping: an entry per event, many per header, some ignored or empty."""
+def event_mapping(spark: SparkSession, sf_dir: str, step: int = 1) -> DataFrame:
+    """A long stored mapping: an entry per event, many per header, some ignored or empty.
+
+    ``step`` spreads the header numbers, so that they meet a part of other headers.
+    """
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("ord"),
-        F.concat(F.lit("h"), "user_id").alias("scanned"),
+        F.concat(F.lit("h"), F.col("user_id") * step).alias("scanned"),
         F.when(F.col("event_type") == "signup", "").otherwise(F.concat(F.lit("T"), F.col("event_id") % 8)).alias("target"),
         F.when((F.col("event_type") == "error") & (F.col("event_id") % 40 == 3), True)
         .when(F.col("event_id") % 3 != 0, False)
@@ -245,10 +247,11 @@ def mapping_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decision_log(spark: SparkSession, sf_dir: str, step: int = 1) -> DataFrame:
+    """A log with an entry per event; ``step`` as for ``event_mapping``."""
     maps = F.col("event_type").isin("click", "view", "purchase")
     return table(spark, sf_dir, "events").select(
-        F.concat(F.lit("h"), "user_id").alias("scanned"),
+        F.concat(F.lit("h"), F.col("user_id") * step).alias("scanned"),
         F.col("event_id").alias("seq"),
         F.when(maps, "map").otherwise("toggle_ignore").alias("action"),
         F.when(maps, F.concat(F.lit("T"), F.col("event_id") % 8)).alias("target"),
@@ -261,11 +264,11 @@ def part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries for all rings and everything hot, several per header."""
-    parts = table(spark, sf_dir, "part").filter("p_name like '%ring' or p_name like 'hot %'")
-    return parts.select(
+    """An entry per part, under its name for rings and hot things, under an old one for others."""
+    current = F.expr("p_name like '%ring' or p_name like 'hot %'")
+    return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("ord"),
-        F.col("p_name").alias("scanned"),
+        F.when(current, F.col("p_name")).otherwise(F.concat(F.lit("old "), "p_name")).alias("scanned"),
         F.col("p_type").alias("target"),
         (F.col("p_size") == 7).alias("is_ignored"),
     )
@@ -329,7 +332,7 @@ def template_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = F.when(F.col("r_regionkey") % 2 == 0, cell(F.col("r_name"))).otherwise(text("=B1"))
     old = text("old")
     none = F.lit(None).cast(CELL_TYPE)
-    first = region.filter("r_regionkey = 0")
+    first = region.agg(F.min("r_regionkey"))
     return _union([
         first.select(*keys, *_row(1, text("Standard layout"))),
         first.select(

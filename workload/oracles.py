@@ -62,8 +62,8 @@ SELECT 'log' AS file, si AS sheet_idx, sh AS sheet, r AS row, c AS col, v AS val
   UNION ALL SELECT si, sh, 2, 4, concat('Value', chr(10), '(unit)'), 's' FROM h) x"""
 
 BLANK_CELLS = """
-SELECT 'blank' AS file, o_orderkey AS sheet_idx, CAST(o_orderkey AS VARCHAR) AS sheet, 1 AS row, c AS col, v AS value, 's' AS dtype, 'General' AS nf
-FROM orders, (VALUES (1, '  '), (2, chr(9))) w(c, v) WHERE o_orderkey % 100 = 0"""
+SELECT 'blank' AS file, c_custkey AS sheet_idx, CAST(c_custkey AS VARCHAR) AS sheet, 1 AS row, c AS col, v AS value, 's' AS dtype, 'General' AS nf
+FROM customer, (VALUES (1, '  '), (2, chr(9))) w(c, v)"""
 
 ALL_CELLS = f"{CONVERSATION_CELLS} UNION ALL {ORDER_CELLS} UNION ALL {EVENT_CELLS} UNION ALL {BLANK_CELLS}"
 
@@ -109,26 +109,29 @@ def normal_ctes(entries: str, name: str = "normal") -> str:
   FROM {name}_entries GROUP BY scanned) x WHERE ign OR target IS NOT NULL)"""
 
 
-EVENT_MAPPING = """SELECT event_id AS ord, concat('h', user_id) AS scanned,
+def event_mapping(step: int = 1) -> str:
+    return f"""SELECT event_id AS ord, concat('h', user_id * {step}) AS scanned,
   CASE WHEN event_type = 'signup' THEN '' ELSE concat('T', event_id % 8) END AS target,
   CASE WHEN event_type = 'error' AND event_id % 40 = 3 THEN true WHEN event_id % 3 <> 0 THEN false END AS is_ignored FROM events"""
 
-PART_MAPPING = """SELECT p_partkey AS ord, p_name AS scanned, p_type AS target, p_size = 7 AS is_ignored FROM part
-  WHERE p_name LIKE '%ring' OR p_name LIKE 'hot %'"""
+
+PART_MAPPING = """SELECT p_partkey AS ord, CASE WHEN p_name LIKE '%ring' OR p_name LIKE 'hot %' THEN p_name ELSE concat('old ', p_name) END AS scanned,
+  p_type AS target, p_size = 7 AS is_ignored FROM part"""
 
 ORDER_MAPPING = """SELECT * FROM (VALUES (0,'Part','part_id',false),(1,'part no','part_id',false),(2,'Item','part_id',false),(3,'Supplier','supplier_id',false),
  (4,'Vendor','vendor',false),(5,'Vendor','supplier_id',false),(6,'Qty','qty',false),(7,'Quantity','qty',false),(8,'QTY','',true),(9,'Flag','flag',false),(10,'Return','flag',false),(11,'Return','',true),(12,'Old','',false)) AS m(ord, scanned, target, is_ignored)"""
 
 TARGETS = "SELECT DISTINCT p_type AS target FROM part UNION SELECT r_name FROM region"
 
-SESSION = f"""{normal_ctes(EVENT_MAPPING + ' WHERE user_id % 3 = 0')},
-exact AS (SELECT DISTINCT concat('h', user_id) AS scanned FROM events WHERE user_id % 5 = 0 AND concat('h', user_id) NOT IN (SELECT scanned FROM normal)),
+SESSION = f"""{normal_ctes(event_mapping(3))},
+exact AS (SELECT DISTINCT concat('h', user_id) AS scanned FROM events WHERE concat('h', user_id) IN (SELECT concat('h', user_id * 5) FROM events) AND concat('h', user_id) NOT IN (SELECT scanned FROM normal)),
 ranked AS (SELECT scanned, target, CASE WHEN is_ignored THEN 'ignored' ELSE 'mapped' END AS state, 0 AS rank FROM normal
   UNION ALL SELECT scanned, scanned, 'mapped', 1 FROM exact
   UNION ALL SELECT concat('h', c_custkey), concat('T', c_custkey % 8), 'suggested', 2 FROM customer),
 session AS (SELECT scanned, target, state FROM ranked QUALIFY row_number() OVER (PARTITION BY scanned ORDER BY rank) = 1)"""
 
-DECISIONS = """SELECT concat('h', user_id) AS scanned, event_id AS seq,
+def decisions(step: int = 1) -> str:
+    return f"""SELECT concat('h', user_id * {step}) AS scanned, event_id AS seq,
   CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'map' ELSE 'toggle_ignore' END AS action,
   CASE WHEN event_type IN ('click', 'view', 'purchase') THEN concat('T', event_id % 8) END AS target FROM events"""
 
@@ -303,14 +306,14 @@ SELECT row, col, letter, concat(letter, row) AS ref FROM l"""
     o["suppress_formulas"] = f"""SELECT CAST(col AS INTEGER) AS col, count(*) FILTER (WHERE starts_with(value, '=')) AS formulas,
   count(*) FILTER (WHERE NOT starts_with(value, '=')) AS kept FROM ({ORDER_CELLS}) c GROUP BY col"""
 
-    o["normalize_mapping"] = f"WITH {normal_ctes(EVENT_MAPPING)} SELECT * FROM normal"
+    o["normalize_mapping"] = f"WITH {normal_ctes(event_mapping())} SELECT * FROM normal"
     o["auto_map_exact"] = f"""WITH {normal_ctes(PART_MAPPING)}, s AS (SELECT p_name AS h FROM part UNION SELECT p_type FROM part)
 SELECT h AS scanned, h AS target FROM s WHERE h NOT IN (SELECT scanned FROM normal) AND h IN (SELECT p_name FROM part UNION {TARGETS})"""
     o["merge_mapping"] = f"WITH {SESSION} SELECT * FROM session"
     o["mapping_coverage"] = f"""WITH {SESSION}, n AS (SELECT count(*) FILTER (WHERE state = 'mapped') AS mapped, count(*) FILTER (WHERE state = 'suggested') AS suggested,
   count(*) FILTER (WHERE state = 'ignored') AS ignored, (SELECT count(*) FROM customer) AS total FROM session)
 SELECT *, total - mapped - ignored - suggested AS unmapped FROM n"""
-    o["mapping_fan_in"] = f"""WITH {normal_ctes(EVENT_MAPPING)}, t AS (SELECT DISTINCT concat('T', event_id % 10) AS target FROM events)
+    o["mapping_fan_in"] = f"""WITH {normal_ctes(event_mapping())}, t AS (SELECT DISTINCT concat('T', event_id % 10) AS target FROM events)
 SELECT t.target, count(scanned) AS headers, min(scanned) AS first_header, max(scanned) AS last_header FROM t LEFT JOIN normal USING (target) GROUP BY t.target"""
     still_open = f"SELECT p_partkey AS pos, p_name AS header FROM part WHERE p_name NOT IN (SELECT scanned FROM ({PART_MAPPING}) m)"
     o["unmapped_headers"] = still_open
@@ -320,10 +323,10 @@ SELECT t.target, count(scanned) AS headers, min(scanned) AS first_header, max(sc
 SELECT 1, min(c_custkey), t FROM (SELECT c_custkey, {trim("CASE WHEN c_custkey % 4 = 0 THEN 'SMALL' ELSE concat(' ', c_mktsegment, chr(9)) END")} AS t FROM customer) c
 WHERE t <> '' AND t NOT IN (SELECT p_type FROM part) GROUP BY t"""
 
-    o["decision_fold"] = f"WITH {fold_ctes(DECISIONS)} SELECT scanned, target, state FROM folded"
+    o["decision_fold"] = f"WITH {fold_ctes(decisions())} SELECT scanned, target, state FROM folded"
     earlier = f"""SELECT scanned, -1 AS seq, CASE WHEN is_ignored THEN 'toggle_ignore' ELSE 'map' END AS action, target FROM normal
-  UNION ALL SELECT * FROM ({DECISIONS}) d WHERE seq % 50 = 7"""
-    o["saved_mapping"] = f"""WITH {normal_ctes(EVENT_MAPPING)}, {fold_ctes(earlier)}
+  UNION ALL {decisions(2)}"""
+    o["saved_mapping"] = f"""WITH {normal_ctes(event_mapping())}, {fold_ctes(earlier)}
 SELECT scanned, CASE WHEN state = 'mapped' THEN target ELSE '' END AS target, state = 'ignored' AS is_ignored FROM folded WHERE state IN ('mapped', 'ignored')"""
     o["review_worklist"] = f"SELECT pos, header, pos < 100 AS wrapped FROM ({still_open}) u WHERE pos <> 100"
 
@@ -335,7 +338,7 @@ SELECT CAST(batch AS BIGINT) AS batch, count(*) AS headers, concat('{head}', chr
     o["parse_suggestions"] = f"WITH {PARSED} SELECT * FROM parsed"
     o["accepted_suggestions"] = f"WITH {PARSED} SELECT * FROM accepted"
     o["apply_suggestions"] = f"""WITH {PARSED}, {normal_ctes(PART_MAPPING)}
-SELECT scanned, target, confidence, target IN (SELECT target FROM ({TARGETS}) t WHERE target <> 'PROMO') AS in_targets
+SELECT scanned, target, confidence, target IN (SELECT replace(p_type, 'PROMO', 'OTHER') FROM part) AS in_targets
 FROM accepted WHERE scanned NOT IN (SELECT scanned FROM normal) QUALIFY row_number() OVER (PARTITION BY scanned ORDER BY reply DESC, line_no DESC) = 1"""
     o["suggest_similar"] = f"WITH {SIMILAR}"
     o["suggestion_audit"] = f"""WITH {PARSED}, sent AS ({batches('SELECT p_name AS header FROM part UNION SELECT p_type FROM part')}),

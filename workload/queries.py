@@ -218,15 +218,15 @@ def auto_map_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions for every third user, exact matches for every fifth, suggestions by customer."""
+    """Decisions for headers counted in threes, targets named in fives, suggestions by customer."""
     events = X.table(spark, sf_dir, "events")
-    stored = M.normalize_mapping(X.event_mapping(spark, sf_dir).filter(F.substring("scanned", 2, 20).cast("bigint") % 3 == 0))
+    normalized = M.normalize_mapping(X.event_mapping(spark, sf_dir, step=3))
     scanned = events.select(F.concat(F.lit("h"), "user_id").alias("header"))
-    targets = events.filter("user_id % 5 = 0").select(F.concat(F.lit("h"), "user_id").alias("target"))
+    targets = events.select(F.concat(F.lit("h"), F.col("user_id") * 5).alias("target"))
     suggested = X.table(spark, sf_dir, "customer").select(
         F.concat(F.lit("h"), "c_custkey").alias("scanned"), F.concat(F.lit("T"), F.col("c_custkey") % 8).alias("target")
     )
-    return M.merge_mapping(stored, M.auto_map_exact(scanned, stored, targets), suggested)
+    return M.merge_mapping(normalized, M.auto_map_exact(scanned, normalized, targets), suggested)
 
 
 @query
@@ -279,7 +279,7 @@ def decision_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def saved_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions after an earlier stored mapping."""
     before = D.mapping_as_log(normalize_mapping(spark, sf_dir))
-    log = X.decision_log(spark, sf_dir).filter("seq % 50 = 7")
+    log = X.decision_log(spark, sf_dir, step=2)
     return D.saved_mapping(D.fold_decisions(before.unionByName(log)))
 
 
@@ -313,7 +313,8 @@ def accepted_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def apply_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = X.targets(spark, sf_dir).filter("target <> 'PROMO'")
+    kinds = X.table(spark, sf_dir, "part").select(F.col("p_type").alias("target"))
+    targets = kinds.replace("PROMO", "OTHER", "target")
     return S.apply_suggestions(accepted_suggestions(spark, sf_dir), _part_decisions(spark, sf_dir), targets)
 
 
