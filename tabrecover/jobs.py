@@ -60,7 +60,7 @@ def scan(decoded: DataFrame, path: str) -> None:
     """Write headers, their provenance and the statistics of a scan."""
     grid, rejects = X.grid_of(decoded), X.rejects_of(decoded)
     bounds = C.stored(B.sheet_bounds(grid))
-    headers = H.clean_headers(H.sheet_headers(grid, bounds))
+    headers = C.stored(H.clean_headers(H.sheet_headers(grid, bounds)))
     provenance = H.header_provenance(headers)
     provenance.write.parquet(f"{path}/provenance")
     spark = decoded.sparkSession

@@ -22,7 +22,8 @@ def sheet_headers(grid: DataFrame, bounds: DataFrame, keys: Sequence[str] = SHEE
 
     Gives keys, sheet_idx, row, col, text, dtype. Nearly all header rows are among
     the first rows of their sheet, so only those rows are shuffled to be joined.
-    The few sheets with a deeper header are measured and joined by themselves.
+    The few sheets with a deeper header are measured and joined by themselves, so
+    the bounds are read twice; store them first where they are costly.
     The key holds the row number, so a long sheet spreads over all tasks.
     """
     at = [*keys, "row"]

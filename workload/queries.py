@@ -144,7 +144,7 @@ def clean_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def header_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    headers = _headers(spark, sf_dir)[1]
+    headers = stored(_headers(spark, sf_dir)[1])
     marked = H.mark_first_seen(headers, H.header_provenance(headers))
     return marked.select("file", "sheet", "col", "header", "class", "is_new")
 
