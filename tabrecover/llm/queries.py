@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabrecover.llm import bpe, sharding, token_counts, toxicity, url_filters
+from tabrecover.llm import bpe, minhash_forest, sharding, token_counts, toxicity, url_filters
 from tabrecover.llm.common import table
 
 #: File of the vocabulary; a parameter of the operators.
@@ -28,6 +28,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
@@ -54,6 +58,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_minhash_forest": op3_minhash_forest,
     "op5_url_filters": op5_url_filters,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
