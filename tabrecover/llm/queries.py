@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabrecover.llm import bpe, minhash_forest, sharding, token_counts, toxicity, url_filters
+from tabrecover.llm import bpe, minhash_forest, sharding, substring_dedup, token_counts, toxicity, url_filters
 from tabrecover.llm.common import table
 
 #: File of the vocabulary; a parameter of the operators.
@@ -38,6 +38,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, rules, url_filters.html_links(pages)).drop("alias")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), as_text=False)
+    return found.withColumnRenamed("kept", "kept_sha256")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -60,6 +65,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_minhash_forest": op3_minhash_forest,
     "op5_url_filters": op5_url_filters,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
