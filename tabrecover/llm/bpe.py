@@ -47,6 +47,8 @@ def _kind_of_cut(vocab: Vocabulary, text: str, at: int) -> int | None:
     for special in vocab.specials:
         if special in text[max(0, at - len(special) + 1) : at + len(special) - 1]:
             return None
+        if text.endswith(special, 0, at) or text.startswith(special, at):
+            return SAFE
     left, right = text[max(0, at - _CONTEXT) : at], text[at : at + _CONTEXT]
     split = vocab.tokenizer.pre_tokenizer.pre_tokenize_str
     whole, a, b = ([p for p, _ in split(t)] for t in (left + right, left, right))
@@ -100,8 +102,9 @@ class Side:
         ids, words = found.ids, found.word_ids
         if not ids:
             return cls([], 0, 0)
-        head = next((i for i, w in enumerate(words) if w != words[0]), len(ids))
-        tail = next((i for i, w in enumerate(reversed(words)) if w != words[-1]), len(ids))
+        apart = [(w, i) if t in vocab.special_ids else w for i, (t, w) in enumerate(zip(ids, words, strict=True))]
+        head = next((i for i, w in enumerate(apart) if w != apart[0]), len(ids))
+        tail = next((i for i, w in enumerate(reversed(apart)) if w != apart[-1]), len(ids))
         return cls(ids, head, tail)
 
 
@@ -144,23 +147,23 @@ def grown_together(vocab: Vocabulary, sides: list[Side], levels: list[int], kind
     return sides[0].ids
 
 
-def _ids_type(as_digest: bool) -> str:
-    return "n_tokens long, ids_sha256 string, decoded_sha256 string" if as_digest else "ids array<int>"
+_IDS, _DIGEST = "ids array<int>", "n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: What ``encode`` can return: the ids, digests of the ids and of the text they decode to, or both.
+OUTPUTS = {"ids": _IDS, "digest": _DIGEST, "both": f"{_IDS}, {_DIGEST}"}
 
 
-def _outputs(vocab: Vocabulary, ids: list[np.ndarray], as_digest: bool) -> list[pa.Array]:
-    if not as_digest:
-        return [pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))]
-    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    return [
-        pa.array([len(i) for i in ids], pa.int64()),
-        pa.array([digest(vocab.joined(i)) for i in ids], pa.string()),
-        pa.array([digest(vocab.decode(i)) for i in ids], pa.string()),
-    ]
-
-
-def _names(as_digest: bool) -> list[str]:
-    return ["n_tokens", "ids_sha256", "decoded_sha256"] if as_digest else ["ids"]
+def _outputs(vocab: Vocabulary, ids: list[np.ndarray], outputs: str) -> list[pa.Array]:
+    made = []
+    if outputs != "digest":
+        made.append(pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())))
+    if outputs != "ids":
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        made += [
+            pa.array([len(i) for i in ids], pa.int64()),
+            pa.array([digest(vocab.joined(i)) for i in ids], pa.string()),
+            pa.array([digest(vocab.decode(i)) for i in ids], pa.string()),
+        ]
+    return made
 
 
 def encode(
@@ -168,23 +171,23 @@ def encode(
     vocab_path: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    as_digest: bool = False,
+    outputs: str = "ids",
     long_bytes: int = LONG_BYTES,
     leaf_chars: int = LEAF_CHARS,
 ) -> DataFrame:
     """``doc_id`` and ``ids`` of every row, special strings inside texts as the library takes them.
 
-    With ``as_digest`` the ids are not carried further: the task that has them
-    returns their number, the digest of the ids and that of the decoded text.
+    ``outputs`` is one of ``OUTPUTS``: with ``digest`` the ids are not carried further,
+    the task that has them returns their number and both digests.
     """
-    names = ["doc_id", *_names(as_digest)]
-    schema = f"doc_id long, {_ids_type(as_digest)}"
+    schema = f"doc_id long, {OUTPUTS[outputs]}"
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
         for batch in batches:
             ids = vocab.ids([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_outputs(vocab, ids, as_digest)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_outputs(vocab, ids, outputs)], names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
@@ -218,7 +221,7 @@ def encode(
         found = rows.sort_by("place").to_pylist()
         sides = [Side(np.frombuffer(r["ids"], np.uint32).tolist(), r["head"], r["tail"]) for r in found]
         ids = grown_together(vocab, sides, [r["level"] for r in found], [r["kind"] for r in found])
-        columns = [pa.array([found[0]["doc_id"]], pa.int64()), *_outputs(vocab, [np.array(ids, np.uint32)], as_digest)]
+        columns = [pa.array([found[0]["doc_id"]], pa.int64()), *_outputs(vocab, [np.array(ids, np.uint32)], outputs)]
         return pa.table(dict(zip(names, columns, strict=True)))
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

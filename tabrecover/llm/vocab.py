@@ -50,6 +50,7 @@ class Vocabulary:
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             self.specials = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.special_ids = {self.tokenizer.token_to_id(s) for s in self.specials}
         if any(" " in s for s in self.specials):
             raise ValueError("a special string with a space in it cannot be cut at spaces")
         size = self.tokenizer.get_vocab_size()
