@@ -43,7 +43,7 @@ EVIDENCE, WEIGHT = 18.0, 1.0
 
 # Look-alikes of Latin letters in Cyrillic and Greek, and signs written for letters.
 LOOK_ALIKES = dict(zip("аеорсухіјѕԁһκοαρντιυ", "aeopcyxijsdhkoapvtiu", strict=True))
-SIGNS = dict(zip("013457@$!|", "oieastasii", strict=True))
+SIGNS = dict(zip("013457@$", "oieastas", strict=True))
 _FOLD = str.maketrans(LOOK_ALIKES | SIGNS)
 _GAPS = re.compile(r"[\W_]+")
 
@@ -200,24 +200,23 @@ def learn_phrases(sample: DataFrame, lexicon: Lexicon) -> list[str]:
     return [r["phrase"] for r in found.orderBy(F.desc("clean"), "phrase").limit(PHRASES).collect()]
 
 
-def measured(docs: DataFrame, lexicon: Lexicon, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns with ``total`` weight and number of ``words`` of every text."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+def measured(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``toxic``, the ``total`` weight and the number of ``words`` of every text of a sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            totals, words = [], []
-            for text in batch.column(len(keep)).to_pylist():
-                flat = folded(text)
-                totals.append(sum(hits(automaton, flat).values()))
-                words.append(len(flat.split()))
+            flat = [folded(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(totals, pa.float64()), pa.array(words, pa.int64())],
-                names=[*keep, "total", "words"],
+                [
+                    batch.column("toxic"),
+                    pa.array([sum(hits(automaton, t).values()) for t in flat], pa.float64()),
+                    pa.array([len(t.split()) for t in flat], pa.int64()),
+                ],
+                names=["toxic", "total", "words"],
             )
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{fields}, total double, words long")
+    return sample.select("toxic", "text").mapInArrow(run, "toxic int, total double, words long")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Lexicon:
@@ -236,20 +235,45 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not lexicon.weights:
         return lexicon
     lexicon.phrases = learn_phrases(rows.filter(half), lexicon)
-    points = measured(rows.filter(~half), lexicon, ["toxic"]).select("toxic", "total", "words").collect()
+    points = measured(rows.filter(~half), lexicon).collect()
     y = np.array([r["toxic"] for r in points], float)
     if 0 < y.sum() < len(y):
         lexicon.curve = _curve(np.array([features(r["total"], r["words"]) for r in points]), y)
     return lexicon
 
 
+def probability(lexicon: Lexicon, automaton, text: str | None) -> float:
+    """Score of one text, from 0 to 1."""
+    flat = folded(text)
+    total = sum(hits(automaton, flat).values())
+    bias, *slopes = lexicon.curve
+    z = bias + sum(s * x for s, x in zip(slopes, features(total, len(flat.split())), strict=True))
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+
+
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score, predicted, total, words`` of every row."""
-    rows = measured(docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs, lexicon, ["doc_id"], text_col)
-    bias, by_total, by_share = lexicon.curve
-    share = F.log1p(100 * F.col("total") / F.greatest(F.col("words"), F.lit(1)))
-    z = bias + by_total * F.log1p("total") + by_share * share
-    rows = rows.withColumn("score", 1 / (1 + F.exp(-z)))
-    return rows.select(
-        "doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "total", "words"
-    )
+    """``doc_id, score, predicted`` of every row; predicted is 1 from a score of a half on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for batch in batches:
+            scores = [probability(lexicon, automaton, t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())],
+                names=["doc_id", "score", "predicted"],
+            )
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
+    """The rows whose score is below a half, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for batch in batches:
+            scores = [probability(lexicon, automaton, t) for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array([s < 0.5 for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
