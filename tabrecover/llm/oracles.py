@@ -1,5 +1,134 @@
-"""SQL twins of the numbered queries, where SQL can express them."""
+"""SQL twins of the numbered queries, where SQL can express them.
+
+Token ids, learned weights, edit distances and the walk round a ring are beyond
+it; those queries are tested against libraries and brute force.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from tabrecover.llm.chat import CONTROL
+from tabrecover.llm.queries import CONTROL_CONVERSATION, TOP_K, URL_RULES
+from tabrecover.llm.url_filters import LOWER, UPPER
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+NEAR = f"""
+WITH RECURSIVE split AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE
+        WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS s
+    FROM split
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION
+    SELECT a, y FROM reach JOIN links ON b = x
+), named AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN named USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _escaped_length(column: str) -> str:
+    def found(s: str) -> str:
+        return f"(length({column}) - length(replace({column}, {_literal(s)}, ''))) // {len(s)}"
+
+    return " + ".join([f"length({column})", *(found(s) for s in ("\\", *CONTROL))])
+
+
+CHAT = f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+        SELECT conv_id, turn, role, text FROM conversations
+        UNION ALL
+        SELECT * FROM (VALUES {", ".join(f"({c}, {t}, {_literal(r)}, {_literal(x)})" for c, t, r, x in CONTROL_CONVERSATION)})
+    )
+), sized AS (
+    SELECT *, 13 + {_escaped_length("role")} + {_escaped_length("text")} AS size,
+        CASE WHEN role = 'assistant' THEN text ELSE '' END AS learned
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    sum(length(learned))::BIGINT AS loss_chars,
+    sha256(string_agg(learned, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+    sum(size)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+# The tables hold no canonical or redirect links, so the aliases of a url are its spellings.
+URLS = rf"""
+WITH rules(action, rule_host, rule_path) AS (VALUES {", ".join(f"({_literal(a)}, {_literal(h)}, {_literal(p)})" for a, h, p in URL_RULES)}),
+places AS (
+    SELECT row_number() OVER () AS id, page_id, rest,
+        translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
+), aliases AS (
+    SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+        lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_\w+|ref|gclid|fbclid)(=|$)'))) AS kept,
+        regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', '')
+        || regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/+$', '') AS place
+    FROM places
+), fits AS (
+    SELECT id, arg_max(rule_host || rule_path, (length(rule_host || rule_path), action = 'allow')) AS rule,
+        arg_max(action, (length(rule_host || rule_path), action = 'allow')) AS action
+    FROM places JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    GROUP BY id
+)
+SELECT page_id, host, path, rule, coalesce(action,
+    CASE WHEN host <> '' THEN min(action) OVER (PARTITION BY place || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END) END,
+    'allow') AS verdict
+FROM aliases LEFT JOIN fits USING (id)
+"""
+
+REPEATS = f"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+windows AS (
+    SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS key
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM split WHERE len(w) >= 50)
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i
+    FROM windows JOIN (SELECT key, min(doc_id) AS least FROM windows GROUP BY key) USING (key) WHERE least < doc_id
+), words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM split),
+kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n
+    FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+SEARCH = f"""
+WITH split AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents WHERE doc_id IS NOT NULL
+), terms AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM split) GROUP BY ALL),
+totals AS (SELECT count(*) AS n, avg(len(w)) AS average FROM split),
+weights AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM terms, totals GROUP BY term, n),
+scores AS (
+    SELECT q.doc_id AS query_id, d.doc_id, sum(q.tf * idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len(w) / average))) AS score
+    FROM terms q JOIN terms d USING (term) JOIN weights USING (term) JOIN split ON split.doc_id = d.doc_id, totals
+    WHERE q.doc_id % 50 = 0 GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS rank FROM scores
+)
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= {TOP_K}
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_minhash_forest": NEAR,
+    "op4_chat_tree": CHAT,
+    "op5_url_filters": URLS,
+    "op6_substring_dedup": REPEATS,
+    "op10_topk_search": SEARCH,
+}

@@ -8,12 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabrecover.llm import bpe, minhash_forest, sharding, substring_dedup, token_counts, toxicity, url_filters
-from tabrecover.llm.common import table
+import corpus_pipeline
+from tabrecover.llm import (
+    bm25,
+    bpe,
+    chat,
+    decontaminate,
+    minhash_forest,
+    sharding,
+    substring_dedup,
+    token_counts,
+    toxicity,
+    url_filters,
+)
+from tabrecover.llm.common import stored, table
 
 #: File of the vocabulary; a parameter of the operators.
 VOCAB = os.environ.get("LLM_VOCAB", public_tokenizers.path("byte_bpe_50k.json"))
 SHARDS = 40
+TOP_K = 10
+#: A conversation whose texts look like another template's control strings.
+CONTROL_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 URL_RULES = [
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -23,6 +38,10 @@ URL_RULES = [
 ]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.token_counts(table(spark, sf_dir, "documents"), VOCAB)
     return found.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -32,6 +51,13 @@ def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    added = spark.createDataFrame(CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string")
+    packed = stored(chat.packs(table(spark, sf_dir, "conversations").select(columns).unionByName(added)))
+    return chat.read_back(packed)
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
@@ -51,7 +77,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), VOCAB, as_digest=True)
+    return bpe.encode(table(spark, sf_dir, "documents"), VOCAB, outputs="digest")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,12 +87,21 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(bm25.build(docs), docs.filter(F.col("doc_id") % 50 == 0), k=TOP_K).withColumn("score", F.round("score", 6))
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_minhash_forest": op3_minhash_forest,
+    "op4_chat_tree": op4_chat_tree,
     "op5_url_filters": op5_url_filters,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
+    "op10_topk_search": op10_topk_search,
+    "pipeline": corpus_pipeline.run,
 }
