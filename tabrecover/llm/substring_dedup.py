@@ -22,14 +22,16 @@ columns are not looked at.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tabrecover.grid import by_name
 from tabrecover.llm.common import stored
 from tabrecover.llm.fm_index import FMIndex
 from tabrecover.llm.shingles import rolling, word_hashes, words
@@ -93,9 +95,10 @@ def _anchors(window: int):
 
 _SEGMENT = "struct<anchor: bigint, high: bigint, low: bigint, first: int, count: int>"
 _PARTED = f"doc_id long, n_words long, kept string, text string, segments array<{_SEGMENT}>"
+_APPLIED = "doc_id long, n_words long, n_removed long, kept string"
 
 
-def _parted(window: int, as_text: bool):
+def _parted(window: int, as_text: bool, rest: list[str]):
     """Rows without a live anchor are done; others keep their text and get their live segments."""
     row_type = pa.list_(
         pa.struct([("anchor", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("first", pa.int32()), ("count", pa.int32())])
@@ -108,8 +111,7 @@ def _parted(window: int, as_text: bool):
                 own = words(text, lower=False)
                 n_words.append(len(own))
                 if not live:
-                    whole = b" ".join(own)
-                    kept.append(whole.decode() if as_text else hashlib.sha256(whole).hexdigest())
+                    kept.append(text if as_text else hashlib.sha256(b" ".join(own)).hexdigest())
                     texts.append(None)
                     found.append(None)
                     continue
@@ -129,8 +131,9 @@ def _parted(window: int, as_text: bool):
                     pa.array(kept, pa.string()),
                     pa.array(texts, pa.string()),
                     pa.array(found, row_type),
+                    *(batch.column(c) for c in rest),
                 ],
-                names=["doc_id", "n_words", "kept", "text", "segments"],
+                names=["doc_id", "n_words", "kept", "text", "segments", *rest],
             )
 
     return run
@@ -159,6 +162,7 @@ def _searched(window: int, shard_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        one: list[tuple] = []
         n_words = 0
 
         def out() -> pa.RecordBatch:
@@ -179,12 +183,17 @@ def _searched(window: int, shard_words: int):
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "high", "low", "owner", "words")), strict=True):
-                if n_words > shard_words and row[0] != held[-1][0]:
-                    yield out()
-                    held, n_words = [], 0
-                own = row[4].split()
-                held.append((*row[:4], own))
-                n_words += len(own)
+                if one and row[0] != one[0][0]:
+                    # The only segment of an anchor has no other one to repeat.
+                    if len(one) > 1:
+                        held += one
+                        n_words += sum(len(r[4]) for r in one)
+                    one = []
+                    if n_words > shard_words:
+                        yield out()
+                        held, n_words = [], 0
+                one.append((*row[:4], row[4].split()))
+        held += one if len(one) > 1 else []
         if held:
             yield out()
 
@@ -233,7 +242,7 @@ def _crowded(rows: DataFrame, window: int) -> DataFrame:
     return found.mapInArrow(packed, "high long, low long, removed binary")
 
 
-def _applied(window: int, as_text: bool):
+def _applied(window: int, as_text: bool, rest: list[str]):
     """Remove the covered words of rows with text, segments and what is to go from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,10 +264,19 @@ def _applied(window: int, as_text: bool):
                 covered = np.cumsum(starts[: len(own)]) > 0
                 left = b" ".join(w for w, c in zip(own, covered.tolist(), strict=True) if not c)
                 n_removed.append(int(covered.sum()))
-                kept.append(left.decode() if as_text else hashlib.sha256(left).hexdigest())
+                if as_text:
+                    kept.append(left.decode() if n_removed[-1] else text)
+                else:
+                    kept.append(hashlib.sha256(left).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_words"), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept"],
+                [
+                    batch.column("doc_id"),
+                    batch.column("n_words"),
+                    pa.array(n_removed, pa.int64()),
+                    pa.array(kept, pa.string()),
+                    *(batch.column(c) for c in rest),
+                ],
+                names=["doc_id", "n_words", "n_removed", "kept", *rest],
             )
 
     return run
@@ -272,12 +290,19 @@ def remove_repeats(
     as_text: bool = True,
     shard_words: int = SHARD_WORDS,
     crowd: int = CROWD,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept`` of every row.
+    """``doc_id, n_words, n_removed, kept`` of every row, and the columns to carry as ``rest``.
 
-    ``kept`` are the words left, joined by one space, or with ``as_text=False`` the hex SHA-256 of that.
+    ``kept`` is the text as it was if nothing goes, else the words left, joined by one space;
+    with ``as_text=False`` it is the hex SHA-256 of all words left, joined by one space.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    whole = source
+    rest = ["rest"] if carry else []
+    if carry:
+        others = F.struct(*by_name(carry)).alias("rest")
+        whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), others)
     anchors = stored(source.filter(F.col("doc_id").isNotNull()).mapInArrow(_anchors(window), "doc_id long, anchor long"))
     seen = anchors.groupBy("anchor").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")
@@ -285,7 +310,8 @@ def remove_repeats(
     live = stored(seen.filter(F.col("least") < F.col("most")).select("anchor", "n"))
     by_doc = salted_join(anchors, live.select("anchor"), ["anchor"], "left_semi", counts=live)
     by_doc = by_doc.groupBy("doc_id").agg(F.collect_set("anchor").alias("live"))
-    parted = stored(source.join(by_doc, "doc_id", "left").mapInArrow(_parted(window, as_text), _PARTED))
+    joined = whole.join(by_doc, "doc_id", "left")
+    parted = stored(joined.mapInArrow(_parted(window, as_text, rest), _with_rest(_PARTED, whole, rest)))
     open_rows = parted.filter(F.col("segments").isNotNull())
 
     texts = open_rows.select("doc_id", "text", "segments").mapInArrow(
@@ -296,14 +322,16 @@ def remove_repeats(
         F.min("doc_id").alias("owner"), F.first("words").alias("words"), F.count(F.lit(1)).alias("n")
     )
     distinct = stored(distinct)
-    variants = stored(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
-    indexed = distinct.drop("n").join(variants.filter(F.col("n") <= crowd).select("anchor"), "anchor")
+    crowded = stored(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd))
+    indexed = distinct.drop("n")
+    has_crowds = not crowded.isEmpty()
+    if has_crowds:
+        indexed = salted_join(indexed, crowded.select("anchor"), ["anchor"], "left_anti", counts=crowded)
     indexed = indexed.repartition("anchor").sortWithinPartitions("anchor")
     removed = indexed.select("anchor", "high", "low", "owner", "words").mapInArrow(
         _searched(window, shard_words), "high long, low long, removed binary"
     )
-    crowded = variants.filter(F.col("n") > crowd)
-    if not crowded.isEmpty():
+    if has_crowds:
         rows = salted_join(distinct.drop("n"), crowded.select("anchor"), ["anchor"], "left_semi", counts=crowded)
         removed = removed.unionByName(_crowded(rows, window))
 
@@ -316,7 +344,13 @@ def remove_repeats(
     gone = held.filter((F.col("doc_id") > F.col("owner")) | (F.coalesce(F.octet_length("removed"), F.lit(0)) > 0))
     gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("high", "low", of_owner.alias("removed"))).alias("gone"))
     result = open_rows.join(gone, "doc_id", "left").mapInArrow(
-        _applied(window, as_text), "doc_id long, n_words long, n_removed long, kept string"
+        _applied(window, as_text, rest), _with_rest(_APPLIED, whole, rest)
     )
-    done = parted.filter(F.col("segments").isNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept")
+    none = F.lit(0).cast("long").alias("n_removed")
+    done = parted.filter(F.col("segments").isNull()).select("doc_id", "n_words", none, "kept", *rest)
     return done.unionByName(result)
+
+
+def _with_rest(schema: str, rows: DataFrame, rest: list[str]) -> T.StructType:
+    fields = T.StructType.fromDDL(schema).fields
+    return T.StructType([*fields, *(rows.schema[c] for c in rest)])
