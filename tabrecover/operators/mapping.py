@@ -1,7 +1,8 @@
 """The mapping from scanned headers to target columns.
 
-A stored mapping has columns ord, scanned, target, is_ignored. Its normal form
-has one row per header: scanned, target (null if ignored), is_ignored.
+A stored mapping has columns ord, scanned, target, is_ignored, and doc if it has
+several documents. Its normal form has one row per header: scanned, target (null
+if ignored), is_ignored.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ MAPPED, IGNORED, SUGGESTED = "mapped", "ignored", "suggested"
 def normalize_mapping(mapping: DataFrame) -> DataFrame:
     """One row per decided header: the last target wins, an ignore beats any target.
 
-    Entries which neither ignore nor name a target are dropped.
+    The last one is that of the last document, and the largest name of those in
+    one place. Entries which neither ignore nor name a target are dropped.
     """
     ignored = F.coalesce(F.col("is_ignored"), F.lit(False))
     named = ~ignored & (F.coalesce("target", F.lit("")) != "")
+    place = [c for c in ("doc", "ord") if c in mapping.columns]
     per_header = mapping.groupBy("scanned").agg(
         F.max(ignored).alias("is_ignored"),
-        F.max_by("target", F.when(named, F.col("ord"))).alias("target"),
+        F.max_by("target", F.when(named, F.struct(*place, "target"))).alias("target"),
     )
     return per_header.filter("is_ignored or target is not null").select(
         "scanned", F.when(~F.col("is_ignored"), F.col("target")).alias("target"), "is_ignored"

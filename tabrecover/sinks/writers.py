@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 
 from tabrecover.grid import SHEET_KEYS, by_name
 from tabrecover.plans.blocks import ROW_BLOCK, block_of
-
-ENTRIES_PER_DOCUMENT = 10_000
+from tabrecover.sources.lists import MAPPING_HEAD, MAPPING_TAIL
 
 # Cell texts hold line breaks, quotes and outer spaces; all of them are kept.
 CSV_OPTIONS = {
@@ -54,24 +53,26 @@ def write_lines(lines: DataFrame, path: str, text: str = "header", order: Sequen
 
 
 def write_mapping(entries: DataFrame, path: str) -> None:
-    """Mapping documents, one per line, with up to about 10,000 entries each.
+    """One mapping document of any size, one entry per line, sorted by header.
 
-    ``entries`` has scanned, target, is_ignored with one row per header. A small
-    mapping is one document; a larger one is cut by a hash of the header, so no
-    task has to hold all of it.
+    ``entries`` has scanned, target, is_ignored with one row per header. The part
+    files, put together in name order, are the document, and no task holds more
+    than its own lines. ``read_mapping`` reads the folder as it is.
     """
-    shards = max(1, -(-entries.count() // ENTRIES_PER_DOCUMENT))
-    entry = F.struct(
-        F.col("scanned").alias("scanned_column"),
-        F.coalesce("target", F.lit("")).alias("target_column"),
-        "is_ignored",
-    )
-    documents = (
-        entries.groupBy(F.pmod(F.xxhash64("scanned"), F.lit(shards)).alias("shard"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("mappings"))
-        .select(F.to_json(F.struct("mappings")).alias("value"))
+    entry = F.to_json(
+        F.struct(
+            F.coalesce("scanned", F.lit("")).alias("scanned_column"),
+            F.coalesce("target", F.lit("")).alias("target_column"),
+            F.coalesce("is_ignored", F.lit(False)).alias("is_ignored"),
+        )
     )
-    documents.write.text(path)
+    spark = entries.sparkSession
+    body = entries.select(F.lit(1).alias("part"), F.coalesce("scanned", F.lit("")).alias("scanned"), entry.alias("value"))
+    ends = spark.createDataFrame([(0, "", MAPPING_HEAD), (2, "", MAPPING_TAIL)], "part int, scanned string, value string")
+    first = body.agg(F.min("scanned").alias("first")).first()["first"]
+    comma = F.when(F.col("scanned") == F.lit(first), "").otherwise(",")
+    lines = body.select("part", "scanned", F.concat(comma, "value").alias("value"))
+    lines.unionByName(ends).orderBy("part", "scanned").select("value").write.text(path)
 
 
 def write_sheets(
