@@ -3,7 +3,9 @@
 Two steps, both inside tasks: the sheets of every workbook are listed from the
 zip directory, then every sheet is read by itself. So the unit of work is one
 sheet, a workbook with many sheets spreads out, and a failing sheet or file
-becomes one row with its error while the rest goes on.
+becomes one row with its error while the rest goes on. A sheet comes whole or
+not at all: its part is read to the end before its first row is given out, and a
+cell that cannot be converted becomes an error cell with its stored text.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ import re
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 from xml.etree import ElementTree
+from xml.parsers.expat import ParserCreate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,11 +29,15 @@ from tabrecover.sources.files import filesystem
 
 # Fixed values of the file format: built-in number format codes by id.
 NUMBER_FORMATS = {
-    0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00",
+    0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 5: "$#,##0_);($#,##0)",
+    6: "$#,##0_);[Red]($#,##0)", 7: "$#,##0.00_);($#,##0.00)", 8: "$#,##0.00_);[Red]($#,##0.00)",
+    9: "0%", 10: "0.00%", 11: "0.00E+00",
     12: "# ?/?", 13: "# ??/??", 14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy",
     18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm",
     37: "#,##0_);(#,##0)", 38: "#,##0_);[Red](#,##0)", 39: "#,##0.00_);(#,##0.00)",
-    40: "#,##0.00_);[Red](#,##0.00)", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@",
+    40: "#,##0.00_);[Red](#,##0.00)", 41: '_(* #,##0_);_(* (#,##0);_(* "-"_);_(@_)',
+    42: '_($* #,##0_);_($* (#,##0);_($* "-"_);_(@_)', 43: '_(* #,##0.00_);_(* (#,##0.00);_(* "-"??_);_(@_)',
+    44: '_($* #,##0.00_);_($* (#,##0.00);_($* "-"??_);_(@_)', 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@",
 }
 
 _BATCH_CELLS = 20_000
@@ -50,7 +58,8 @@ def decode_workbooks(files: DataFrame, formulas: bool = False, partitions: int |
     Gives file, sheet_idx, sheet, row, cells, error. A sheet without cells
     gives one row with number 0 and no cells. Formula cells hold their stored
     value, or with ``formulas`` their text (for templates). ``partitions`` is
-    the number of decoding tasks; sheets are dealt out to them by hash.
+    the number of decoding tasks; sheets are dealt out to them by hash, and those of
+    one workbook that meet in a task share its strings and styles.
     Store the result before using it twice (``sinks.land_grid``).
     """
     spark = files.sparkSession
@@ -66,7 +75,8 @@ def decode_workbooks(files: DataFrame, formulas: bool = False, partitions: int |
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _read_sheets(batches, formulas)
 
-    return sheets.repartition(partitions, "file", "sheet_idx").mapInArrow(read, from_arrow_schema(_ROWS))
+    dealt = sheets.repartition(partitions, "file", "sheet_idx").sortWithinPartitions("file", "sheet_idx")
+    return dealt.mapInArrow(read, from_arrow_schema(_ROWS))
 
 
 def grid_of(decoded: DataFrame) -> DataFrame:
@@ -95,6 +105,7 @@ def _list_sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _read_sheets(batches: Iterator[pa.RecordBatch], formulas: bool) -> Iterator[pa.RecordBatch]:
+    shared: tuple[str, list[str], list[str]] | None = None
     for batch in batches:
         for sheet in batch.to_pylist():
             key = {k: sheet[k] for k in ("file", "sheet_idx", "sheet")}
@@ -103,21 +114,30 @@ def _read_sheets(batches: Iterator[pa.RecordBatch], formulas: bool) -> Iterator[
                 continue
             try:
                 with _opened(sheet["file"]) as book:
-                    yield from _row_batches(book, sheet, key, formulas)
+                    if shared is None or shared[0] != sheet["file"]:
+                        shared = (sheet["file"], _shared_strings(book), _style_formats(book))
+                    _read_through(book, sheet["part"])
+                    yield from _row_batches(book, sheet, key, shared[1], shared[2], formulas)
             except Exception as problem:
                 error = f"{type(problem).__name__}: {problem}"
                 yield pa.RecordBatch.from_pylist([{**key, "error": error}], schema=_ROWS)
 
 
+def _read_through(book: zipfile.ZipFile, part: str) -> None:
+    """Read a part to its end; raises if it is cut off, damaged or not well-formed."""
+    with book.open(part) as stream:
+        ParserCreate().ParseFile(stream)
+
+
 def _row_batches(
-    book: zipfile.ZipFile, sheet: dict, key: dict, formulas: bool
+    book: zipfile.ZipFile, sheet: dict, key: dict, strings: list[str], formats: list[str], formulas: bool
 ) -> Iterator[pa.RecordBatch]:
     pending: list[dict] = []
     cells = 0
     empty = True
-    for row, values in _sheet_rows(book, sheet["part"], sheet["date1904"], formulas):
+    for row, values in _sheet_rows(book, sheet["part"], sheet["date1904"], strings, formats, formulas):
         pending.append({**key, "row": row, "cells": values})
-        cells += len(values)
+        cells += len(values) + 1
         empty = False
         if cells >= _BATCH_CELLS:
             yield pa.RecordBatch.from_pylist(pending, schema=_ROWS)
@@ -188,7 +208,12 @@ def _rich_text(element: ElementTree.Element) -> str:
             texts.append(child.text or "")
         elif _tag(child) == "r":
             texts.extend(t.text or "" for t in child if _tag(t) == "t")
-    return "".join(texts)
+    return _unescaped("".join(texts))
+
+
+def _unescaped(text: str) -> str:
+    """Characters that the file format writes as ``_xHHHH_``."""
+    return re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), text) if "_x" in text else text
 
 
 def _shared_strings(book: zipfile.ZipFile) -> list[str]:
@@ -212,6 +237,7 @@ def _style_formats(book: zipfile.ZipFile) -> list[str]:
 _QUOTED = re.compile(r'"[^"]*"|\\.|[_*].|\[(?!h+\]|m+\]|s+\])[^\]]*\]', re.IGNORECASE)
 
 
+@cache
 def is_date_format(code: str) -> bool:
     """True if a number format code shows a date or a time."""
     if code == "General":
@@ -219,6 +245,21 @@ def is_date_format(code: str) -> bool:
     return re.search("[dmhys]", _QUOTED.sub("", code.split(";")[0]), re.IGNORECASE) is not None
 
 
+@cache
+def is_elapsed_format(code: str) -> bool:
+    """True if a format shows a length of time, such as ``[h]:mm:ss``."""
+    return re.search(r"\[(h+|m+|s+)\]", code.split(";")[0], re.IGNORECASE) is not None
+
+
+def elapsed_text(days: float) -> str:
+    """Hours, minutes and seconds of a length of time in days; hours are not limited to a day."""
+    millis = round(abs(days) * 86_400_000)
+    seconds, rest = divmod(millis, 1000)
+    sign = "-" if days < 0 and millis else ""
+    text = f"{sign}{seconds // 3600:02}:{seconds // 60 % 60:02}:{seconds % 60:02}"
+    return f"{text}.{rest:03}" if rest else text
+
+
 def date_text(serial: float, date1904: bool) -> str:
     """Text of a serial date; days below 1 are times, the 1900 epoch has a leap day too many."""
     millis = dt.timedelta(milliseconds=round(serial * 86_400_000))
@@ -245,37 +286,46 @@ def column_number(ref: str) -> int:
     return col
 
 
+def _number(text: str | None, default: int) -> int:
+    return int(text) if text is not None and text.strip().isdecimal() else default
+
+
 def _sheet_rows(
-    book: zipfile.ZipFile, part: str, date1904: bool, formulas: bool
+    book: zipfile.ZipFile, part: str, date1904: bool, strings: list[str], formats: list[str], formulas: bool
 ) -> Iterator[tuple[int, list[dict | None]]]:
-    strings = _shared_strings(book)
-    formats = _style_formats(book)
-    dates = [is_date_format(code) for code in formats]
+    """Number and cells of every row with cells, up to the last value; styled cells without one count for the row."""
     row = 0
     for element in _elements(book, part, "row"):
-        row = int(element.get("r", row + 1))
-        values: list[dict | None] = []
+        row = _number(element.get("r"), row + 1)
+        found: dict[int, dict] = {}
+        col = 0
         for c in element:
             if _tag(c) != "c":
                 continue
-            col = column_number(c.get("r", "")) or len(values) + 1
-            values.extend([None] * (col - len(values)))
-            style = int(c.get("s", 0))
+            col = column_number(c.get("r", "")) or col + 1
+            style = _number(c.get("s"), 0)
             code = formats[style] if style < len(formats) else "General"
-            is_date = style < len(dates) and dates[style]
-            found = _cell(c, strings, is_date, date1904, formulas)
-            if found is not None:
-                values[col - 1] = {"value": found[0], "dtype": found[1], "number_format": code}
-        if values:
-            yield row, values
+            one = _cell(c, strings, code, date1904, formulas)
+            if one is not None:
+                found[col] = {"value": one[0], "dtype": one[1], "number_format": code}
+        if col:
+            yield row, [found.get(i) for i in range(1, max(found, default=0) + 1)]
 
 
 def _cell(
-    c: ElementTree.Element, strings: list[str], is_date: bool, date1904: bool, formulas: bool
+    c: ElementTree.Element, strings: list[str], code: str, date1904: bool, formulas: bool
 ) -> tuple[str, str] | None:
-    """Value text and type of a cell, None if it has no value."""
-    kind = c.get("t", "n")
+    """Value text and type of a cell, None if it has no value; an error cell if it cannot be converted."""
     inner = {_tag(child): child for child in c}
+    try:
+        return _converted(c.get("t", "n"), inner, strings, code, date1904, formulas)
+    except (ValueError, IndexError, OverflowError):
+        return (inner["v"].text or "") if "v" in inner else "", "e"
+
+
+def _converted(
+    kind: str, inner: dict[str, ElementTree.Element], strings: list[str], code: str, date1904: bool, formulas: bool
+) -> tuple[str, str] | None:
     if formulas and "f" in inner:
         return "=" + (inner["f"].text or ""), "f"
     if kind == "inlineStr":
@@ -290,5 +340,7 @@ def _cell(
     if kind == "d":
         return str(dt.datetime.fromisoformat(text.replace("Z", "+00:00")).replace(tzinfo=None)), "d"
     if kind == "n":
-        return (date_text(float(text), date1904), "d") if is_date else (number_text(text), "n")
-    return text, "e" if kind == "e" else "s"
+        if is_elapsed_format(code):
+            return elapsed_text(float(text)), "d"
+        return (date_text(float(text), date1904), "d") if is_date_format(code) else (number_text(text), "n")
+    return (text, "e") if kind == "e" else (_unescaped(text), "s")

@@ -13,7 +13,7 @@ RELS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
 
 # Number formats by style number; style 0 is General.
-STYLES = ("General", "0.00", "yyyy-mm-dd", "h:mm", "@")
+STYLES = ("General", "0.00", "yyyy-mm-dd", "h:mm", "@", "[h]:mm:ss")
 
 
 @dataclass(frozen=True)
@@ -71,6 +71,16 @@ def workbook(
     return out.getvalue()
 
 
+def cut_part(data: bytes, name: str, share: float) -> bytes:
+    """A workbook with one part cut off after a share of its length."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as book, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as copy:
+        for part in book.namelist():
+            content = book.read(part)
+            copy.writestr(part, content[: int(len(content) * share)] if part == name else content)
+    return out.getvalue()
+
+
 def _sheet(rows: Rows, shared: dict[str, int]) -> str:
     body = []
     for row, cells in sorted(rows.items()):
