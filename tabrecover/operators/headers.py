@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 
 from tabrecover.functions.text import clean_header, trim_space
 from tabrecover.grid import SHEET_KEYS
-from tabrecover.plans.joins import lookup_join
-
-# Header rows down to here are looked for in one join of the top rows of all sheets.
-SHALLOW_ROWS = 64
+from tabrecover.plans.blocks import block_of, blocked
 
 EMPTY, EMPTIED, CLEANED, AS_IS = "empty", "emptied", "cleaned", "as_is"
 
@@ -20,19 +17,13 @@ EMPTY, EMPTIED, CLEANED, AS_IS = "empty", "emptied", "cleaned", "as_is"
 def sheet_headers(grid: DataFrame, bounds: DataFrame, keys: Sequence[str] = SHEET_KEYS) -> DataFrame:
     """Cells of the detected header row, left to right, up to its last cell with text.
 
-    Gives keys, sheet_idx, row, col, text, dtype. Nearly all header rows are among
-    the first rows of their sheet, so only those rows are shuffled to be joined.
-    The few sheets with a deeper header are measured and joined by themselves, so
-    the bounds are read twice; store them first where they are costly.
-    The key holds the row number, so a long sheet spreads over all tasks.
+    Gives keys, sheet_idx, row, col, text, dtype. Bounds are joined by sheet and row
+    block: a grid stored in buckets (``sinks.land_grid``) stays where it is, and
+    only the blocks that hold a header row take part.
     """
-    at = [*keys, "row"]
-    header_rows = bounds.select(*keys, F.col("header_row").alias("row"))
-    top, deep = F.col("row") <= SHALLOW_ROWS, F.col("row") > SHALLOW_ROWS
-    found = grid.filter(top).join(header_rows.filter(top), at)
-    deep_rows = header_rows.filter(deep)
-    if not deep_rows.isEmpty():
-        found = found.unionByName(lookup_join(grid.filter(deep), deep_rows, at))
+    at = [*keys, "block"]
+    header_rows = bounds.select(*keys, block_of(F.col("header_row")).alias("block"), "header_row")
+    found = blocked(grid).join(header_rows, at).filter(F.col("row") == F.col("header_row"))
     filled_at = F.transform(
         F.col("cells.value"), lambda v, i: F.when(F.coalesce(v, F.lit("")) != "", i + 1).otherwise(0)
     )

@@ -86,9 +86,13 @@ def output_names(bounds: DataFrame, keys: Sequence[str] = SHEET_KEYS) -> DataFra
 def batch_summary(
     sheets: DataFrame, rejects: DataFrame, file: str = "file"
 ) -> DataFrame:
-    """Files by status: "error" if the file or any of its sheets was rejected, else "success"."""
+    """Files by status: "error" if the file or any of its sheets was rejected, else "success".
+
+    A sheet without a header, such as a blank one, is reported but is no error.
+    """
+    bad = (F.col("reason") != NO_HEADER).cast("int")
     status = sheets.select(file, F.lit(0).alias("bad")).unionByName(
-        rejects.select(file, F.lit(1).alias("bad"))
+        rejects.select(file, F.coalesce(bad, F.lit(1)).alias("bad"))
     )
     per_file = status.groupBy(file).agg(F.max("bad").alias("bad"))
     return per_file.groupBy(

@@ -21,8 +21,6 @@ NO_MATCH = "NO_MATCH"
 HEADING = "ScannedColumn|"
 MIN_CONFIDENCE = 0.6
 
-MAX_TARGETS = 16_384
-
 
 def suggestion_batches(headers: DataFrame, order: str = "header") -> DataFrame:
     """Number the headers and their requests: pos, batch (both from 0).
@@ -38,12 +36,11 @@ def suggestion_batches(headers: DataFrame, order: str = "header") -> DataFrame:
 def batch_requests(batches: DataFrame, targets: DataFrame) -> DataFrame:
     """Text of each request: batch, headers (their number), request.
 
-    A batch holds at most 100 headers. The targets must fit a sheet's width,
-    since all of them go into every request.
+    A batch holds at most 100 headers. All targets go into every request, so the
+    list is read once and becomes a part of the text; a caller with a very long
+    list hands over the part that is to be asked for.
     """
-    names = [r.target for r in targets.select("target").orderBy("target").limit(MAX_TARGETS + 1).collect()]
-    if len(names) > MAX_TARGETS:
-        raise ValueError(f"a request can list {MAX_TARGETS} targets at most")
+    names = [r.target for r in targets.select("target").orderBy("target").collect()]
     task = (
         "Match each found column name to the one standard column with the same meaning.\n"
         f"Answer one line per found column: {HEADING}TargetColumn|Confidence\n"
@@ -126,7 +123,7 @@ def suggestion_audit(sent: DataFrame, accepted: DataFrame) -> DataFrame:
     last = accepted.groupBy(F.col("scanned").alias("header")).agg(
         F.max(F.struct("reply", "line_no", "target", "confidence")).alias("last")
     )
-    return sent.join(last, "header", "left").select(
+    return salted_join(sent, last, ["header"], "left").select(
         "pos",
         "header",
         F.when(F.col("last").isNull(), "no match").otherwise("suggested").alias("outcome"),

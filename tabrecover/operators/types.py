@@ -4,33 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabrecover.functions.text import is_blank, is_formula
 from tabrecover.grid import SHEET_KEYS, by_name
 from tabrecover.operators.formatting import Layout
 
-# Spark type of a column whose values all have one cell type; any mixture is text.
-SPARK_TYPES = {"n": "double", "d": "timestamp_ntz", "b": "boolean"}
 GENERAL = "General"
 
+# What a value is, judged by its text: a whole number, one beyond the whole numbers a
+# double holds exactly, a number with a fraction, a date with a time, a truth value, text.
+WHOLE, LARGE, REAL, DATE, TRUTH, TEXT = "whole", "large", "real", "date", "truth", "text"
+_EXACT = 1 << 53
+
+
+def value_kind(value: Column, dtype: Column) -> Column:
+    """Kind of a cell; whatever a cast to the kind's type would lose or change is text.
+
+    Times of a day and lengths of time are text: they are no point in time.
+    """
+    whole = value.try_cast("bigint")
+    number = (
+        F.when(
+            value.rlike(r"^-?\d{1,18}$") & (whole.cast("string") == value),
+            F.when(F.abs(whole) <= _EXACT, WHOLE).otherwise(LARGE),
+        )
+        .when(value.rlike(r"^-?\d+$"), TEXT)
+        .when(value.try_cast("double").isNotNull(), REAL)
+        .otherwise(TEXT)
+    )
+    is_date = value.rlike(r"^\d{4}-\d{2}-\d{2} \d") & value.try_cast("timestamp_ntz").isNotNull()
+    return (
+        F.when(dtype == "n", number)
+        .when(dtype == "d", F.when(is_date, DATE).otherwise(TEXT))
+        .when(dtype == "b", F.when(F.upper(value).isin("TRUE", "FALSE"), TRUTH).otherwise(TEXT))
+        .otherwise(TEXT)
+    )
+
 
 def column_profile(projected: DataFrame, layout: Layout) -> DataFrame:
-    """How often each cell type and number format occurs: target, dtype, number_format, cells.
+    """How often each kind of value and number format occurs: target, kind, number_format, cells.
 
     ``projected`` comes from ``project_cells``; blank and formula cells do not count.
     """
     cells = projected.select(F.posexplode("picked").alias("pos", "cell")).select("pos", "cell.*")
     copied = cells.filter(~is_blank(F.col("value")) & ~is_formula(F.col("value")))
-    counts = copied.groupBy("pos", "dtype", "number_format").agg(F.count(F.lit(1)).alias("cells"))
+    kind = value_kind(F.col("value"), F.col("dtype")).alias("kind")
+    counts = copied.groupBy("pos", kind, "number_format").agg(F.count(F.lit(1)).alias("cells"))
     names = F.array(*[F.lit(c) for c in layout.columns])
-    return counts.select(F.get(names, F.col("pos")).alias("target"), "dtype", "number_format", "cells")
+    return counts.select(F.get(names, F.col("pos")).alias("target"), "kind", "number_format", "cells")
 
 
 def column_formats(profile: DataFrame) -> DataFrame:
     """Per target: column_type, and the most used number format that is not General.
 
+    A column gets the type that holds every one of its values, else it is text.
     Ties go to the first format in byte order; null where all cells are General.
     """
     by_format = profile.groupBy("target", "number_format").agg(F.sum("cells").alias("cells"))
@@ -38,15 +67,19 @@ def column_formats(profile: DataFrame) -> DataFrame:
         F.col("number_format") != GENERAL, F.struct((-F.col("cells")).alias("cells"), "number_format")
     )
     formats = by_format.groupBy("target").agg(F.min(shaped).alias("top"))
-    kinds = profile.groupBy("target").agg(
-        F.min("dtype").alias("low"), F.max("dtype").alias("high"), F.sum("cells").alias("cells")
+    def only(*kinds: str) -> Column:
+        return F.bool_and(F.col("kind").isin(*kinds))
+
+    column_type = (
+        F.when(only(WHOLE, LARGE), "bigint")
+        .when(only(WHOLE, REAL), "double")
+        .when(only(DATE), "timestamp_ntz")
+        .when(only(TRUTH), "boolean")
+        .otherwise("string")
     )
-    one_kind = F.when(F.col("low") == F.col("high"), F.col("low"))
-    column_type = F.lit("string")
-    for dtype, spark_type in SPARK_TYPES.items():
-        column_type = F.when(one_kind == dtype, spark_type).otherwise(column_type)
+    kinds = profile.groupBy("target").agg(column_type.alias("column_type"), F.sum("cells").alias("cells"))
     return kinds.join(formats, "target").select(
-        "target", column_type.alias("column_type"), F.col("top.number_format").alias("number_format"), "cells"
+        "target", "column_type", F.col("top.number_format").alias("number_format"), "cells"
     )
 
 

@@ -19,9 +19,12 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> Dat
     The rows are range-partitioned and sorted, and settled in the checkpoint
     folder together with their partition number and place in the partition.
     Only one count per partition is then summed up and broadcast, so its size
-    is the number of partitions. The order must be total for a stable result.
+    is the number of partitions. Rows that the order leaves equal are told apart by
+    their place in the input, so copies of one row are spread over partitions too;
+    the order must be total for a stable result.
     """
-    ranked = settle(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranked = settle(tied.orderBy(*order, "_tie").withColumn("_id", F.monotonically_increasing_id()))
     ranked = ranked.select(
         *by_name(df.columns),
         F.shiftright("_id", 33).alias("_part"),
