@@ -6,7 +6,7 @@ by itself; the decoded workbooks are stored once and used by scan and format.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,7 @@ from tabrecover.operators import headers as H
 from tabrecover.operators import mapping as M
 from tabrecover.operators import reports as R
 from tabrecover.operators import suggest as S
+from tabrecover.operators import types as T
 from tabrecover.plans import checkpoints as C
 from tabrecover.plans.blocks import blocked
 from tabrecover.sinks import writers as W
@@ -26,6 +27,9 @@ from tabrecover.sources import workbook as X
 from tabrecover.sources.files import list_files
 
 
+Scorer = Callable[[DataFrame, DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
 class Settings:
     """Parameters of a run."""
@@ -34,11 +38,24 @@ class Settings:
     drop_empty: bool = True
     stop_at_table_end: bool = False
     min_confidence: float = S.MIN_CONFIDENCE
+    typed: bool = True
+
 
+def ingest(
+    spark: SparkSession,
+    roots: Sequence[str],
+    path: str,
+    partitions: int | None = None,
+    table: str | None = None,
+    buckets: int = 0,
+) -> DataFrame:
+    """Decode all workbooks below the roots into one stored table.
 
-def ingest(spark: SparkSession, roots: Sequence[str], path: str, partitions: int | None = None) -> DataFrame:
-    """Decode all workbooks below the roots into one stored table."""
-    return W.land_grid(X.decode_workbooks(list_files(spark, roots), partitions=partitions), path)
+    With a table name and a number of buckets (some per executor core) the rows are
+    stored by sheet and row block, and scan and format leave them where they are.
+    """
+    decoded = X.decode_workbooks(list_files(spark, roots), partitions=partitions)
+    return W.land_grid(decoded, path, table, buckets)
 
 
 def ingest_new(
@@ -82,10 +99,16 @@ def map_headers(
     log: DataFrame,
     path: str,
     settings: Settings = Settings(),
+    replies: DataFrame | None = None,
+    scorer: Scorer | None = None,
 ) -> DataFrame:
-    """Fold the review log over the stored mapping and exact matches; write the mapping.
+    """Fold the review log over the stored mapping and exact matches; write the mapping,
+    what is still open, the session state, coverage and fan-in.
 
-    ``scanned`` has pos, header. Gives the session state with open suggestions.
+    ``scanned`` has pos, header. Open headers get suggestions from ``replies`` (reply,
+    text: answers to ``request_texts``), with an audit of what was asked, or else from a
+    scorer, a function from open headers and targets to scanned, target; without
+    either from the built-in one. Gives the session state.
     """
     normalized = M.normalize_mapping(stored)
     exact = M.auto_map_exact(scanned, normalized, targets)
@@ -93,14 +116,43 @@ def map_headers(
         D.mapping_as_log(exact.selectExpr("scanned", "target", "false as is_ignored"))
     )
     states = D.fold_decisions(before.unionByName(log))
-    entries = D.saved_mapping(states)
+    entries = C.stored(D.saved_mapping(states))
     W.write_mapping(entries, f"{path}/mapping")
-    W.write_report(M.unmapped_headers(scanned, entries), f"{path}/unmapped")
-    final = M.normalize_mapping(entries.selectExpr("0 as ord", "*"))
-    open_headers = M.unmapped_headers(scanned, entries)
-    suggested = S.suggest_similar(open_headers, targets, settings.min_confidence)
+    open_headers = C.stored(M.unmapped_headers(scanned, entries).select("pos", "header"))
+    W.write_report(open_headers, f"{path}/unmapped")
+    final = C.stored(M.normalize_mapping(entries.selectExpr("0 as ord", "*")))
+    if replies is not None:
+        accepted = C.stored(S.accept_suggestions(S.parse_suggestions(replies), settings.min_confidence))
+        suggested = S.apply_suggestions(accepted, final, targets).filter("in_targets")
+        sent = S.suggestion_batches(open_headers.select("header").distinct()).drop("batch")
+        W.write_report(S.suggestion_audit(sent, accepted), f"{path}/audit")
+    elif scorer is not None:
+        suggested = scorer(open_headers, targets)
+    else:
+        suggested = S.suggest_similar(open_headers, targets, settings.min_confidence)
     nothing = exact.limit(0)
-    return M.merge_mapping(final, nothing, suggested.select("scanned", "target"))
+    session = M.merge_mapping(final, nothing, suggested.select("scanned", "target"))
+    session.write.parquet(f"{path}/session")
+    session = scanned.sparkSession.read.schema(session.schema).parquet(f"{path}/session")
+    W.write_report(M.mapping_coverage(scanned, session), f"{path}/coverage")
+    W.write_report(M.mapping_fan_in(final, targets), f"{path}/fan_in")
+    return session
+
+
+def request_texts(path: str, targets: DataFrame, out: str) -> None:
+    """Write the requests for the open headers of a mapping run: batch, headers, request."""
+    spark = targets.sparkSession
+    schema = "pos bigint, header string"
+    open_headers = spark.read.schema(schema).options(**W.CSV_OPTIONS).csv(f"{path}/unmapped")
+    batches = S.suggestion_batches(open_headers.select("header").distinct())
+    W.write_report(S.batch_requests(batches, targets), out, "parquet")
+
+
+def extend_targets(existing: DataFrame, file: str, sheet: str, path: str) -> None:
+    """Write the target list with the headers of a template sheet that it lacks, after the old ones."""
+    grid, _ = template(existing.sparkSession, file, sheet)
+    headers = H.sheet_headers(grid, B.sheet_bounds(grid)).select("col", "text")
+    W.write_lines(M.append_targets(existing, headers), path, "target", order=("part", "pos"))
 
 
 def format_all(
@@ -110,8 +162,14 @@ def format_all(
     path: str,
     settings: Settings = Settings(),
     fmt: str = "parquet",
+    overlay: DataFrame | None = None,
 ) -> None:
-    """Write all sheets in the target layout, the summary per sheet and the rejects."""
+    """Write all sheets in the target layout, the columns' types and formats, the summary
+    per sheet and the rejects.
+
+    With ``typed`` a column has the type that holds all its values, else all are text.
+    ``overlay`` is the grid of the template sheet; its own cells are then kept, as text.
+    """
     grid, broken = X.grid_of(decoded), X.rejects_of(decoded)
     bounds = B.sheet_bounds(grid)
     if settings.stop_at_table_end:
@@ -125,8 +183,18 @@ def format_all(
     rows = Fm.format_sheets(
         grid, plans, layout, drop_empty=settings.drop_empty, stop_at_table_end=settings.stop_at_table_end
     )
+    projected = C.stored(Fm.project_cells(grid, plans, layout, stop_at_table_end=settings.stop_at_table_end))
+    formats = T.column_formats(T.column_profile(projected, layout))
+    formats.write.parquet(f"{path}/columns")
+    formats = decoded.sparkSession.read.schema(formats.schema).parquet(f"{path}/columns")
+    if overlay is not None:
+        aligned = Fm.format_sheets(
+            grid, plans, layout, renumber=False, stop_at_table_end=settings.stop_at_table_end
+        )
+        rows = Fm.template_overlay(aligned, overlay, plans, layout, drop_empty=settings.drop_empty)
+    elif settings.typed:
+        rows = T.typed_rows(rows, T.column_types(formats))
     W.write_sheets(rows, f"{path}/sheets", fmt)
-    projected = Fm.project_cells(grid, plans, layout, stop_at_table_end=settings.stop_at_table_end)
     W.write_report(R.format_summary(projected, plans, layout), f"{path}/summary", "parquet")
     stats = H.sheet_scan_stats(bounds, headers)
     rejects = broken.unionByName(R.sheet_rejects(stats, plans))
