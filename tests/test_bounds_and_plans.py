@@ -261,6 +261,9 @@ def test_stored_buckets_are_not_shuffled(spark, tmp_path):
         # one exchange, on the side of the plans
         assert plan.count("Exchange hashpartitioning") == 1, plan
         assert "Bucketed: true" in plan
+        heads = H.sheet_headers(landed, plans)
+        plan = heads._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan, plan
         assert kept.count() == Fm.format_sheets(grid, plans, LAYOUT, renumber=False).count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

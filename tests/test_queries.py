@@ -14,7 +14,8 @@ import check  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 
-SQL = entry.oracle_sql()
+QUERIES = entry.QUERIES
+SQL = entry.oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -22,9 +23,9 @@ def con():
     return check.connect(SF)
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, con, name):
-    frame = entry.queries()[name](spark, SF)
+    frame = QUERIES[name](spark, SF)
     rows = [tuple(r) for r in frame.collect()]
     assert rows
     if name not in SQL:
@@ -38,5 +39,6 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_only_the_file_listing_has_no_twin():
-    assert set(entry.queries()) - set(SQL) == {"file_inventory"}
+def test_every_query_has_a_twin():
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())

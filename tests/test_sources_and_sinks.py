@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabrecover.grid import GRID_SCHEMA
 from tabrecover.operators import bounds as B
 from tabrecover.operators import headers as H
+from tabrecover.operators import mapping as M
 from tabrecover.operators import reports as R
 from tabrecover.operators import types as T
 from tabrecover.operators.formatting import Layout
@@ -35,16 +36,46 @@ def test_targets(spark, tmp_path):
         L.read_targets(spark, str(tmp_path / "empty"))
 
 
-def test_mapping_round_trip(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(W, "ENTRIES_PER_DOCUMENT", 10)
-    entries = [(f"h{i}", f'T"{i}' if i % 3 else "", i % 3 == 0) for i in range(35)]
+@pytest.mark.parametrize("n", [0, 1, 35, 25_000])
+def test_mapping_round_trip(spark, tmp_path, n):
+    entries = [(f"h{i}\n,]", f'T"{i}' if i % 3 else "", i % 3 == 0) for i in range(n)]
     df = spark.createDataFrame(entries, "scanned string, target string, is_ignored boolean")
-    W.write_mapping(df, str(tmp_path / "mapping"))
-    documents = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "mapping")).collect()]
-    assert 2 <= len(documents) <= 4
-    assert set(documents[0]["mappings"][0]) == {"scanned_column", "target_column", "is_ignored"}
-    back = L.read_mapping(spark, str(tmp_path / "mapping"), document_per_line=True)
-    assert {(r.scanned, r.target, r.is_ignored) for r in back.collect()} == set(entries)
+    W.write_mapping(df.repartition(5), str(tmp_path / "mapping"))
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "mapping").glob("part-*")))
+    document = json.loads(whole)["mappings"]
+    assert [e["scanned_column"] for e in document] == sorted(e[0] for e in entries)
+    back = L.read_mapping(spark, str(tmp_path / "mapping")).orderBy("ord").collect()
+    assert [(r.scanned, r.target, r.is_ignored) for r in back] == sorted(entries)
+    assert [r.ord for r in back] == list(range(n))
+    (tmp_path / "one.json").write_text(json.dumps({"mappings": document}, indent=1))
+    again = L.read_mapping(spark, str(tmp_path / "one.json")).collect()
+    assert sorted((r.scanned, r.target, r.is_ignored) for r in again) == sorted(entries)
+
+
+def test_later_documents_win(spark, tmp_path):
+    def document(target):
+        return json.dumps({"mappings": [{"scanned_column": "a", "target_column": target}]})
+
+    for order in (("x", "y"), ("y", "x")):
+        folder = tmp_path / order[0]
+        folder.mkdir()
+        for k, target in enumerate(order):
+            (folder / f"{k}.json").write_text(document(target))
+        found = M.normalize_mapping(L.read_mapping(spark, str(folder))).collect()
+        assert [(r.scanned, r.target) for r in found] == [("a", order[1])]
+    texts = spark.createDataFrame([(2, document("p")), (1, document("q"))], "n long, text string")
+    assert M.normalize_mapping(L.mapping_entries(texts, F.col("n"))).first().target == "p"
+
+
+def test_text_after_a_document_is_an_error(spark, tmp_path):
+    one = '{"mappings": [{"scanned_column": "a", "target_column": "b"}]}'
+    for k, rest in enumerate((one, "x", "]")):
+        (tmp_path / f"{k}.json").write_text(f"{one}\n{rest}")
+        with pytest.raises(Exception, match="(?i)malformed"):
+            L.read_mapping(spark, str(tmp_path / f"{k}.json")).collect()
+    (tmp_path / "cut.json").write_text('{"mappings":[\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        L.read_mapping(spark, str(tmp_path / "cut.json")).collect()
 
 
 def test_broken_mapping_is_an_error(spark, tmp_path):
@@ -132,6 +163,32 @@ def test_file_statistics_count_broken_files(spark):
     assert {tuple(r) for r in status.collect()} == {("error", 2)}
 
 
+def test_types_hold_every_value(spark):
+    columns = {
+        "time": [("12:30:00", "d"), ("2024-01-01 00:00:00", "d")],
+        "large": [("9007199254740993", "n"), ("-5", "n")],
+        "mixed": [("9007199254740993", "n"), ("0.5", "n")],
+        "real": [("3", "n"), ("0.1", "n")],
+        "longer": [("123456789012345678901", "n"), ("1", "n")],
+        "coded": [("007", "n"), ("8", "n")],
+        "truth": [("TRUE", "b"), ("FALSE", "b")],
+        "error": [("x", "n"), ("1", "n")],
+    }
+    layout = Layout(tuple(columns))
+    rows = [("f", "s", k, [(*v[k], "General") for v in columns.values()]) for k in (0, 1)]
+    picked = "array<struct<value:string,dtype:string,number_format:string>>"
+    cells = spark.createDataFrame(rows, f"file string, sheet string, target_row bigint, picked {picked}")
+    types = T.column_types(T.column_formats(T.column_profile(cells, layout)))
+    assert types == {
+        "time": "string", "large": "bigint", "mixed": "string", "real": "double", "longer": "string",
+        "coded": "string", "truth": "boolean", "error": "string",
+    }
+    text = cells.select("file", "sheet", "target_row", *[F.col("picked.value")[i].alias(c) for i, c in enumerate(columns)])
+    typed = T.typed_rows(text, types).orderBy("target_row").collect()
+    assert typed[0].large == 9007199254740993 and typed[1].real == 0.1
+    assert all(v is not None for r in typed for v in r)
+
+
 def test_types(spark):
     layout = Layout(("n", "d", "b", "mixed", "empty"))
     kinds = [("1.5", "n", "0.00"), ("2024-01-02 03:04:05", "d", "yyyy"), ("TRUE", "b", "General"), ("7", "n", "0"), None]

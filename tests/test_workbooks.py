@@ -18,11 +18,12 @@ from tabrecover.sources.workbook import (
     date_text,
     decode_workbooks,
     grid_of,
+    elapsed_text,
     is_date_format,
     number_text,
     rejects_of,
 )
-from workload.xlsx import Cell, workbook
+from workload.xlsx import Cell, cut_part, workbook
 
 
 def s(text: str) -> Cell:
@@ -154,6 +155,7 @@ def test_small_helpers():
     assert all(map(is_date_format, dates)) and not any(map(is_date_format, others))
     assert date_text(0, False) == "00:00:00" and date_text(61, False) == "1900-03-01 00:00:00"
     assert date_text(40000.5, False) == "2009-07-06 12:00:00"
+    assert [elapsed_text(d) for d in (1.5, -0.25, 0.00001157407, 10)] == ["36:00:00", "-06:00:00", "00:00:01", "240:00:00"]
 
 
 def test_scan_map_format(spark, folder, tmp_path):
@@ -184,17 +186,37 @@ def test_scan_map_format(spark, folder, tmp_path):
     }
     unmapped = spark.read.option("header", True).csv(str(tmp_path / "map/unmapped"))
     assert [r.header for r in unmapped.collect()] == ["Time"]
+    coverage = spark.read.option("header", True).csv(str(tmp_path / "map/coverage")).first().asDict()
+    assert {k: int(v) for k, v in coverage.items()} == {"total": 7, "mapped": 5, "suggested": 0, "ignored": 1, "unmapped": 1}
+    fan_in = spark.read.option("header", True).csv(str(tmp_path / "map/fan_in"))
+    assert {r.target: int(r.headers) for r in fan_in.collect()} == {"part": 2, "Supplier": 2, "Date": 1}
+    replies = spark.createDataFrame([(0, "Time|Date|0.9\nVendor|part|0.2")], "reply bigint, text string")
+    session = jobs.map_headers(scanned, targets, stored, log, str(tmp_path / "replied"), replies=replies)
+    assert {(r.scanned, r.target) for r in session.filter("state = 'suggested'").collect()} == {("Time", "Date")}
+    audit = spark.read.option("header", True).csv(str(tmp_path / "replied/audit"))
+    assert [(r.header, r.outcome, r.target) for r in audit.collect()] == [("Time", "suggested", "Date")]
+    own = jobs.map_headers(
+        scanned, targets, stored, log, str(tmp_path / "scored"),
+        scorer=lambda h, t: h.selectExpr("header as scanned", "'part' as target"),
+    )
+    assert {(r.scanned, r.target) for r in own.filter("state = 'suggested'").collect()} == {("Time", "part")}
+    jobs.request_texts(str(tmp_path / "map"), targets, str(tmp_path / "requests"))
+    assert "- Time" in spark.read.parquet(str(tmp_path / "requests")).first().request
 
     (tmp_path / "target.xlsx").write_bytes(
         workbook([("T", {1: {1: s("Standard")}, 2: {1: s("part"), 2: s(" Supplier "), 4: s("Date")}, 3: {1: Cell("n", 0, formula="1")}})])
     )
     _, layout = jobs.template(spark, str(tmp_path / "target.xlsx"), "T")
     assert layout.targets == ("part", "Supplier", "", "Date") and layout.header_row == 2
-    mapping = L.read_mapping(spark, str(tmp_path / "map/mapping"), document_per_line=True)
+    old = spark.createDataFrame([(0, "Date"), (1, "Other")], "pos bigint, target string")
+    jobs.extend_targets(old, str(tmp_path / "target.xlsx"), "T", str(tmp_path / "targets"))
+    extended = L.read_targets(spark, str(tmp_path / "targets")).orderBy("pos").collect()
+    assert [r.target for r in extended] == ["Date", "Other", "part", "Supplier"]
+    mapping = L.read_mapping(spark, str(tmp_path / "map/mapping"))
     jobs.format_all(decoded, mapping, layout, str(tmp_path / "out"))
     rows = spark.read.option("inferSchema", False).parquet(str(tmp_path / "out/sheets"))
     got = {
-        (r.file.rsplit("/", 1)[1], r.sheet, r.target_row): (r.part, r.Supplier, r.Date) for r in rows.collect()
+        (r.file.rsplit("/", 1)[1], r.sheet, r.target_row): (r.part, r.Supplier, r.Date and str(r.Date)) for r in rows.collect()
     }
     assert got == {
         ("plain.xlsx", "S 1", 3): ("1.5", "x & <y>", None),
@@ -208,12 +230,35 @@ def test_scan_map_format(spark, folder, tmp_path):
         ("dates1904.xlsx", "D", 4): (None, None, "1904-02-29 06:00:00"),
         ("_hidden.xlsx", "F", 3): ("3", "ab", None),
     }
+    columns = {r.target: (r.column_type, r.number_format) for r in spark.read.parquet(str(tmp_path / "out/columns")).collect()}
+    assert columns["Date"] == ("timestamp_ntz", "yyyy-mm-dd") and columns["part"][0] == "string"
     status = spark.read.option("header", True).csv(str(tmp_path / "out/batch_summary"))
     assert {r.status: int(r.files) for r in status.collect()} == {"success": 4, "error": 4}
     rejects = spark.read.parquet(str(tmp_path / "out/rejects"))
     assert {(r.sheet, r.stage, r.reason) for r in rejects.collect()} >= {("Leer", "scan", "no header")}
 
 
+BROKEN = {
+    1: {1: s("a"), 2: s("b")},
+    2: {1: Cell("n", "1x"), 2: Cell("s", "x")},
+    3: {1: Cell("n", "1.5", 5), 2: Cell("inline", "a_x000D_b_x005F_x0041_"), 16384: Cell("empty", style=1)},
+}
+
+
+def test_sheets_come_whole_or_not_at_all(spark, tmp_path):
+    """A cut sheet leaves no row, an unreadable cell is an error cell, and empty cells at the end are cut."""
+    long = {n: {c: Cell("n", n) for c in range(1, 6)} for n in range(1, 9001)}
+    whole = workbook([("long", long), ("odd", BROKEN)])
+    (tmp_path / "cut.xlsx").write_bytes(cut_part(whole, "xl/worksheets/sheet1.xml", 0.99))
+    decoded = decode_workbooks(list_files(spark, [str(tmp_path)]), partitions=2).cache()
+    assert [r.sheet for r in rejects_of(decoded).collect()] == ["long"]
+    assert {r.sheet for r in grid_of(decoded).select("sheet").distinct().collect()} == {"odd"}
+    odd = {r.row: r.cells for r in grid_of(decoded).collect()}
+    assert (odd[2][0].value, odd[2][0].dtype) == ("1x", "e")
+    assert len(odd[3]) == 2 and odd[3][1].value == "a\rb_x0041_"
+    assert odd[3][0].value == "36:00:00"
+
+
 def test_ingest_new_reads_only_new_files(spark, folder, tmp_path):
     first = jobs.ingest(spark, [str(folder / "deep")], str(tmp_path / "grid"), partitions=2)
     assert first.select("file").distinct().count() == 2

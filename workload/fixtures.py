@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabrecover.grid import CELL_TYPE, cell
 from tabrecover.sources.files import filesystem
-from workload.xlsx import Cell, workbook
+from workload.xlsx import Cell, cut_part, workbook
 
 LAYOUT = ("part_id", "supplier_id", "qty", "flag", "note")
 
@@ -204,6 +204,95 @@ def customer_workbooks(spark: SparkSession, sf_dir: str, folder: str) -> int:
     return customers.groupBy("book").applyInArrow(write, "file string").count()
 
 
+#: Suppliers are dealt to so many workbooks, which are whole or broken by number modulo five.
+LINE_BOOKS = 25
+
+
+def line_workbooks(spark: SparkSession, sf_dir: str, folder: str) -> int:
+    """Write a workbook of ten columns per part of all order lines; gives their number.
+
+    By number modulo five a book is no zip, has its sheet cut off near the end, has a
+    number nobody can read in every thousandth line, is empty, or is as it should be.
+    """
+    lines = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % LINE_BOOKS).alias("book"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"
+    )
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        number = key[0].as_py()
+        path = f"{folder}/lines{number}.xlsx"
+        sheet = {1: {c: Cell("s", f"column {c}") for c in range(1, 11)}}
+        for n, r in enumerate(rows.to_pylist(), 1):
+            bad = number % 5 == 2 and n % 1000 == 0
+            values = [r["l_orderkey"], r["l_linenumber"], r["l_partkey"], "1x2" if bad else r["l_suppkey"], r["l_quantity"]]
+            sheet[n + 1] = {c: Cell("n", str(v)) for c, v in enumerate(values * 2, 1)}
+            if bad:
+                sheet[n + 1][9] = Cell("n", "1")
+        data = workbook([("lines", sheet)])
+        if number % 5 == 0:
+            data = b"no workbook"
+        elif number % 5 == 1:
+            data = cut_part(data, "xl/worksheets/sheet1.xml", 0.95)
+        elif number % 5 == 3:
+            data = b""
+        fs, inner = filesystem(path)
+        with fs.open_output_stream(inner) as out:
+            out.write(data)
+        return pa.table({"file": [path]})
+
+    fs, inner = filesystem(folder)
+    fs.create_dir(inner, recursive=True)
+    return lines.groupBy("book").applyInArrow(write, "file string").count()
+
+
+def part_files(spark: SparkSession, sf_dir: str, folder: str) -> int:
+    """Write a file per part, of as many bytes as its key modulo 49; every tenth is a lock file."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+
+    def write(batches):
+        for batch in batches:
+            for key, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                deep = f"{folder}/a{key % 3}/b{size % 7}"
+                fs, inner = filesystem(deep)
+                fs.create_dir(inner, recursive=True)
+                lock = "~$" if key % 10 == 0 else ""
+                with fs.open_output_stream(f"{inner}/{lock}part{key}.{'XLSX' if key % 2 else 'xlsx'}") as out:
+                    out.write(b"x" * (key % 49))
+            yield batch.select(["p_partkey"])
+
+    return parts.mapInArrow(write, "p_partkey bigint").count()
+
+
+def typed_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sheet per kind of event with dates, times of a day, whole numbers above 2^53, truth values and amounts."""
+    events = table(spark, sf_dir, "events")
+    keys = [
+        F.lit("typed").alias("file"),
+        F.length("event_type").cast("bigint").alias("sheet_idx"),
+        F.col("event_type").alias("sheet"),
+    ]
+    number = F.col("event_id")
+    hour = F.lpad((number % 24).cast("string"), 2, "0")
+    day = F.lpad((number % 28 + 1).cast("string"), 2, "0")
+    body = events.select(
+        *keys,
+        *_row(
+            number + 2,
+            cell(F.concat(F.lit("2024-02-"), day, F.lit(" "), hour, F.lit(":30:00")), "d", "yyyy-mm-dd"),
+            cell(F.concat(hour, F.lit(":15:00")), "d", "h:mm"),
+            cell(number + F.lit(9_007_199_254_740_993), "n", "0"),
+            cell(F.when(number % 2 == 0, "TRUE").otherwise("FALSE"), "b"),
+            cell((number / 8).cast("decimal(20,3)"), "n", "0.00"),
+        ),
+    )
+    heads = events.select(*keys).distinct()
+    header = heads.select("file", "sheet_idx", "sheet", *_row(1, *[text(c) for c in TYPED]))
+    return _union([body, header])
+
+
+TYPED = ("moment", "clock", "number", "truth", "amount")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

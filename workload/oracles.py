@@ -265,6 +265,20 @@ UNION ALL SELECT event_id, 1, event_type, 'kind', false FROM events"""
     o["default_targets"] = """WITH h AS (SELECT CASE event_type WHEN 'signup' THEN 'Email' WHEN 'purchase' THEN 'Amount' WHEN 'view' THEN concat('Date', user_id % 2) WHEN 'click' THEN 'Name' ELSE 'id' END AS header FROM events),
 s AS (SELECT * FROM (VALUES (0,'ID'),(1,'Name'),(2,'Email'),(3,'Phone'),(4,'Address'),(5,'Date'),(6,'Amount'),(7,'Description')) d(pos, target))
 SELECT CAST(pos AS BIGINT) AS pos, target, count(header) AS headers FROM s LEFT JOIN h ON header = target GROUP BY pos, target"""
+    o["default_targets"] = o["default_targets"].replace("SELECT CAST(pos", """, l AS (SELECT 'none' AS list, pos, target FROM s UNION ALL
+  SELECT 'own', row_number() OVER (ORDER BY p_type) - 1, p_type FROM (SELECT DISTINCT p_type FROM part))
+SELECT list, CAST(pos""").replace("FROM s LEFT JOIN h ON header = target GROUP BY pos", "FROM l LEFT JOIN h ON header = target GROUP BY list, pos")
+    o["file_inventory"] = """SELECT concat('part', p_partkey, CASE WHEN p_partkey % 2 = 1 THEN '.XLSX' ELSE '.xlsx' END) AS name, p_partkey % 49 AS length,
+  CASE WHEN p_partkey % 49 = 0 THEN 'empty' END AS audit FROM part WHERE p_partkey % 10 <> 0"""
+    o["decode_rejects"] = """WITH b AS (SELECT l_suppkey % 25 AS k, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT concat('lines', k, '.xlsx') AS file, CAST(CASE WHEN k % 5 IN (2, 4) THEN n + 1 ELSE 0 END AS BIGINT) AS rows,
+  CAST(CASE WHEN k % 5 = 2 THEN n // 1000 ELSE 0 END AS BIGINT) AS errors, CAST(CASE WHEN k % 5 IN (2, 4) THEN 0 ELSE 1 END AS BIGINT) AS rejects FROM b"""
+    o["mapping_round_trip"] = """SELECT concat(kind, ' "h', event_id) AS scanned, CASE WHEN event_id % 5 <> 0 THEN concat('T', event_id % 8) END AS target,
+  event_id % 5 = 0 AS is_ignored FROM events, (VALUES ('a'), ('b')) k(kind)"""
+    o["typed_values"] = """SELECT 'typed' AS file, event_type AS sheet, event_id + 2 AS target_row,
+  concat('2024-02-', lpad(CAST(event_id % 28 + 1 AS VARCHAR), 2, '0'), ' ', lpad(CAST(event_id % 24 AS VARCHAR), 2, '0'), ':30:00') AS moment,
+  concat(lpad(CAST(event_id % 24 AS VARCHAR), 2, '0'), ':15:00') AS clock, event_id + 9007199254740993 AS number, event_id % 2 = 0 AS truth,
+  event_id / 8.0 AS amount FROM events"""
     o["target_layout"] = f"WITH {header_ctes(CONVERSATION_CELLS)} SELECT file, sheet, col AS target_col, raw AS target FROM headers"
 
     o["sheet_bounds"] = f"WITH {bounds_ctes(ALL_CELLS)} SELECT * FROM bounds"
@@ -285,6 +299,8 @@ SELECT b.*, CAST(coalesce(stop, header_row) AS BIGINT) AS table_end_row FROM bou
     o["header_classes"] = f"""{headed} SELECT file, sheet, col, header, class,
   CASE WHEN header IS NOT NULL THEN {FIRST} = 1 END AS is_new FROM headers"""
     o["scan_headers"] = f"{headed} SELECT DISTINCT header FROM headers WHERE header IS NOT NULL"
+    o["header_list_round_trip"] = f"""{headed} SELECT row_number() OVER (ORDER BY header) - 1 AS pos, header
+FROM (SELECT DISTINCT header FROM headers WHERE header IS NOT NULL)"""
     o["header_provenance"] = f"""{headed}, placed AS (SELECT *, {FIRST} AS n FROM headers WHERE header IS NOT NULL),
 changed AS (SELECT header, raw AS first_original FROM placed WHERE raw <> header QUALIFY {FIRST} = 1),
 counts AS (SELECT header, count(*) AS occurrences FROM placed GROUP BY header)
@@ -292,6 +308,7 @@ SELECT p.header, file AS first_file, sheet AS first_sheet, CAST(row AS BIGINT) A
 FROM placed p JOIN counts USING (header) LEFT JOIN changed USING (header) WHERE n = 1"""
     o["scan_stats_sheet"] = f"{headed} {SHEET_STATS}"
     o["scan_stats_file"] = f"{headed}, sheet_stats AS ({SHEET_STATS}) {FILE_STATS}"
+    o["stats_append"] = f"{headed}, sheet_stats AS ({SHEET_STATS}), f AS ({FILE_STATS}) SELECT f.*, run FROM f, (VALUES ('first'), ('second')) r(run)"
     o["scan_stats_total"] = f"""{headed}, sheet_stats AS ({SHEET_STATS}), file_stats AS ({FILE_STATS})
 SELECT count(*) AS files_processed, CAST(0 AS BIGINT) AS files_with_errors, CAST(sum(sheets_processed) AS BIGINT) AS sheets_processed,
   CAST(sum(sheets_with_errors) AS BIGINT) AS sheets_with_errors, CAST(sum(headers_found) AS BIGINT) AS headers_found,
@@ -317,6 +334,7 @@ SELECT *, total - mapped - ignored - suggested AS unmapped FROM n"""
 SELECT t.target, count(scanned) AS headers, min(scanned) AS first_header, max(scanned) AS last_header FROM t LEFT JOIN normal USING (target) GROUP BY t.target"""
     still_open = f"SELECT p_partkey AS pos, p_name AS header FROM part WHERE p_name NOT IN (SELECT scanned FROM ({PART_MAPPING}) m)"
     o["unmapped_headers"] = still_open
+    o["unmapped_report"] = still_open
     o["unmapped_counts"] = f"""SELECT (SELECT count(*) FROM part) AS total, (SELECT count(DISTINCT scanned) FROM ({PART_MAPPING}) m) AS decided,
   (SELECT count(*) FROM ({still_open}) u) AS unmapped"""
     o["append_targets"] = f"""SELECT 0 AS part, p_partkey AS pos, p_type AS target FROM part UNION ALL
@@ -358,15 +376,20 @@ FROM formatted WHERE {any_data(columns)}"""
     o["drop_empty_rows"] = f"WITH {format_ctes(ORDER_CELLS, NARROW)} {renumbered(NARROW)}"
     o["format_all"] = f"{whole} {renumbered(LAYOUT)}"
     o["sink_round_trip"] = o["format_all"]
+    o["sheets_by_folder"] = f"""WITH {bounds_ctes(CONVERSATION_CELLS)},
+named AS (SELECT c.file, c.sheet, c.row, max(CASE WHEN c.col = 1 THEN value END) AS speaker, max(CASE WHEN c.col = 2 THEN value END) AS words
+  FROM cells c JOIN bounds b ON b.file = c.file AND b.sheet = c.sheet WHERE c.row > header_row GROUP BY ALL)
+SELECT file, sheet, 1 + row_number() OVER (PARTITION BY file, sheet ORDER BY row) AS target_row, speaker, words FROM named
+WHERE {has_text('speaker')} OR {has_text('words')}"""
     o["fill_rows"] = f"""{whole}, every AS (SELECT file, sheet, unnest(range(2, 1 + max_row - header_row + 1)) AS target_row FROM bounds)
 SELECT file, sheet, target_row, {', '.join(LAYOUT)} FROM every LEFT JOIN formatted USING (file, sheet, target_row)"""
     o["format_extent"] = f"WITH {bounds_ctes(ALL_CELLS)} SELECT file, sheet, greatest(7, 2 + max_row - header_row) AS last_target_row FROM bounds"
-    o["typed_columns"] = f"""{whole} SELECT file, sheet, target_row, CAST(part_id AS DOUBLE) AS part_id, TRY_CAST(supplier_id AS DOUBLE) AS supplier_id,
-  TRY_CAST(qty AS DOUBLE) AS qty, flag, note FROM formatted"""
-    o["column_formats"] = f"""{whole}, used AS (SELECT target, dtype, nf FROM copied WHERE {COPIED}),
+    o["typed_columns"] = f"""{whole} SELECT file, sheet, target_row, CAST(part_id AS BIGINT) AS part_id, TRY_CAST(supplier_id AS BIGINT) AS supplier_id,
+  TRY_CAST(qty AS BIGINT) AS qty, flag, note FROM formatted"""
+    o["column_formats"] = f"""{whole}, used AS (SELECT target, dtype, nf, regexp_matches(value, '^-?[0-9]+$') AS whole FROM copied WHERE {COPIED}),
 nfs AS (SELECT target, nf, count(*) AS n FROM used WHERE nf <> 'General' GROUP BY target, nf),
 best AS (SELECT target, nf FROM nfs QUALIFY row_number() OVER (PARTITION BY target ORDER BY n DESC, nf) = 1)
-SELECT u.target, CASE WHEN min(dtype) = max(dtype) AND min(dtype) = 'n' THEN 'double' ELSE 'string' END AS column_type,
+SELECT u.target, CASE WHEN min(dtype) = 'n' AND max(dtype) = 'n' THEN CASE WHEN bool_and(whole) THEN 'bigint' ELSE 'double' END ELSE 'string' END AS column_type,
   any_value(best.nf) AS number_format, count(*) AS cells FROM used u LEFT JOIN best USING (target) GROUP BY u.target"""
     columns = ("part_id", "column_2", "supplier_id", "flag", "note", "flag_6")
     o["template_overlay"] = f"""WITH {format_ctes(ORDER_CELLS, ('part_id', 'supplier_id', 'flag', 'note'), 2)}, {_TEMPLATE},
@@ -387,7 +410,7 @@ SELECT b.file, b.sheet, CAST(3 AS BIGINT) AS columns_processed, coalesce(mapped,
 FROM bounds b LEFT JOIN counts USING (file, sheet) LEFT JOIN maps USING (file, sheet)"""
     o["rejects"] = f"WITH {plan_ctes(ALL_CELLS)}, {REJECTS} SELECT * FROM rejects"
     o["batch_summary"] = f"""WITH {plan_ctes(ALL_CELLS)}, {REJECTS},
-status AS (SELECT DISTINCT file, CASE WHEN file IN (SELECT file FROM rejects) THEN 'error' ELSE 'success' END AS status FROM bounds)
+status AS (SELECT DISTINCT file, CASE WHEN file IN (SELECT file FROM rejects WHERE reason <> 'no header') THEN 'error' ELSE 'success' END AS status FROM bounds)
 SELECT status, count(*) AS files FROM status GROUP BY status"""
     o["output_names"] = rf"""WITH {bounds_ctes(ALL_CELLS)},
 n AS (SELECT file, sheet, concat(regexp_replace(regexp_extract(file, '[^/]*$', 0), '(.)[.][^.]*$', '\1'), '-', sheet) AS output FROM bounds)

@@ -23,9 +23,9 @@ from tabrecover.plans.blocks import blocked
 from tabrecover.plans.checkpoints import checkpoint_dir, stored
 from tabrecover.sinks import writers as W
 from tabrecover.sources.files import list_files
-from tabrecover.sources.lists import clean_lines, default_targets as seed_targets, mapping_entries
+from tabrecover.sources.lists import clean_lines, mapping_entries, read_lines, read_mapping, read_targets
 from tabrecover.sources.tables import table_to_grid
-from tabrecover.sources.workbook import decode_workbooks, grid_of
+from tabrecover.sources.workbook import decode_workbooks, grid_of, rejects_of
 from workload import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +47,10 @@ def landed(grid: DataFrame) -> DataFrame:
 
 @query
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_files(spark, [sf_dir], ".parquet").select("name", "length", "audit")
+    """Files written from the parts, some empty and some locks, in folders of three levels, found again."""
+    folder = f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    X.part_files(spark, sf_dir, folder)
+    return list_files(spark, [folder]).select("name", "length", "audit")
 
 
 @query
@@ -60,6 +63,19 @@ def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.withColumn("file", F.element_at(F.split("file", "/"), -1))
 
 
+@query
+def decode_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per workbook of order lines: rows read, cells in error, and sheets or files rejected."""
+    folder = f"{checkpoint_dir(spark)}/books-{uuid.uuid4().hex}"
+    X.line_workbooks(spark, sf_dir, folder)
+    decoded = stored(decode_workbooks(list_files(spark, [folder])))
+    errors = F.size(F.filter("cells.dtype", lambda t: t == "e")).cast("bigint")
+    rows = grid_of(decoded).select("file", F.lit(1).alias("rows"), errors.alias("errors"), F.lit(0).alias("rejects"))
+    rejects = rejects_of(decoded).select("file", F.lit(0).alias("rows"), F.lit(0).cast("bigint").alias("errors"), F.lit(1).alias("rejects"))
+    name = F.element_at(F.split("file", "/"), -1).alias("file")
+    return rows.unionByName(rejects).groupBy(name).agg(*[F.sum(c).alias(c) for c in ("rows", "errors", "rejects")])
+
+
 @query
 def table_to_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = X.table(spark, sf_dir, "events")
@@ -99,7 +115,12 @@ def default_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = X.table(spark, sf_dir, "events").select(header.alias("target"))
     counts = found.groupBy("target").agg(F.count(F.lit(1)).alias("headers"))
-    return seed_targets(spark).join(counts, "target", "left").fillna(0, ["headers"])
+    # Nothing lies at the first path, so the list of a new project is read; at the other lie the parts' types.
+    folder = f"{checkpoint_dir(spark)}/targets-{uuid.uuid4().hex}"
+    W.write_lines(X.table(spark, sf_dir, "part").select(F.col("p_type").alias("header")).distinct(), f"{folder}/own")
+    lists = [read_targets(spark, f"{folder}/{name}").withColumn("list", F.lit(name)) for name in ("none", "own")]
+    both = lists[0].unionByName(lists[1])
+    return both.join(counts, "target", "left").fillna(0, ["headers"]).select("list", "pos", "target", "headers")
 
 
 @query
@@ -207,6 +228,22 @@ def normalize_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.normalize_mapping(X.event_mapping(spark, sf_dir))
 
 
+@query
+def mapping_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two entries per event, a header each, written as one document, read and normalised."""
+    number = F.col("event_id")
+    entries = X.table(spark, sf_dir, "events").select(number, F.explode(F.array(F.lit("a"), F.lit("b"))).alias("kind"))
+    ignored = number % 5 == 0
+    entries = entries.select(
+        F.concat("kind", F.lit(" \"h"), number).alias("scanned"),
+        F.when(~ignored, F.concat(F.lit("T"), number % 8)).alias("target"),
+        ignored.alias("is_ignored"),
+    )
+    path = f"{checkpoint_dir(spark)}/mapping-{uuid.uuid4().hex}"
+    W.write_mapping(entries, path)
+    return M.normalize_mapping(read_mapping(spark, path))
+
+
 def _part_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.normalize_mapping(X.part_mapping(spark, sf_dir))
 
@@ -416,6 +453,21 @@ def typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.typed_rows(Fm.as_columns(rows, o.layout), T.column_types(T.column_formats(profile)))
 
 
+@query
+def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates, times, large whole numbers, truth values and amounts in the types that hold them."""
+    layout = Fm.Layout(X.TYPED)
+    names = spark.createDataFrame([(k, n, n, False) for k, n in enumerate(X.TYPED)], "ord int, scanned string, target string, is_ignored boolean")
+    grid = landed(X.typed_grid(spark, sf_dir))
+    bounds = stored(B.sheet_bounds(grid))
+    headers = H.clean_headers(H.sheet_headers(grid, bounds))
+    applicable = Fm.applicable_mappings(H.input_headers(headers), M.normalize_mapping(names), layout)
+    plans = stored(Fm.sheet_plans(bounds, applicable, layout))
+    types = T.column_types(T.column_formats(T.column_profile(Fm.project_cells(grid, plans, layout), layout)))
+    rows = T.typed_rows(Fm.format_sheets(grid, plans, layout, renumber=False), types)
+    return rows.withColumn("moment", F.date_format("moment", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query
 def column_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _ready(spark, sf_dir)
@@ -466,3 +518,47 @@ def sink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/sheets-{uuid.uuid4().hex}"
     W.write_sheets(rows, path, folder_per_sheet=False)
     return W.read_sheets(spark, path, rows.schema)
+
+
+@query
+def header_list_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sorted header list written as lines and read with its places."""
+    path = f"{checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    W.write_lines(scan_headers(spark, sf_dir), path)
+    return read_lines(spark, path)
+
+
+@query
+def unmapped_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers without an entry, written as a report and read back."""
+    rows = unmapped_headers(spark, sf_dir)
+    path = f"{checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    W.write_report(rows, path)
+    return spark.read.schema(rows.schema).options(**W.CSV_OPTIONS).csv(path)
+
+
+@query
+def stats_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File statistics of two runs in one table."""
+    stats = stored(scan_stats_file(spark, sf_dir))
+    path = f"{checkpoint_dir(spark)}/stats-{uuid.uuid4().hex}"
+    for run in ("first", "second"):
+        W.append_stats(stats, path, run)
+    return spark.read.parquet(path)
+
+
+@query
+def sheets_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation sheets formatted, written to a folder per sheet and read back."""
+    layout = Fm.Layout(("speaker", "words"))
+    grid = landed(X.conversation_grid(spark, sf_dir))
+    bounds = stored(B.sheet_bounds(grid))
+    headers = H.clean_headers(H.sheet_headers(grid, bounds))
+    names = [(0, "Role", "speaker", False), (1, "Text (note)", "words", False), (2, "Text", "words", False)]
+    mapping = spark.createDataFrame(names, "ord int, scanned string, target string, is_ignored boolean")
+    applicable = Fm.applicable_mappings(H.input_headers(headers), M.normalize_mapping(mapping), layout)
+    plans = stored(Fm.sheet_plans(bounds, applicable, layout))
+    rows = Fm.format_sheets(grid, plans, layout)
+    path = f"{checkpoint_dir(spark)}/sheets-{uuid.uuid4().hex}"
+    W.write_sheets(rows, path)
+    return W.read_sheets(spark, path, rows.schema)
