@@ -73,28 +73,33 @@ def run_length(n: int, edits: int) -> int:
     return max(1, -(-(n - edits) // (edits + 1)))
 
 
-def embedded(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, repeat: int) -> np.ndarray:
-    """CGK walks of windows side by side: one row of 2 * size words or more for each window."""
-    steps = 2 * int(sizes.max())
+def sampled(sizes: np.ndarray, repeat: int) -> np.ndarray:
+    """Places of the walk that make the bucket of each size: one row of ``SAMPLES`` for each window."""
+    shares = np.random.default_rng(repeat).random(SAMPLES)
+    return (shares[None, :] * 2 * sizes[:, None]).astype(np.int64)
+
+
+def embedded(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, repeat: int, steps: int) -> np.ndarray:
+    """CGK walks of windows side by side, the first steps of each; ``sizes`` are the words they have."""
     out = np.full((len(starts), steps), _PAD)
     at = np.zeros(len(starts), np.int64)
     last = len(tokens) - 1
     for step in range(steps):
-        place = starts + at
-        word = np.where((at < sizes) & (place <= last), tokens[np.minimum(place, last)], _PAD)
+        word = np.where(at < sizes, tokens[np.minimum(starts + at, last)], _PAD)
         out[:, step] = word
         salt = (repeat * 0x1000003 + step * 0x9E3779B1 + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
         at += (mixed(word ^ np.uint64(salt)) & np.uint64(1)).astype(np.int64)
     return out
 
 
-def buckets(walks: np.ndarray, sizes: np.ndarray, repeat: int) -> np.ndarray:
-    """One number per window from the sampled places, which are spread over the window's own size."""
-    rng = np.random.default_rng(repeat)
+def buckets(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray, repeat: int) -> np.ndarray:
+    """One number per window of the size of an item; words from ``ends`` on are not there."""
+    places = sampled(sizes, repeat)
+    walks = embedded(tokens, starts, np.minimum(sizes, ends - starts), repeat, int(places.max()) + 1)
     out = sizes.astype(np.uint64)
     rows = np.arange(len(walks))
-    for share in rng.random(SAMPLES):
-        out = mixed(out + walks[rows, (share * 2 * sizes).astype(np.int64)])
+    for k in range(SAMPLES):
+        out = mixed(out + walks[rows, places[:, k]])
     return out
 
 
@@ -143,8 +148,8 @@ class Items:
         if self.ids:
             tokens = np.concatenate(self.words)
             sizes = np.array([len(w) for w in self.words])
-            starts = np.cumsum(sizes) - sizes
-            self.buckets = [buckets(embedded(tokens, starts, sizes, r), sizes, r) for r in range(REPEATS)]
+            ends = np.cumsum(sizes)
+            self.buckets = [buckets(tokens, ends - sizes, ends, sizes, r) for r in range(REPEATS)]
 
     def windows(self, hashes: np.ndarray) -> set[tuple[int, int]]:
         """(item, start) of every window that keeps a run of its item."""
@@ -158,35 +163,51 @@ class Items:
                     out.update((i, s) for s in range(max(0, start - self.edits[i]), start + self.edits[i] + 1))
         return out
 
-    def leaks(self, hashes: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, edits, first word, number of words) of the best copy of each leaked item."""
-        found = sorted(w for w in self.windows(hashes) if w[1] < len(hashes))
+    def near(self, texts: list[np.ndarray]) -> list[dict[int, np.ndarray]]:
+        """For each text the items with a window in their bucket, and the starts of all their windows."""
+        found = [(t, i, s) for t, hashes in enumerate(texts) for i, s in sorted(self.windows(hashes)) if s < len(hashes)]
+        out: list[dict[int, np.ndarray]] = [{} for _ in texts]
         if not found:
-            return []
-        item = np.array([i for i, _ in found])
-        starts = np.array([s for _, s in found])
+            return out
+        text, item, start = (np.array(c) for c in zip(*found, strict=True))
+        used = np.unique(text)
+        tokens = np.concatenate([texts[t] for t in used])
+        ends = np.zeros(len(texts), np.int64)
+        ends[used] = np.cumsum([len(texts[t]) for t in used])
+        begin = ends - np.array([len(t) for t in texts])
         sizes = np.array([len(self.words[i]) for i in item])
-        near = np.zeros(len(found), bool)
+        # Windows of one text and item stand for each other: once one is near, the others are not embedded any more.
+        pair = np.unique(np.stack([text, item]), axis=1, return_inverse=True)[1].ravel()
+        met = np.zeros(pair.max() + 1, bool)
         for r in range(REPEATS):
-            todo = np.flatnonzero(~near)
+            todo = np.flatnonzero(~met[pair])
             if not len(todo):
                 break
-            walks = embedded(hashes, starts[todo], sizes[todo], r)
-            near[todo] = buckets(walks, sizes[todo], r) == self.buckets[r][item[todo]]
+            own = text[todo]
+            keys = buckets(tokens, begin[own] + start[todo], ends[own], sizes[todo], r)
+            met[pair[todo[keys == self.buckets[r][item[todo]]]]] = True
+        for t, i in np.unique(np.stack([text, item])[:, met[pair]], axis=1).T.tolist():
+            out[t][i] = start[(text == t) & (item == i)]
+        return out
+
+    def leaks(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
+        """For each text (item, edits, first word, number of words) of the best copy of each leaked item."""
         out = []
-        for i in np.unique(item[near]).tolist():
-            words, edits = self.words[i], self.edits[i]
-            best = None
-            own = starts[near & (item == i)]
-            # Windows whose stretches overlap are verified together.
-            for part in np.split(own, np.flatnonzero(np.diff(own) > len(words) + 2 * edits) + 1):
-                first, last = int(part[0]), min(len(hashes), int(part[-1]) + len(words) + edits)
-                distance, end = edit_distance(words, hashes[first:last])
-                if distance <= edits and (best is None or distance < best[0]):
-                    _, size = edit_distance(words[::-1], hashes[first : first + end][::-1])
-                    best = (distance, first + end - size, size)
-            if best:
-                out.append((i, *best))
+        for hashes, near in zip(texts, self.near(texts), strict=True):
+            rows = []
+            for i, starts in near.items():
+                words, edits = self.words[i], self.edits[i]
+                best = None
+                # Windows whose stretches overlap are verified together.
+                for part in np.split(starts, np.flatnonzero(np.diff(starts) > len(words) + 2 * edits) + 1):
+                    first, last = int(part[0]), min(len(hashes), int(part[-1]) + len(words) + edits)
+                    distance, end = edit_distance(words, hashes[first:last])
+                    if distance <= edits and (best is None or distance < best[0]):
+                        _, size = edit_distance(words[::-1], hashes[first : first + end][::-1])
+                        best = (distance, first + end - size, size)
+                if best:
+                    rows.append((i, *best))
+            out.append(rows)
         return out
 
 
@@ -235,10 +256,10 @@ def _search(shared, rate: float, source: DataFrame, items: DataFrame):
         index = None
         for batch in batches:
             index = index or Items(shared.value, rate)
+            texts = [word_hashes(plain_words(t)) for t in batch.column("text").to_pylist()]
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for i, edits, first, n in index.leaks(word_hashes(plain_words(text))):
-                    rows.append((doc, index.ids[i], edits, len(index.words[i]), first, n))
+            for doc, found in zip(batch.column("doc_id").to_pylist(), index.leaks(texts), strict=True):
+                rows += [(doc, index.ids[i], edits, len(index.words[i]), first, n) for i, edits, first, n in found]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names
@@ -268,7 +289,7 @@ def _without(shared, rate: float, text_col: str):
         index = None
         for batch in batches:
             index = index or Items(shared.value, rate)
-            clean = [not index.leaks(word_hashes(plain_words(t))) for t in batch.column(text_col).to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            texts = [word_hashes(plain_words(t)) for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array([not found for found in index.leaks(texts)], pa.bool_()))
 
     return run
