@@ -27,8 +27,8 @@ from tabrecover.llm.vocab import pre_tokens, vocabulary
 
 #: Bytes of text in a block: bounds the memory of a task, and more text per block means fewer rows to shuffle.
 BLOCK_BYTES = 32 << 20
-#: Pre-tokens encoded in one call.
-CALL = 8192
+#: Numbers of pieces a task holds before it sends them back to their blocks.
+HELD = 2_000_000
 
 _BLOCK = "block long, ids array<long>, sizes array<long>, parts array<string>, matrix binary"
 
@@ -40,14 +40,22 @@ def _packed(rows: list[np.ndarray]) -> bytes:
         found, freq = np.unique(columns, return_counts=True)
         steps = np.diff(found, prepend=0).astype(np.uint32)
         out.append(np.array([len(found)], np.uint32).tobytes() + steps.tobytes() + freq.astype(np.uint32).tobytes())
-    # Bytes of equal weight side by side compress far better.
-    raw = np.frombuffer(b"".join(out), np.uint8).reshape(-1, 4).T
+    return _zipped(np.frombuffer(b"".join(out), np.uint32))
+
+
+def _zipped(values: np.ndarray) -> bytes:
+    """Small whole numbers; bytes of equal weight side by side compress far better."""
+    raw = np.ascontiguousarray(values, np.uint32).view(np.uint8).reshape(-1, 4).T
     return zlib.compress(np.ascontiguousarray(raw).tobytes(), 1)
 
 
+def _unzipped(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T
+    return np.ascontiguousarray(raw).view(np.uint32).ravel().astype(np.int64)
+
+
 def _sums(matrix: bytes, weights: np.ndarray, n: int) -> list[int]:
-    raw = np.frombuffer(zlib.decompress(matrix), np.uint8).reshape(4, -1).T
-    values = np.ascontiguousarray(raw).view(np.uint32).ravel().astype(np.int64)
+    values = _unzipped(matrix)
     out, at = [], 0
     for _ in range(n):
         k = int(values[at])
@@ -98,9 +106,27 @@ def _blocks(limit: int):
 
 
 def _counted(path: str):
+    """Pieces of sorted pre-tokens, sent back as packed places and numbers for each block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         last, pieces = None, 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n_held = 0
+
+        def packed() -> pa.RecordBatch:
+            block, place, count = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((place, block))
+            block, place, count = block[order], place[order], count[order]
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            rows = [
+                (int(b[0]), _zipped(np.diff(p, prepend=0)), _zipped(c))
+                for b, p, c in zip(*(np.split(x, starts[1:]) for x in (block, place, count)), strict=True)
+            ]
+            types = [pa.int64(), pa.binary(), pa.binary()]
+            columns = zip(zip(*rows, strict=True), types, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["block", "places", "pieces"])
+
         for batch in batches:
             parts = batch.column("part").to_pylist()
             new = [p for i, p in enumerate(parts) if p != (parts[i - 1] if i else last)]
@@ -110,10 +136,13 @@ def _counted(path: str):
                 if p != last:
                     last, pieces = p, next(counts)
                 out.append(pieces)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("place"), pa.array(out, pa.int32())],
-                names=["block", "place", "pieces"],
-            )
+            held.append((batch.column("block").to_numpy(), batch.column("place").to_numpy(), np.array(out, np.int64)))
+            n_held += len(out)
+            if n_held >= HELD:
+                yield packed()
+                held, n_held = [], 0
+        if held:
+            yield packed()
 
     return run
 
@@ -129,11 +158,13 @@ def token_counts(
     blocks = stored(source.mapInArrow(_blocks(block_bytes), _BLOCK))
     lists = blocks.select("block", F.posexplode("parts").alias("place", "part"))
     lists = lists.repartition("part").sortWithinPartitions("part")
-    pieces = lists.mapInArrow(_counted(vocab_path), "block long, place int, pieces int")
+    pieces = lists.mapInArrow(_counted(vocab_path), "block long, places binary, pieces binary")
 
     def summed(block: pa.Table, found: pa.Table) -> pa.Table:
-        weights = np.zeros(found.num_rows, np.int64)
-        weights[found.column("place").to_numpy()] = found.column("pieces").to_numpy()
+        places = [np.cumsum(_unzipped(p)) for p in found.column("places").to_pylist()]
+        weights = np.zeros(sum(map(len, places)), np.int64)
+        for place, count in zip(places, found.column("pieces").to_pylist(), strict=True):
+            weights[place] = _unzipped(count)
         ids = block.column("ids").to_pylist()[0]
         return pa.table(
             {
