@@ -23,7 +23,8 @@ def sheet_headers(grid: DataFrame, bounds: DataFrame, keys: Sequence[str] = SHEE
     """
     at = [*keys, "block"]
     header_rows = bounds.select(*keys, block_of(F.col("header_row")).alias("block"), "header_row")
-    found = blocked(grid).join(header_rows, at).filter(F.col("row") == F.col("header_row"))
+    # Written as a difference, or the optimiser would take the row as a join key and deal the grid out anew.
+    found = blocked(grid).join(header_rows, at).filter(F.col("row") - F.col("header_row") == 0)
     filled_at = F.transform(
         F.col("cells.value"), lambda v, i: F.when(F.coalesce(v, F.lit("")) != "", i + 1).otherwise(0)
     )

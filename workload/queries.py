@@ -37,9 +37,18 @@ def query(make: Query) -> Query:
     return make
 
 
-def landed(grid: DataFrame) -> DataFrame:
-    """The grid stored as decoding leaves it: the rows of a sheet block in one place."""
-    return stored(blocked(grid).repartition("file", "sheet", "block"))
+_LANDED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def landed(spark: SparkSession, sf_dir: str, make: Query) -> DataFrame:
+    """A fixture's grid stored as decoding leaves it, the rows of a sheet block in one place.
+
+    A session stores each grid once, as a run of several jobs does.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+    if key not in _LANDED:
+        _LANDED[key] = stored(blocked(make(spark, sf_dir)).repartition("file", "sheet", "block"))
+    return _LANDED[key]
 
 
 # --- sources ---------------------------------------------------------------
@@ -134,19 +143,19 @@ def target_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sheet_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.sheet_bounds(X.whole_grid(spark, sf_dir))
+    return B.sheet_bounds(landed(spark, sf_dir, X.whole_grid))
 
 
 @query
 def table_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ends with a tolerance of two rows on conversations, and of thirty on events in small blocks."""
-    small, large = X.conversation_grid(spark, sf_dir), X.event_grid(spark, sf_dir)
+    small, large = landed(spark, sf_dir, X.conversation_grid), landed(spark, sf_dir, X.event_grid)
     ends = B.table_end(small, B.sheet_bounds(small), 2)
     return ends.unionByName(B.table_end(large, B.sheet_bounds(large), 30, row_block=1024))
 
 
 def _headers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    grid = landed(X.whole_grid(spark, sf_dir))
+    grid = landed(spark, sf_dir, X.whole_grid)
     bounds = stored(B.sheet_bounds(grid))
     return bounds, H.clean_headers(H.sheet_headers(grid, bounds))
 
@@ -383,11 +392,11 @@ class Orders:
 
 
 def _orders(spark: SparkSession, sf_dir: str, layout: Fm.Layout = Fm.Layout(X.LAYOUT)) -> Orders:
-    return _planned(spark, X.order_grid(spark, sf_dir), layout)
+    return _planned(spark, sf_dir, X.order_grid, layout)
 
 
-def _planned(spark: SparkSession, grid: DataFrame, layout: Fm.Layout) -> Orders:
-    grid = landed(grid)
+def _planned(spark: SparkSession, sf_dir: str, make: Query, layout: Fm.Layout) -> Orders:
+    grid = landed(spark, sf_dir, make)
     bounds = stored(B.sheet_bounds(grid))
     headers = H.clean_headers(H.sheet_headers(grid, bounds))
     normalized = M.normalize_mapping(X.order_mapping(spark))
@@ -458,7 +467,7 @@ def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates, times, large whole numbers, truth values and amounts in the types that hold them."""
     layout = Fm.Layout(X.TYPED)
     names = spark.createDataFrame([(k, n, n, False) for k, n in enumerate(X.TYPED)], "ord int, scanned string, target string, is_ignored boolean")
-    grid = landed(X.typed_grid(spark, sf_dir))
+    grid = landed(spark, sf_dir, X.typed_grid)
     bounds = stored(B.sheet_bounds(grid))
     headers = H.clean_headers(H.sheet_headers(grid, bounds))
     applicable = Fm.applicable_mappings(H.input_headers(headers), M.normalize_mapping(names), layout)
@@ -495,13 +504,13 @@ def format_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _planned(spark, X.whole_grid(spark, sf_dir), Fm.Layout(X.LAYOUT))
+    o = _planned(spark, sf_dir, X.whole_grid, Fm.Layout(X.LAYOUT))
     return R.sheet_rejects(H.sheet_scan_stats(o.bounds, o.headers), o.plans)
 
 
 @query
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _planned(spark, X.whole_grid(spark, sf_dir), Fm.Layout(X.LAYOUT))
+    o = _planned(spark, sf_dir, X.whole_grid, Fm.Layout(X.LAYOUT))
     found = R.sheet_rejects(H.sheet_scan_stats(o.bounds, o.headers), o.plans)
     return R.batch_summary(o.bounds, found)
 
@@ -551,7 +560,7 @@ def stats_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sheets_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation sheets formatted, written to a folder per sheet and read back."""
     layout = Fm.Layout(("speaker", "words"))
-    grid = landed(X.conversation_grid(spark, sf_dir))
+    grid = landed(spark, sf_dir, X.conversation_grid)
     bounds = stored(B.sheet_bounds(grid))
     headers = H.clean_headers(H.sheet_headers(grid, bounds))
     names = [(0, "Role", "speaker", False), (1, "Text (note)", "words", False), (2, "Text", "words", False)]
