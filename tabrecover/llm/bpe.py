@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabrecover.llm.common import tidied
 from tabrecover.llm.vocab import Vocabulary, vocabulary
 
 #: Texts above this size are encoded in parts, each of at most LEAF_CHARS characters.
@@ -188,6 +189,7 @@ def encode(
         for batch in batches:
             ids = vocab.ids([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_outputs(vocab, ids, outputs)], names=names)
+        vocab.forget()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
@@ -228,12 +230,12 @@ def encode(
     is_long = F.coalesce(F.octet_length("text"), F.lit(0)) > long_bytes
     # The key tells equal rows apart; it is made once, before the parts are dealt out.
     long = source.filter(is_long).select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
-    parts = long.mapInArrow(cut, "key long, doc_id long, place int, level int, kind int, part string")
+    parts = long.mapInArrow(tidied(cut), "key long, doc_id long, place int, level int, kind int, part string")
     sides = parts.repartition("key", "place").mapInArrow(
-        encoded, "key long, doc_id long, place int, level int, kind int, ids binary, head int, tail int"
+        tidied(encoded), "key long, doc_id long, place int, level int, kind int, ids binary, head int, tail int"
     )
     whole = sides.groupBy("key").applyInArrow(grown, schema)
-    return source.filter(~is_long).mapInArrow(short, schema).unionByName(whole)
+    return source.filter(~is_long).mapInArrow(tidied(short), schema).unionByName(whole)
 
 
 def decode(rows: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -246,4 +248,4 @@ def decode(rows: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: st
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     source = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
-    return source.mapInArrow(run, "doc_id long, text string")
+    return source.mapInArrow(tidied(run), "doc_id long, text string")

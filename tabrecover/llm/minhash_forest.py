@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabrecover.llm.common import stored
+from tabrecover.llm.common import stored, tidied
 from tabrecover.llm.components import components
 from tabrecover.llm.shingles import shingle_set
 from tabrecover.plans.joins import salted_join
@@ -150,12 +150,12 @@ def _candidates(forest: DataFrame) -> DataFrame:
     """``a, b``: pairs of nodes that meet in some tree."""
     order = ["tree", "label", "node"]
     spread = forest.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = stored(spread.mapInArrow(_neighbours(True), _PAIRS_SQL))
+    found = stored(spread.mapInArrow(tidied(_neighbours(True)), _PAIRS_SQL))
     inner = found.filter(F.col("a").isNotNull()).select("a", "b")
     # A region meets here with the few rows that borders cut from it, once for each partition it spans.
     seams = found.filter(F.col("a").isNull()).select(*order)
     seams = seams.repartition("tree", F.substring("label", 1, 4 * LEAST)).sortWithinPartitions(*order)
-    across = seams.mapInArrow(_neighbours(False), _PAIRS_SQL).select("a", "b")
+    across = seams.mapInArrow(tidied(_neighbours(False)), _PAIRS_SQL).select("a", "b")
     return inner.unionByName(across).distinct()
 
 
@@ -259,7 +259,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     full = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return full.select("a", "b", "text_a", "text_b").mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -272,7 +272,7 @@ def near_duplicates(
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(
-        source.mapInArrow(_signed, "doc_id long, n_shingles long, high long, low long, labels binary")
+        source.mapInArrow(tidied(_signed), "doc_id long, n_shingles long, high long, low long, labels binary")
     )
     has_set = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     with_set = signed.filter(has_set)
@@ -296,7 +296,7 @@ def near_duplicates(
     member = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     crowds = _crowds(forest, nodes, member)
     crowds = crowds.repartition("tree", "start").sortWithinPartitions("tree", "start", "node")
-    more = crowds.mapInArrow(_strangers(percent), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+    more = crowds.mapInArrow(tidied(_strangers(percent)), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
     links = links.unionByName(linked(stored(more)))
     member = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.join(member, "node", "left")
@@ -324,5 +324,5 @@ def signed_texts(source: DataFrame, wanted: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     rows = source.join(wanted.select("doc_id", "high"), "doc_id")
-    rows = rows.select("doc_id", "text", "high").mapInArrow(run, "doc_id long, text string, high long")
+    rows = rows.select("doc_id", "text", "high").mapInArrow(tidied(run), "doc_id long, text string, high long")
     return rows.dropDuplicates(["doc_id", "high"]).select(F.col("doc_id").alias("node"), "text")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabrecover.grid import by_name
-from tabrecover.llm.common import stored
+from tabrecover.llm.common import stored, tidied
 from tabrecover.llm.fm_index import FMIndex
 from tabrecover.llm.shingles import rolling, word_hashes, words
 from tabrecover.plans.joins import salted_join
@@ -223,7 +223,7 @@ def _window_hashes(window: int):
 def _crowded(rows: DataFrame, window: int) -> DataFrame:
     """As ``_searched``, for anchors with too many segments for one index."""
     spread = rows.select("high", "low", "owner", "words").mapInArrow(
-        _window_hashes(window), "seg_high long, seg_low long, owner long, place int, high long, low long"
+        tidied(_window_hashes(window)), "seg_high long, seg_low long, owner long, place int, high long, low long"
     )
     spread = stored(spread)
     least = spread.groupBy("high", "low").agg(F.min("owner").alias("least"), F.count(F.lit(1)).alias("n"))
@@ -239,7 +239,7 @@ def _crowded(rows: DataFrame, window: int) -> DataFrame:
                 [batch.column("seg_high"), batch.column("seg_low"), pa.array(places, pa.binary())], names=["high", "low", "removed"]
             )
 
-    return found.mapInArrow(packed, "high long, low long, removed binary")
+    return found.mapInArrow(tidied(packed), "high long, low long, removed binary")
 
 
 def _applied(window: int, as_text: bool, rest: list[str]):
@@ -303,7 +303,7 @@ def remove_repeats(
     if carry:
         others = F.struct(*by_name(carry)).alias("rest")
         whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), others)
-    anchors = stored(source.filter(F.col("doc_id").isNotNull()).mapInArrow(_anchors(window), "doc_id long, anchor long"))
+    anchors = stored(source.filter(F.col("doc_id").isNotNull()).mapInArrow(tidied(_anchors(window)), "doc_id long, anchor long"))
     seen = anchors.groupBy("anchor").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")
     )
@@ -311,11 +311,11 @@ def remove_repeats(
     by_doc = salted_join(anchors, live.select("anchor"), ["anchor"], "left_semi", counts=live)
     by_doc = by_doc.groupBy("doc_id").agg(F.collect_set("anchor").alias("live"))
     joined = whole.join(by_doc, "doc_id", "left")
-    parted = stored(joined.mapInArrow(_parted(window, as_text, rest), _with_rest(_PARTED, whole, rest)))
+    parted = stored(joined.mapInArrow(tidied(_parted(window, as_text, rest)), _with_rest(_PARTED, whole, rest)))
     open_rows = parted.filter(F.col("segments").isNotNull())
 
     texts = open_rows.select("doc_id", "text", "segments").mapInArrow(
-        _segment_texts(window), "anchor long, high long, low long, doc_id long, words binary"
+        tidied(_segment_texts(window)), "anchor long, high long, low long, doc_id long, words binary"
     )
     # Equal segments are one row from here on; the first words are those of all of them.
     distinct = texts.groupBy("anchor", "high", "low").agg(
@@ -329,7 +329,7 @@ def remove_repeats(
         indexed = salted_join(indexed, crowded.select("anchor"), ["anchor"], "left_anti", counts=crowded)
     indexed = indexed.repartition("anchor").sortWithinPartitions("anchor")
     removed = indexed.select("anchor", "high", "low", "owner", "words").mapInArrow(
-        _searched(window, shard_words), "high long, low long, removed binary"
+        tidied(_searched(window, shard_words)), "high long, low long, removed binary"
     )
     if has_crowds:
         rows = salted_join(distinct.drop("n"), crowded.select("anchor"), ["anchor"], "left_semi", counts=crowded)
@@ -344,7 +344,7 @@ def remove_repeats(
     gone = held.filter((F.col("doc_id") > F.col("owner")) | (F.coalesce(F.octet_length("removed"), F.lit(0)) > 0))
     gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("high", "low", of_owner.alias("removed"))).alias("gone"))
     result = open_rows.join(gone, "doc_id", "left").mapInArrow(
-        _applied(window, as_text, rest), _with_rest(_APPLIED, whole, rest)
+        tidied(_applied(window, as_text, rest)), _with_rest(_APPLIED, whole, rest)
     )
     none = F.lit(0).cast("long").alias("n_removed")
     done = parted.filter(F.col("segments").isNull()).select("doc_id", "n_words", none, "kept", *rest)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabrecover.llm.common import stored
+from tabrecover.llm.common import stored, tidied
 
 #: Labelled rows that learning reads at most.
 SAMPLE = 20_000
@@ -160,7 +160,7 @@ def learn_lexicon(sample: DataFrame, min_toxic: int = 4) -> dict[str, float]:
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return {}
-    counts = sample.select("text", "toxic").mapInArrow(_counts, "entry string, toxic long, clean long")
+    counts = sample.select("text", "toxic").mapInArrow(tidied(_counts), "entry string, toxic long, clean long")
     counts = counts.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
     weight = F.log((a + 0.5) / (n1 + 1.0)) - F.log((b + 0.5) / (n0 + 1.0))
@@ -194,7 +194,7 @@ def learn_phrases(sample: DataFrame, lexicon: Lexicon) -> list[str]:
                 [pa.array([p for p, _ in out], pa.string()), pa.array([t for _, t in out], pa.int32())], names=["phrase", "toxic"]
             )
 
-    counts = sample.select("text", "toxic").mapInArrow(pairs, "phrase string, toxic int").groupBy("phrase")
+    counts = sample.select("text", "toxic").mapInArrow(tidied(pairs), "phrase string, toxic int").groupBy("phrase")
     counts = counts.agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
     found = counts.filter((F.col("clean") >= 3) & (F.col("clean") >= 20 * F.col("toxic")))
     return [r["phrase"] for r in found.orderBy(F.desc("clean"), "phrase").limit(PHRASES).collect()]
@@ -216,7 +216,7 @@ def measured(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
                 names=["toxic", "total", "words"],
             )
 
-    return sample.select("toxic", "text").mapInArrow(run, "toxic int, total double, words long")
+    return sample.select("toxic", "text").mapInArrow(tidied(run), "toxic int, total double, words long")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Lexicon:
@@ -264,7 +264,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    return rows.mapInArrow(tidied(run), "doc_id long, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
@@ -276,4 +276,4 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> Dat
             scores = [probability(lexicon, automaton, t) for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array([s < 0.5 for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -63,7 +63,6 @@ class Vocabulary:
             for p in self.pieces
         ]
         self._known: dict[str, bytes] = {}
-        self._counts: dict[str, int] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -83,6 +82,10 @@ class Vocabulary:
         get = known.__getitem__
         return [np.frombuffer(b"".join(map(get, parts)), np.uint32) for parts in cut]
 
+    def forget(self) -> None:
+        """Drop the pre-tokens remembered, at the end of a task."""
+        self._known = {}
+
     def count(self, parts: list[str]) -> list[int]:
         """Number of pieces of each pre-token."""
         return [len(ids) for ids in self.encode(parts)]
