@@ -321,12 +321,12 @@ def test_blocks_are_left_out_but_nothing_is_lost():
     rows = [(i, prose(i, 30, 60) if i < 4000 else prose(i, 30, 60) + " rare words here") for i in range(4010)]
     import pyarrow as pa
 
-    built = bm25._built(pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})).to_pylist()[0]
-    shard = bm25.Shard(built, 30.0)
+    columns = {"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "shard": [0] * len(rows)}
+    shard = bm25.Shard.of(bm25._built(pa.table(columns)).to_batches()[0], 0, 30.0)
     terms, freq, _ = bm25._terms("rare words here w1")
     scored = []
-    whole = shard._blocks
-    shard._blocks = lambda chosen: scored.append(len(chosen)) or whole(chosen)
+    whole = shard._scores
+    shard._scores = lambda runs, weights: scored.append(len(set(shard.run_blocks[runs]))) or whole(runs, weights)
     common = bm25._terms("w1")[0][0]
     ids, _ = shard.best(terms, np.where(terms == common, 0.1, 5.0), 5)
     assert len(ids) == 5 and sum(scored) < shard.n_blocks
