@@ -12,7 +12,8 @@ from the few rows on either side of it.
 Pairs are confirmed on the full sets, and linked sets become components. Then
 regions too large for all their pairs, if they hold several components, compare
 the whole signatures of sets of different components, and pairs that may be
-similar enough are confirmed as well.
+similar enough are confirmed as well. A region of any size is compared whole: it
+is cut into blocks, and each pair of blocks that holds two components is a task.
 
 Documents with equal sets are one node from the start, so a hot text costs one
 row. Defined results: no words means an empty set, linked with nothing; rows
@@ -43,7 +44,7 @@ CROWD, NEXT = 8, 3
 SEAM = 16
 #: Points of a hundred by which two signatures may fall short of the similarity asked for (three deviations and more).
 SLACK = 9
-#: Sets of a crowd whose signatures are compared at a time.
+#: Sets of a block: a larger crowd is compared block against block.
 MEETING = 8192
 
 _rng = np.random.default_rng(20240229)
@@ -160,49 +161,51 @@ def _candidates(forest: DataFrame) -> DataFrame:
 
 
 def likely_pairs(
-    labels: np.ndarray, sizes: np.ndarray, groups: np.ndarray, tree: int, split: bool, percent: int
+    labels: np.ndarray, sizes: np.ndarray, groups: np.ndarray, tree: int, percent: int, first: int = 0
 ) -> Iterator[tuple[int, int]]:
     """Pairs of places of different groups whose signatures look similar enough.
 
     ``labels``: one row of all values per set. Sizes rule out pairs exactly. A pair is
     given at the first tree where its sets meet, so that other trees need not repeat it.
+    With ``first`` only pairs of one of so many first places and one of the others.
     """
     starts = labels.reshape(len(labels), TREES, DEPTH)[:, :, :LEAST]
     needed = (percent - SLACK) * TREES * DEPTH
-    for i in range(len(labels) - 1):
-        rest = np.flatnonzero(groups[i + 1 :] != groups[i]) + i + 1
+    for i in range(first or len(labels) - 1):
+        others = max(first, i + 1)
+        rest = np.flatnonzero(groups[others:] != groups[i]) + others
         small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
         rest = rest[100 * small >= percent * large]
         rest = rest[100 * (labels[rest] == labels[i]).sum(axis=1) >= needed]
-        if len(rest) and not split:
+        if len(rest):
             met = (starts[rest] == starts[i]).all(axis=2)
             rest = rest[met.argmax(axis=1) == tree]
         yield from ((i, int(j)) for j in rest)
 
 
 def _strangers(percent: int):
-    """Likely pairs across the components of every crowd; rows come sorted by tree and start."""
+    """Likely pairs across the components of every crowd; rows come sorted by tree, start, blocks and side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["tree", "start", "node", "group", "n", "labels"]
+        names = ["tree", "start", "one", "two", "side", "node", "group", "n", "labels"]
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            groups = np.array([r[3] for r in held], np.int64)
+            groups = np.array([r[6] for r in held], np.int64)
+            first = sum(not r[4] for r in held) if held[0][2] != held[0][3] else 0
             pairs = []
             if (groups != groups[0]).any():
-                labels = np.frombuffer(b"".join(r[5] for r in held), ">u4").astype(np.uint32).reshape(len(held), -1)
-                sizes = np.array([r[4] for r in held], np.int64)
-                split = len(held[0][1]) > 4 * LEAST
-                for i, j in likely_pairs(labels, sizes, groups, held[0][0], split, percent):
-                    pairs.append((min(held[i][2], held[j][2]), max(held[i][2], held[j][2])))
+                labels = np.frombuffer(b"".join(r[8] for r in held), ">u4").astype(np.uint32).reshape(len(held), -1)
+                sizes = np.array([r[7] for r in held], np.int64)
+                for i, j in likely_pairs(labels, sizes, groups, held[0][0], percent, first):
+                    pairs.append((min(held[i][5], held[j][5]), max(held[i][5], held[j][5])))
             return pa.RecordBatch.from_arrays(
                 [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"]
             )
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if held and row[:2] != held[0][:2]:
+                if held and row[:4] != held[0][:4]:
                     yield out()
                     held = []
                 held.append(row)
@@ -213,33 +216,53 @@ def _strangers(percent: int):
 
 
 def _crowds(forest: DataFrame, nodes: DataFrame, member: DataFrame) -> DataFrame:
-    """Rows of the forest in regions too large for all their pairs; ``start`` names a crowd.
+    """Rows of the forest in regions too large for all their pairs, once for each task they are compared in.
 
-    A crowd above ``MEETING`` sets is split by its next label value, and sets with equal
-    labels by a hash, so that a task holds no more than about that many at a time.
+    ``tree, start`` name a crowd, ``one, two`` its blocks that meet, and ``side`` says
+    whether a row is of the second. A crowd of up to ``MEETING`` sets is one block.
     """
-    rows = forest.withColumn("start", F.substring("label", 1, 4 * LEAST))
+    rows = forest.select("tree", F.substring("label", 1, 4 * LEAST).alias("start"), "node")
     counts = rows.groupBy("tree", "start").agg(F.count(F.lit(1)).alias("n"))
     large = stored(counts.filter(F.col("n") > CROWD))
-    rows = salted_join(rows, large.select("tree", "start"), ["tree", "start"], "left_semi", counts=large)
-    done = None
-    for depth in range(LEAST, DEPTH + 1):
-        large = large.filter(F.col("n") > MEETING)
-        if large.isEmpty():
-            break
-        here = salted_join(rows, large.drop("n"), ["tree", "start"], "left_anti", counts=large)
-        done = here if done is None else done.unionByName(here)
-        rows = salted_join(rows, large, ["tree", "start"], counts=large)
-        if depth == DEPTH:
-            part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / MEETING))
-            rows = rows.withColumn("start", F.concat("start", F.lpad(F.encode(part.cast("string"), "utf-8"), 20, b"0"))).drop("n")
-            break
-        rows = stored(rows.drop("n").withColumn("start", F.substring("label", 1, 4 * depth + 4)))
-        large = stored(rows.groupBy("tree", "start").agg(F.count(F.lit(1)).alias("n")))
-    rows = rows if done is None else done.unionByName(rows)
+    over = F.col("n") > MEETING
+    whole = salted_join(rows, large.filter(~over).select("tree", "start"), ["tree", "start"], "left_semi", counts=large)
+    whole = whole.select("*", F.lit("").alias("one"), F.lit("").alias("two"), F.lit(False).alias("side"))
+    over = large.filter(over)
+    if not over.isEmpty():
+        whole = whole.unionByName(_blocks(rows, over, member))
     who = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "labels")
-    found = rows.join(who, "node").join(member, "node", "left")
-    return found.select("tree", "start", "node", F.coalesce("component", "node").alias("group"), "n", "labels")
+    found = whole.join(who, "node").join(member, "node", "left")
+    return found.select("tree", "start", "one", "two", "side", "node", F.coalesce("component", "node").alias("group"), "n", "labels")
+
+
+def _blocks(rows: DataFrame, over: DataFrame, member: DataFrame) -> DataFrame:
+    """Rows of the crowds ``over``, once for every pair of blocks that theirs is in.
+
+    A component of more than ``MEETING`` sets has blocks of its own, and these do not meet
+    each other; all other sets of a crowd share blocks. So the copies of a row go
+    by the sets outside its component, not by the crowd.
+    """
+    crowd = ["tree", "start"]
+    rows = salted_join(rows, over.select(*crowd), crowd, "left_semi", counts=over).join(member, "node", "left")
+    rows = stored(rows.select(*crowd, "node", F.coalesce("component", "node").alias("group")))
+    hot = rows.groupBy(*crowd, "group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MEETING)
+    hot = stored(hot)
+    rest = over.join(hot.groupBy(*crowd).agg(F.sum("n").alias("own")), crowd, "left")
+    rest = rest.select(*crowd, (F.col("n") - F.coalesce("own", F.lit(0))).alias("others"))
+    rows = salted_join(rows, hot.withColumnRenamed("n", "own"), [*crowd, "group"], "left", counts=hot)
+    rows = salted_join(rows, rest, crowd, counts=over)
+    parts = F.greatest(F.ceil(F.coalesce("own", "others") / MEETING), F.lit(1))
+    own = F.when(F.col("own").isNotNull(), F.col("group"))
+    block = F.concat_ws("/", own.cast("string"), F.pmod(F.xxhash64("node"), parts).cast("string"))
+    rows = stored(rows.select(*crowd, "node", own.alias("own"), block.alias("block")))
+    blocks = stored(rows.select(*crowd, "own", "block").distinct())
+    ones = blocks.select(*crowd, F.col("own").alias("own_one"), F.col("block").alias("one"))
+    twos = blocks.select(*crowd, F.col("own").alias("own_two"), F.col("block").alias("two"))
+    same = F.coalesce(F.col("own_one") == F.col("own_two"), F.lit(False))
+    meet = ones.join(twos, crowd).filter((F.col("one") <= F.col("two")) & ~same)
+    meet = meet.select(*crowd, "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
+    found = rows.join(meet, [*crowd, "block"])
+    return found.select(*crowd, "node", "one", "two", (F.col("block") != F.col("one")).alias("side"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -295,7 +318,8 @@ def near_duplicates(
     links = linked(tested)
     member = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     crowds = _crowds(forest, nodes, member)
-    crowds = crowds.repartition("tree", "start").sortWithinPartitions("tree", "start", "node")
+    task = ["tree", "start", "one", "two"]
+    crowds = crowds.repartition(*task).sortWithinPartitions(*task, "side", "node")
     more = crowds.mapInArrow(tidied(_strangers(percent)), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
     links = links.unionByName(linked(stored(more)))
     member = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))

@@ -88,6 +88,26 @@ def test_crowds_split_by_depth(spark, monkeypatch):
     assert right >= 0.9 * len(rows)
 
 
+def variants(n):
+    """A text and variants that are 0.858 similar to it and 0.74 to each other, so only it links them."""
+    rng = random.Random(17)
+    base = prose(19, 200, 5000).split()
+    rows = [(5000, " ".join(base))]
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(8, 190, 6), 3):
+            words[at] = f"own{i}at{at}"
+        rows.append((5001 + i, " ".join(words)))
+    return rows
+
+
+def test_large_crowds_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(minhash_forest, "MEETING", 20)
+    for rows in (clusters(), variants(150)):
+        found = minhash_forest.near_duplicates(documents(spark, rows))
+        assert Counter(tuple(r) for r in found.collect()) == brute_components(rows, 85)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 180)] + [(0, i) for i in range(1, 60)] + [(300, 300), (None, 4)]
