@@ -14,8 +14,10 @@ which are all it may attend to besides itself, and the span of its text that
 counts for the loss if its role is the assistant's. Lengths are in code points.
 
 A conversation of more than ``CHAPTER`` turns is formatted in chapters of that
-many turns, so no row holds more; chapters after the first are not shared, and
-their positions go on from zero.
+many turns, so no row holds more. A later chapter goes on with the positions of
+the one before, and the chapters before it are an ancestor of all its turns: the
+interval from minus their length to 0, places before the pack's text. Chapters
+after equal chapters share turns like the first ones do.
 
 Defined results: a null text or role is empty; a turn without a conversation id
 is a conversation by itself; turns with equal numbers are ordered by role and
@@ -69,18 +71,19 @@ def parsed(text: str) -> list[tuple[str, str]]:
 
 
 _INTERVAL = pa.struct([("first", pa.int32()), ("end", pa.int32())])
+_ANCESTOR = pa.struct([("first", pa.int64()), ("end", pa.int64())])
 _NODE = pa.struct(
     [
         ("parent", pa.int32()),
         ("first", pa.int32()),
         ("end", pa.int32()),
         ("position", pa.int64()),
-        ("ancestors", pa.list_(_INTERVAL)),
+        ("ancestors", pa.list_(_ANCESTOR)),
         ("loss", _INTERVAL),
     ]
 )
 _ENTRY = pa.struct([("conv_id", pa.int64()), ("alone", pa.int64()), ("chapter", pa.int64()), ("chapters", pa.int64()), ("leaf", pa.int32())])
-_PACKS = "text string, nodes array<struct<parent:int, first:int, end:int, position:bigint, ancestors:array<struct<first:int, end:int>>, loss:struct<first:int, end:int>>>, conversations array<struct<conv_id:bigint, alone:bigint, chapter:bigint, chapters:bigint, leaf:int>>"
+_PACKS = "text string, nodes array<struct<parent:int, first:int, end:int, position:bigint, ancestors:array<struct<first:bigint, end:bigint>>, loss:struct<first:int, end:int>>>, conversations array<struct<conv_id:bigint, alone:bigint, chapter:bigint, chapters:bigint, leaf:int>>"
 
 
 class Pack:
@@ -92,26 +95,31 @@ class Pack:
         self.nodes: list[dict] = []
         self.entries: list[dict] = []
         self.path: list[tuple[tuple[str, str], int]] = []
+        self.history: tuple = ()
 
-    def shared(self, turns: list[tuple[str, str]]) -> int:
-        """Turns that are on the path of the conversation before."""
+    def shared(self, turns: list[tuple[str, str]], history: tuple = ()) -> int:
+        """Turns that are on the path of the conversation before; ``history`` stands for the chapters before them."""
+        if history != self.history:
+            return 0
         n = 0
         while n < min(len(turns), len(self.path)) and self.path[n][0] == turns[n]:
             n += 1
         return n
 
-    def add(self, turns: list[tuple[str, str]], entry: dict) -> None:
-        del self.path[self.shared(turns) :]
+    def add(self, turns: list[tuple[str, str]], entry: dict, base: int = 0, history: tuple = ()) -> None:
+        """``base``: characters of the chapters before."""
+        del self.path[self.shared(turns, history) :]
+        self.history = history
         for turn in turns[len(self.path) :]:
             text, start, end = formatted(*turn)
-            ancestors: list[dict] = []
-            parent, position = -1, 0
+            ancestors: list[dict] = [{"first": -base, "end": 0}] if base else []
+            parent, position = -1, base
             if self.path:
                 parent = self.path[-1][1]
                 up = self.nodes[parent]
                 position = up["position"] + up["end"] - up["first"]
                 ancestors = [dict(a) for a in up["ancestors"]]
-                if ancestors and ancestors[-1]["end"] == up["first"]:
+                if ancestors and ancestors[-1]["first"] >= 0 and ancestors[-1]["end"] == up["first"]:
                     ancestors[-1]["end"] = up["end"]
                 else:
                     ancestors.append({"first": up["first"], "end": up["end"]})
@@ -141,18 +149,39 @@ def _packed(limit: int):
         for batch in batches:
             for row in batch.to_pylist():
                 turns = [(t["role"], t["text"]) for t in row["turns"]]
+                history = (row["chapter"], row["past"], row["past_too"])
                 if pack.entries:
-                    new = sum(len(r) + len(t) for r, t in turns[pack.shared(turns) :])
+                    new = sum(len(r) + len(t) for r, t in turns[pack.shared(turns, history) :])
                     if pack.size + new + ENTRY * len(pack.entries) > limit:
                         yield pack.batch()
                         pack = Pack()
-                pack.add(turns, {c: row[c] for c in ("conv_id", "alone", "chapter", "chapters")})
+                pack.add(turns, {c: row[c] for c in ("conv_id", "alone", "chapter", "chapters")}, row["base"], history)
         if pack.entries:
             yield pack.batch()
 
     return run
 
 
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Formatted length of every chapter instead of its turns."""
+    for batch in batches:
+        sizes = [sum(len(formatted(t["role"], t["text"])[0]) for t in turns) for turns in batch.column("turns").to_pylist()]
+        names = [n for n in batch.schema.names if n != "turns"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sizes, pa.int64())], names=[*names, "size"])
+
+
+def _pasts(chapters: DataFrame) -> DataFrame:
+    """For every later chapter the formatted length and two hashes of the chapters before it."""
+    key = ["conv_id", "alone", "chapter"]
+    marks = [F.xxhash64(F.lit(k), "chapter", "turns").alias(f"mark{k}") for k in (1, 2)]
+    sizes = chapters.select(*key, *marks, "turns").mapInArrow(
+        _measured, "conv_id long, alone long, chapter long, mark1 long, mark2 long, size long"
+    )
+    before = Window.partitionBy("conv_id", "alone").orderBy("chapter").rowsBetween(Window.unboundedPreceding, -1)
+    past = [F.sum("size").over(before).alias("base"), *(F.bit_xor(f"mark{k}").over(before).alias(n) for k, n in ((1, "past"), (2, "past_too")))]
+    return sizes.select(*key, *past).filter(F.col("chapter") > 0)
+
+
 def packs(conversations: DataFrame, limit: int = PACK, chapter: int = CHAPTER) -> DataFrame:
     """``text, nodes, conversations``: one row per pack. Input: conv_id, turn, role, text."""
     empty = F.lit("")
@@ -173,20 +202,30 @@ def packs(conversations: DataFrame, limit: int = PACK, chapter: int = CHAPTER) -
     counts = chapters.groupBy("conv_id", "alone").agg(F.count(F.lit(1)).alias("chapters"))
     same = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & F.col("a.alone").eqNullSafe(F.col("b.alone"))
     rows = chapters.alias("a").join(counts.alias("b"), same).select("a.*", "b.chapters")
+    zero = F.lit(0).cast("long")
+    later = rows.filter(F.col("chapters") > 1)
+    if later.isEmpty():
+        rows = rows.select("*", *(zero.alias(c) for c in ("base", "past", "past_too")))
+    else:
+        pasts = stored(_pasts(later))
+        same = same & (F.col("a.chapter") == F.col("b.chapter"))
+        found = rows.alias("a").join(pasts.alias("b"), same, "left")
+        rows = found.select("a.*", *(F.coalesce(f"b.{c}", zero).alias(c) for c in ("base", "past", "past_too")))
     hashes = F.transform("turns", lambda t: F.hex(F.xxhash64(t["role"], t["text"])))
-    # Later chapters stay apart: no turn hash begins with the letter Z.
-    own = F.concat(F.lit("Z"), F.hex(F.xxhash64("conv_id", "alone")), F.lpad(F.col("chapter").cast("string"), 12, "0"))
-    path = F.when(F.col("chapter") > 0, own).otherwise(F.array_join(F.transform(hashes, lambda h: F.lpad(h, 16, "0")), ""))
-    rows = rows.select("conv_id", "alone", "chapter", "chapters", "turns", path.alias("path"))
+    # Later chapters stay apart from first ones: no turn hash begins with the letter Z.
+    past = F.concat(F.lit("Z"), F.lpad(F.col("chapter").cast("string"), 12, "0"), *(F.lpad(F.hex(c), 16, "0") for c in ("past", "past_too")))
+    path = F.array_join(F.transform(hashes, lambda h: F.lpad(h, 16, "0")), "")
+    path = F.when(F.col("chapter") > 0, F.concat(past, path)).otherwise(path)
+    rows = rows.select("conv_id", "alone", "chapter", "chapters", "base", "past", "past_too", "turns", path.alias("path"))
     keys = ["path", "conv_id", "alone", "chapter"]
     rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("path")
     return rows.mapInArrow(_packed(limit), _PACKS)
 
 
 def conversation_text(pack: dict, leaf: int) -> str:
-    """What the last turn of a conversation may look at, and itself: the whole conversation."""
+    """What the last turn of a conversation may look at in its pack, and itself: the whole conversation, or its chapter."""
     node = pack["nodes"][leaf]
-    spans = [*node["ancestors"], node]
+    spans = [*(a for a in node["ancestors"] if a["first"] >= 0), node]
     return "".join(pack["text"][s["first"] : s["end"]] for s in spans)
 
 

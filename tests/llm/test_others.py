@@ -161,6 +161,40 @@ def test_prefixes_are_emitted_once(spark):
     assert chat.packs(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+@pytest.mark.parametrize("limit", [100, 1 << 16])
+def test_chapters_go_on(spark, limit):
+    """Positions, and all that a turn may look at, do not depend on the size of a chapter."""
+    rows = [(c, t, ["user", "assistant"][t % 2], f"text <s> {t}" if t < 10 or c == 3 else f"own {c} {t}") for c in range(4) for t in range(14)]
+    rows += [(9, 0, "user", "text <s> 0")]
+    want = {}
+    for c in {r[0] for r in rows}:
+        text = ""
+        for _, t, role, body in sorted(r for r in rows if r[0] == c):
+            new = chat.formatted(role, body)[0]
+            want[c, t] = (len(text), text, new)
+            text += new
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    packed = chat.packs(frame, limit, 4).collect()
+    got = {}
+    for pack in packed:
+        for entry in pack["conversations"]:
+            leaf, path = entry["leaf"], []
+            while leaf >= 0:
+                path.append(pack["nodes"][leaf])
+                leaf = path[-1]["parent"]
+            whole = want[entry["conv_id"], 4 * entry["chapter"]][1]
+            for k, node in enumerate(path[::-1]):
+                seen = ""
+                for a in node["ancestors"]:
+                    # Places before the pack's text count from the end of the chapters before.
+                    seen += whole[len(whole) + a["first"] :] if a["first"] < 0 else pack["text"][a["first"] : a["end"]]
+                got[entry["conv_id"], 4 * entry["chapter"] + k] = (node["position"], seen, pack["text"][node["first"] : node["end"]])
+    assert got == want
+    if limit > 100:
+        # Turns 0 to 9 are shared by four conversations, 10 to 13 are their own.
+        assert sum(len(p["nodes"]) for p in packed) <= 10 * len(packed) + 16
+
+
 # Urls
 
 
