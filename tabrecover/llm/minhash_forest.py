@@ -166,20 +166,22 @@ def likely_pairs(
     """Pairs of places of different groups whose signatures look similar enough.
 
     ``labels``: one row of all values per set. Sizes rule out pairs exactly. A pair is
-    given at the first tree where its sets meet, so that other trees need not repeat it.
+    compared at the first tree where its sets meet, so that other trees need not repeat
+    it; that holds because every crowd is compared whole.
     With ``first`` only pairs of one of so many first places and one of the others.
     """
-    starts = labels.reshape(len(labels), TREES, DEPTH)[:, :, :LEAST]
+    starts = np.ascontiguousarray(labels.reshape(len(labels), TREES, DEPTH)[:, :tree, :LEAST])
+    starts = starts.view([("", labels.dtype)] * LEAST)[:, :, 0]
+    codes = [np.unique(starts[:, t], return_inverse=True)[1] for t in range(tree)]
+    earlier = np.stack(codes, axis=1).astype(np.int32) if codes else np.empty((len(labels), 0), np.int32)
     needed = (percent - SLACK) * TREES * DEPTH
     for i in range(first or len(labels) - 1):
         others = max(first, i + 1)
         rest = np.flatnonzero(groups[others:] != groups[i]) + others
         small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
         rest = rest[100 * small >= percent * large]
+        rest = rest[~(earlier[rest] == earlier[i]).any(axis=1)]
         rest = rest[100 * (labels[rest] == labels[i]).sum(axis=1) >= needed]
-        if len(rest):
-            met = (starts[rest] == starts[i]).all(axis=2)
-            rest = rest[met.argmax(axis=1) == tree]
         yield from ((i, int(j)) for j in rest)
 
 

@@ -12,6 +12,7 @@ import pytest
 from tabrecover.llm import minhash_forest, substring_dedup
 from tabrecover.llm.components import components
 from tabrecover.llm.fm_index import FMIndex
+from tabrecover.llm.shingles import shingle_set
 
 from .cases import SCHEMA, documents, odd_rows, prose
 
@@ -108,6 +109,26 @@ def test_large_crowds_are_compared_whole(spark, monkeypatch):
         assert Counter(tuple(r) for r in found.collect()) == brute_components(rows, 85)
 
 
+def test_crowds_around_the_bound(spark, monkeypatch):
+    """All sets meet first in tree 0, whose crowd is above the bound; the crowds of the other trees are below."""
+    rng = random.Random(23)
+    base = prose(29, 200, 5000).split()
+
+    def first(words):
+        return np.frombuffer(minhash_forest.signature(shingle_set(" ".join(words))), ">u4")[:5].tolist()
+
+    own, rows = first(base), [(7000, " ".join(base))]
+    while len(rows) < 160:
+        words = list(base)
+        for at in rng.sample(range(rng.randrange(4, 10), 190, 6), 3):
+            words[at] = f"own{len(rows)}at{at}"
+        if first(words)[:4] == own[:4] and first(words)[4] != own[4]:
+            rows.append((7000 + len(rows), " ".join(words)))
+    monkeypatch.setattr(minhash_forest, "MEETING", 150)
+    found = minhash_forest.near_duplicates(documents(spark, rows))
+    assert Counter(tuple(r) for r in found.collect()) == brute_components(rows, 85)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 180)] + [(0, i) for i in range(1, 60)] + [(300, 300), (None, 4)]
