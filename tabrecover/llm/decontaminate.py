@@ -1,4 +1,4 @@
-"""Benchmark items inside documents, found by CGK embedding and bit-sampling LSH.
+"""Benchmark items inside documents, found by runs of their words and exact edit distance.
 
 A document leaks an item if some stretch of its words differs from the item's
 words by at most ``RATE`` edits per item word (words put in, left out or changed).
@@ -6,11 +6,12 @@ words by at most ``RATE`` edits per item word (words put in, left out or changed
 The CGK walk turns edit distance into Hamming distance: it copies the word it
 stands on, and a random bit, drawn from the step and the word, says whether it
 moves on; two texts that differ by an edit soon walk in step again. A window the
-size of an item is embedded this way ``REPEATS`` times with other random bits,
-and each time ``SAMPLES`` places of the embedding, drawn within the walk, are its
-bucket. A window in a bucket of its item is verified by the exact edit distance.
+size of an item can be embedded this way ``REPEATS`` times (``buckets``), but how
+many places agree depends on the item's length and on the kind of edits, so the
+search does not rest on it: a window is verified by the exact edit distance if
+enough of its words are the item's for a copy.
 
-Which windows are embedded is decided without loss: an item with e edits
+Which windows are looked at is decided without loss: an item with e edits
 keeps, in one run, at least (n - e) / (e + 1) of its n words, so a window without
 any such run of its item cannot be one of its copies; the run's place in the
 item says where the window starts, give or take e words.
@@ -40,7 +41,7 @@ RATE = 0.2
 MIN_WORDS = 8
 #: Share of the embedded places at which a copy with that many edits agrees, at the low end as measured.
 AGREEMENT = 0.35
-#: Places that make a bucket, and the share of copies to be found.
+#: Places that make a bucket, and the share of copies of up to 55 words that are to meet in one.
 SAMPLES, TARGET = 2, 0.99
 BLOCK_BYTES = 8 << 20
 
@@ -144,12 +145,6 @@ class Items:
             seen = np.zeros(1 << _BITS, bool)
             seen[keys >> np.uint64(64 - _BITS)] = True
             self.runs[width] = (seen, keys[order], item[order], offset[order])
-        self.buckets = []
-        if self.ids:
-            tokens = np.concatenate(self.words)
-            sizes = np.array([len(w) for w in self.words])
-            ends = np.cumsum(sizes)
-            self.buckets = [buckets(tokens, ends - sizes, ends, sizes, r) for r in range(REPEATS)]
 
     def windows(self, hashes: np.ndarray) -> set[tuple[int, int]]:
         """(item, start) of every window that keeps a run of its item."""
@@ -164,30 +159,23 @@ class Items:
         return out
 
     def near(self, texts: list[np.ndarray]) -> list[dict[int, np.ndarray]]:
-        """For each text the items with a window in their bucket, and the starts of all their windows."""
-        found = [(t, i, s) for t, hashes in enumerate(texts) for i, s in sorted(self.windows(hashes)) if s < len(hashes)]
-        out: list[dict[int, np.ndarray]] = [{} for _ in texts]
-        if not found:
-            return out
-        text, item, start = (np.array(c) for c in zip(*found, strict=True))
-        used = np.unique(text)
-        tokens = np.concatenate([texts[t] for t in used])
-        ends = np.zeros(len(texts), np.int64)
-        ends[used] = np.cumsum([len(texts[t]) for t in used])
-        begin = ends - np.array([len(t) for t in texts])
-        sizes = np.array([len(self.words[i]) for i in item])
-        # Windows of one text and item stand for each other: once one is near, the others are not embedded any more.
-        pair = np.unique(np.stack([text, item]), axis=1, return_inverse=True)[1].ravel()
-        met = np.zeros(pair.max() + 1, bool)
-        for r in range(REPEATS):
-            todo = np.flatnonzero(~met[pair])
-            if not len(todo):
-                break
-            own = text[todo]
-            keys = buckets(tokens, begin[own] + start[todo], ends[own], sizes[todo], r)
-            met[pair[todo[keys == self.buckets[r][item[todo]]]]] = True
-        for t, i in np.unique(np.stack([text, item])[:, met[pair]], axis=1).T.tolist():
-            out[t][i] = start[(text == t) & (item == i)]
+        """For each text the items that a window may be a copy of, and the starts of these windows."""
+        out: list[dict[int, np.ndarray]] = []
+        for hashes in texts:
+            found: dict[int, list[int]] = {}
+            for i, s in sorted(self.windows(hashes)):
+                if s < len(hashes):
+                    found.setdefault(i, []).append(s)
+            near = {}
+            for i, places in found.items():
+                starts, words, edits = np.array(places), self.words[i], self.edits[i]
+                # A copy has at most n + e words, and n - e of them are the item's.
+                known = np.concatenate([[0], np.cumsum(np.isin(hashes, words))])
+                ends = np.minimum(starts + len(words) + edits, len(hashes))
+                starts = starts[known[ends] - known[starts] >= len(words) - edits]
+                if len(starts):
+                    near[i] = starts
+            out.append(near)
         return out
 
     def leaks(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:

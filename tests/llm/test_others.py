@@ -100,6 +100,21 @@ def test_walks_agree_after_edits():
     assert met >= 0.97 * 150
 
 
+@pytest.mark.parametrize("kind", ["changed", "put in", "left out"])
+@pytest.mark.parametrize("size", [100, 200, 400, 500])
+def test_long_items_with_edits_of_one_kind(size, kind):
+    rng = random.Random(size)
+    for k in range(12):
+        words = prose(600 * size + k, size, 5000).split()
+        own = list(words)
+        for at in sorted(rng.sample(range(size), decontaminate.edits_allowed(size)), reverse=True):
+            own[at : at + 1] = {"changed": [f"x{at}"], "put in": [own[at], f"y{at}"], "left out": []}[kind]
+        full = prose(k, 30, 5000).split() + own + prose(k + 50, 30, 5000).split()
+        items = decontaminate.Items([(1, " ".join(words))])
+        found = items.leaks([word_hashes([w.encode() for w in full])])[0]
+        assert [(r[0], r[1] <= items.edits[0]) for r in found] == [(0, True)]
+
+
 # Chats
 
 
