@@ -56,17 +56,36 @@ def alias_of(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, tail))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root with its ``.`` and ``..`` steps taken."""
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(done)
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.split(F.concat(path, F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")), "/")
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
 def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``src, dst`` of canonical links and redirects written in pages; relative addresses take the page's host."""
+    """``src, dst`` of canonical links and redirects written in pages; relative addresses are resolved against the page's."""
     url, html = F.col(url_col), F.col(html_col)
     found = F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))
-    rows = pages.filter(html.contains("anonical") | html.contains("efresh") | html.contains("REFRESH"))
+    rows = pages.filter(html.rlike("(?i)canonical|refresh"))
     rows = rows.select(url.alias("src"), F.explode(found).alias("dst")).filter(F.col("dst") != "")
-    start = F.concat(F.substring_index(F.col("src"), "://", 1), F.lit("://"), host_of(F.col("src")))
+    src, dst = F.col("src"), F.col("dst")
+    start = F.concat(F.substring_index(src, "://", 1), F.lit("://"), host_of(src))
+    page = F.regexp_extract(src, r"^[^#]*", 0)
+    path, tail = F.regexp_extract(dst, r"^[^?#]*", 0), F.regexp_extract(dst, r"^[^?#]*(.*)$", 1)
+    folder = F.concat(F.regexp_extract(path_of(src), r"^(.*/)?", 0), path)
+    folder = F.when(path.startswith("/"), path).when(folder.startswith("/"), folder).otherwise(F.concat(F.lit("/"), folder))
     full = (
-        F.when(F.col("dst").contains("://"), F.col("dst"))
-        .when(F.col("dst").startswith("//"), F.concat(F.substring_index(F.col("src"), "//", 1), F.col("dst")))
-        .when(F.col("dst").startswith("/"), F.concat(start, F.col("dst")))
+        F.when(dst.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), dst)
+        .when(dst.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(dst.startswith("//"), F.concat(F.substring_index(src, "//", 1), dst))
+        .when(dst.startswith("#"), F.concat(page, dst))
+        .when(dst.startswith("?"), F.concat(start, path_of(src), dst))
+        .otherwise(F.concat(start, _without_dots(folder), tail))
     )
     return rows.select("src", full.alias("dst")).filter(F.col("dst").isNotNull())
 

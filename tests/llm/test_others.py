@@ -248,6 +248,23 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filters.judge(frame, rules.filter("false")).collect()} == {"allow"}
 
 
+def test_links_in_capitals_and_relative_ones(spark):
+    cases = [
+        ("http://a.org/x/y", '<LINK REL="CANONICAL" HREF="http://b.org/1">', "http://b.org/1"),
+        ("http://a.org/x/y", "<link rel=canonical href=page.html>", "http://a.org/x/page.html"),
+        ("http://a.org/x/y/z?q#f", "<link rel=canonical href='../p?id=1'>", "http://a.org/x/p?id=1"),
+        ("http://a.org/x/y", "<link rel=canonical href='../../../p/./..'>", "http://a.org/"),
+        ("http://a.org/x/y?q", "<link rel=canonical href='?id=2'>", "http://a.org/x/y?id=2"),
+        ("http://a.org", "<meta HTTP-EQUIV=Refresh content='0; URL=p'>", "http://a.org/p"),
+        ("http://a.org/x", "<link rel=canonical href='/in?to=http://c.org/'>", "http://a.org/in?to=http://c.org/"),
+        ("http://a.org/x", "<link rel=canonical href='mailto:me'>", None),
+        ("http://a.org/x", None, None),
+    ]
+    frame = spark.createDataFrame([c[:2] for c in cases], "url string, html string")
+    found = Counter((r["src"], r["dst"]) for r in url_filters.html_links(frame).collect())
+    assert found == Counter((src, dst) for src, _, dst in cases if dst)
+
+
 # Toxicity
 
 
