@@ -125,10 +125,52 @@ scores AS (
 SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= {TOP_K}
 """
 
+AUDIT = f"""
+WITH split AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+), facts AS (
+    SELECT part, (len(w) < 200)::INT AS a, (100 * len(list_distinct(w)) < 50 * len(w))::INT AS b,
+        (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT AS c,
+        regexp_matches(text, '[#$%&*|]')::INT AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS e,
+        doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good,
+        doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic
+    FROM split
+), cells AS (
+    SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic
+    FROM facts GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+    SELECT p.x || q.x || r.x || s.x || t.x AS filter_order
+    FROM letters p, letters q, letters r, letters s, letters t
+    WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), steps AS (
+    SELECT filter_order, step, [strpos('ABCDE', substr(filter_order, i, 1)) FOR i IN range(1, step)] AS earlier,
+        strpos('ABCDE', substr(filter_order, step, 1)) AS own
+    FROM orders, range(1, 6) AS n(step)
+), judged AS (
+    SELECT part, filter_order, step, own, n, n_good, n_toxic, fails[own] = 1 AS failing, list_sum(fails) = 1 AS alone,
+        len(list_filter(earlier, lambda i: fails[i] = 1)) = 0 AS present
+    FROM cells, steps
+), summed AS (
+    SELECT part, filter_order, step::INTEGER AS step, own,
+        coalesce(sum(n) FILTER (present AND NOT failing), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (present AND failing), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (NOT present AND failing), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (failing AND alone), 0)::BIGINT AS unique_fails,
+        coalesce(sum(n_good) FILTER (present AND failing), 0)::BIGINT AS good_lost,
+        coalesce(sum(n_toxic) FILTER (present AND failing), 0)::BIGINT AS toxic_lost
+    FROM judged GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM summed
+"""
+
 ORACLES: dict[str, str] = {
     "op3_minhash_forest": NEAR,
     "op4_chat_tree": CHAT,
     "op5_url_filters": URLS,
     "op6_substring_dedup": REPEATS,
     "op10_topk_search": SEARCH,
+    "op12_filter_audit": AUDIT,
 }

@@ -14,6 +14,7 @@ from tabrecover.llm import (
     bpe,
     chat,
     decontaminate,
+    filter_audit,
     minhash_forest,
     sharding,
     substring_dedup,
@@ -92,6 +93,10 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(bm25.build(docs), docs.filter(F.col("doc_id") % 50 == 0), k=TOP_K).withColumn("score", F.round("score", 6))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -103,5 +108,6 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
     "op10_topk_search": op10_topk_search,
+    "op12_filter_audit": op12_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
