@@ -21,6 +21,7 @@ from tabrecover.llm import (
     token_counts,
     toxicity,
     url_filters,
+    whitening,
 )
 from tabrecover.llm.common import stored, table
 
@@ -93,6 +94,10 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(bm25.build(docs), docs.filter(F.col("doc_id") % 50 == 0), k=TOP_K).withColumn("score", F.round("score", 6))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -108,6 +113,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
     "op10_topk_search": op10_topk_search,
+    "op11_whitening": op11_whitening,
     "op12_filter_audit": op12_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
