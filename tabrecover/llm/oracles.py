@@ -7,7 +7,7 @@ it; those queries are tested against libraries and brute force.
 from __future__ import annotations
 
 from tabrecover.llm.chat import CONTROL
-from tabrecover.llm.queries import CONTROL_CONVERSATION, TOP_K, URL_RULES
+from tabrecover.llm.queries import CONTROL_CONVERSATION, NEAREST, QUERY_IDS, TOP_K, URL_RULES
 from tabrecover.llm.url_filters import LOWER, UPPER
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -166,6 +166,21 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 FROM summed
 """
 
+NEAREST_VECTORS = f"""
+WITH v AS (
+    SELECT row_number() OVER () AS nr, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), lengths AS (SELECT *, sqrt(list_dot_product(e, e)) AS size FROM v),
+scored AS (
+    SELECT q.nr, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (q.size * c.size) AS score
+    FROM lengths q JOIN lengths c ON len(q.e) = len(c.e) AND q.nr <> c.nr WHERE q.vec_id % {QUERY_IDS} = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY nr ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {NEAREST}
+"""
+
 ORACLES: dict[str, str] = {
     "op3_minhash_forest": NEAR,
     "op4_chat_tree": CHAT,
@@ -173,4 +188,5 @@ ORACLES: dict[str, str] = {
     "op6_substring_dedup": REPEATS,
     "op10_topk_search": SEARCH,
     "op12_filter_audit": AUDIT,
+    "op13_nearest": NEAREST_VECTORS,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabrecover.llm import (
+    block_search,
     bm25,
     bpe,
     chat,
@@ -29,6 +30,8 @@ from tabrecover.llm.common import stored, table
 VOCAB = os.environ.get("LLM_VOCAB", public_tokenizers.path("byte_bpe_50k.json"))
 SHARDS = 40
 TOP_K = 10
+#: Vectors whose ids this divides are queries, and each gets so many neighbours.
+QUERY_IDS, NEAREST = 50, 5
 #: A conversation whose texts look like another template's control strings.
 CONTROL_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 URL_RULES = [
@@ -102,6 +105,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = block_search.tiles(table(spark, sf_dir, "embeddings"))
+    return block_search.search(packed, block_search.is_query(QUERY_IDS), k=NEAREST)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -115,5 +123,6 @@ QUERIES = {
     "op10_topk_search": op10_topk_search,
     "op11_whitening": op11_whitening,
     "op12_filter_audit": op12_filter_audit,
+    "op13_nearest": op13_nearest,
     "pipeline": corpus_pipeline.run,
 }
