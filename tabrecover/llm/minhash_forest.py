@@ -11,8 +11,10 @@ from the few rows on either side of it.
 
 Pairs are confirmed on the full sets, and linked sets become components. Then
 regions too large for all their pairs, if they hold several components, compare
-the whole signatures of sets of different components, and pairs that may be
-similar enough are confirmed as well. A region of any size is compared whole: it
+the whole signatures of sets of different components. A set that may be similar enough to
+one of another component goes on with its shingles, and the task that compares it confirms
+pairs at once: it gives out links that join two components, at most one per set,
+and no row for a pair that is rejected or already joined. A region of any size is compared whole: it
 is cut into blocks, and each pair of blocks that holds two components is a task.
 
 Documents with equal sets are one node from the start, so a hot text costs one
@@ -23,6 +25,7 @@ sets, and rows of one id with different sets are one node, linked if any of them
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +47,8 @@ CROWD, NEXT = 8, 3
 SEAM = 16
 #: Points of a hundred by which two signatures may fall short of the similarity asked for (three deviations and more).
 SLACK = 9
-#: Sets of a block: a larger crowd is compared block against block.
-MEETING = 8192
+#: Sets of a block, where one of more than ``UNIT`` shingles counts as several: a larger crowd is compared block against block.
+MEETING, UNIT = 8192, 512
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint64) | 1).astype(np.uint32)
@@ -150,7 +153,7 @@ def _neighbours(seams: bool):
 def _candidates(forest: DataFrame) -> DataFrame:
     """``a, b``: pairs of nodes that meet in some tree."""
     order = ["tree", "label", "node"]
-    spread = forest.repartitionByRange(*order).sortWithinPartitions(*order)
+    spread = forest.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
     found = stored(spread.mapInArrow(tidied(_neighbours(True)), _PAIRS_SQL))
     inner = found.filter(F.col("a").isNotNull()).select("a", "b")
     # A region meets here with the few rows that borders cut from it, once for each partition it spans.
@@ -185,34 +188,103 @@ def likely_pairs(
         yield from ((i, int(j)) for j in rest)
 
 
+_CROWD_SQL = "tree int, start binary, one string, two string, side boolean, node long, high long, group long, n long, labels binary"
+_TASK = ["tree", "start", "one", "two"]
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each task, one crowd or two blocks of one; they come sorted by task, side and node."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and any(row[c] != held[0][c] for c in _TASK):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _likely(held: list[dict], percent: int) -> Iterator[tuple[int, int]]:
+    groups = np.array([r["group"] for r in held], np.int64)
+    if (groups == groups[0]).all():
+        return
+    first = sum(not r["side"] for r in held) if held[0]["one"] != held[0]["two"] else 0
+    labels = np.frombuffer(b"".join(r["labels"] for r in held), ">u4").astype(np.uint32).reshape(len(held), -1)
+    sizes = np.array([r["n"] for r in held], np.int64)
+    yield from likely_pairs(labels, sizes, groups, held[0]["tree"], percent, first)
+
+
 def _strangers(percent: int):
-    """Likely pairs across the components of every crowd; rows come sorted by tree, start, blocks and side."""
+    """Rows of sets with a likely pair in another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["tree", "start", "one", "two", "side", "node", "group", "n", "labels"]
-        held: list[tuple] = []
+        for held in _meetings(batches):
+            met = np.zeros(len(held), bool)
+            for i, j in _likely(held, percent):
+                met[i] = met[j] = True
+            if met.any():
+                kinds = [("tree", pa.int32()), ("start", pa.binary()), ("one", pa.string()), ("two", pa.string()), ("side", pa.bool_())]
+                kinds += [(c, pa.int64()) for c in ("node", "high", "group", "n")] + [("labels", pa.binary())]
+                for start in range(0, len(held), 1024):
+                    rows = [held[i] for i in range(start, min(start + 1024, len(held))) if met[i]]
+                    if rows:
+                        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
 
-        def out() -> pa.RecordBatch:
-            groups = np.array([r[6] for r in held], np.int64)
-            first = sum(not r[4] for r in held) if held[0][2] != held[0][3] else 0
-            pairs = []
-            if (groups != groups[0]).any():
-                labels = np.frombuffer(b"".join(r[8] for r in held), ">u4").astype(np.uint32).reshape(len(held), -1)
-                sizes = np.array([r[7] for r in held], np.int64)
-                for i, j in likely_pairs(labels, sizes, groups, held[0][0], percent, first):
-                    pairs.append((min(held[i][5], held[j][5]), max(held[i][5], held[j][5])))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"]
-            )
+    return run
 
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if held and row[:4] != held[0][:4]:
-                    yield out()
-                    held = []
-                held.append(row)
-        if held:
-            yield out()
+
+class _Joined:
+    """Sets joined so far in a task."""
+
+    def __init__(self, groups: list[int]) -> None:
+        first: dict[int, int] = {}
+        self.over = [first.setdefault(g, i) for i, g in enumerate(groups)]
+
+    def root(self, i: int) -> int:
+        while self.over[i] != i:
+            self.over[i] = self.over[self.over[i]]
+            i = self.over[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.over[max(i, j)] = min(i, j)
+        return i != j
+
+
+def joining_links(sets: list[np.ndarray], groups: list[int], likely: Iterator[tuple[int, int]], percent: int) -> Iterator[tuple[int, int]]:
+    """Similar pairs of the likely ones (sorted by first place) that join two groups, until there is nothing left to join."""
+    values, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum([len(s) for s in sets])
+    numbers = np.split(numbers.astype(np.int32), ends[:-1])
+    joined = _Joined(groups)
+    marked = np.zeros(len(values), bool)
+    for i, pairs in itertools.groupby(likely, key=lambda p: p[0]):
+        others = [j for _, j in pairs]
+        marked[numbers[i]] = True
+        for j in others:
+            if joined.root(i) == joined.root(j):
+                continue
+            both = int(np.count_nonzero(marked[numbers[j]]))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both) and joined.join(i, j):
+                yield i, j
+        marked[numbers[i]] = False
+
+
+def _joining(percent: int):
+    """Links between components of a crowd, confirmed on the sets that come along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _meetings(batches):
+            sets = [np.frombuffer(r["shingles"], np.uint64) for r in held]
+            links = [
+                sorted((held[i]["node"], held[j]["node"]))
+                for i, j in joining_links(sets, [r["group"] for r in held], _likely(held, percent), percent)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], names=["a", "b"]
+            )
 
     return run
 
@@ -223,18 +295,20 @@ def _crowds(forest: DataFrame, nodes: DataFrame, member: DataFrame) -> DataFrame
     ``tree, start`` name a crowd, ``one, two`` its blocks that meet, and ``side`` says
     whether a row is of the second. A crowd of up to ``MEETING`` sets is one block.
     """
-    rows = forest.select("tree", F.substring("label", 1, 4 * LEAST).alias("start"), "node")
-    counts = rows.groupBy("tree", "start").agg(F.count(F.lit(1)).alias("n"))
+    rows = forest.select("tree", F.substring("label", 1, 4 * LEAST).alias("start"), "node", "high", "weight")
+    counts = rows.groupBy("tree", "start").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
     large = stored(counts.filter(F.col("n") > CROWD))
-    over = F.col("n") > MEETING
-    whole = salted_join(rows, large.filter(~over).select("tree", "start"), ["tree", "start"], "left_semi", counts=large)
-    whole = whole.select("*", F.lit("").alias("one"), F.lit("").alias("two"), F.lit(False).alias("side"))
+    over = F.col("weight") > MEETING
+    rows_of = large.select("tree", "start", "n")
+    whole = salted_join(rows, large.filter(~over).select("tree", "start"), ["tree", "start"], "left_semi", counts=rows_of)
+    whole = whole.select("tree", "start", "node", "high", F.lit("").alias("one"), F.lit("").alias("two"), F.lit(False).alias("side"))
     over = large.filter(over)
     if not over.isEmpty():
         whole = whole.unionByName(_blocks(rows, over, member))
-    who = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "labels")
-    found = whole.join(who, "node").join(member, "node", "left")
-    return found.select("tree", "start", "one", "two", "side", "node", F.coalesce("component", "node").alias("group"), "n", "labels")
+    who = nodes.select(F.col("doc_id").alias("node"), "high", F.col("n_shingles").alias("n"), "labels")
+    found = whole.join(who, ["node", "high"]).join(member, "node", "left")
+    group = F.coalesce("component", "node").alias("group")
+    return found.select(*_TASK, "side", "node", "high", group, "n", "labels")
 
 
 def _blocks(rows: DataFrame, over: DataFrame, member: DataFrame) -> DataFrame:
@@ -245,18 +319,19 @@ def _blocks(rows: DataFrame, over: DataFrame, member: DataFrame) -> DataFrame:
     by the sets outside its component, not by the crowd.
     """
     crowd = ["tree", "start"]
-    rows = salted_join(rows, over.select(*crowd), crowd, "left_semi", counts=over).join(member, "node", "left")
-    rows = stored(rows.select(*crowd, "node", F.coalesce("component", "node").alias("group")))
-    hot = rows.groupBy(*crowd, "group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MEETING)
-    hot = stored(hot)
-    rest = over.join(hot.groupBy(*crowd).agg(F.sum("n").alias("own")), crowd, "left")
-    rest = rest.select(*crowd, (F.col("n") - F.coalesce("own", F.lit(0))).alias("others"))
-    rows = salted_join(rows, hot.withColumnRenamed("n", "own"), [*crowd, "group"], "left", counts=hot)
-    rows = salted_join(rows, rest, crowd, counts=over)
+    counts = over.select(*crowd, "n")
+    rows = salted_join(rows, over.select(*crowd), crowd, "left_semi", counts=counts).join(member, "node", "left")
+    rows = stored(rows.select(*crowd, "node", "high", "weight", F.coalesce("component", "node").alias("group")))
+    hot = rows.groupBy(*crowd, "group").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("own"))
+    hot = stored(hot.filter(F.col("own") > MEETING))
+    rest = over.join(hot.groupBy(*crowd).agg(F.sum("own").alias("own")), crowd, "left")
+    rest = rest.select(*crowd, (F.col("weight") - F.coalesce("own", F.lit(0))).alias("others"))
+    rows = salted_join(rows, hot.select(*crowd, "group", "own"), [*crowd, "group"], "left", counts=hot.drop("own"))
+    rows = salted_join(rows, rest, crowd, counts=counts)
     parts = F.greatest(F.ceil(F.coalesce("own", "others") / MEETING), F.lit(1))
     own = F.when(F.col("own").isNotNull(), F.col("group"))
-    block = F.concat_ws("/", own.cast("string"), F.pmod(F.xxhash64("node"), parts).cast("string"))
-    rows = stored(rows.select(*crowd, "node", own.alias("own"), block.alias("block")))
+    block = F.concat_ws("/", own.cast("string"), F.pmod(F.xxhash64("node", "high"), parts).cast("string"))
+    rows = stored(rows.select(*crowd, "node", "high", own.alias("own"), block.alias("block")))
     blocks = stored(rows.select(*crowd, "own", "block").distinct())
     ones = blocks.select(*crowd, F.col("own").alias("own_one"), F.col("block").alias("one"))
     twos = blocks.select(*crowd, F.col("own").alias("own_two"), F.col("block").alias("two"))
@@ -264,7 +339,7 @@ def _blocks(rows: DataFrame, over: DataFrame, member: DataFrame) -> DataFrame:
     meet = ones.join(twos, crowd).filter((F.col("one") <= F.col("two")) & ~same)
     meet = meet.select(*crowd, "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
     found = rows.join(meet, [*crowd, "block"])
-    return found.select(*crowd, "node", "one", "two", (F.col("block") != F.col("one")).alias("side"))
+    return found.select(*crowd, "node", "high", "one", "two", (F.col("block") != F.col("one")).alias("side"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -308,22 +383,23 @@ def near_duplicates(
     nodes = with_set.join(own, ["doc_id", "high", "low"]).dropDuplicates(["doc_id", "high", "low"])
     place = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     label = F.expr(f"substring(labels, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("label")
-    forest = nodes.select(F.col("doc_id").alias("node"), place, "labels").select("tree", label, "node")
+    weight = F.ceil(F.col("n_shingles") / UNIT).cast("long").alias("weight")
+    forest = nodes.select(F.col("doc_id").alias("node"), "high", place, "labels", weight).select("tree", label, "node", "high", "weight")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        wanted = own.join(ends, "doc_id")
-        texts = signed_texts(source, wanted)
-        return stored(_confirmed(pairs, texts, percent))
+    def texts_of(ends: DataFrame) -> DataFrame:
+        return signed_texts(source, own.join(ends.distinct(), "doc_id"))
 
     tested = stored(_candidates(forest))
-    links = linked(tested)
+    ends = tested.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    links = stored(_confirmed(tested, texts_of(ends), percent))
     member = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     crowds = _crowds(forest, nodes, member)
-    task = ["tree", "start", "one", "two"]
-    crowds = crowds.repartition(*task).sortWithinPartitions(*task, "side", "node")
-    more = crowds.mapInArrow(tidied(_strangers(percent)), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-    links = links.unionByName(linked(stored(more)))
+    order = [*_TASK, "side", "node"]
+    crowds = crowds.repartition(*_TASK).sortWithinPartitions(*order)
+    met = stored(crowds.mapInArrow(tidied(_strangers(percent)), _CROWD_SQL))
+    sets = texts_of(met.select(F.col("node").alias("doc_id"))).mapInArrow(tidied(_hashed), "node long, high long, shingles binary")
+    met = met.join(sets, ["node", "high"]).repartition(*_TASK).sortWithinPartitions(*order)
+    links = links.unionByName(stored(met.mapInArrow(tidied(_joining(percent)), "a long, b long")))
     member = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.join(member, "node", "left")
     named = named.select("high", "low", F.coalesce("component", "node").alias("component_id"))
@@ -338,6 +414,13 @@ def near_duplicates(
     )
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(text).tobytes() for text in batch.column("text").to_pylist()]
+        columns = [batch.column("node"), batch.column("high"), pa.array(sets, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "high", "shingles"])
+
+
 def signed_texts(source: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, text`` of the wanted ids and sets; rows of one id may have several sets."""
 
@@ -351,4 +434,4 @@ def signed_texts(source: DataFrame, wanted: DataFrame) -> DataFrame:
 
     rows = source.join(wanted.select("doc_id", "high"), "doc_id")
     rows = rows.select("doc_id", "text", "high").mapInArrow(tidied(run), "doc_id long, text string, high long")
-    return rows.dropDuplicates(["doc_id", "high"]).select(F.col("doc_id").alias("node"), "text")
+    return rows.dropDuplicates(["doc_id", "high"]).select(F.col("doc_id").alias("node"), "high", "text")

@@ -82,11 +82,10 @@ def test_rows_of_one_id_and_empty_table(spark):
 
 def test_crowds_split_by_depth(spark, monkeypatch):
     monkeypatch.setattr(minhash_forest, "MEETING", 20)
+    monkeypatch.setattr(minhash_forest, "UNIT", 40)
     rows = clusters()
-    found = minhash_forest.near_duplicates(documents(spark, rows)).collect()
-    want = {(a, c) for a, _, c, _ in brute_components(rows, 85)}
-    right = sum((r["doc_id"], r["component_id"]) in want for r in found)
-    assert right >= 0.9 * len(rows)
+    found = minhash_forest.near_duplicates(documents(spark, rows))
+    assert Counter(tuple(r) for r in found.collect()) == brute_components(rows, 85)
 
 
 def variants(n):
@@ -129,6 +128,62 @@ def test_crowds_around_the_bound(spark, monkeypatch):
     assert Counter(tuple(r) for r in found.collect()) == brute_components(rows, 85)
 
 
+def crowd(n):
+    """Near copies of one text that are hardly ever similar enough to each other."""
+    rng = random.Random(41)
+    base = prose(43, 200, 5000).split()
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(8, 190, 6), 4):
+            words[at] = f"own{i}at{at}"
+        rows.append((9000 + i, " ".join(words)))
+    return rows
+
+
+def test_rows_grow_with_the_crowd(spark, monkeypatch):
+    """Four times the near copies: five times the rows at most, or one row per copy and tree."""
+    counts = {}
+    for n in (300, 1200):
+        sizes = counts[n] = []
+
+        def counted(df, *args, real=minhash_forest.stored, sizes=sizes):
+            out = real(df, *args)
+            sizes.append(out.count())
+            return out
+
+        monkeypatch.setattr(minhash_forest, "stored", counted)
+        rows = crowd(n)
+        found = minhash_forest.near_duplicates(documents(spark, rows))
+        assert n > 300 or Counter(tuple(r) for r in found.collect()) == brute_components(rows, 85)
+        monkeypatch.undo()
+    assert len(counts[300]) == len(counts[1200])
+    bound = 1200 * minhash_forest.TREES
+    assert all(b <= max(5 * a, bound) for a, b in zip(counts[300], counts[1200], strict=True)), str(counts)
+
+
+def test_joining_links():
+    """A forest of links, none between sets that are joined already."""
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(60)]
+    every = [(i, j) for i in range(60) for j in range(i + 1, 60)]
+    found = list(minhash_forest.joining_links(sets, list(range(60)), iter(every), 50))
+
+    def similar(i, j):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        return 100 * both >= 50 * (len(sets[i]) + len(sets[j]) - both)
+
+    def groups(pairs):
+        root = list(range(60))
+        for i, j in pairs:
+            a, b = root[i], root[j]
+            root = [b if x == a else x for x in root]
+        return [root.index(x) for x in root]
+
+    assert all(similar(i, j) for i, j in found) and len(found) < 60
+    assert groups(found) == groups([p for p in every if similar(*p)])
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 180)] + [(0, i) for i in range(1, 60)] + [(300, 300), (None, 4)]
