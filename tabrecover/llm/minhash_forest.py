@@ -273,18 +273,14 @@ def joining_links(sets: list[np.ndarray], groups: list[int], likely: Iterator[tu
 
 
 def _joining(percent: int):
-    """Links between components of a crowd, confirmed on the sets that come along."""
+    """Components of a crowd that have a link, confirmed on the sets that come along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _meetings(batches):
             sets = [np.frombuffer(r["shingles"], np.uint64) for r in held]
-            links = [
-                sorted((held[i]["node"], held[j]["node"]))
-                for i, j in joining_links(sets, [r["group"] for r in held], _likely(held, percent), percent)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], names=["a", "b"]
-            )
+            groups = [r["group"] for r in held]
+            links = [(groups[i], groups[j]) for i, j in joining_links(sets, groups, _likely(held, percent), percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return run
 
@@ -399,10 +395,13 @@ def near_duplicates(
     met = stored(crowds.mapInArrow(tidied(_strangers(percent)), _CROWD_SQL))
     sets = texts_of(met.select(F.col("node").alias("doc_id"))).mapInArrow(tidied(_hashed), "node long, high long, shingles binary")
     met = met.join(sets, ["node", "high"]).repartition(*_TASK).sortWithinPartitions(*order)
-    links = links.unionByName(stored(met.mapInArrow(tidied(_joining(percent)), "a long, b long")))
-    member = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    joins = stored(met.mapInArrow(tidied(_joining(percent)), "u long, v long"))
     named = classes.join(member, "node", "left")
     named = named.select("high", "low", F.coalesce("component", "node").alias("component_id"))
+    if not joins.isEmpty():
+        larger = components(joins).select(F.col("node").alias("component_id"), F.col("component").alias("larger"))
+        named = salted_join(named, larger, ["component_id"], "left")
+        named = named.select("high", "low", F.coalesce("larger", "component_id").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles", "high", "low", has_set.alias("linkable"))
     joined = salted_join(rows, named, ["high", "low"], "left", counts=classes.select("high", "low", "n"))
     component = F.when(F.col("linkable"), F.col("component_id")).otherwise(F.col("doc_id"))
