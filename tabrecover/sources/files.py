@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 LOCK_PREFIX = "~$"
 LARGE_FILE = 100 * 1024 * 1024
 _BATCH = 8192
-_FILES = pa.schema([("file", pa.string()), ("length", pa.int64())])
+_FILES = pa.schema([("file", pa.string()), ("length", pa.int64()), ("modified", pa.int64())])
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -26,7 +26,7 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), uri
 
 
-def _list_folder(uri: str) -> tuple[list[str], list[tuple[str, int]]]:
+def _list_folder(uri: str) -> tuple[list[str], list[tuple[str, int, int | None]]]:
     fs, path = filesystem(uri)
     prefix = uri[: len(uri) - len(path)] if uri.endswith(path) else ""
     folders, files = [], []
@@ -34,17 +34,17 @@ def _list_folder(uri: str) -> tuple[list[str], list[tuple[str, int]]]:
         if info.type == pafs.FileType.Directory:
             folders.append(prefix + info.path)
         elif info.type == pafs.FileType.File:
-            files.append((prefix + info.path, info.size or 0))
+            files.append((prefix + info.path, info.size or 0, info.mtime_ns))
     return folders, files
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: list[tuple[str, int]] = []
+    found: list[tuple[str, int, int | None]] = []
 
     def batch() -> pa.RecordBatch:
-        names, sizes = zip(*found)
+        columns = [pa.array(c, t) for c, t in zip(zip(*found), _FILES.types)]
         found.clear()
-        return pa.record_batch([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], schema=_FILES)
+        return pa.record_batch(columns, schema=_FILES)
 
     for units in batches:
         for unit in units.to_pylist():
@@ -65,7 +65,8 @@ def list_files(
 ) -> DataFrame:
     """Files below the roots by extension (any case), without lock files.
 
-    Gives file, name, length, audit ("empty", "large" or null). The driver opens
+    Gives file, name, length, modified (nanoseconds, null where the storage has no time), audit
+    ("empty", "large" or null). The driver opens
     folders only until it has ``fan_out`` of them to hand out; tasks walk those.
     """
     fan_out = fan_out or 4 * spark.sparkContext.defaultParallelism
@@ -77,12 +78,12 @@ def list_files(
         open_folders.extend(_list_folder(folder)[0])
     units.extend((folder, True) for folder in open_folders)
     folders = spark.createDataFrame(units, "folder string, deep boolean")
-    walked = folders.repartition(max(1, len(units))).mapInArrow(_walk, "file string, length bigint")
+    walked = folders.repartition(max(1, len(units))).mapInArrow(_walk, "file string, length bigint, modified bigint")
     name = F.element_at(F.split("file", "/"), -1)
     audit = F.when(F.col("length") == 0, "empty").when(F.col("length") > LARGE_FILE, "large")
     return (
         walked.withColumn("name", name)
         .filter(F.endswith(F.lower("name"), F.lit(extension.lower())))
         .filter(~F.startswith("name", F.lit(LOCK_PREFIX)))
-        .select("file", "name", "length", audit.alias("audit"))
+        .select("file", "name", "length", "modified", audit.alias("audit"))
     )

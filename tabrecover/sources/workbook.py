@@ -4,13 +4,16 @@ Two steps, both inside tasks: the sheets of every workbook are listed from the
 zip directory, then every sheet is read by itself. So the unit of work is one
 sheet, a workbook with many sheets spreads out, and a failing sheet or file
 becomes one row with its error while the rest goes on. A sheet comes whole or
-not at all: its part is read to the end before its first row is given out, and a
-cell that cannot be converted becomes an error cell with its stored text.
+not at all: it is converted to its end before its first row is given out, a large
+one twice, so that a task need not hold it. A cell that cannot be converted becomes
+an error cell with its stored text, and a row or column number beyond the format's
+own counts as missing: the row or cell then follows the one before it.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import math
 import posixpath
 import re
 import zipfile
@@ -18,7 +21,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
 from xml.etree import ElementTree
-from xml.parsers.expat import ParserCreate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +42,11 @@ NUMBER_FORMATS = {
     44: '_($* #,##0.00_);_($* (#,##0.00);_($* "-"??_);_(@_)', 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@",
 }
 
-_BATCH_CELLS = 20_000
+# Fixed values of the file format: rows and columns of a sheet.
+MAX_ROW, MAX_COLUMN = 1 << 20, 1 << 14
+
+#: Cells of a batch of rows, and of a sheet that is kept until its end is reached.
+_BATCH_CELLS, _HELD_CELLS = 20_000, 200_000
 _CELL = pa.struct([("value", pa.string()), ("dtype", pa.string()), ("number_format", pa.string())])
 _SHEETS = pa.schema([
     ("file", pa.string()), ("sheet_idx", pa.int64()), ("sheet", pa.string()),
@@ -116,17 +122,31 @@ def _read_sheets(batches: Iterator[pa.RecordBatch], formulas: bool) -> Iterator[
                 with _opened(sheet["file"]) as book:
                     if shared is None or shared[0] != sheet["file"]:
                         shared = (sheet["file"], _shared_strings(book), _style_formats(book))
-                    _read_through(book, sheet["part"])
-                    yield from _row_batches(book, sheet, key, shared[1], shared[2], formulas)
+                    held, whole = _converted_whole(book, sheet, key, shared[1], shared[2], formulas)
             except Exception as problem:
                 error = f"{type(problem).__name__}: {problem}"
                 yield pa.RecordBatch.from_pylist([{**key, "error": error}], schema=_ROWS)
+                continue
+            if whole:
+                yield from held
+                continue
+            # The first time went well, so what fails now is the storage: the task fails and runs again.
+            with _opened(sheet["file"]) as book:
+                yield from _row_batches(book, sheet, key, shared[1], shared[2], formulas)
 
 
-def _read_through(book: zipfile.ZipFile, part: str) -> None:
-    """Read a part to its end; raises if it is cut off, damaged or not well-formed."""
-    with book.open(part) as stream:
-        ParserCreate().ParseFile(stream)
+def _converted_whole(
+    book: zipfile.ZipFile, sheet: dict, key: dict, strings: list[str], formats: list[str], formulas: bool
+) -> tuple[list[pa.RecordBatch], bool]:
+    """Convert a sheet to its end; its batches, or only the knowledge that it can be, if they are too many to hold."""
+    held: list[pa.RecordBatch] = []
+    whole = True
+    for batch in _row_batches(book, sheet, key, strings, formats, formulas):
+        if whole and (len(held) + 1) * _BATCH_CELLS <= _HELD_CELLS:
+            held.append(batch)
+        else:
+            held, whole = [], False
+    return held, whole
 
 
 def _row_batches(
@@ -212,8 +232,11 @@ def _rich_text(element: ElementTree.Element) -> str:
 
 
 def _unescaped(text: str) -> str:
-    """Characters that the file format writes as ``_xHHHH_``."""
-    return re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), text) if "_x" in text else text
+    """Characters that the file format writes as ``_xHHHH_``, in UTF-16; a half of a pair by itself becomes U+FFFD."""
+    if "_x" not in text:
+        return text
+    plain = re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), text)
+    return plain.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
 def _shared_strings(book: zipfile.ZipFile) -> list[str]:
@@ -272,22 +295,30 @@ def date_text(serial: float, date1904: bool) -> str:
 
 
 def number_text(text: str) -> str:
-    """Shortest text of a stored number."""
+    """Shortest text of a stored number; raises for what is none."""
+    if "_" in text or any(c in text for c in ".eE") and not math.isfinite(float(text)):
+        raise ValueError(text)
     return repr(float(text)) if any(c in text for c in ".eE") else str(int(text))
 
 
 def column_number(ref: str) -> int:
-    """1-based column of a cell address such as AB12."""
+    """1-based column of a cell address such as AB12; 0 if it names none."""
     col = 0
-    for letter in ref:
-        if not letter.isalpha():
+    for letter in ref.upper():
+        if not "A" <= letter <= "Z":
             break
-        col = col * 26 + ord(letter.upper()) - 64
+        col = col * 26 + ord(letter) - 64
+        if col > MAX_COLUMN:
+            return 0
     return col
 
 
-def _number(text: str | None, default: int) -> int:
-    return int(text) if text is not None and text.strip().isdecimal() else default
+def _number(text: str | None, default: int, largest: int = MAX_ROW) -> int:
+    """A whole number of up to so many, else the default."""
+    if text is None or not text.strip().isdecimal() or len(text.strip()) > 18:
+        return default
+    number = int(text)
+    return number if number <= largest else default
 
 
 def _sheet_rows(
@@ -334,6 +365,8 @@ def _converted(
     if text is None:
         return None
     if kind == "s":
+        if int(text) < 0:
+            raise IndexError(text)
         return strings[int(text)], "s"
     if kind == "b":
         return ("TRUE" if text.strip() in ("1", "true") else "FALSE"), "b"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -259,6 +261,56 @@ def test_sheets_come_whole_or_not_at_all(spark, tmp_path):
     assert odd[3][0].value == "36:00:00"
 
 
+ODD_TEXTS = ["smile _xD83D_ x", "pair _xD83D__xDE00_", "_xDE00_", "_x0000_"]
+
+
+def test_odd_cells_behind_many_rows(spark, tmp_path):
+    """Halves of pairs, numbers beyond the format and strings out of range cut no sheet short, wherever they are."""
+    rows = {n: {c: Cell("n", n) for c in range(1, 6)} for n in range(1, 12_001)}
+    rows[11_990] = {c: Cell("inline", t) for c, t in enumerate(ODD_TEXTS, 1)}
+    rows[11_991] = {1: Cell("n", "1e999"), 2: Cell("n", "nan"), 3: Cell("n", "1_0"), 4: Cell("n", "-1e-3")}
+    data = workbook([("long", rows), ("strings", {1: {1: Cell("s", "first"), 2: Cell("s", "last")}})])
+    swaps = {
+        "xl/worksheets/sheet1.xml": [('<row r="11995">', '<row r="99999999999999999999999">'), ('r="A11996"', 'r="ZZZZZZZZZ1"')],
+        "xl/worksheets/sheet2.xml": [("<v>0</v>", "<v>-1</v>"), ("<v>1</v>", "<v>7</v>")],
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as whole, zipfile.ZipFile(out, "w") as copy:
+        for part in whole.namelist():
+            text = whole.read(part).decode()
+            for old, new in swaps.get(part, []):
+                assert old in text
+                text = text.replace(old, new, 1)
+            copy.writestr(part, text)
+    (tmp_path / "odd.xlsx").write_bytes(out.getvalue())
+    decoded = decode_workbooks(list_files(spark, [str(tmp_path)]), partitions=2).cache()
+    assert rejects_of(decoded).count() == 0
+    found = {(r.sheet, r.row): r.cells for r in grid_of(decoded).collect()}
+    assert len(found) == 12_001
+    assert [c.value for c in found["long", 11_990]] == ["smile \ufffd x", "pair \U0001f600", "\ufffd", "\0"]
+    assert [(c.value, c.dtype) for c in found["long", 11_991]] == [("1e999", "e"), ("nan", "e"), ("1_0", "e"), ("-0.001", "n")]
+    assert found["long", 11_995][0].value == "11995" and found["long", 11_996][0].value == "11996"
+    assert [(c.value, c.dtype) for c in found["strings", 1]] == [("-1", "e"), ("7", "e")]
+
+
+@pytest.mark.parametrize("share", [0.3, 0.99])
+def test_large_sheets_cut_short(spark, tmp_path, share):
+    """A sheet too large to hold is converted to its end before its first row is given out."""
+    long = {n: {c: Cell("n", n) for c in range(1, 21)} for n in range(1, 12_001)}
+    whole = workbook([("long", long)])
+    (tmp_path / "cut.xlsx").write_bytes(cut_part(whole, "xl/worksheets/sheet1.xml", share))
+    (tmp_path / "whole.xlsx").write_bytes(whole)
+    decoded = decode_workbooks(list_files(spark, [str(tmp_path)]), partitions=2).cache()
+    assert [r.file.rsplit("/", 1)[1] for r in rejects_of(decoded).collect()] == ["cut.xlsx"]
+    assert {r.file.rsplit("/", 1)[1]: r.n for r in grid_of(decoded).groupBy("file").agg(F.count("*").alias("n")).collect()} == {"whole.xlsx": 12_000}
+
+
+def test_missing_template_sheet(spark, tmp_path):
+    (tmp_path / "t.xlsx").write_bytes(workbook([("Layout", {1: {1: Cell("s", "a")}})]))
+    with pytest.raises(ValueError, match="no readable sheet 'Sheet1'"):
+        jobs.template(spark, str(tmp_path / "t.xlsx"), "Sheet1")
+
+
 def test_ingest_new_reads_only_new_files(spark, folder, tmp_path):
     first = jobs.ingest(spark, [str(folder / "deep")], str(tmp_path / "grid"), partitions=2)
     assert first.select("file").distinct().count() == 2
