@@ -22,6 +22,7 @@ from tabrecover.operators import suggest as S
 from tabrecover.operators import types as T
 from tabrecover.plans import checkpoints as C
 from tabrecover.plans.blocks import blocked
+from tabrecover.sinks import store as St
 from tabrecover.sinks import writers as W
 from tabrecover.sources import workbook as X
 from tabrecover.sources.files import list_files
@@ -73,6 +74,18 @@ def ingest_new(
     return spark.read.schema(stored_rows.schema).parquet(path)
 
 
+def ingest_changed(
+    spark: SparkSession, roots: Sequence[str], path: str, partitions: int | None = None
+) -> DataFrame:
+    """Bring a store of files and versions up to date and give its live rows.
+
+    New and changed workbooks are decoded, those that the folders no longer hold are left out, all
+    in one step (``sinks.store``).
+    """
+    St.ingest_changed(spark, roots, path, partitions)
+    return St.current(spark, path)
+
+
 def scan(decoded: DataFrame, path: str) -> None:
     """Write headers, their provenance and the statistics of a scan."""
     grid, rejects = X.grid_of(decoded), X.rejects_of(decoded)
@@ -208,5 +221,8 @@ def template(spark: SparkSession, file: str, sheet: str) -> tuple[DataFrame, Fm.
     one = spark.createDataFrame([(file,)], "file string")
     grid = X.grid_of(X.decode_workbooks(one, formulas=True, partitions=1)).filter(F.col("sheet") == sheet)
     bounds = B.sheet_bounds(grid)
-    header_row = bounds.first().header_row
+    found = bounds.first()
+    if found is None:
+        raise ValueError(f"no readable sheet {sheet!r} in {file}")
+    header_row = found.header_row
     return grid, Fm.Layout.of(H.target_layout(H.sheet_headers(grid, bounds)), header_row)
