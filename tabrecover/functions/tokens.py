@@ -9,19 +9,16 @@ _CASE_BREAK = r"(\p{Ll}|\p{N})(\p{Lu})"
 _WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
-def words(name: Column) -> Column:
-    """Sorted set of lower-case words; "custName_2" gives [2, cust, name]."""
+def _parts(name: Column) -> Column:
     spaced = F.regexp_replace(name, _CASE_BREAK, "$1 $2")
-    parts = F.split(F.lower(spaced), _WORD_BREAK)
-    return F.sort_array(F.array_distinct(F.filter(parts, lambda w: w != "")))
+    return F.filter(F.split(F.lower(spaced), _WORD_BREAK), lambda w: w != "")
+
 
+def words(name: Column) -> Column:
+    """Sorted set of lower-case words; "custName_2" gives [2, cust, name]."""
+    return F.sort_array(F.array_distinct(_parts(name)))
 
-def grams(name: Column) -> Column:
-    """Sorted set of the two-character runs of the joined words, with marks at both ends.
 
-    Empty for a name without words. The runs overlap, so they are read by a
-    pattern that looks ahead and moves one character at a time.
-    """
-    text = F.concat(F.lit("^"), F.array_join(words(name), " "), F.lit("$"))
-    runs = F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), F.lit(1))
-    return F.sort_array(F.array_remove(F.array_distinct(runs), "^$"))
+def plain(name: Column) -> Column:
+    """Lower-case words in their order with one space between; "custName_2" gives "cust name 2"."""
+    return F.array_join(_parts(name), " ")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabrecover.functions.text import leading_number, trim_space
-from tabrecover.functions.tokens import grams, words
+from tabrecover.functions.tokens import plain, words
 from tabrecover.operators.mapping import decided_headers
 from tabrecover.plans.checkpoints import stored
 from tabrecover.plans.joins import lookup_join, salted_join
@@ -137,12 +137,14 @@ def suggest_similar(
 ) -> DataFrame:
     """Best target per header by name: scanned, target, confidence.
 
-    Confidence is the larger of two overlaps (shared over all): of the words,
-    and of the two-character runs. Ties go to the first target in byte order.
+    Confidence is the larger of the overlap of the words (shared over all) and of
+    the edit similarity, 1 - edits / length of the longer name, of the names in lower case with one
+    space between words. Ties go to the first target in byte order. Both halves find all
+    pairs from ``min_confidence`` on, without a cross join.
     """
     headers = stored(headers.select(F.col("header").alias("scanned")).distinct())
     found = _similar(headers, targets, words, min_confidence).unionByName(
-        _similar(headers, targets, grams, min_confidence)
+        _edit_similar(headers, targets, min_confidence)
     )
     best = found.groupBy("scanned").agg(F.min(F.struct("minus_score", "target")).alias("best"))
     return best.select("scanned", "best.target", (-F.col("best.minus_score")).alias("confidence"))
@@ -195,3 +197,56 @@ def _similar(
         .agg(F.min(F.struct((-F.col("score")).alias("minus_score"), "target")).alias("best"))
     )
     return salted_join(named, best, ["tokens"]).select("scanned", "best.target", "best.minus_score")
+
+
+def _segments(text: str, longest: str, least: float) -> str:
+    """SQL array of the segments of a text for a partner, with the most edits either allows.
+
+    ``longest`` is the larger of both lengths. A text cut into one more segment than there are
+    edits keeps one of them whole in its partner. Gives nr, start (from 0), size.
+    """
+    edits = f"cast(floor((1 - {least}) * {longest} + 1e-9) as int)"
+    return f"""transform(sequence(0, {edits}), i -> named_struct('nr', i,
+        'start', cast(i * ({text} div ({edits} + 1)) + greatest(0, i - ({edits} + 1 - {text} % ({edits} + 1))) as int),
+        'size', cast({text} div ({edits} + 1) + if(i >= {edits} + 1 - {text} % ({edits} + 1), 1, 0) as int)))"""
+
+
+def edit_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Exact edit-similarity join of distinct texts ``a`` and ``b``: a, b, score from ``least`` on.
+
+    Texts of lengths l and h within ``e = (1 - least) * max(l, h)`` edits: b is cut into e + 1 segments, of which one
+    is in a unchanged, at a place that the edits before and after it allow. So a and b meet by both lengths, the
+    segment's number and its text; only then the distance is computed. ``least`` is above 0.
+    """
+    lengths = right.select(F.length("b").alias("l")).distinct()
+    partners = F.expr(f"sequence(cast(greatest(1, ceil({least} * h - 1e-9)) as int), cast(floor(h / {least} + 1e-9) as int))")
+    sizes = left.select(F.length("a").alias("h")).distinct().select("h", F.explode(partners).alias("l"))
+    sizes = stored(sizes.join(lengths, "l"))
+    cut = lookup_join(right.withColumn("l", F.length("b")), sizes, ["l"])
+    cut = cut.select("b", "l", "h", F.explode(F.expr(_segments("l", "greatest(l, h)", least))).alias("s"))
+    cut = cut.select("b", "l", "h", F.col("s.nr").alias("nr"), F.expr("substring(b, s.start + 1, s.size)").alias("piece"))
+    tried = lookup_join(left.withColumn("h", F.length("a")), sizes, ["h"])
+    tried = tried.select("a", "l", "h", F.explode(F.expr(_segments("l", "greatest(l, h)", least))).alias("s"))
+    edits = f"cast(floor((1 - {least}) * greatest(l, h) + 1e-9) as int)"
+    first = f"greatest(0, s.start - s.nr, s.start + h - l - ({edits} - s.nr))"
+    last = f"least(h - s.size, s.start + s.nr, s.start + h - l + ({edits} - s.nr))"
+    places = F.expr(f"if({last} >= {first}, sequence({first}, {last}), cast(array() as array<int>))")
+    tried = tried.select("a", "l", "h", "s", F.explode(places).alias("at"))
+    tried = tried.select("a", "l", "h", F.col("s.nr").alias("nr"), F.expr("substring(a, at + 1, s.size)").alias("piece")).distinct()
+    pairs = salted_join(tried, stored(cut), ["l", "h", "nr", "piece"]).select("a", "b").distinct()
+    score = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
+    return pairs.withColumn("score", score).filter(F.col("score") >= least - 1e-12)
+
+
+def _edit_similar(headers: DataFrame, targets: DataFrame, least: float) -> DataFrame:
+    """Best target of each header by edit similarity: scanned, target, minus_score."""
+    named = headers.withColumn("a", plain(F.col("scanned"))).filter("a != ''")
+    wanted = targets.withColumn("b", plain(F.col("target"))).filter("b != ''")
+    wanted = stored(wanted.groupBy("b").agg(F.min("target").alias("target")))
+    pairs = edit_pairs(named.select("a").distinct(), wanted.select("b"), least)
+    best = (
+        lookup_join(pairs, wanted, ["b"])
+        .groupBy("a")
+        .agg(F.min(F.struct((-F.col("score")).alias("minus_score"), "target")).alias("best"))
+    )
+    return salted_join(named, best, ["a"]).select("scanned", "best.target", "best.minus_score")

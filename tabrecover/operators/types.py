@@ -14,16 +14,27 @@ from tabrecover.operators.formatting import Layout
 GENERAL = "General"
 
 # What a value is, judged by its text: a whole number, one beyond the whole numbers a
-# double holds exactly, a number with a fraction, a date with a time, a truth value, text.
-WHOLE, LARGE, REAL, DATE, TRUTH, TEXT = "whole", "large", "real", "date", "truth", "text"
+# double holds exactly, a number with a fraction that a double holds, one with an exponent that
+# a double holds, a number with a fraction that only decimals hold, a date with a time, a truth value, text.
+WHOLE, LARGE, REAL, POWER, EXACT, DATE, TRUTH, TEXT = "whole", "large", "real", "power", "exact", "date", "truth", "text"
 _EXACT = 1 << 53
+_MAX_DIGITS = 38
+
+
+def _digits(number: Column) -> Column:
+    """Digits of a number's text that count, whatever its exponent."""
+    mantissa = F.regexp_replace(number, "[eE].*$", "")
+    return F.regexp_replace(F.regexp_replace(mantissa, "[^0-9]", ""), "^0+|0+$", "")
 
 
 def value_kind(value: Column, dtype: Column) -> Column:
     """Kind of a cell; whatever a cast to the kind's type would lose or change is text.
 
-    Times of a day and lengths of time are text: they are no point in time.
+    A double holds a number if the shortest text that it is read back from has the number's
+    own digits. Times of a day and lengths of time are text: they are no point in time.
     """
+    double = value.try_cast("double")
+    held = _digits(value) == _digits(double.cast("string"))
     whole = value.try_cast("bigint")
     number = (
         F.when(
@@ -31,7 +42,8 @@ def value_kind(value: Column, dtype: Column) -> Column:
             F.when(F.abs(whole) <= _EXACT, WHOLE).otherwise(LARGE),
         )
         .when(value.rlike(r"^-?\d+$"), TEXT)
-        .when(value.try_cast("double").isNotNull(), REAL)
+        .when(value.rlike(r"^-?\d+\.\d+$"), F.when(held, REAL).otherwise(EXACT))
+        .when(double.isNotNull() & held, POWER)
         .otherwise(TEXT)
     )
     is_date = value.rlike(r"^\d{4}-\d{2}-\d{2} \d") & value.try_cast("timestamp_ntz").isNotNull()
@@ -44,16 +56,24 @@ def value_kind(value: Column, dtype: Column) -> Column:
 
 
 def column_profile(projected: DataFrame, layout: Layout) -> DataFrame:
-    """How often each kind of value and number format occurs: target, kind, number_format, cells.
+    """How often each kind of value and number format occurs: target, kind, number_format, cells,
+    and the most digits before and after the point (before_point, after_point; 0 without any).
 
     ``projected`` comes from ``project_cells``; blank and formula cells do not count.
     """
     cells = projected.select(F.posexplode("picked").alias("pos", "cell")).select("pos", "cell.*")
     copied = cells.filter(~is_blank(F.col("value")) & ~is_formula(F.col("value")))
     kind = value_kind(F.col("value"), F.col("dtype")).alias("kind")
-    counts = copied.groupBy("pos", kind, "number_format").agg(F.count(F.lit(1)).alias("cells"))
+    parts = F.split(F.regexp_replace("value", "^-?0*", ""), r"\.")
+    counts = copied.groupBy("pos", kind, "number_format").agg(
+        F.count(F.lit(1)).alias("cells"),
+        F.max(F.length(F.get(parts, F.lit(0)))).alias("before_point"),
+        F.max(F.coalesce(F.length(F.get(parts, F.lit(1))), F.lit(0))).alias("after_point"),
+    )
     names = F.array(*[F.lit(c) for c in layout.columns])
-    return counts.select(F.get(names, F.col("pos")).alias("target"), "kind", "number_format", "cells")
+    return counts.select(
+        F.get(names, F.col("pos")).alias("target"), "kind", "number_format", "cells", "before_point", "after_point"
+    )
 
 
 def column_formats(profile: DataFrame) -> DataFrame:
@@ -70,9 +90,15 @@ def column_formats(profile: DataFrame) -> DataFrame:
     def only(*kinds: str) -> Column:
         return F.bool_and(F.col("kind").isin(*kinds))
 
+    scale = F.max("after_point")
+    digits = F.greatest(F.max("before_point") + scale, F.lit(1))
     column_type = (
         F.when(only(WHOLE, LARGE), "bigint")
-        .when(only(WHOLE, REAL), "double")
+        .when(only(WHOLE, REAL, POWER), "double")
+        .when(
+            only(WHOLE, LARGE, REAL, EXACT) & (digits <= _MAX_DIGITS),
+            F.format_string("decimal(%d,%d)", digits, scale),
+        )
         .when(only(DATE), "timestamp_ntz")
         .when(only(TRUTH), "boolean")
         .otherwise("string")

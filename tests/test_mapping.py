@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tabrecover.operators import decisions as D
 from tabrecover.operators import mapping as M
 from tabrecover.operators import suggest as S
 from tabrecover.plans import joins
+from tabrecover.streaming.decision_state import keep_decisions
 from tabrecover.streaming.decisions import LOG_SCHEMA, current_states, follow_decisions
 
 MAPPING = "ord int, scanned string, target string, is_ignored boolean"
@@ -71,6 +73,29 @@ def test_stream_equals_batch(spark, tmp_path):
     assert states_of(current_states(spark, str(tmp_path / "out"))) == replay(log)
 
 
+@pytest.mark.parametrize("order", ["arrival", "backwards", "mixed"])
+def test_state_of_a_stream(spark, tmp_path, order):
+    """Many small batches, late ones too, give the fold of the whole log, and a batch reads its own rows only."""
+    log = random_log(11, 40) + [("hot", i, D.MAP if i in (500, 90) else D.TOGGLE_IGNORE, f"t{i}" if i in (500, 90) else None) for i in range(1001)]
+    log.append(("twice", 1, D.TOGGLE_IGNORE, None))
+    rows = sorted(log, key=lambda e: e[1], reverse=order == "backwards")
+    if order == "mixed":
+        random.Random(2).shuffle(rows)
+    for n in range(6):
+        part = spark.createDataFrame(rows[n::6] if order == "mixed" else rows[n * 200 : n * 200 + 200 if n < 5 else None], LOG_SCHEMA)
+        part.coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+        for file in (tmp_path / f"in{n}").glob("part-*"):
+            (tmp_path / "in").mkdir(exist_ok=True)
+            shutil.copy(file, tmp_path / "in" / f"{n}.parquet")
+    stream = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    run = keep_decisions(stream, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check"))
+    run = run.trigger(availableNow=True).start()
+    run.awaitTermination(300)
+    assert run.exception() is None
+    assert states_of(current_states(spark, str(tmp_path / "out"))) == replay(log)
+    assert [p["numInputRows"] for p in run.recentProgress if p["numInputRows"]] and sum(p["numInputRows"] for p in run.recentProgress) == len(log)
+
+
 def test_normalize(spark):
     entries = [
         (0, "a", "x", False), (1, "a", "y", None), (2, "b", "x", False), (3, "b", "", True),
@@ -131,6 +156,29 @@ def test_parse_and_apply(spark):
     assert audit == {(0, "a", "suggested", "T9", 95.0), (1, "b", "no match", None, None)}
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.85])
+def test_edit_pairs_are_those_of_all_pairs(spark, least):
+    """Short texts over a small alphabet, so that many pairs lie around the bound."""
+    rng = random.Random(int(least * 100))
+    texts = sorted({"".join(rng.choices("abc", k=rng.randint(1, 13))) for _ in range(90)})
+    left, right = texts[::2], texts[1::2]
+    found = S.edit_pairs(
+        spark.createDataFrame([(t,) for t in left], "a string"), spark.createDataFrame([(t,) for t in right], "b string"), least
+    )
+    want = {(a, b): 1 - edits(a, b) / max(len(a), len(b)) for a in left for b in right}
+    assert {(r.a, r.b): r.score for r in found.collect()} == pytest.approx({p: s for p, s in want.items() if s >= least - 1e-12})
+
+
 @pytest.mark.parametrize("threshold", [0.4, 0.6, 1.0])
 def test_similar_finds_what_all_pairs_find(spark, threshold):
     rng = random.Random(5)
@@ -143,16 +191,19 @@ def test_similar_finds_what_all_pairs_find(spark, threshold):
 
     def tokens(name):
         spaced = "".join(f" {c}" if c.isupper() and i and name[i - 1].islower() else c for i, c in enumerate(name))
-        found = sorted(set("".join(c if c.isalnum() else " " for c in spaced.lower()).split()))
-        text = f"^{' '.join(found)}$"
-        return set(found), {text[i : i + 2] for i in range(len(text) - 1)} - {"^$"}
+        return "".join(c if c.isalnum() else " " for c in spaced.lower()).split()
 
-    def overlap(a, b):
-        return len(a & b) / len(a | b) if a | b else 0.0
+    def score(header, target):
+        a, b = tokens(header), tokens(target)
+        if not a or not b:
+            return 0.0
+        one, two = " ".join(a), " ".join(b)
+        overlap = len({*a} & {*b}) / len({*a} | {*b})
+        return max(overlap, 1 - edits(one, two) / max(len(one), len(two)))
 
     want = {}
     for header in headers:
-        scored = [(-max(map(overlap, tokens(header), tokens(target))), target) for target in targets]
+        scored = [(-score(header, target), target) for target in targets]
         best = min((s for s in scored if -s[0] >= threshold), default=None)
         if best:
             want[header] = (best[1], -best[0])

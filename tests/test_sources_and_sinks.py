@@ -206,3 +206,31 @@ def test_types(spark):
     typed = T.typed_rows(text, T.column_types(formats))
     assert [t for _, t in typed.dtypes][3:] == ["double", "timestamp_ntz", "boolean", "string", "string"]
     assert [tuple(r)[3:] for r in typed.orderBy("target_row").collect()][1] == (None, None, False, "x", None)
+
+
+DECIMALS = {
+    "real": ["1.5", "12.500", "0.1", "-3", "9007199254740992"],
+    "power": ["1.5E10", "2", "1e-07"],
+    "exact": ["12345678901234567.89", "0.5", "-9007199254740993.0", "123456789012345678"],
+    "fine": ["0.1234567890123456789012", "1.0"],
+    "wide": ["1234567890123456789012345678.5", "0.123456789012345"],
+    "mixed": ["12345678901234567.89", "1E5"],
+    "lost": ["1e400", "1"],
+}
+
+
+def test_numbers_keep_every_digit(spark):
+    """A column is double only if doubles hold its numbers, else decimal, else text; cast back, no number differs."""
+    from decimal import Decimal
+
+    rows = [[(values[i] if i < len(values) else None, "n", "0") for values in DECIMALS.values()] for i in range(5)]
+    cells = spark.createDataFrame([(r,) for r in rows], "picked array<struct<value:string,dtype:string,number_format:string>>")
+    layout = Layout(tuple(DECIMALS))
+    types = T.column_types(T.column_formats(T.column_profile(cells, layout)))
+    assert types == {
+        "real": "double", "power": "double", "exact": "decimal(20,2)", "fine": "decimal(23,22)", "wide": "string", "mixed": "string", "lost": "string",
+    }
+    text = cells.select(F.lit("f").alias("file"), F.lit("s").alias("sheet"), F.lit(1).alias("target_row"), *[F.col("picked")[i].value.alias(c) for i, c in enumerate(DECIMALS)])
+    typed = T.typed_rows(text, types).select(*[F.col(c).cast("string") for c in DECIMALS]).collect()
+    for c, values in DECIMALS.items():
+        assert [Decimal(r[c]) for r in typed if r[c] is not None] == [Decimal(v) for v in values]

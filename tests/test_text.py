@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabrecover.functions import text as X
-from tabrecover.functions.tokens import grams, words
+from tabrecover.functions.tokens import plain, words
 
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       　"
 
@@ -65,7 +65,8 @@ def test_output_name(spark):
 
 
 def test_tokens(spark):
-    rows = apply(spark, ["custName_2", "  ", "A--b a"], words(F.col("v")), grams(F.col("v")))
+    rows = apply(spark, ["custName_2", "  ", "A--b a"], words(F.col("v")), plain(F.col("v")))
     assert rows[0][1] == ["2", "cust", "name"]
-    assert rows[1][1:] == ([], [])
-    assert rows[2][1:] == (["a", "b"], [" b", "^a", "a ", "b$"])
+    assert rows[1][1:] == ([], "")
+    assert rows[2][1:] == (["a", "b"], "a b a")
+    assert rows[0][2] == "cust name 2"

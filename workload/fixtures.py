@@ -204,23 +204,23 @@ def customer_workbooks(spark: SparkSession, sf_dir: str, folder: str) -> int:
     return customers.groupBy("book").applyInArrow(write, "file string").count()
 
 
-#: Suppliers are dealt to so many workbooks, which are whole or broken by number modulo five.
-LINE_BOOKS = 25
+#: Orders whose lines make up a workbook, some 7,000 lines at most.
+BOOK_ORDERS = 1000
 
 
 def line_workbooks(spark: SparkSession, sf_dir: str, folder: str) -> int:
-    """Write a workbook of ten columns per part of all order lines; gives their number.
+    """Write a workbook of ten columns per block of orders, with all their lines; gives their number.
 
-    By number modulo five a book is no zip, has its sheet cut off near the end, has a
-    number nobody can read in every thousandth line, is empty, or is as it should be.
+    By number modulo five there is a broken file beside a book: one that is no zip (0), a copy of the
+    book with its sheet cut off near the end (1), an empty one (3). The book itself has a
+    number nobody can read in every thousandth line if the remainder is 2.
     """
     lines = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_suppkey") % LINE_BOOKS).alias("book"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"
+        F.floor(F.col("l_orderkey") / BOOK_ORDERS).alias("book"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"
     )
 
     def write(key: tuple, rows: pa.Table) -> pa.Table:
         number = key[0].as_py()
-        path = f"{folder}/lines{number}.xlsx"
         sheet = {1: {c: Cell("s", f"column {c}") for c in range(1, 11)}}
         for n, r in enumerate(rows.to_pylist(), 1):
             bad = number % 5 == 2 and n % 1000 == 0
@@ -229,22 +229,65 @@ def line_workbooks(spark: SparkSession, sf_dir: str, folder: str) -> int:
             if bad:
                 sheet[n + 1][9] = Cell("n", "1")
         data = workbook([("lines", sheet)])
+        files = {f"lines{number}.xlsx": data}
         if number % 5 == 0:
-            data = b"no workbook"
+            files[f"nozip{number}.xlsx"] = b"no workbook"
         elif number % 5 == 1:
-            data = cut_part(data, "xl/worksheets/sheet1.xml", 0.95)
+            files[f"cut{number}.xlsx"] = cut_part(data, "xl/worksheets/sheet1.xml", 0.95)
         elif number % 5 == 3:
-            data = b""
-        fs, inner = filesystem(path)
-        with fs.open_output_stream(inner) as out:
-            out.write(data)
-        return pa.table({"file": [path]})
+            files[f"empty{number}.xlsx"] = b""
+        for name, content in files.items():
+            fs, inner = filesystem(f"{folder}/{name}")
+            with fs.open_output_stream(inner) as out:
+                out.write(content)
+        return pa.table({"file": list(files)})
 
     fs, inner = filesystem(folder)
     fs.create_dir(inner, recursive=True)
     return lines.groupBy("book").applyInArrow(write, "file string").count()
 
 
+#: Parts of a workbook of parts.
+BOOK_PARTS = 100
+
+
+def part_workbooks(spark: SparkSession, sf_dir: str, folder: str, again: bool) -> int:
+    """Write a workbook per block of parts into two folders, a and (every fourth book) b; gives their number.
+
+    A second time (``again``) only what changes is written: every third book of folder a with other names and
+    another header, and a copy of every fifth as a new book.
+    """
+    parts = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / BOOK_PARTS).alias("book"), "p_partkey", "p_name", "p_size")
+    number = F.col("book")
+    if again:
+        parts = parts.filter((number % 4 != 3) & (number % 3 == 1) | (number % 5 == 0))
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        book = key[0].as_py()
+
+        def written(name: str, new: bool) -> None:
+            sheet = {1: {c: Cell("s", t) for c, t in enumerate(["key", "title" if new else "name", "size "], 1)}}
+            for r in rows.to_pylist():
+                text = r["p_name"].upper() if new else r["p_name"]
+                sheet[r["p_partkey"] % BOOK_PARTS + 2] = {1: Cell("n", r["p_partkey"]), 2: Cell("s", text), 3: Cell("n", r["p_size"])}
+            fs, inner = filesystem(f"{folder}/{name}")
+            with fs.open_output_stream(inner) as out:
+                out.write(workbook([("parts", sheet)]))
+
+        if not again:
+            written(f"{'b' if book % 4 == 3 else 'a'}/book{book}.xlsx", False)
+        elif book % 4 != 3 and book % 3 == 1:
+            written(f"a/book{book}.xlsx", True)
+        if again and book % 5 == 0:
+            written(f"a/copy{book}.xlsx", False)
+        return pa.table({"book": [book]})
+
+    for part in ("a", "b"):
+        fs, inner = filesystem(f"{folder}/{part}")
+        fs.create_dir(inner, recursive=True)
+    return parts.groupBy("book").applyInArrow(write, "book long").count()
+
+
 def part_files(spark: SparkSession, sf_dir: str, folder: str) -> int:
     """Write a file per part, of as many bytes as its key modulo 49; every tenth is a lock file."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
@@ -283,6 +326,7 @@ def typed_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
             cell(number + F.lit(9_007_199_254_740_993), "n", "0"),
             cell(F.when(number % 2 == 0, "TRUE").otherwise("FALSE"), "b"),
             cell((number / 8).cast("decimal(20,3)"), "n", "0.00"),
+            cell(F.concat((number + F.lit(12_345_678_901_234_567)).cast("string"), F.lit(".8"), number % 10), "n", "0.00"),
         ),
     )
     heads = events.select(*keys).distinct()
@@ -290,7 +334,7 @@ def typed_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union([body, header])
 
 
-TYPED = ("moment", "clock", "number", "truth", "amount")
+TYPED = ("moment", "clock", "number", "truth", "amount", "exact")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

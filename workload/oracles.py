@@ -166,13 +166,16 @@ def batches(headers: str) -> str:
   CASE WHEN count(*) OVER () <= 100 THEN 0 ELSE (row_number() OVER (ORDER BY header) - 1) // 50 END AS batch FROM ({headers}) s"""
 
 
+def _name_parts(x: str) -> str:
+    return rf"list_filter(string_split_regex(lower(regexp_replace({x}, '(\p{{Ll}}|\p{{N}})(\p{{Lu}})', '\1 \2', 'g')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+
 def _words(x: str) -> str:
-    return rf"list_sort(list_distinct(list_filter(string_split_regex(lower(regexp_replace({x}, '(\p{{Ll}}|\p{{N}})(\p{{Lu}})', '\1 \2', 'g')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')))"
+    return f"list_sort(list_distinct({_name_parts(x)}))"
 
 
-def _grams(words: str) -> str:
-    text = f"concat('^', array_to_string({words}, ' '), '$')"
-    return f"list_distinct(list_transform(range(1, length({text})), lambda i: substr({text}, i, 2)))"
+def _plain(x: str) -> str:
+    return f"array_to_string({_name_parts(x)}, ' ')"
 
 
 SIMILAR = f"""
@@ -180,11 +183,11 @@ headers AS (SELECT DISTINCT unnest([upper(replace(p_name, ' ', '_')), concat('my
 targets AS (SELECT p_name AS target FROM part UNION {TARGETS}),
 hw AS (SELECT scanned, {_words('scanned')} AS w FROM headers),
 tw AS (SELECT target, {_words('target')} AS w FROM targets),
-hs AS (SELECT scanned, w, {_grams('w')} AS g FROM hw),
-ts AS (SELECT target, w, {_grams('w')} AS g FROM tw),
+hs AS (SELECT scanned, w, {_plain('scanned')} AS p FROM hw),
+ts AS (SELECT target, w, {_plain('target')} AS p FROM tw),
 scores AS (SELECT scanned, target, greatest(
     len(list_intersect(hs.w, ts.w)) / (len(hs.w) + len(ts.w) - len(list_intersect(hs.w, ts.w))),
-    len(list_intersect(hs.g, ts.g)) / (len(hs.g) + len(ts.g) - len(list_intersect(hs.g, ts.g)))) AS score FROM hs, ts)
+    1 - levenshtein(hs.p, ts.p) / greatest(length(hs.p), length(ts.p))) AS score FROM hs, ts)
 SELECT scanned, target, round(score, 6) AS confidence FROM scores WHERE score >= 0.6
 QUALIFY row_number() OVER (PARTITION BY scanned ORDER BY score DESC, target) = 1"""
 
@@ -270,15 +273,50 @@ SELECT CAST(pos AS BIGINT) AS pos, target, count(header) AS headers FROM s LEFT
 SELECT list, CAST(pos""").replace("FROM s LEFT JOIN h ON header = target GROUP BY pos", "FROM l LEFT JOIN h ON header = target GROUP BY list, pos")
     o["file_inventory"] = """SELECT concat('part', p_partkey, CASE WHEN p_partkey % 2 = 1 THEN '.XLSX' ELSE '.xlsx' END) AS name, p_partkey % 49 AS length,
   CASE WHEN p_partkey % 49 = 0 THEN 'empty' END AS audit FROM part WHERE p_partkey % 10 <> 0"""
-    o["decode_rejects"] = """WITH b AS (SELECT l_suppkey % 25 AS k, count(*) AS n FROM lineitem GROUP BY 1)
-SELECT concat('lines', k, '.xlsx') AS file, CAST(CASE WHEN k % 5 IN (2, 4) THEN n + 1 ELSE 0 END AS BIGINT) AS rows,
-  CAST(CASE WHEN k % 5 = 2 THEN n // 1000 ELSE 0 END AS BIGINT) AS errors, CAST(CASE WHEN k % 5 IN (2, 4) THEN 0 ELSE 1 END AS BIGINT) AS rejects FROM b"""
+    books = """books AS (SELECT l_orderkey // 1000 AS k, count(*) AS n FROM lineitem GROUP BY 1),
+broken AS (SELECT concat(CASE k % 5 WHEN 0 THEN 'nozip' WHEN 1 THEN 'cut' ELSE 'empty' END, k, '.xlsx') AS file, k % 5 = 1 AS opens FROM books WHERE k % 5 IN (0, 1, 3))"""
+    o["decode_rejects"] = f"""WITH {books}
+SELECT concat('lines', k, '.xlsx') AS file, n + 1 AS rows, CAST(CASE WHEN k % 5 = 2 THEN n // 1000 ELSE 0 END AS BIGINT) AS errors, CAST(0 AS BIGINT) AS rejects FROM books
+UNION ALL SELECT file, 0, 0, 1 FROM broken"""
+    stats = f"""WITH {books},
+files AS (SELECT concat('lines', k, '.xlsx') AS file, 1 AS sheets_processed, 0 AS sheets_with_errors, 10 AS headers_found, false AS has_error FROM books
+  UNION ALL SELECT file, 0, CASE WHEN opens THEN 1 ELSE 0 END, 0, NOT opens FROM broken)"""
+    o["scan_stats_broken_files"] = f"""{stats}
+SELECT file, CAST(sheets_processed AS BIGINT) AS sheets_processed, CAST(sheets_with_errors AS BIGINT) AS sheets_with_errors,
+  CAST(headers_found AS BIGINT) AS headers_found, CAST(0 AS BIGINT) AS empty_headers, has_error FROM files"""
+    o["scan_stats_broken_total"] = f"""{stats}
+SELECT count(*) AS files_processed, CAST(sum(CAST(has_error AS INTEGER)) AS BIGINT) AS files_with_errors, CAST(sum(sheets_processed) AS BIGINT) AS sheets_processed,
+  CAST(sum(sheets_with_errors) AS BIGINT) AS sheets_with_errors, CAST(sum(headers_found) AS BIGINT) AS headers_found, CAST(0 AS BIGINT) AS empty_headers,
+  CAST(0 AS BIGINT) AS headers_cleaned, CAST(10 AS BIGINT) AS unique_headers FROM files"""
+    books = """p AS (SELECT p_partkey // 100 AS book, * FROM part),
+lines AS (SELECT concat('book', book, '.xlsx') AS file, book % 3 = 1 AS new, book, p_partkey, p_name, p_size FROM p WHERE book % 4 <> 3
+  UNION ALL SELECT concat('copy', book, '.xlsx'), false, book, p_partkey, p_name, p_size FROM p WHERE book % 5 = 0),
+files AS (SELECT DISTINCT file, new FROM lines)"""
+    o["ingest_changed"] = f"""WITH {books}
+SELECT file, 'parts' AS sheet, CAST(row AS BIGINT) AS row, CAST(col AS INTEGER) AS col, value, dtype FROM (
+  SELECT file, p_partkey % 100 + 2 AS row, 1 AS col, CAST(p_partkey AS VARCHAR) AS value, 'n' AS dtype FROM lines
+  UNION ALL SELECT file, p_partkey % 100 + 2, 2, CASE WHEN new THEN upper(p_name) ELSE p_name END, 's' FROM lines
+  UNION ALL SELECT file, p_partkey % 100 + 2, 3, CAST(p_size AS VARCHAR), 'n' FROM lines
+  UNION ALL SELECT file, 1, 1, 'key', 's' FROM files
+  UNION ALL SELECT file, 1, 2, CASE WHEN new THEN 'title' ELSE 'name' END, 's' FROM files
+  UNION ALL SELECT file, 1, 3, 'size ', 's' FROM files)"""
+    o["file_ledger"] = f"""WITH {books}
+SELECT file, CAST(CASE WHEN new OR starts_with(file, 'copy') THEN 2 ELSE 1 END AS BIGINT) AS version FROM files"""
+    o["kept_scan_stats"] = f"""WITH {books}
+SELECT count(*) AS files_processed, CAST(0 AS BIGINT) AS files_with_errors, count(*) AS sheets_processed, CAST(0 AS BIGINT) AS sheets_with_errors,
+  count(*) * 3 AS headers_found, CAST(0 AS BIGINT) AS empty_headers, CAST(0 AS BIGINT) AS headers_cleaned,
+  CAST(2 + count(DISTINCT new) AS BIGINT) AS unique_headers FROM files"""
+    o["kept_provenance"] = f"""WITH {books},
+h AS (SELECT file, 'key' AS header, 1 AS col FROM files UNION ALL SELECT file, CASE WHEN new THEN 'title' ELSE 'name' END, 2 FROM files
+  UNION ALL SELECT file, 'size', 3 FROM files)
+SELECT header, min(file) AS first_file, 'parts' AS first_sheet, CAST(1 AS BIGINT) AS first_row, CAST(min(col) AS INTEGER) AS first_col,
+  CAST(NULL AS VARCHAR) AS first_original, count(*) AS occurrences FROM h GROUP BY header"""
     o["mapping_round_trip"] = """SELECT concat(kind, ' "h', event_id) AS scanned, CASE WHEN event_id % 5 <> 0 THEN concat('T', event_id % 8) END AS target,
   event_id % 5 = 0 AS is_ignored FROM events, (VALUES ('a'), ('b')) k(kind)"""
     o["typed_values"] = """SELECT 'typed' AS file, event_type AS sheet, event_id + 2 AS target_row,
   concat('2024-02-', lpad(CAST(event_id % 28 + 1 AS VARCHAR), 2, '0'), ' ', lpad(CAST(event_id % 24 AS VARCHAR), 2, '0'), ':30:00') AS moment,
   concat(lpad(CAST(event_id % 24 AS VARCHAR), 2, '0'), ':15:00') AS clock, event_id + 9007199254740993 AS number, event_id % 2 = 0 AS truth,
-  event_id / 8.0 AS amount FROM events"""
+  event_id / 8.0 AS amount, concat(event_id + 12345678901234567, '.8', event_id % 10) AS exact FROM events"""
     o["target_layout"] = f"WITH {header_ctes(CONVERSATION_CELLS)} SELECT file, sheet, col AS target_col, raw AS target FROM headers"
 
     o["sheet_bounds"] = f"WITH {bounds_ctes(ALL_CELLS)} SELECT * FROM bounds"
@@ -415,4 +453,5 @@ SELECT status, count(*) AS files FROM status GROUP BY status"""
     o["output_names"] = rf"""WITH {bounds_ctes(ALL_CELLS)},
 n AS (SELECT file, sheet, concat(regexp_replace(regexp_extract(file, '[^/]*$', 0), '(.)[.][^.]*$', '\1'), '-', sheet) AS output FROM bounds)
 SELECT file, sheet, output, count(*) OVER (PARTITION BY output) AS sheets FROM n"""
+    o["decision_stream"] = o["decision_fold"]
     return o

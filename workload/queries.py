@@ -21,11 +21,14 @@ from tabrecover.operators import suggest as S
 from tabrecover.operators import types as T
 from tabrecover.plans.blocks import blocked
 from tabrecover.plans.checkpoints import checkpoint_dir, stored
+from tabrecover.sinks import store as St
 from tabrecover.sinks import writers as W
 from tabrecover.sources.files import list_files
 from tabrecover.sources.lists import clean_lines, mapping_entries, read_lines, read_mapping, read_targets
 from tabrecover.sources.tables import table_to_grid
 from tabrecover.sources.workbook import decode_workbooks, grid_of, rejects_of
+from tabrecover.streaming.decision_state import keep_decisions
+from tabrecover.streaming.decisions import LOG_SCHEMA, current_states
 from workload import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +41,7 @@ def query(make: Query) -> Query:
 
 
 _LANDED: dict[tuple[str, str, str], DataFrame] = {}
+_STORES: dict[tuple[str, str, str], str] = {}
 
 
 def landed(spark: SparkSession, sf_dir: str, make: Query) -> DataFrame:
@@ -72,12 +76,20 @@ def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.withColumn("file", F.element_at(F.split("file", "/"), -1))
 
 
+def _line_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks of order lines, written and decoded; a session does so once."""
+    key = (spark.sparkContext.applicationId, sf_dir, "line_books")
+    if key not in _LANDED:
+        folder = f"{checkpoint_dir(spark)}/books-{uuid.uuid4().hex}"
+        X.line_workbooks(spark, sf_dir, folder)
+        _LANDED[key] = stored(decode_workbooks(list_files(spark, [folder])))
+    return _LANDED[key]
+
+
 @query
 def decode_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per workbook of order lines: rows read, cells in error, and sheets or files rejected."""
-    folder = f"{checkpoint_dir(spark)}/books-{uuid.uuid4().hex}"
-    X.line_workbooks(spark, sf_dir, folder)
-    decoded = stored(decode_workbooks(list_files(spark, [folder])))
+    decoded = _line_books(spark, sf_dir)
     errors = F.size(F.filter("cells.dtype", lambda t: t == "e")).cast("bigint")
     rows = grid_of(decoded).select("file", F.lit(1).alias("rows"), errors.alias("errors"), F.lit(0).alias("rejects"))
     rejects = rejects_of(decoded).select("file", F.lit(0).alias("rows"), F.lit(0).cast("bigint").alias("errors"), F.lit(1).alias("rejects"))
@@ -85,6 +97,68 @@ def decode_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(rejects).groupBy(name).agg(*[F.sum(c).alias(c) for c in ("rows", "errors", "rejects")])
 
 
+def _line_book_stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    decoded = _line_books(spark, sf_dir)
+    grid, rejects = grid_of(decoded), rejects_of(decoded)
+    bounds = stored(B.sheet_bounds(grid))
+    headers = stored(H.clean_headers(H.sheet_headers(grid, bounds)))
+    return H.file_scan_stats(H.sheet_scan_stats(bounds, headers), rejects), H.header_provenance(headers)
+
+
+@query
+def scan_stats_broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan statistics of the workbooks of order lines, with what could not be read."""
+    files, _ = _line_book_stats(spark, sf_dir)
+    return files.withColumn("file", F.element_at(F.split("file", "/"), -1))
+
+
+@query
+def scan_stats_broken_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.total_scan_stats(*_line_book_stats(spark, sf_dir))
+
+
+def _part_store(spark: SparkSession, sf_dir: str) -> str:
+    """A store of part workbooks after a second run: some books changed, some new, a folder no longer listed."""
+    key = (spark.sparkContext.applicationId, sf_dir, "part_store")
+    if key not in _STORES:
+        folder = f"{checkpoint_dir(spark)}/books-{uuid.uuid4().hex}"
+        path = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+        X.part_workbooks(spark, sf_dir, folder, again=False)
+        St.ingest_changed(spark, [f"{folder}/a", f"{folder}/b"], path)
+        X.part_workbooks(spark, sf_dir, folder, again=True)
+        St.ingest_changed(spark, [f"{folder}/a"], path)
+        _STORES[key] = path
+    return _STORES[key]
+
+
+@query
+def ingest_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a store whose files were changed, added and taken away between two runs."""
+    cells = grid_to_cells(grid_of(St.current(spark, _part_store(spark, sf_dir))))
+    return cells.withColumn("file", F.element_at(F.split("file", "/"), -1)).drop("number_format")
+
+
+@query
+def file_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live files of the store and the run that read each."""
+    files = St.ledger(spark, _part_store(spark, sf_dir))
+    return files.select(F.element_at(F.split("file", "/"), -1).alias("file"), "version")
+
+
+@query
+def kept_scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals over the store's kept headers, without reading a sheet again."""
+    _, files, provenance = St.scan_stats(spark, _part_store(spark, sf_dir))
+    return H.total_scan_stats(files, provenance)
+
+
+@query
+def kept_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First place and number of occurrences of each header of the store's live files."""
+    _, _, provenance = St.scan_stats(spark, _part_store(spark, sf_dir))
+    return provenance.withColumn("first_file", F.element_at(F.split("first_file", "/"), -1))
+
+
 @query
 def table_to_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = X.table(spark, sf_dir, "events")
@@ -321,6 +395,17 @@ def decision_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.fold_decisions(X.decision_log(spark, sf_dir))
 
 
+@query
+def decision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log as a stream of several batches in no order, its states kept by the stream."""
+    path = f"{checkpoint_dir(spark)}/decisions-{uuid.uuid4().hex}"
+    X.decision_log(spark, sf_dir).repartition(4, "seq").write.parquet(f"{path}/log")
+    log = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{path}/log")
+    run = keep_decisions(log, path).option("checkpointLocation", f"{path}/progress")
+    run.trigger(availableNow=True).start().awaitTermination()
+    return current_states(spark, path)
+
+
 @query
 def saved_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions after an earlier stored mapping."""
@@ -474,7 +559,8 @@ def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = stored(Fm.sheet_plans(bounds, applicable, layout))
     types = T.column_types(T.column_formats(T.column_profile(Fm.project_cells(grid, plans, layout), layout)))
     rows = T.typed_rows(Fm.format_sheets(grid, plans, layout, renumber=False), types)
-    return rows.withColumn("moment", F.date_format("moment", "yyyy-MM-dd HH:mm:ss"))
+    # Amounts beyond a double come back from their decimal type as the text they were.
+    return rows.withColumns({"moment": F.date_format("moment", "yyyy-MM-dd HH:mm:ss"), "exact": F.col("exact").cast("string")})
 
 
 @query
