@@ -9,7 +9,9 @@ by one row at most; a larger factor moves fewer keys when shards are added.
 
 Only the number of rows at each place goes to the driver, at most ``RING``
 numbers, and the plan that comes back has a bounded number of rows too. Rows are
-numbered within a place, so no step gathers more than about rows / RING.
+numbered within a place; a place with more than ``CROWD`` rows (one id may have a third of all) is numbered in
+parts, one for each ``CROWD`` of them, whose counts say where each part begins. So no step gathers
+more than about rows / RING or ``CROWD`` rows.
 
 Defined results: rows with a null id are placed by their size and checksum, a
 null text has no bytes and checksum 0, repeated rows take places one after the
@@ -31,6 +33,8 @@ from tabrecover.llm.common import stored
 RING = 1 << 16
 #: Virtual nodes of a shard.
 NODES = 128
+#: Rows of a place that are numbered in one task.
+CROWD = 1 << 20
 #: Bytes that a row takes beside its text.
 ROW_OVERHEAD = 16
 
@@ -101,15 +105,38 @@ def ring_shards(
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("size", "text_crc32")).otherwise(F.xxhash64("doc_id"))
-    rows = stored(rows.withColumn("key", key).withColumn("place", F.pmod(F.col("key"), F.lit(RING)).cast("int")))
+    rows = rows.withColumn("key", key).withColumn("place", F.pmod(F.col("key"), F.lit(RING)).cast("int"))
+    # Equal rows are told apart by where they were read; the number is written down before it is used.
+    spread = F.xxhash64("size", "text_crc32", F.monotonically_increasing_id())
+    rows = stored(rows.withColumn("spread", spread))
     counts = {r["place"]: r["n"] for r in rows.groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = docs.sparkSession.createDataFrame(
         place_keys(counts, shards, load_factor, nodes), "place int, first long, end long, shard int, start long"
     )
-    order = Window.partitionBy("place").orderBy("key", "doc_id", "size", "text_crc32")
-    ranked = rows.withColumn("rank", F.row_number().over(order) - 1).alias("r")
+    ranked = _ranked(rows, {p: -(-n // CROWD) for p, n in counts.items() if n > CROWD}).alias("r")
     # The plan has at most RING + 2 * shards * nodes rows.
     return ranked.join(
         F.broadcast(plan.alias("p")),
         (F.col("r.place") == F.col("p.place")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")),
     ).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("rank") - F.col("first")).alias("slot"))
+
+
+def _ranked(rows: DataFrame, parts: dict[int, int]) -> DataFrame:
+    """Add the row's number within its place as ``rank``; ``parts`` says into how many parts a hot place is cut."""
+    if not parts:
+        rows = rows.withColumn("part", F.lit(0)).withColumn("before", F.lit(0))
+    else:
+        spark = rows.sparkSession
+        hot = F.broadcast(spark.createDataFrame(list(parts.items()), "place int, parts int"))
+        rows = rows.join(hot, "place", "left")
+        rows = rows.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod("spread", "parts")).cast("int")).drop("parts")
+        # One count per part, at most one part for each CROWD rows.
+        found = rows.join(hot, "place", "left_semi").groupBy("place", "part").agg(F.count(F.lit(1)).alias("n")).collect()
+        starts, at = [], {}
+        for place, part, n in sorted(tuple(r) for r in found):
+            starts.append((place, part, at.get(place, 0)))
+            at[place] = at.get(place, 0) + n
+        rows = rows.join(F.broadcast(spark.createDataFrame(starts, "place int, part int, before long")), ["place", "part"], "left")
+        rows = rows.withColumn("before", F.coalesce("before", F.lit(0)))
+    order = Window.partitionBy("place", "part").orderBy("key", "doc_id", "size", "text_crc32")
+    return rows.withColumn("rank", F.col("before") + F.row_number().over(order) - 1)

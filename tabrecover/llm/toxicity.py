@@ -222,14 +222,15 @@ def measured(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Lexicon:
     """Learn entries, phrases and curve from labelled rows that are not held out.
 
-    ``labels``: the id and ``toxic``. At most ``sample`` rows are read, those with the smallest hash.
+    ``labels``: the id and ``toxic``. At most ``sample`` ids are read, those with the smallest hash, and
+    one text of each, the smallest of those the id has.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
-    rows = stored(rows)
+    rows = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic")
+    rows = stored(rows.agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) < 2
     lexicon = Lexicon(learn_lexicon(rows.filter(half)))
     if not lexicon.weights:
