@@ -6,9 +6,9 @@ stays, passages that repeat are cut out of later documents, documents that leak
 benchmark items go, and what is left is encoded. All stages but the last return
 the columns of ``documents``; texts that lose a passage get a new ``n_chars``.
 
-Rows are judged one by one where a stage looks at texts only, so repeated rows
-and rows without an id are handled like any other. Near duplicates go by id: a
-row without an id is not linked and stays, and of several rows with one id one stays.
+Rows are judged one by one, by their texts: repeated ids and rows without an id are
+handled like any other. Of a group of near copies the row with the smallest id stays, a row
+whose id occurs once before one whose id is repeated or missing. Rows without words are no copies.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ import os
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabrecover.llm import bpe, decontaminate, minhash_forest, substring_dedup, toxicity
 from tabrecover.llm.common import bounded_batches, stored, table
+from tabrecover.plans.joins import lookup_join
 
 VOCAB = os.environ.get("LLM_VOCAB", public_tokenizers.path("byte_bpe_50k.json"))
 #: Similarity in percent from which two documents are near copies.
@@ -36,17 +37,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    found = minhash_forest.near_duplicates(docs, percent=SIMILAR)
-    gone = stored(found.filter(~F.col("kept")).select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    repeated = stored(repeated.filter(F.col("_n") > 1).select("doc_id"))
+    key = "row"
+    while key in docs.columns:
+        key += "_"
+    rows = _numbered(docs, key)
+    found = minhash_forest.near_duplicates(rows, id_col=key, percent=SIMILAR)
+    gone = stored(found.filter(~F.col("kept")).select(F.col("doc_id").alias(key)))
+    return rows.join(gone, key, "left_anti").select(docs.columns)
+
+
+def _numbered(docs: DataFrame, key: str) -> DataFrame:
+    """The rows with a number of their own: the id where it occurs once, else one above all ids."""
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = stored(ids.filter((F.col("n") > 1) | F.col("doc_id").isNull()).select("doc_id"))
     if repeated.isEmpty():
-        return kept
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = kept.join(repeated, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order))
-    one = one.filter(F.col("_nth") == 1).select(docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    top = docs.agg(F.coalesce(F.max(F.col("doc_id").cast("long")), F.lit(0)).alias("top")).first()["top"]
+    once = lookup_join(docs.filter(F.col("doc_id").isNotNull()), repeated, ["doc_id"], "left_anti")
+    others = lookup_join(docs.filter(F.col("doc_id").isNotNull()), repeated, ["doc_id"], "left_semi")
+    others = others.unionByName(docs.filter(F.col("doc_id").isNull()))
+    # The numbers are written down, so that they stay the same from here on.
+    others = others.withColumn(key, F.monotonically_increasing_id() + F.lit(top + 1))
+    return stored(once.withColumn(key, F.col("doc_id").cast("long")).unionByName(others))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,7 +96,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe_encoding", encode),
 ]
 
-#: Learned weights, similarity graphs and token ids are beyond SQL; the stages are tested by brute force.
+#: Learned weights, similarity graphs and token ids are beyond SQL; every stage is tested against plain Python.
 ORACLE_SQL = None
 
 
