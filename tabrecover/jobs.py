@@ -86,8 +86,12 @@ def ingest_changed(
     return St.current(spark, path)
 
 
-def scan(decoded: DataFrame, path: str) -> None:
-    """Write headers, their provenance and the statistics of a scan."""
+def scan(decoded: DataFrame, path: str, history: str | None = None, run: str = "") -> None:
+    """Write headers, their provenance and the statistics of a scan.
+
+    With a ``history`` folder the statistics per file are also kept there under the name of
+    the ``run``; a run that is repeated replaces its own.
+    """
     grid, rejects = X.grid_of(decoded), X.rejects_of(decoded)
     bounds = C.stored(B.sheet_bounds(grid))
     headers = C.stored(H.clean_headers(H.sheet_headers(grid, bounds)))
@@ -103,6 +107,8 @@ def scan(decoded: DataFrame, path: str) -> None:
     files.write.parquet(f"{path}/file_stats")
     files = spark.read.schema(files.schema).parquet(f"{path}/file_stats")
     W.write_report(H.total_scan_stats(files, stored), f"{path}/total_stats")
+    if history is not None:
+        W.append_stats(files, f"{history}/file_stats", run)
 
 
 def map_headers(
@@ -114,6 +120,8 @@ def map_headers(
     settings: Settings = Settings(),
     replies: DataFrame | None = None,
     scorer: Scorer | None = None,
+    history: str | None = None,
+    run: str = "",
 ) -> DataFrame:
     """Fold the review log over the stored mapping and exact matches; write the mapping,
     what is still open, the session state, coverage and fan-in.
@@ -121,7 +129,7 @@ def map_headers(
     ``scanned`` has pos, header. Open headers get suggestions from ``replies`` (reply,
     text: answers to ``request_texts``), with an audit of what was asked, or else from a
     scorer, a function from open headers and targets to scanned, target; without
-    either from the built-in one. Gives the session state.
+    either from the built-in one. With a ``history`` folder the audit is kept there by ``run``. Gives the session state.
     """
     normalized = M.normalize_mapping(stored)
     exact = M.auto_map_exact(scanned, normalized, targets)
@@ -138,7 +146,10 @@ def map_headers(
         accepted = C.stored(S.accept_suggestions(S.parse_suggestions(replies), settings.min_confidence))
         suggested = S.apply_suggestions(accepted, final, targets).filter("in_targets")
         sent = S.suggestion_batches(open_headers.select("header").distinct()).drop("batch")
-        W.write_report(S.suggestion_audit(sent, accepted), f"{path}/audit")
+        audit = C.stored(S.suggestion_audit(sent, accepted))
+        W.write_report(audit, f"{path}/audit")
+        if history is not None:
+            W.append_stats(audit, f"{history}/audit", run)
     elif scorer is not None:
         suggested = scorer(open_headers, targets)
     else:

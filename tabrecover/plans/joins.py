@@ -54,21 +54,29 @@ def salted_join(
     them, and only its lookup rows are copied, once per part. All other keys
     are joined as they are. The list of hot keys is broadcast: it has at most
     one row per ``HOT_ROWS`` rows of the large side. Parts go by a hash of the
-    other columns, or without any by the place of the row; every part has the
-    same lookup rows, so it does not matter which one a row is in. ``counts`` (key,
+    other columns; every part has the
+    same lookup rows, so it does not matter which one a row is in. Without other columns the rows of
+    a key are all alike, and their number is joined in their place. ``counts`` (key,
     n) saves counting where the caller has done so. ``how`` is inner, left,
     left_semi or left_anti.
     """
     on = list(on)
     others = [c for c in large.columns if c not in on]
     counted = key_counts(large, on) if counts is None else counts
+    if not others:
+        pieces = F.transform(
+            F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / HOT_ROWS)),
+            lambda p: F.least(F.lit(HOT_ROWS).cast("long"), F.col("n") - p * HOT_ROWS),
+        )
+        dealt = key_counts(large, on).select(*by_name(on), F.explode(pieces).alias("_size"))
+        found = dealt.join(lookup, on, how)
+        return found.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_size")))).drop("_size", "_nth")
     hot = counted.filter(F.col("n") > HOT_ROWS).select(
         *on, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("_parts")
     )
     hot = F.broadcast(hot)
     parts = F.coalesce(F.col("_parts"), F.lit(1))
-    spread = F.xxhash64(*by_name(others)) if others else F.monotonically_increasing_id()
-    part = F.when(parts == 1, 0).otherwise(F.pmod(spread, parts))
+    part = F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64(*by_name(others)), parts))
     copies = F.explode(F.sequence(F.lit(0), parts - 1))
     left = large.join(hot, on, "left").withColumn("_part", part.cast("int")).drop("_parts")
     right = lookup.join(hot, on, "left").withColumn("_part", copies).drop("_parts")

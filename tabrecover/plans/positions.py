@@ -20,10 +20,11 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> Dat
     folder together with their partition number and place in the partition.
     Only one count per partition is then summed up and broadcast, so its size
     is the number of partitions. Rows that the order leaves equal are told apart by
-    their place in the input, so copies of one row are spread over partitions too;
-    the order must be total for a stable result.
+    their place in the input, so copies of one row are spread over partitions too; that place is
+    settled first, or a task that runs again could deal its rows otherwise than before.
+    The order must be total for a stable result.
     """
-    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    tied = settle(df.withColumn("_tie", F.monotonically_increasing_id()))
     ranked = settle(tied.orderBy(*order, "_tie").withColumn("_id", F.monotonically_increasing_id()))
     ranked = ranked.select(
         *by_name(df.columns),

@@ -118,5 +118,10 @@ def write_report(report: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def append_stats(stats: DataFrame, path: str, run: str) -> None:
-    """Add statistics or audit rows of one run to a parquet table."""
-    stats.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
+    """Add statistics or audit rows of one run to a parquet table with a folder per run.
+
+    A run that is repeated under its name, after a failure say, replaces its own rows; those of
+    other runs stay.
+    """
+    writer = stats.withColumn("run", F.lit(run)).write.partitionBy("run").mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)

@@ -254,3 +254,13 @@ def test_fan_in_and_coverage(spark):
     assert M.mapping_coverage(lines, merged).first().asDict() == {
         "total": 8, "mapped": 4, "suggested": 1, "ignored": 1, "unmapped": 2
     }
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_of_keys_alone(spark, how, monkeypatch):
+    """Rows that are nothing but their key, a hot one among them, keep their number."""
+    monkeypatch.setattr(joins, "HOT_ROWS", 60)
+    large = spark.createDataFrame([(f"k{i % 7 if i % 3 else 0}",) for i in range(500)] + [(None,)] * 3, "k string")
+    lookup = spark.createDataFrame([(f"k{i}", i) for i in (0, 0, 2, 4, 6, 8)], "k string, v int")
+    want = sorted(map(str, large.join(lookup, ["k"], how).collect()))
+    assert sorted(map(str, joins.salted_join(large, lookup, ["k"], how).collect())) == want

@@ -105,6 +105,7 @@ def test_stats_are_appended(spark, tmp_path):
     stats = spark.range(3).toDF("n")
     W.append_stats(stats, str(tmp_path / "s"), "one")
     W.append_stats(stats, str(tmp_path / "s"), "two")
+    W.append_stats(stats, str(tmp_path / "s"), "one")  # again, after a failure
     assert spark.read.parquet(str(tmp_path / "s")).groupBy("run").count().orderBy("run").collect() == [("one", 3), ("two", 3)]
 
 
