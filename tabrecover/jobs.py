@@ -189,7 +189,7 @@ def format_all(
     overlay: DataFrame | None = None,
 ) -> None:
     """Write all sheets in the target layout, the columns' types and formats, the summary
-    per sheet and the rejects.
+    per sheet and the rejects. After bounds and headers the grid is read once.
 
     With ``typed`` a column has the type that holds all its values, else all are text.
     ``overlay`` is the grid of the template sheet; its own cells are then kept, as text.
@@ -204,17 +204,13 @@ def format_all(
     plans = Fm.sheet_plans(bounds, applicable, layout)
     plans.write.parquet(f"{path}/plans")
     plans = decoded.sparkSession.read.schema(plans.schema).parquet(f"{path}/plans")
-    rows = Fm.format_sheets(
-        grid, plans, layout, drop_empty=settings.drop_empty, stop_at_table_end=settings.stop_at_table_end
-    )
-    projected = C.stored(Fm.project_cells(grid, plans, layout, stop_at_table_end=settings.stop_at_table_end))
+    projected = C.stored(Fm.project_once(grid, plans, layout, stop_at_table_end=settings.stop_at_table_end))
+    rows = Fm.format_projected(projected, plans, layout, drop_empty=settings.drop_empty)
     formats = T.column_formats(T.column_profile(projected, layout))
     formats.write.parquet(f"{path}/columns")
     formats = decoded.sparkSession.read.schema(formats.schema).parquet(f"{path}/columns")
     if overlay is not None:
-        aligned = Fm.format_sheets(
-            grid, plans, layout, renumber=False, stop_at_table_end=settings.stop_at_table_end
-        )
+        aligned = Fm.format_projected(projected, plans, layout, renumber=False)
         rows = Fm.template_overlay(aligned, overlay, plans, layout, drop_empty=settings.drop_empty)
     elif settings.typed:
         rows = T.typed_rows(rows, T.column_types(formats))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tabrecover.functions.text import is_blank, is_formula, suppress_formula
 from tabrecover.grid import SHEET_KEYS, by_name
 from tabrecover.plans.blocks import ROW_BLOCK, block_of, blocked, per_block
+from tabrecover.plans.checkpoints import stored
 from tabrecover.plans.joins import lookup_join
 
 MAX_COLUMNS = 16_384
@@ -270,6 +271,58 @@ def format_sheets(
     return as_columns(kept.drop("block"), layout)
 
 
+def project_once(
+    grid: DataFrame,
+    plans: DataFrame,
+    layout: Layout,
+    keys: Sequence[str] = SHEET_KEYS,
+    stop_at_table_end: bool = False,
+    row_block: int = ROW_BLOCK,
+) -> DataFrame:
+    """``project_cells`` with all that later steps need, so that the grid is read once: texts (formulas left
+    empty), has_data, and place, the number of rows with data before this one in its block.
+
+    Rows are numbered where the join with their plan has put them. Store the result: the types, the summary and
+    ``format_projected`` read it without a shuffle.
+    """
+    cells = project_cells(grid, plans, layout, keys, stop_at_table_end, row_block)
+    cells = cells.withColumn("texts", F.transform(F.col("picked.value"), suppress_formula))
+    cells = cells.withColumn("has_data", has_data(F.col("texts")))
+    before = Window.partitionBy(*keys, "block").orderBy("target_row").rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumn("place", F.coalesce(F.count_if("has_data").over(before), F.lit(0)))
+
+
+def format_projected(
+    projected: DataFrame,
+    plans: DataFrame,
+    layout: Layout,
+    keys: Sequence[str] = SHEET_KEYS,
+    drop_empty: bool = True,
+    renumber: bool = True,
+    row_block: int = ROW_BLOCK,
+) -> DataFrame:
+    """``format_sheets`` from a stored ``project_once``: rows are filtered and numbered in place.
+
+    Only the blocks of sheets with several of them are counted, and their counts joined.
+    """
+    rows = projected.withColumn("picked", F.col("texts"))
+    if not drop_empty:
+        extent = format_extent(plans, layout, keys=keys)
+        rows = rows.select(*keys, "target_row", "picked")
+        return as_columns(fill_rows(rows, extent, layout, keys, row_block), layout)
+    kept = rows.filter("has_data")
+    if renumber:
+        at = [*keys, "block"]
+        before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        counts = lookup_join(kept.select(*at), long_sheet_blocks(plans, keys, row_block), at, "left_semi")
+        counts = counts.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+        starts = stored(counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+        kept = lookup_join(kept, starts, at, "left")
+        number = F.col("place") + F.coalesce("_start", F.lit(0)) + layout.header_row + 1
+        kept = kept.withColumn("target_row", number.cast("bigint"))
+    return as_columns(kept.select(*keys, "target_row", "picked"), layout)
+
+
 def template_overlay(
     formatted: DataFrame,
     template: DataFrame,

@@ -268,3 +268,34 @@ def test_stored_buckets_are_not_shuffled(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_one_projection_serves_all(spark, tmp_path):
+    """Rows from the stored projection are those of the direct way; the grid is read once and not shuffled."""
+    from tabrecover.plans.checkpoints import stored
+    from tabrecover.sinks.writers import land_grid
+
+    grid = grid_of(spark, random_sheets(30, seed=8, header=True))
+    landed = land_grid(grid, str(tmp_path / "grid"), "landed_once", buckets=4)
+    bounds = B.sheet_bounds(landed)
+    plans = stored(bounds.withColumn("input_cols", F.array(F.lit(1), F.lit(None), F.lit(2), F.lit(3))))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        once = Fm.project_once(landed, plans, LAYOUT)
+        plan = once._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan, plan
+        assert plan.count("FileScan") == 2, plan
+        projected = stored(once)
+        rows = Fm.format_projected(projected, plans, LAYOUT)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "landed_once" not in plan, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for block in (1 << 17, 5):
+        projected = stored(Fm.project_once(grid, plans, LAYOUT, row_block=block))
+        for how in ({}, {"renumber": False}, {"drop_empty": False}):
+            want = Fm.format_sheets(grid, plans, LAYOUT, row_block=block, **how)
+            got = Fm.format_projected(projected, plans, LAYOUT, row_block=block, **how)
+            assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))

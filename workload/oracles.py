@@ -414,6 +414,7 @@ FROM formatted WHERE {any_data(columns)}"""
     o["drop_empty_rows"] = f"WITH {format_ctes(ORDER_CELLS, NARROW)} {renumbered(NARROW)}"
     o["format_all"] = f"{whole} {renumbered(LAYOUT)}"
     o["sink_round_trip"] = o["format_all"]
+    o["format_projected"] = o["format_all"]
     o["sheets_by_folder"] = f"""WITH {bounds_ctes(CONVERSATION_CELLS)},
 named AS (SELECT c.file, c.sheet, c.row, max(CASE WHEN c.col = 1 THEN value END) AS speaker, max(CASE WHEN c.col = 2 THEN value END) AS words
   FROM cells c JOIN bounds b ON b.file = c.file AND b.sheet = c.sheet WHERE c.row > header_row GROUP BY ALL)

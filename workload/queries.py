@@ -526,6 +526,14 @@ def format_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Fm.format_sheets(o.grid, o.plans, o.layout)
 
 
+@query
+def format_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As format_all, from the one stored projection that the job takes types and summary from too."""
+    o = _ready(spark, sf_dir)
+    projected = stored(Fm.project_once(o.grid, o.plans, o.layout))
+    return Fm.format_projected(projected, o.plans, o.layout)
+
+
 @query
 def fill_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row down to the extent, blank rows included."""
