@@ -57,7 +57,8 @@ def value_kind(value: Column, dtype: Column) -> Column:
 
 def column_profile(projected: DataFrame, layout: Layout) -> DataFrame:
     """How often each kind of value and number format occurs: target, kind, number_format, cells,
-    and the most digits before and after the point (before_point, after_point; 0 without any).
+    the most digits before and after the point (before_point, after_point; 0 without any), and the
+    fewest after it (least_after).
 
     ``projected`` comes from ``project_cells``; blank and formula cells do not count.
     """
@@ -65,21 +66,24 @@ def column_profile(projected: DataFrame, layout: Layout) -> DataFrame:
     copied = cells.filter(~is_blank(F.col("value")) & ~is_formula(F.col("value")))
     kind = value_kind(F.col("value"), F.col("dtype")).alias("kind")
     parts = F.split(F.regexp_replace("value", "^-?0*", ""), r"\.")
+    after = F.coalesce(F.length(F.get(parts, F.lit(1))), F.lit(0))
     counts = copied.groupBy("pos", kind, "number_format").agg(
         F.count(F.lit(1)).alias("cells"),
         F.max(F.length(F.get(parts, F.lit(0)))).alias("before_point"),
-        F.max(F.coalesce(F.length(F.get(parts, F.lit(1))), F.lit(0))).alias("after_point"),
+        F.max(after).alias("after_point"),
+        F.min(after).alias("least_after"),
     )
     names = F.array(*[F.lit(c) for c in layout.columns])
     return counts.select(
-        F.get(names, F.col("pos")).alias("target"), "kind", "number_format", "cells", "before_point", "after_point"
+        F.get(names, F.col("pos")).alias("target"), "kind", "number_format", "cells", "before_point", "after_point", "least_after"
     )
 
 
 def column_formats(profile: DataFrame) -> DataFrame:
     """Per target: column_type, and the most used number format that is not General.
 
-    A column gets the type that holds every one of its values, else it is text.
+    A column gets the type that holds every one of its values, else it is text. Numbers that doubles
+    do not hold are decimals if all have the same digits after the point, so that no text changes.
     Ties go to the first format in byte order; null where all cells are General.
     """
     by_format = profile.groupBy("target", "number_format").agg(F.sum("cells").alias("cells"))
@@ -96,7 +100,7 @@ def column_formats(profile: DataFrame) -> DataFrame:
         F.when(only(WHOLE, LARGE), "bigint")
         .when(only(WHOLE, REAL, POWER), "double")
         .when(
-            only(WHOLE, LARGE, REAL, EXACT) & (digits <= _MAX_DIGITS),
+            only(REAL, EXACT) & (digits <= _MAX_DIGITS) & (scale == F.min("least_after")),
             F.format_string("decimal(%d,%d)", digits, scale),
         )
         .when(only(DATE), "timestamp_ntz")
