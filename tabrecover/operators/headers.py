@@ -180,6 +180,58 @@ def file_scan_stats(
     )
 
 
+def scan_rollup(
+    bounds: DataFrame, headers: DataFrame, rejects: DataFrame, keys: Sequence[str] = SHEET_KEYS
+) -> DataFrame:
+    """Statistics of all sheets, of all files and in total from one aggregate: level, keys, measures.
+
+    The levels are the grouping sets of a rollup over (file, sheet). Distinct headers are counted exactly at every
+    level; Spark counts them by (group, header), so the total is spread over tasks, and a
+    header's many cells are combined before they are sent. ``rejects`` has (file, sheet); a null sheet stands for a file that
+    could not be opened.
+    """
+    file, sheet = keys
+
+    def facts(rows: DataFrame, **columns: Column) -> DataFrame:
+        names = ("header", "files", "broken", "sheets", "errors", "empty", "cleaned")
+        empty = {"header": F.lit(None).cast("string")}
+        chosen = [columns.get(n, empty.get(n, F.lit(0))).alias(n) for n in names]
+        return rows.select(F.col(file).alias("file"), columns.get("sheet", F.lit(None).cast("string")).alias("sheet"), *chosen)
+
+    one = F.lit(1)
+    failed = rejects.select(file, F.col(sheet).isNull().cast("int").alias("broken"))
+    files = bounds.select(file, F.lit(0).alias("broken")).unionByName(failed).groupBy(file).agg(F.max("broken").alias("broken"))
+    rows = facts(files, files=one, broken=F.col("broken"))
+    rows = rows.unionByName(facts(bounds, sheet=F.col(sheet), sheets=one))
+    rows = rows.unionByName(facts(rejects.filter(F.col(sheet).isNotNull()), sheet=F.col(sheet), errors=one))
+    kind = F.col("class")
+    rows = rows.unionByName(
+        facts(
+            headers,
+            sheet=F.col(sheet),
+            header=F.col("header"),
+            empty=kind.isin(EMPTY, EMPTIED).cast("int"),
+            cleaned=(kind == CLEANED).cast("int"),
+        )
+    )
+    level = F.when(F.grouping("file") == 1, "total").when(F.grouping("sheet") == 1, "file").otherwise("sheet")
+    found = rows.rollup("file", "sheet").agg(
+        level.alias("level"),
+        F.sum("files").alias("files_processed"),
+        F.sum("broken").alias("files_with_errors"),
+        F.sum("sheets").alias("sheets_processed"),
+        F.sum("errors").alias("sheets_with_errors"),
+        F.count("header").alias("headers_found"),
+        F.sum("empty").alias("empty_headers"),
+        F.sum("cleaned").alias("cleaned_headers"),
+        F.countDistinct("header").alias("unique_headers"),
+    )
+    # What is known of a file only is no sheet; without any input there is a total all the same.
+    found = found.filter((F.col("level") != "sheet") | F.col("sheet").isNotNull())
+    measures = found.columns[3:]
+    return found.select("level", F.col("file").alias(file), F.col("sheet").alias(sheet), *[F.coalesce(m, F.lit(0)).alias(m) for m in measures])
+
+
 def total_scan_stats(file_stats: DataFrame, provenance: DataFrame) -> DataFrame:
     """One row over all files; every file counts as processed, the unreadable ones too.
 

@@ -21,6 +21,9 @@ NO_MATCH = "NO_MATCH"
 HEADING = "ScannedColumn|"
 MIN_CONFIDENCE = 0.6
 
+#: Targets that a request may list.
+MAX_TARGETS = 50_000
+
 
 def suggestion_batches(headers: DataFrame, order: str = "header") -> DataFrame:
     """Number the headers and their requests: pos, batch (both from 0).
@@ -37,10 +40,12 @@ def batch_requests(batches: DataFrame, targets: DataFrame) -> DataFrame:
     """Text of each request: batch, headers (their number), request.
 
     A batch holds at most 100 headers. All targets go into every request, so the
-    list is read once and becomes a part of the text; a caller with a very long
-    list hands over the part that is to be asked for.
+    list is read once and becomes a part of the text; a list of more than ``MAX_TARGETS`` is
+    refused, and the caller hands over the part that is to be asked for.
     """
-    names = [r.target for r in targets.select("target").orderBy("target").collect()]
+    names = [r.target for r in targets.select("target").orderBy("target").limit(MAX_TARGETS + 1).collect()]
+    if len(names) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets for one request: choose those to ask for")
     task = (
         "Match each found column name to the one standard column with the same meaning.\n"
         f"Answer one line per found column: {HEADING}TargetColumn|Confidence\n"

@@ -238,3 +238,33 @@ def test_numbers_keep_every_digit(spark):
         got = [r[c] for r in typed if r[c] is not None]
         assert [Decimal(v) for v in got] == [Decimal(v) for v in values]
         assert got == values or types[c] == "double"
+
+
+def test_rollup_is_the_three_reports(spark):
+    """One aggregate gives what the reports per sheet, per file and in total give, errors included."""
+    import random
+
+    rng = random.Random(12)
+    sheets = [(f"f{i}", f"s{j}") for i in range(6) for j in range(rng.randint(1, 3))]
+    rows = []
+    for n, (f, s) in enumerate(sheets):
+        for col in range(rng.randint(0, 6)):
+            rows.append((f, s, n, 1, col + 1, rng.choice(["id", "name", " name", "<b>", "", None, "qty"]), "s"))
+    headers = H.clean_headers(spark.createDataFrame(rows, "file string, sheet string, sheet_idx long, row long, col int, text string, dtype string"))
+    bounds = spark.createDataFrame([(f, s, 1) for f, s in sheets], "file string, sheet string, header_row long")
+    rejects = spark.createDataFrame([("f0", "bad", "x"), ("f9", None, "y"), ("f8", "only", "z")], "file string, sheet string, reason string")
+    found = {(r.level, r.file, r.sheet): r for r in H.scan_rollup(bounds, headers, rejects).collect()}
+    per_sheet = H.sheet_scan_stats(bounds, headers)
+    for r in per_sheet.collect():
+        got = found.pop(("sheet", r.file, r.sheet))
+        assert (got.headers_found, got.empty_headers, got.cleaned_headers) == (r.headers_found, r.empty_headers, r.cleaned_headers)
+    per_file = H.file_scan_stats(per_sheet, rejects)
+    for r in per_file.collect():
+        got = found.pop(("file", r.file, None))
+        assert (got.sheets_processed, got.sheets_with_errors, got.headers_found, got.empty_headers, got.files_with_errors == 1) == tuple(r[1:])
+    total = H.total_scan_stats(per_file, H.header_provenance(headers)).first().asDict()
+    got = found.pop(("total", None, None)).asDict()
+    assert {k: got[k] for k in total if k != "headers_cleaned"} == {k: v for k, v in total.items() if k != "headers_cleaned"}
+    assert {k[0] for k in found} == {"sheet"} and {k[2] for k in found} == {"bad", "only"}
+    none = H.scan_rollup(bounds.filter("false"), headers.filter("false"), rejects.filter("false")).collect()
+    assert [(r.level, r.files_processed, r.unique_headers) for r in none] in ([], [("total", 0, 0)])

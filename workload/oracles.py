@@ -284,6 +284,14 @@ files AS (SELECT concat('lines', k, '.xlsx') AS file, 1 AS sheets_processed, 0 A
     o["scan_stats_broken_files"] = f"""{stats}
 SELECT file, CAST(sheets_processed AS BIGINT) AS sheets_processed, CAST(sheets_with_errors AS BIGINT) AS sheets_with_errors,
   CAST(headers_found AS BIGINT) AS headers_found, CAST(0 AS BIGINT) AS empty_headers, has_error FROM files"""
+    o["scan_rollup"] = f"""{stats},
+sheets AS (SELECT 'sheet' AS level, file, 'lines' AS sheet, 0 AS nf, 0 AS ne, sheets_processed AS sp, sheets_with_errors AS se, headers_found AS h FROM files WHERE NOT has_error),
+levels AS (SELECT *, h AS u FROM sheets
+  UNION ALL SELECT 'file', file, NULL, 1, CAST(has_error AS INTEGER), sheets_processed, sheets_with_errors, headers_found, headers_found FROM files
+  UNION ALL SELECT 'total', NULL, NULL, count(*), sum(CAST(has_error AS INTEGER)), sum(sheets_processed), sum(sheets_with_errors), sum(headers_found), 10 FROM files)
+SELECT level, file, sheet, CAST(nf AS BIGINT) AS files_processed, CAST(ne AS BIGINT) AS files_with_errors, CAST(sp AS BIGINT) AS sheets_processed,
+  CAST(se AS BIGINT) AS sheets_with_errors, CAST(h AS BIGINT) AS headers_found, CAST(0 AS BIGINT) AS empty_headers, CAST(0 AS BIGINT) AS cleaned_headers,
+  CAST(u AS BIGINT) AS unique_headers FROM levels"""
     o["scan_stats_broken_total"] = f"""{stats}
 SELECT count(*) AS files_processed, CAST(sum(CAST(has_error AS INTEGER)) AS BIGINT) AS files_with_errors, CAST(sum(sheets_processed) AS BIGINT) AS sheets_processed,
   CAST(sum(sheets_with_errors) AS BIGINT) AS sheets_with_errors, CAST(sum(headers_found) AS BIGINT) AS headers_found, CAST(0 AS BIGINT) AS empty_headers,

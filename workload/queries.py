@@ -112,6 +112,17 @@ def scan_stats_broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.withColumn("file", F.element_at(F.split("file", "/"), -1))
 
 
+@query
+def scan_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets, files and the total of the workbooks of order lines from one aggregate."""
+    decoded = _line_books(spark, sf_dir)
+    grid = grid_of(decoded)
+    bounds = stored(B.sheet_bounds(grid))
+    headers = stored(H.clean_headers(H.sheet_headers(grid, bounds)))
+    found = H.scan_rollup(bounds, headers, rejects_of(decoded))
+    return found.withColumn("file", F.element_at(F.split("file", "/"), -1))
+
+
 @query
 def scan_stats_broken_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.total_scan_stats(*_line_book_stats(spark, sf_dir))
