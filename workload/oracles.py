@@ -271,6 +271,7 @@ SELECT CAST(pos AS BIGINT) AS pos, target, count(header) AS headers FROM s LEFT
     o["default_targets"] = o["default_targets"].replace("SELECT CAST(pos", """, l AS (SELECT 'none' AS list, pos, target FROM s UNION ALL
   SELECT 'own', row_number() OVER (ORDER BY p_type) - 1, p_type FROM (SELECT DISTINCT p_type FROM part))
 SELECT list, CAST(pos""").replace("FROM s LEFT JOIN h ON header = target GROUP BY pos", "FROM l LEFT JOIN h ON header = target GROUP BY list, pos")
+    o["workbook_source"] = f"SELECT * FROM ({o['workbook_cells']}) x WHERE sheet = 'part 1'"
     o["file_inventory"] = """SELECT concat('part', p_partkey, CASE WHEN p_partkey % 2 = 1 THEN '.XLSX' ELSE '.xlsx' END) AS name, p_partkey % 49 AS length,
   CASE WHEN p_partkey % 49 = 0 THEN 'empty' END AS audit FROM part WHERE p_partkey % 10 <> 0"""
     books = """books AS (SELECT l_orderkey // 1000 AS k, count(*) AS n FROM lineitem GROUP BY 1),

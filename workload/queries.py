@@ -23,6 +23,7 @@ from tabrecover.plans.blocks import blocked
 from tabrecover.plans.checkpoints import checkpoint_dir, stored
 from tabrecover.sinks import store as St
 from tabrecover.sinks import writers as W
+from tabrecover.sources import datasource as Ds
 from tabrecover.sources.files import list_files
 from tabrecover.sources.lists import clean_lines, mapping_entries, read_lines, read_mapping, read_targets
 from tabrecover.sources.tables import table_to_grid
@@ -76,6 +77,16 @@ def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.withColumn("file", F.element_at(F.split("file", "/"), -1))
 
 
+@query
+def workbook_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sheet of each customer workbook through the data source, which opens no other."""
+    folder = f"{checkpoint_dir(spark)}/books-{uuid.uuid4().hex}"
+    X.customer_workbooks(spark, sf_dir, folder)
+    Ds.register(spark)
+    found = spark.read.format("workbook").load(folder).filter(F.col("sheet") == "part 1")
+    return grid_to_cells(grid_of(found)).withColumn("file", F.element_at(F.split("file", "/"), -1))
+
+
 def _line_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workbooks of order lines, written and decoded; a session does so once."""
     key = (spark.sparkContext.applicationId, sf_dir, "line_books")
