@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,11 +156,11 @@ def suggest_similar(
     return best.select("scanned", "best.target", (-F.col("best.minus_score")).alias("confidence"))
 
 
-def _similar(
+def _word_pairs(
     headers: DataFrame, targets: DataFrame, tokens: Callable[[Column], Column], least: float
 ) -> DataFrame:
-    """Exact set-similarity join of distinct headers with prefix filtering: scanned, target,
-    minus_score.
+    """Exact set-similarity join of token sets with prefix filtering: tokens, t_tokens, target (the first of
+    those with t_tokens), score.
 
     Two sets with an overlap of at least ``least`` share a token among the first
     ``n - ceil(least * n) + 1`` of each, whatever the order of tokens. Tokens are
@@ -195,9 +196,16 @@ def _similar(
     pairs = lookup_join(prefix(sets, "tokens"), targets_by_token, ["token"])
     shared = F.size(F.array_intersect("tokens", "t_tokens"))
     score = shared / (F.size("tokens") + F.size("t_tokens") - shared)
+    return pairs.select("tokens", "t_tokens", "target", score.alias("score")).filter(F.col("score") >= least)
+
+
+def _similar(
+    headers: DataFrame, targets: DataFrame, tokens: Callable[[Column], Column], least: float
+) -> DataFrame:
+    """Best target of each header by overlap of tokens: scanned, target, minus_score."""
+    named = headers.withColumn("tokens", tokens(F.col("scanned")))
     best = (
-        pairs.withColumn("score", score)
-        .filter(F.col("score") >= least)
+        _word_pairs(headers, targets, tokens, least)
         .groupBy("tokens")
         .agg(F.min(F.struct((-F.col("score")).alias("minus_score"), "target")).alias("best"))
     )
@@ -255,3 +263,47 @@ def _edit_similar(headers: DataFrame, targets: DataFrame, least: float) -> DataF
         .agg(F.min(F.struct((-F.col("score")).alias("minus_score"), "target")).alias("best"))
     )
     return salted_join(named, best, ["a"]).select("scanned", "best.target", "best.minus_score")
+
+
+def candidate_pairs(headers: DataFrame, targets: DataFrame, least: float = 0.5) -> DataFrame:
+    """Distinct scanned, target that are similar by words or by edits, from ``least`` on.
+
+    Found over distinct token sets and spellings, and spread to the names that have them.
+    """
+    headers = headers.select(F.col("header").alias("scanned")).distinct()
+    targets = targets.select("target").distinct()
+    sets = _word_pairs(headers, targets, words, least).select("tokens", "t_tokens").distinct()
+    by_words = salted_join(headers.withColumn("tokens", words(F.col("scanned"))), sets, ["tokens"])
+    by_words = salted_join(by_words, targets.withColumn("t_tokens", words(F.col("target"))), ["t_tokens"])
+    named = headers.withColumn("a", plain(F.col("scanned"))).filter("a != ''")
+    wanted = targets.withColumn("b", plain(F.col("target"))).filter("b != ''")
+    alike = edit_pairs(named.select("a").distinct(), stored(wanted.select("b").distinct()), least)
+    by_edits = salted_join(salted_join(named, alike.select("a", "b"), ["a"]), wanted, ["b"])
+    return by_words.select("scanned", "target").unionByName(by_edits.select("scanned", "target")).distinct()
+
+
+def suggest_scored(
+    headers: DataFrame,
+    targets: DataFrame,
+    load: Callable[[], Callable[[pd.Series, pd.Series], pd.Series]],
+    min_confidence: float = MIN_CONFIDENCE,
+    candidates: float = 0.5,
+) -> DataFrame:
+    """Best target per header by a user's model: scanned, target, confidence.
+
+    ``load`` is called once in every task and gives a function from two series, headers and
+    targets, to a series of scores; it gets ``candidate_pairs`` in Arrow batches, never all pairs. A score that is
+    null or not a number is no match; ties go to the first target in byte order. For ``jobs.map_headers``:
+    ``scorer=lambda headers, targets: suggest_scored(headers, targets, load)``.
+    """
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for names, wanted in batches:
+            yield model(names, wanted)
+
+    found = candidate_pairs(headers, targets, candidates).withColumn("score", scored("scanned", "target"))
+    found = found.filter(~F.isnan("score") & (F.col("score") >= min_confidence))
+    best = found.groupBy("scanned").agg(F.min(F.struct((-F.col("score")).alias("minus_score"), "target")).alias("best"))
+    return best.select("scanned", "best.target", (-F.col("best.minus_score")).alias("confidence"))

@@ -215,6 +215,47 @@ def test_similar_finds_what_all_pairs_find(spark, threshold):
     assert {r.scanned: (r.target, r.confidence) for r in found.collect()} == want and len(want) > 3
 
 
+def test_scorer_hook(spark):
+    """A user's function sees candidates only, is loaded once in a task, and its best score wins."""
+    headers = ["cust name", "CustName", "order_date", "zzz", "***", "nam cust"]
+    targets = ["customer name", "cust name", "Cust-Name", "order date", "price", "name cust"]
+
+    def load():
+        import pandas as pd
+
+        state = {"batches": 0}
+
+        def model(names, wanted):
+            state["batches"] += 1
+            # The score falls with the batch within its load; a null for one target.
+            return pd.Series([None if t == "price" else 1 - state["batches"] / 1e6 for t in wanted])
+
+        return model
+
+    h = spark.createDataFrame([(x,) for x in headers], "header string")
+    t = spark.createDataFrame([(x,) for x in targets], "target string")
+    pairs = {(r.scanned, r.target) for r in S.candidate_pairs(h, t, 0.6).collect()}
+
+    def parts(name):
+        spaced = "".join(f" {c}" if c.isupper() and i and name[i - 1].islower() else c for i, c in enumerate(name))
+        return "".join(c if c.isalnum() else " " for c in spaced.lower()).split()
+
+    want = set()
+    for a in headers:
+        for b in targets:
+            x, y = parts(a), parts(b)
+            if x and y:
+                one, two = " ".join(x), " ".join(y)
+                overlap = len({*x} & {*y}) / len({*x} | {*y})
+                if max(overlap, 1 - edits(one, two) / max(len(one), len(two))) >= 0.6:
+                    want.add((a, b))
+    assert pairs == want and 5 < len(want) < len(headers) * len(targets)
+    found = {r.scanned: (r.target, r.confidence) for r in S.suggest_scored(h, t, load, candidates=0.6).collect()}
+    assert set(found) == {a for a, b in want if b != "price"}
+    assert all(target == min(b for a, b in want if a == scanned and b != "price") for scanned, (target, _) in found.items())
+    assert all(confidence > 1 - 1e-4 for _, confidence in found.values())
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_is_the_plain_join(spark, how, monkeypatch):
     large = spark.createDataFrame([(i, f"k{i % 7 if i % 3 else 0}") for i in range(500)], "i int, k string")

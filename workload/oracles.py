@@ -406,6 +406,11 @@ SELECT CAST(batch AS BIGINT) AS batch, count(*) AS headers, concat('{head}', chr
 SELECT scanned, target, confidence, target IN (SELECT replace(p_type, 'PROMO', 'OTHER') FROM part) AS in_targets
 FROM accepted WHERE scanned NOT IN (SELECT scanned FROM normal) QUALIFY row_number() OVER (PARTITION BY scanned ORDER BY reply DESC, line_no DESC) = 1"""
     o["suggest_similar"] = f"WITH {SIMILAR}"
+    candidates = SIMILAR.partition("SELECT scanned, target, round(score, 6)")[0]
+    o["suggest_scored"] = f"""WITH {candidates},
+judged AS (SELECT scanned, target, least(length(scanned), length(target)) / greatest(length(scanned), length(target)) AS alike FROM scores WHERE score >= 0.6)
+SELECT scanned, target, round(alike, 6) AS confidence FROM judged WHERE alike >= 0.6
+QUALIFY row_number() OVER (PARTITION BY scanned ORDER BY alike DESC, target) = 1"""
     o["suggestion_audit"] = f"""WITH {PARSED}, sent AS ({batches('SELECT p_name AS header FROM part UNION SELECT p_type FROM part')}),
 last AS (SELECT * FROM accepted QUALIFY row_number() OVER (PARTITION BY scanned ORDER BY reply DESC, line_no DESC) = 1)
 SELECT pos, header, CASE WHEN scanned IS NULL THEN 'no match' ELSE 'suggested' END AS outcome, target, confidence FROM sent LEFT JOIN last ON scanned = header"""

@@ -477,6 +477,23 @@ def suggest_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("confidence", F.round("confidence", 6))
 
 
+def _length_model():
+    """A stand-in for a model: how alike two names are in length."""
+
+    def score(names, wanted):
+        one, two = names.str.len(), wanted.str.len()
+        return one.where(one < two, two) / one.where(one > two, two)
+
+    return score
+
+
+@query
+def suggest_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best target by a user's function over blocked candidate pairs."""
+    found = S.suggest_scored(X.noisy_names(spark, sf_dir), X.name_targets(spark, sf_dir), _length_model, candidates=0.6)
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
 @query
 def suggestion_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = S.suggestion_batches(X.scanned(spark, sf_dir)).drop("batch")
