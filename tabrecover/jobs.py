@@ -26,6 +26,7 @@ from tabrecover.sinks import store as St
 from tabrecover.sinks import writers as W
 from tabrecover.sources import workbook as X
 from tabrecover.sources.files import list_files
+from tabrecover.sources.pieces import decode_in_pieces
 
 
 Scorer = Callable[[DataFrame, DataFrame], DataFrame]
@@ -49,13 +50,16 @@ def ingest(
     partitions: int | None = None,
     table: str | None = None,
     buckets: int = 0,
+    in_pieces: bool = False,
 ) -> DataFrame:
     """Decode all workbooks below the roots into one stored table.
 
+    ``in_pieces`` is for long sheets or string tables: several tasks then share a sheet.
     With a table name and a number of buckets (some per executor core) the rows are
     stored by sheet and row block, and scan and format leave them where they are.
     """
-    decoded = X.decode_workbooks(list_files(spark, roots), partitions=partitions)
+    decode = decode_in_pieces if in_pieces else X.decode_workbooks
+    decoded = decode(list_files(spark, roots), partitions=partitions)
     return W.land_grid(decoded, path, table, buckets)
 
 

@@ -17,7 +17,7 @@ import math
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from functools import cache
 from xml.etree import ElementTree
@@ -68,15 +68,8 @@ def decode_workbooks(files: DataFrame, formulas: bool = False, partitions: int |
     one workbook that meet in a task share its strings and styles.
     Store the result before using it twice (``sinks.land_grid``).
     """
-    spark = files.sparkSession
-    if partitions is None:
-        shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        partitions = max(shuffle, 4 * spark.sparkContext.defaultParallelism)
-    sheets = (
-        files.select("file")
-        .repartition(partitions, "file")
-        .mapInArrow(_list_sheets, from_arrow_schema(_SHEETS))
-    )
+    partitions = _tasks(files, partitions)
+    sheets = listed_sheets(files, partitions)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _read_sheets(batches, formulas)
@@ -85,6 +78,19 @@ def decode_workbooks(files: DataFrame, formulas: bool = False, partitions: int |
     return dealt.mapInArrow(read, from_arrow_schema(_ROWS))
 
 
+def _tasks(files: DataFrame, partitions: int | None) -> int:
+    if partitions is not None:
+        return partitions
+    spark = files.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def listed_sheets(files: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The sheets of every workbook: file, sheet_idx, sheet, part, date1904, size; or the file with an error."""
+    spread = files.select("file").repartition(_tasks(files, partitions), "file")
+    return spread.mapInArrow(_list_sheets, from_arrow_schema(_SHEETS))
+
+
 def grid_of(decoded: DataFrame) -> DataFrame:
     """Sheet rows of decoded (or landed) workbooks."""
     return decoded.filter("error is null").drop("error")
@@ -324,9 +330,22 @@ def _number(text: str | None, default: int, largest: int = MAX_ROW) -> int:
 def _sheet_rows(
     book: zipfile.ZipFile, part: str, date1904: bool, strings: list[str], formats: list[str], formulas: bool
 ) -> Iterator[tuple[int, list[dict | None]]]:
-    """Number and cells of every row with cells, up to the last value; styled cells without one count for the row."""
-    row = 0
-    for element in _elements(book, part, "row"):
+    yield from numbered_rows(_elements(book, part, "row"), 0, date1904, strings, formats, formulas)
+
+
+def numbered_rows(
+    elements: Iterable[ElementTree.Element],
+    row: int,
+    date1904: bool,
+    strings: Sequence[str] | Mapping[int, str],
+    formats: list[str],
+    formulas: bool,
+) -> Iterator[tuple[int, list[dict | None]]]:
+    """Number and cells of every row with cells, up to the last value; styled cells without one count for the row.
+
+    ``row`` is the number of the row before the first one.
+    """
+    for element in elements:
         row = _number(element.get("r"), row + 1)
         found: dict[int, dict] = {}
         col = 0
@@ -344,7 +363,7 @@ def _sheet_rows(
 
 
 def _cell(
-    c: ElementTree.Element, strings: list[str], code: str, date1904: bool, formulas: bool
+    c: ElementTree.Element, strings: Sequence[str] | Mapping[int, str], code: str, date1904: bool, formulas: bool
 ) -> tuple[str, str] | None:
     """Value text and type of a cell, None if it has no value; an error cell if it cannot be converted."""
     inner = {_tag(child): child for child in c}
@@ -355,7 +374,7 @@ def _cell(
 
 
 def _converted(
-    kind: str, inner: dict[str, ElementTree.Element], strings: list[str], code: str, date1904: bool, formulas: bool
+    kind: str, inner: dict[str, ElementTree.Element], strings: Sequence[str] | Mapping[int, str], code: str, date1904: bool, formulas: bool
 ) -> tuple[str, str] | None:
     if formulas and "f" in inner:
         return "=" + (inner["f"].text or ""), "f"

@@ -271,6 +271,7 @@ SELECT CAST(pos AS BIGINT) AS pos, target, count(header) AS headers FROM s LEFT
     o["default_targets"] = o["default_targets"].replace("SELECT CAST(pos", """, l AS (SELECT 'none' AS list, pos, target FROM s UNION ALL
   SELECT 'own', row_number() OVER (ORDER BY p_type) - 1, p_type FROM (SELECT DISTINCT p_type FROM part))
 SELECT list, CAST(pos""").replace("FROM s LEFT JOIN h ON header = target GROUP BY pos", "FROM l LEFT JOIN h ON header = target GROUP BY list, pos")
+    o["workbook_pieces"] = o["workbook_cells"]
     o["workbook_source"] = f"SELECT * FROM ({o['workbook_cells']}) x WHERE sheet = 'part 1'"
     o["file_inventory"] = """SELECT concat('part', p_partkey, CASE WHEN p_partkey % 2 = 1 THEN '.XLSX' ELSE '.xlsx' END) AS name, p_partkey % 49 AS length,
   CASE WHEN p_partkey % 49 = 0 THEN 'empty' END AS audit FROM part WHERE p_partkey % 10 <> 0"""
@@ -301,6 +302,7 @@ SELECT count(*) AS files_processed, CAST(sum(CAST(has_error AS INTEGER)) AS BIGI
 lines AS (SELECT concat('book', book, '.xlsx') AS file, book % 3 = 1 AS new, book, p_partkey, p_name, p_size FROM p WHERE book % 4 <> 3
   UNION ALL SELECT concat('copy', book, '.xlsx'), false, book, p_partkey, p_name, p_size FROM p WHERE book % 5 = 0),
 files AS (SELECT DISTINCT file, new FROM lines)"""
+    o["rejects_in_pieces"] = o["decode_rejects"]
     o["ingest_changed"] = f"""WITH {books}
 SELECT file, 'parts' AS sheet, CAST(row AS BIGINT) AS row, CAST(col AS INTEGER) AS col, value, dtype FROM (
   SELECT file, p_partkey % 100 + 2 AS row, 1 AS col, CAST(p_partkey AS VARCHAR) AS value, 'n' AS dtype FROM lines

@@ -26,6 +26,7 @@ from tabrecover.sinks import writers as W
 from tabrecover.sources import datasource as Ds
 from tabrecover.sources.files import list_files
 from tabrecover.sources.lists import clean_lines, mapping_entries, read_lines, read_mapping, read_targets
+from tabrecover.sources.pieces import decode_in_pieces
 from tabrecover.sources.tables import table_to_grid
 from tabrecover.sources.workbook import decode_workbooks, grid_of, rejects_of
 from tabrecover.streaming.decision_state import keep_decisions
@@ -77,6 +78,15 @@ def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.withColumn("file", F.element_at(F.split("file", "/"), -1))
 
 
+@query
+def workbook_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer workbooks cut into pieces of sheets and blocks of strings, each decoded by itself."""
+    folder = f"{checkpoint_dir(spark)}/books-{uuid.uuid4().hex}"
+    X.customer_workbooks(spark, sf_dir, folder)
+    decoded = decode_in_pieces(list_files(spark, [folder]), piece_bytes=1 << 13, strings=64)
+    return grid_to_cells(grid_of(decoded)).withColumn("file", F.element_at(F.split("file", "/"), -1))
+
+
 @query
 def workbook_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sheet of each customer workbook through the data source, which opens no other."""
@@ -100,7 +110,18 @@ def _line_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def decode_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per workbook of order lines: rows read, cells in error, and sheets or files rejected."""
-    decoded = _line_books(spark, sf_dir)
+    return _read_and_rejected(_line_books(spark, sf_dir))
+
+
+@query
+def rejects_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same books decoded in pieces: a broken sheet gives none of them."""
+    folder = f"{checkpoint_dir(spark)}/books-{uuid.uuid4().hex}"
+    X.line_workbooks(spark, sf_dir, folder)
+    return _read_and_rejected(stored(decode_in_pieces(list_files(spark, [folder]), piece_bytes=1 << 16)))
+
+
+def _read_and_rejected(decoded: DataFrame) -> DataFrame:
     errors = F.size(F.filter("cells.dtype", lambda t: t == "e")).cast("bigint")
     rows = grid_of(decoded).select("file", F.lit(1).alias("rows"), errors.alias("errors"), F.lit(0).alias("rejects"))
     rejects = rejects_of(decoded).select("file", F.lit(0).alias("rows"), F.lit(0).cast("bigint").alias("errors"), F.lit(1).alias("rejects"))
