@@ -41,6 +41,7 @@ class Settings:
     stop_at_table_end: bool = False
     min_confidence: float = S.MIN_CONFIDENCE
     typed: bool = True
+    named: bool = False
 
 
 def ingest(
@@ -197,6 +198,10 @@ def format_all(
 
     With ``typed`` a column has the type that holds all its values, else all are text.
     ``overlay`` is the grid of the template sheet; its own cells are then kept, as text.
+    With ``named`` the folder of a sheet is called "<file stem>-<sheet>" (``reports.unique_names``).
+
+    The folder must be new. ``sinks.publish`` runs this or another job below a fresh one, so
+    that all outputs count at once and a run after a failure replaces its own.
     """
     grid, broken = X.grid_of(decoded), X.rejects_of(decoded)
     bounds = B.sheet_bounds(grid)
@@ -218,7 +223,13 @@ def format_all(
         rows = Fm.template_overlay(aligned, overlay, plans, layout, drop_empty=settings.drop_empty)
     elif settings.typed:
         rows = T.typed_rows(rows, T.column_types(formats))
-    W.write_sheets(rows, f"{path}/sheets", fmt)
+    if settings.named:
+        names = R.unique_names(bounds)
+        names.write.parquet(f"{path}/names")
+        names = decoded.sparkSession.read.schema(names.schema).parquet(f"{path}/names")
+        W.write_named_sheets(rows, names, f"{path}/sheets", fmt)
+    else:
+        W.write_sheets(rows, f"{path}/sheets", fmt)
     W.write_report(R.format_summary(projected, plans, layout), f"{path}/summary", "parquet")
     stats = H.sheet_scan_stats(bounds, headers)
     rejects = broken.unionByName(R.sheet_rejects(stats, plans))

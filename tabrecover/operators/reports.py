@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabrecover.functions.text import is_blank, is_formula, output_name
-from tabrecover.grid import SHEET_KEYS
+from tabrecover.grid import SHEET_KEYS, by_name
 from tabrecover.operators.formatting import Layout
 from tabrecover.plans.joins import salted_join
 
 NO_HEADER = "no header"
 NO_MAPPING = "no applicable mapping"
 
+#: Bytes of an output name that is used as it is.
+NAME_BYTES = 120
+
 
 def format_summary(
     projected: DataFrame, plans: DataFrame, layout: Layout, keys: Sequence[str] = SHEET_KEYS
@@ -83,6 +86,25 @@ def output_names(bounds: DataFrame, keys: Sequence[str] = SHEET_KEYS) -> DataFra
     )
 
 
+def unique_names(bounds: DataFrame, keys: Sequence[str] = SHEET_KEYS) -> DataFrame:
+    """Per sheet an output name that no other sheet has.
+
+    The name is "<file stem>-<sheet>". Sheets that would share it, in any case of letters since some storage
+    does not tell them apart, get a hash of their keys behind it; so does a name too long for a file
+    system, which is cut before it.
+    """
+    keys = list(keys)
+    named = output_names(bounds, keys).drop("sheets").withColumn("_folded", F.lower("output"))
+    counts = named.groupBy("_folded").agg(F.count(F.lit(1)).alias("n"))
+    shared = counts.filter("n > 1").select("_folded", F.lit(True).alias("_shared"))
+    marked = salted_join(named, shared, ["_folded"], "left", counts)
+    mark = F.substring(F.sha2(F.to_json(F.array(*[k.cast("string") for k in by_name(keys)])), 256), 1, 32)
+    long = F.octet_length("output") > NAME_BYTES
+    stem = F.when(long, F.substring("output", 1, NAME_BYTES // 4)).otherwise(F.col("output"))
+    name = F.when(F.col("_shared") | long, F.concat_ws("-", stem, mark)).otherwise(F.col("output"))
+    return marked.select(*by_name(keys), name.alias("output"))
+
+
 def batch_summary(
     sheets: DataFrame, rejects: DataFrame, file: str = "file"
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tabrecover.grid import SHEET_KEYS, by_name
 from tabrecover.plans.blocks import ROW_BLOCK, block_of
+from tabrecover.plans.joins import lookup_join
 from tabrecover.sources.lists import MAPPING_HEAD, MAPPING_TAIL
 
 # Cell texts hold line breaks, quotes and outer spaces; all of them are kept.
@@ -101,6 +102,27 @@ def write_sheets(
     writer.format(fmt).save(path)
 
 
+def write_named_sheets(
+    formatted: DataFrame, names: DataFrame, path: str, fmt: str = "parquet", keys: Sequence[str] = SHEET_KEYS, row_block: int = ROW_BLOCK
+) -> None:
+    """Formatted rows, one folder ``output=<name>`` per sheet; the keys stay columns.
+
+    ``names`` has the keys and the output name of each sheet, no name twice (``reports.unique_names``).
+    Where a target is called output too, the folders' column gets underscores behind it.
+    """
+    keys = list(keys)
+    column = "output"
+    while column in {c.lower() for c in formatted.columns}:
+        column += "_"
+    name = names.select(*by_name(keys), F.col("output").alias(column))
+    named = lookup_join(formatted, name, keys)
+    placed = named.repartition(column, block_of(F.col("target_row"), row_block)).sortWithinPartitions(column, "target_row")
+    writer = placed.write.partitionBy(column)
+    if fmt == "csv":
+        writer = writer.options(**CSV_OPTIONS)
+    writer.format(fmt).save(path)
+
+
 def read_sheets(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet"
 ) -> DataFrame:

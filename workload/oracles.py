@@ -470,5 +470,12 @@ SELECT status, count(*) AS files FROM status GROUP BY status"""
     o["output_names"] = rf"""WITH {bounds_ctes(ALL_CELLS)},
 n AS (SELECT file, sheet, concat(regexp_replace(regexp_extract(file, '[^/]*$', 0), '(.)[.][^.]*$', '\1'), '-', sheet) AS output FROM bounds)
 SELECT file, sheet, output, count(*) OVER (PARTITION BY output) AS sheets FROM n"""
+    o["published_runs"] = o["stats_append"]
+    unique = """SELECT file, sheet, CASE WHEN count(*) OVER (PARTITION BY lower(output)) > 1 OR strlen(output) > 120 THEN
+  concat(CASE WHEN strlen(output) > 120 THEN left(output, 30) ELSE output END, '-', left(sha256(to_json([file, sheet])), 32)) ELSE output END AS output FROM n"""
+    o["unique_names"] = f"{o['output_names'][: o['output_names'].rindex('SELECT')]}{unique}"
+    o["sheets_by_name"] = rf"""WITH n AS (SELECT DISTINCT file, sheet, concat(regexp_replace(regexp_extract(file, '[^/]*$', 0), '(.)[.][^.]*$', '\1'), '-', sheet) AS output
+  FROM ({o['sheets_by_folder']}) x), named AS ({unique})
+SELECT r.*, output FROM ({o['sheets_by_folder']}) r JOIN named USING (file, sheet)"""
     o["decision_stream"] = o["decision_fold"]
     return o

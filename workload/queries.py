@@ -21,6 +21,7 @@ from tabrecover.operators import suggest as S
 from tabrecover.operators import types as T
 from tabrecover.plans.blocks import blocked
 from tabrecover.plans.checkpoints import checkpoint_dir, stored
+from tabrecover.sinks import publish as Pb
 from tabrecover.sinks import store as St
 from tabrecover.sinks import writers as W
 from tabrecover.sources import datasource as Ds
@@ -711,8 +712,33 @@ def stats_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def sheets_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation sheets formatted, written to a folder per sheet and read back."""
+def published_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File statistics of two published runs; one is repeated, and one attempt fails after it has written."""
+    stats = stored(scan_stats_file(spark, sf_dir))
+    path = f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+
+    def job(folder: str) -> None:
+        W.write_report(stats, f"{folder}/file_stats", "parquet")
+
+    def failing(folder: str) -> None:
+        W.write_report(stats.limit(1), f"{folder}/file_stats", "parquet")
+        raise RuntimeError("lost")
+
+    for run in ("first", "second", "first"):
+        Pb.publish(spark, path, run, job)
+    try:
+        Pb.publish(spark, path, "second", failing)
+    except RuntimeError:
+        pass
+    return Pb.published(spark, path, "file_stats", stats.schema)
+
+
+@query
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.unique_names(stored(B.sheet_bounds(landed(spark, sf_dir, X.whole_grid))))
+
+
+def _conversation_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     layout = Fm.Layout(("speaker", "words"))
     grid = landed(spark, sf_dir, X.conversation_grid)
     bounds = stored(B.sheet_bounds(grid))
@@ -721,7 +747,23 @@ def sheets_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = spark.createDataFrame(names, "ord int, scanned string, target string, is_ignored boolean")
     applicable = Fm.applicable_mappings(H.input_headers(headers), M.normalize_mapping(mapping), layout)
     plans = stored(Fm.sheet_plans(bounds, applicable, layout))
-    rows = Fm.format_sheets(grid, plans, layout)
+    return bounds, Fm.format_sheets(grid, plans, layout)
+
+
+@query
+def sheets_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation sheets formatted, written to a folder per sheet and read back."""
+    _, rows = _conversation_rows(spark, sf_dir)
     path = f"{checkpoint_dir(spark)}/sheets-{uuid.uuid4().hex}"
     W.write_sheets(rows, path)
     return W.read_sheets(spark, path, rows.schema)
+
+
+@query
+def sheets_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sheets in folders by output name."""
+    bounds, rows = _conversation_rows(spark, sf_dir)
+    path = f"{checkpoint_dir(spark)}/sheets-{uuid.uuid4().hex}"
+    names = stored(R.unique_names(bounds))
+    W.write_named_sheets(rows, names, path)
+    return W.read_sheets(spark, path, rows.join(names, ["file", "sheet"]).schema)
