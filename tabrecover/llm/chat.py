@@ -17,7 +17,8 @@ A conversation of more than ``CHAPTER`` turns is formatted in chapters of that
 many turns, so no row holds more. A later chapter goes on with the positions of
 the one before, and the chapters before it are an ancestor of all its turns: the
 interval from minus their length to 0, places before the pack's text. Chapters
-after equal chapters share turns like the first ones do.
+after equal chapters share turns like the first ones do. The turns of a conversation of more
+than ``HOT`` are numbered by a range sort, so they spread over tasks.
 
 Defined results: a null text or role is empty; a turn without a conversation id
 is a conversation by itself; turns with equal numbers are ordered by role and
@@ -36,12 +37,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabrecover.llm.common import stored
+from tabrecover.plans.positions import with_position
 
 #: Strings that mean something to this template or to other common ones.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 LEARNED = "assistant"
 #: Characters of a pack (a longer conversation is a pack by itself) and turns of a chapter.
 PACK, CHAPTER = 1 << 16, 4096
+#: Turns of a conversation that one task puts into order at most.
+HOT = 1 << 17
 #: Characters that a conversation's entry in a pack counts for, so that copies of one conversation are packed too.
 ENTRY = 16
 
@@ -182,7 +186,23 @@ def _pasts(chapters: DataFrame) -> DataFrame:
     return sizes.select(*key, *past).filter(F.col("chapter") > 0)
 
 
-def packs(conversations: DataFrame, limit: int = PACK, chapter: int = CHAPTER) -> DataFrame:
+def _placed(turns: DataFrame, hot: int) -> DataFrame:
+    """Turns with their place in their conversation; at most one row per ``hot`` turns is broadcast."""
+    order = ["turn", "role", "text"]
+    window = Window.partitionBy("conv_id", "alone").orderBy(*order)
+    counts = turns.filter(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    large = stored(counts.filter(F.col("n") > hot).select("conv_id"))
+    place = (F.row_number().over(window).cast("long") - 1).alias("place")
+    if large.isEmpty():
+        return turns.select("conv_id", "alone", "role", "text", place)
+    usual = turns.join(F.broadcast(large), "conv_id", "left_anti").select("conv_id", "alone", "role", "text", place)
+    sorted_turns = stored(with_position(turns.join(F.broadcast(large), "conv_id", "left_semi"), ["conv_id", *order]))
+    starts = sorted_turns.groupBy("conv_id").agg(F.min("pos").alias("start"))
+    found = sorted_turns.join(F.broadcast(starts), "conv_id")
+    return usual.unionByName(found.select("conv_id", "alone", "role", "text", (F.col("pos") - F.col("start")).alias("place")))
+
+
+def packs(conversations: DataFrame, limit: int = PACK, chapter: int = CHAPTER, hot: int = HOT) -> DataFrame:
     """``text, nodes, conversations``: one row per pack. Input: conv_id, turn, role, text."""
     empty = F.lit("")
     turns = conversations.select(
@@ -192,10 +212,7 @@ def packs(conversations: DataFrame, limit: int = PACK, chapter: int = CHAPTER) -
         F.coalesce("role", empty).alias("role"),
         F.coalesce("text", empty).alias("text"),
     )
-    order = Window.partitionBy("conv_id", "alone").orderBy("turn", "role", "text")
-    place = F.row_number().over(order).cast("long") - 1
-    turns = turns.select("conv_id", "alone", "role", "text", place.alias("place"))
-    chapters = turns.groupBy("conv_id", "alone", F.floor(F.col("place") / chapter).alias("chapter")).agg(
+    chapters = _placed(turns, hot).groupBy("conv_id", "alone", F.floor(F.col("place") / chapter).alias("chapter")).agg(
         F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns")
     )
     chapters = stored(chapters)

@@ -192,11 +192,11 @@ def wanted_chat(rows):
     return out
 
 
-@pytest.mark.parametrize("limit, chapter", [(1 << 16, 4096), (100, 4096), (300, 4)])
-def test_chats(spark, limit, chapter):
+@pytest.mark.parametrize("limit, chapter, hot", [(1 << 16, 4096, chat.HOT), (100, 4096, 4), (300, 4, 29), (300, 4, 0)])
+def test_chats(spark, limit, chapter, hot):
     rows = chats()
     frame = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, chapter string")
-    packed = chat.packs(frame, limit, chapter)
+    packed = chat.packs(frame, limit, chapter, hot)
     assert Counter(tuple(r) for r in chat.read_back(packed).collect()) == wanted_chat(rows)
     for pack in packed.collect():
         nodes = pack["nodes"]
@@ -206,6 +206,27 @@ def test_chats(spark, limit, chapter):
             assert node["position"] == sum(a["end"] - a["first"] for a in node["ancestors"])
 
 
+def test_turns_of_a_hot_conversation_spread(spark):
+    """One conversation with a third of the rows is put into order by several tasks."""
+    turns = [(1, t % 5000, "user" if t % 2 else "assistant", f"text {t}") for t in range(10_000)] + [(2 + t // 4, t, "user", "x") for t in range(20_000)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    # So few rows would else be sorted in one task, as adaptive execution joins small partitions.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = chat._placed(frame.withColumn("alone", F.lit(None).cast("long")), 1000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for c, *rest in sorted(turns):
+        want.setdefault(c, []).append(tuple(rest[1:]))
+    got = {}
+    for r in placed.collect():
+        got.setdefault(r.conv_id, {})[r.place] = (r.role, r.text)
+    assert {c: [places[i] for i in range(len(places))] for c, places in got.items()} == want
+    parts = placed.filter("conv_id = 1").groupBy(F.spark_partition_id()).count()
+    assert parts.count() > 1
+
+
 def test_prefixes_are_emitted_once(spark):
     turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {t}" if t < 4 else f"{c}") for c in range(20) for t in range(5)]
     packed = chat.packs(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1)).collect()
