@@ -20,6 +20,7 @@ do not count.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
@@ -35,6 +36,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from tabrecover.plans.checkpoints import stored
 from tabrecover.plans.joins import lookup_join, salted_join
 from tabrecover.sources import workbook as X
+from tabrecover.sources.plain import NotPlain, plain_rows
 
 #: Bytes after which the next row starts a new piece, and shared strings of a block.
 PIECE, STRINGS = 1 << 18, 1024
@@ -70,8 +72,130 @@ def cuts(book: ZipFile, part: str, container: str, item: str, piece_bytes: int |
     """Read a part to its end and find its cuts, after so many bytes or items; raises for what is not well-formed.
 
     Items are the children of the first container with the given name. Rows are numbered by
-    their own number where they have one.
+    their own number where they have one. Where items follow each other without anything between them, they
+    are found by their tags, and the parser only checks them.
     """
+    try:
+        return _plain_cuts(book, part, container, item, piece_bytes, piece_items)
+    except NotPlain:
+        return _element_cuts(book, part, container, item, piece_bytes, piece_items)
+
+
+def _plain_cuts(book: ZipFile, part: str, container: str, item: str, piece_bytes: int | None, piece_items: int | None) -> Cuts:
+    """``cuts`` of a part whose container holds nothing but items, in UTF-8."""
+    parser = expat.ParserCreate(namespace_separator=" ")
+    found = Cuts()
+    spaces: dict[str | None, str] = {}
+    depth = inside = number = items = 0
+    first: int | None = None
+    name = item.encode()
+    opened = re.compile(rb"\s*(<%b(?=[\s/>])([^<>]*?)(/?)>)" % name)
+    inner = re.compile(rb"<%b[\s/>]|<[!?]" % name)
+    closed, ended = b"</%b>" % name, re.compile(rb"\s*(</%b\s*>)" % container.encode())
+    going_on = re.compile(rb"\s*(?:<%b[\s/>]|</%b[\s>])" % (name, container.encode()))
+
+    def start(name: str, attributes: dict[str, str]) -> None:
+        nonlocal depth, inside, first
+        depth += 1
+        tag = name.rpartition(" ")[2]
+        if not inside:
+            inside = depth if tag == container else 0
+        elif depth == inside + 1 and tag == item:
+            first = parser.CurrentByteIndex
+            parser.StartElementHandler = parser.EndElementHandler = parser.StartNamespaceDeclHandler = None
+
+    def end(name: str) -> None:
+        nonlocal depth
+        if depth == inside:
+            raise NotPlain
+        depth -= 1
+
+    def space(prefix: str | None, uri: str | None) -> None:
+        spaces[prefix] = uri or ""
+
+    def declared(version: str, encoding: str | None, standalone: int) -> None:
+        found.encoding = encoding or found.encoding
+
+    def doctype(*_: object) -> None:
+        raise ValueError(f"document type in {part}")
+
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.StartNamespaceDeclHandler = space
+    parser.XmlDeclHandler, parser.StartDoctypeDeclHandler = declared, doctype
+
+    def take(rest: bytes, base: int) -> int:
+        """Note the whole items that a text begins with; gives where they end."""
+        nonlocal number, items
+        at = 0
+        while (tag := opened.match(rest, at)) is not None:
+            stop = tag.end()
+            if not tag[3]:
+                stop = rest.find(closed, tag.end())
+                if stop < 0:
+                    break
+                if inner.search(rest, tag.end(), stop):
+                    raise NotPlain
+                if not found.filled and re.compile(rb"<c[\s/>]").search(rest, tag.end(), stop):
+                    if re.compile(rb"\s*<c[\s/>]").match(rest, tag.end()) is None:
+                        raise NotPlain
+                    found.filled = True
+                stop += len(closed)
+            if b"'" in tag[2] or b"&" in tag[2]:
+                raise NotPlain
+            place = base + tag.start(1)
+            by_bytes = piece_bytes is not None and found.starts and place - found.starts[-1] >= piece_bytes
+            by_items = piece_items is not None and items % piece_items == 0
+            if not found.starts or by_bytes or by_items:
+                found.starts.append(place)
+                found.before.append(number)
+            own = re.search(rb'\sr="([^"]*)"', tag[2])
+            number = X._number(own[1].decode() if own else None, number + 1)
+            items += 1
+            at = stop
+        return at
+
+    with book.open(part) as stream:
+        chunk = stream.read(_READ)
+        if chunk[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            raise NotPlain
+        offset, rest = 0, b""
+        try:
+            while chunk:
+                parser.Parse(chunk, False)
+                if not found.stop:
+                    rest += chunk
+                    if first is None:
+                        # a tag may have begun in the text before
+                        cut = max(0, len(rest) - 2 * _READ)
+                        rest, offset = rest[cut:], offset + cut
+                    else:
+                        if not found.starts:
+                            if first < offset or found.encoding.lower() != "utf-8":
+                                raise NotPlain
+                            rest, offset = rest[first - offset :], first
+                        at = take(rest, offset)
+                        rest, offset = rest[at:], offset + at
+                        last = ended.match(rest)
+                        if last is not None:
+                            found.stop = offset + last.start(1)
+                        elif len(rest) > 2 * _READ and going_on.match(rest) is None:
+                            raise NotPlain
+                chunk = stream.read(_READ)
+            parser.Parse(b"", True)
+        except expat.ExpatError as problem:
+            raise ElementTree.ParseError(str(problem)) from problem
+    if not found.stop:
+        raise NotPlain
+    found.head = _declarations(spaces)
+    return found
+
+
+def _declarations(spaces: dict[str | None, str]) -> str:
+    return "".join(f" xmlns:{p}={quoteattr(u)}" if p else f" xmlns={quoteattr(u)}" for p, u in spaces.items() if p != "xml")
+
+
+def _element_cuts(book: ZipFile, part: str, container: str, item: str, piece_bytes: int | None, piece_items: int | None) -> Cuts:
+    """``cuts`` of any part."""
     parser = expat.ParserCreate(namespace_separator=" ")
     found = Cuts()
     spaces: dict[str | None, str] = {}
@@ -129,9 +253,7 @@ def cuts(book: ZipFile, part: str, container: str, item: str, piece_bytes: int |
         except expat.ExpatError as problem:
             raise ElementTree.ParseError(str(problem)) from problem
     found.encoding = mark or found.encoding
-    found.head = "".join(
-        f" xmlns:{p}={quoteattr(u)}" if p else f" xmlns={quoteattr(u)}" for p, u in spaces.items() if p != "xml"
-    )
+    found.head = _declarations(spaces)
     return found
 
 
@@ -208,7 +330,10 @@ def _shown(cell: ElementTree.Element) -> int | None:
     """The number of the shared string that a cell shows."""
     if X._tag(cell) != "c" or cell.get("t") != "s":
         return None
-    text = next((v.text for v in cell if X._tag(v) == "v"), None)
+    return _string_number(next((v.text for v in cell if X._tag(v) == "v"), None))
+
+
+def _string_number(text: str | None) -> int | None:
     try:
         number = int(text or "")
     except ValueError:
@@ -221,11 +346,13 @@ def _needed(block: int):
         for batch in batches:
             for piece in batch.to_pylist():
                 by_block: dict[int, set[int]] = {}
-                for row in _items(piece):
-                    for cell in row:
-                        number = _shown(cell)
-                        if number is not None:
-                            by_block.setdefault(number // block, set()).add(number)
+                try:
+                    cells = (c for _, found in plain_rows(piece["body"]) for c in found)
+                    shown = {_string_number(text) for _, _, kind, text, _ in cells if kind == "s"}
+                except NotPlain:
+                    shown = {_shown(cell) for row in _items(piece) for cell in row}
+                for number in shown - {None}:
+                    by_block.setdefault(number // block, set()).add(number)
                 key = {k: piece[k] for k in _KEYS}
                 rows = [{**key, "block": b, "numbers": sorted(n)} for b, n in sorted(by_block.items())]
                 yield pa.RecordBatch.from_pylist(rows, schema=_NEEDED)
@@ -254,10 +381,15 @@ def _converted(formulas: bool):
                     with X._opened(piece["file"]) as book:
                         styles = (piece["file"], X._style_formats(book))
                 strings = _Strings((t["number"], t["text"]) for t in piece["texts"] or [] if t["text"] is not None)
-                rows = X.numbered_rows(
-                    (e for e in _items(piece) if X._tag(e) == "row"), piece["before"], piece["date1904"], strings, styles[1], formulas
-                )
-                yield pa.RecordBatch.from_pylist([{**key, "row": n, "cells": cells} for n, cells in rows], schema=X._ROWS)
+                try:
+                    if formulas:
+                        raise NotPlain
+                    plain = X.numbered_plain(plain_rows(piece["body"]), piece["before"], piece["date1904"], strings, styles[1])
+                    rows = [(n, cells) for n, cells in plain if cells is not None]
+                except NotPlain:
+                    elements = (e for e in _items(piece) if X._tag(e) == "row")
+                    rows = [*X.numbered_rows(elements, piece["before"], piece["date1904"], strings, styles[1], formulas)]
+                yield X.row_batch(key, rows)
 
     return run
 
