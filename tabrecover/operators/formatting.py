@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tabrecover.functions.text import is_blank, is_formula, suppress_formula
 from tabrecover.grid import SHEET_KEYS, by_name
 from tabrecover.plans.blocks import ROW_BLOCK, block_of, blocked, per_block
-from tabrecover.plans.checkpoints import stored
+from tabrecover.plans.checkpoints import stored, tasks_for
 from tabrecover.plans.joins import lookup_join
 
 MAX_COLUMNS = 16_384
@@ -86,8 +86,12 @@ def uncovered_targets(
 ) -> DataFrame:
     """Per sheet the targets no input header maps to: keys, target."""
     names = sorted({t for _, t in layout.named})
-    wanted = bounds.select(*keys, F.explode(F.array(*[F.lit(n) for n in names])).alias("target"))
-    return wanted.join(applicable.select(*keys, "target"), [*keys, "target"], "left_anti")
+    # One row per sheet is joined; a sheet has no more targets than the layout.
+    covered = applicable.groupBy(*keys).agg(F.collect_set("target").alias("covered"))
+    none = F.array().cast("array<string>")
+    wanted = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    missing = F.filter(wanted, lambda n: ~F.array_contains(F.coalesce("covered", none), n))
+    return bounds.select(*keys).join(covered, list(keys), "left").select(*keys, F.explode(missing).alias("target"))
 
 
 def sheet_plans(
@@ -242,6 +246,8 @@ def fill_rows(
     # a shuffle between the two steps, or all blocks of a sheet unfold in one task
     spread = blocks.repartition(*keys, "block")
     every_row = spread.select(*keys, F.explode(F.sequence(start, stop)).alias("target_row"))
+    rows = filled.agg(F.coalesce(F.sum("last_target_row"), F.lit(0))).first()[0]
+    every_row = every_row.repartition(tasks_for(extent.sparkSession, rows), *keys, "target_row")
     return every_row.join(formatted, [*keys, "target_row"], "left").select(*by_name(formatted.columns))
 
 
@@ -358,6 +364,8 @@ def template_overlay(
     copies = lookup_join(
         blocks.select(*keys, F.explode(rows).alias("target_row")), static, ["target_row"]
     )
+    ends = bounds.agg(F.coalesce(F.sum(F.col("max_row") + last), F.lit(0))).first()[0]
+    copies = copies.repartition(tasks_for(bounds.sparkSession, ends), *keys, "target_row")
     empty = F.lit(None).cast("string")
     own = F.array(*[by_name([names[i]])[0] if i in names else empty for i in range(width)])
     both = copies.join(
