@@ -134,7 +134,9 @@ def judge(
     edges = rows.select(F.col("own").alias("u"), F.col("node").alias("v"))
     if links is not None:
         ends = [F.md5(alias_of(F.col(c))) for c in ("src", "dst")]
-        edges = edges.unionByName(links.select(ends[0].alias("u"), ends[1].alias("v")))
+        # Stored, or every filter on an end would be written out down to the address in each plan of the components,
+        # and the links be searched for again by each.
+        edges = edges.unionByName(stored(links.select(ends[0].alias("u"), ends[1].alias("v"))))
     member = components(edges).withColumnRenamed("node", "own")
     judged = rows.join(ruled, ["host", "path"], "left").join(member, "own", "left")
     # One row per component that a rule reaches; allow comes before block.
