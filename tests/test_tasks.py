@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from conftest import SF
+from pyspark.sql import functions as F
 
+from conftest import SF
 from tabrecover.operators import formatting as Fm
 from tabrecover.plans import checkpoints as C
+from tabrecover.sinks import writers as W
 from workload import fixtures as X
 from workload import queries as Q
 
@@ -57,3 +59,33 @@ def test_uncovered_targets_joins_sheets_not_targets(spark):
         ("f", "s", "a"), ("f", "t", "a"), ("f", "t", "b"), (None, "u", "a"), (None, "u", "b"),
     ]
     assert "target" not in plan_of(found).split("Join")[1].split("\n")[0]
+
+
+def tasks_of(spark, group: str) -> list[int]:
+    """Tasks of the stages that ran under a job group, most last."""
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    return sorted(info.numTasks for info in map(tracker.getStageInfo, stages) if info)
+
+
+def test_folders_of_sheets_go_to_tasks_by_cores(spark, tmp_path):
+    """Small sheets are written by more tasks than their bytes ask for, and listed by fewer than there are folders."""
+    rows = spark.createDataFrame([("f", f"s{n}", 2, "x") for n in range(60)], "file string, sheet string, target_row bigint, a string")
+    names = rows.select("file", "sheet", F.col("sheet").alias("output"))
+    most = C.tasks_for_files(spark)
+    assert most == 4 * spark.sparkContext.defaultParallelism < 60
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    listing = spark.conf.get(key, None)
+    try:
+        for group, write in (("plain", lambda p: W.write_sheets(rows, p)), ("named", lambda p: W.write_named_sheets(rows, names, p))):
+            path = str(tmp_path / group)
+            spark.sparkContext.setJobGroup(f"write {group}", "")
+            write(path)
+            assert tasks_of(spark, f"write {group}")[-1] == most
+            spark.sparkContext.setJobGroup(f"list {group}", "")
+            found = W.read_sheets(spark, path, rows.schema)
+            assert tasks_of(spark, f"list {group}")[-1] == most
+            assert spark.conf.get(key, None) == listing
+            assert sorted(found.collect()) == sorted(rows.collect())
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
