@@ -26,11 +26,14 @@ def sheet_bounds(grid: DataFrame, keys: Sequence[str] = SHEET_KEYS) -> DataFrame
     Gives keys, sheet_idx, max_col (null without filled cells), header_row (then
     1), max_row (last row the sheet has, filled or not; 1 at least).
     """
-    cells = grid.select(*keys, "sheet_idx", "row", F.posexplode_outer("cells.value").alias("pos", "value"))
-    place = (F.col("pos").cast("long") + 1) * F.lit(_ROWS) - F.col("row")
-    bounds = cells.groupBy(*keys).agg(
+    # The last filled cell of a row counts; it is the last cell as a rule, and only else the others are looked at.
+    values = F.col("cells.value")
+    filled = F.array_max(F.transform(values, lambda v, i: F.when(~is_blank(v), i + 1)))
+    width = F.when(~is_blank(F.get(values, F.size(values) - 1)), F.size(values)).otherwise(filled)
+    place = width.cast("long") * F.lit(_ROWS) - F.col("row")
+    bounds = grid.select(*keys, "sheet_idx", "row", place.alias("_place")).groupBy(*keys).agg(
         F.min("sheet_idx").alias("sheet_idx"),
-        F.max(F.when(~is_blank(F.col("value")), place)).alias("_place"),
+        F.max("_place").alias("_place"),
         F.greatest(F.max("row"), F.lit(1)).alias("max_row"),
     )
     max_col = F.shiftright("_place", 46) + 1

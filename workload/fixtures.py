@@ -7,13 +7,15 @@ would share a place are merged by an aggregate.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabrecover.grid import CELL_TYPE, cell
 from tabrecover.sources.files import filesystem
-from workload.xlsx import Cell, cut_part, workbook
+from workload.xlsx import Cell, cut_part, number_rows, texts_of, workbook
 
 LAYOUT = ("part_id", "supplier_id", "qty", "flag", "note")
 
@@ -231,14 +233,14 @@ def line_workbooks(spark: SparkSession, sf_dir: str, folder: str) -> int:
 
     def write(key: tuple, rows: pa.Table) -> pa.Table:
         number = key[0].as_py()
-        sheet = {1: {c: Cell("s", f"column {c}") for c in range(1, 11)}}
-        for n, r in enumerate(rows.to_pylist(), 1):
-            bad = number % 5 == 2 and n % 1000 == 0
-            values = [r["l_orderkey"], r["l_linenumber"], r["l_partkey"], "1x2" if bad else r["l_suppkey"], r["l_quantity"]]
-            sheet[n + 1] = {c: Cell("n", str(v)) for c, v in enumerate(values * 2, 1)}
-            if bad:
-                sheet[n + 1][9] = Cell("n", "1")
-        data = workbook([("lines", sheet)])
+        head = {1: {c: Cell("s", f"column {c}") for c in range(1, 11)}}
+        names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+        values = [texts_of(rows.column(c)) for c in names]
+        again = [*values]
+        if number % 5 == 2:
+            bad = pa.array(np.arange(1, rows.num_rows + 1) % 1000 == 0)
+            values[3], again[3] = pc.if_else(bad, "1x2", values[3]), pc.if_else(bad, "1", values[3])
+        data = workbook([("lines", head)], below={"lines": number_rows(2, [*values, *again])})
         files = {f"lines{number}.xlsx": data}
         if number % 5 == 0:
             files[f"nozip{number}.xlsx"] = b"no workbook"
