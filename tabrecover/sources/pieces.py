@@ -13,7 +13,7 @@ cells costs far more than that. Four steps:
 4. Pieces are converted by themselves, with the functions of ``sources.workbook``.
 
 A task holds a piece, the texts of its cells and one block of strings, whatever the length of the sheet
-and of the table. The rows are those of ``decode_workbooks``. Two things differ, neither of
+and of the table. Pieces are compressed on their way and stored in small row groups, since readers and Arrow take thousands of rows at a time. The rows are those of ``decode_workbooks``. Two things differ, neither of
 which the file format allows: a part with a document type is a reject, and rows outside the first ``sheetData``
 do not count.
 """
@@ -21,6 +21,7 @@ do not count.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
@@ -37,15 +38,18 @@ from tabrecover.plans.checkpoints import stored
 from tabrecover.plans.joins import lookup_join, salted_join
 from tabrecover.sources import workbook as X
 from tabrecover.sources.plain import NotPlain, plain_rows
+from tabrecover.sources.strict import strict_rows
 
 #: Bytes after which the next row starts a new piece, and shared strings of a block.
 PIECE, STRINGS = 1 << 18, 1024
+#: Bytes of a row group of stored pieces.
+_GROUP = 8 << 20
 _READ = 1 << 16
 _STRING_PART = "xl/sharedStrings.xml"
 _KEYS = ["file", "sheet_idx", "piece"]
 _PIECES = pa.schema([
     ("file", pa.string()), ("sheet_idx", pa.int64()), ("sheet", pa.string()), ("date1904", pa.bool_()),
-    ("piece", pa.int64()), ("before", pa.int64()), ("head", pa.string()), ("body", pa.string()), ("error", pa.string()),
+    ("piece", pa.int64()), ("before", pa.int64()), ("head", pa.string()), ("body", pa.binary()), ("error", pa.string()),
 ])
 _NEEDED = pa.schema([
     ("file", pa.string()), ("sheet_idx", pa.int64()), ("piece", pa.int64()),
@@ -265,9 +269,23 @@ def _bodies(book: ZipFile, part: str, found: Cuts) -> Iterator[str]:
             yield stream.read(stop - start).decode(found.encoding)
 
 
+def _packed(body: str) -> bytes:
+    return zlib.compress(body.encode(), 1)
+
+
+def _body(piece: dict) -> str:
+    return zlib.decompress(piece["body"]).decode()
+
+
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one at a time: together their bodies would be held twice."""
+    for i in range(batch.num_rows):
+        yield from batch.slice(i, 1).to_pylist()
+
+
 def _items(piece: dict) -> Iterator[ElementTree.Element]:
     """The items of a piece."""
-    yield from ElementTree.fromstring(f"<piece{piece['head']}>{piece['body']}</piece>")
+    yield from ElementTree.fromstring(f"<piece{piece['head']}>{_body(piece)}</piece>")
 
 
 def _cut_sheets(piece_bytes: int):
@@ -292,7 +310,7 @@ def _cut_sheets(piece_bytes: int):
                 # The first time went well, so what fails now is the storage: the task fails and runs again.
                 with X._opened(sheet["file"]) as book:
                     for i, body in enumerate(_bodies(book, sheet["part"], found)):
-                        row = {**key, "piece": i, "before": found.before[i], "head": found.head, "body": body}
+                        row = {**key, "piece": i, "before": found.before[i], "head": found.head, "body": _packed(body)}
                         yield pa.RecordBatch.from_pylist([row], schema=_PIECES)
 
     return run
@@ -313,14 +331,15 @@ def _cut_strings(block: int):
                     continue
                 with X._opened(file) as book:
                     for i, body in enumerate(_bodies(book, _STRING_PART, found)):
-                        yield pa.RecordBatch.from_pylist([{"file": file, "piece": i, "head": found.head, "body": body}], schema=_PIECES)
+                        row = {"file": file, "piece": i, "head": found.head, "body": _packed(body)}
+                        yield pa.RecordBatch.from_pylist([row], schema=_PIECES)
 
     return run
 
 
 def _string_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in batch.to_pylist():
+        for piece in _each(batch):
             texts = [X._rich_text(si) for si in _items(piece) if X._tag(si) == "si"]
             row = {"file": piece["file"], "block": piece["piece"], "texts": texts}
             yield pa.RecordBatch.from_pylist([row], schema=_TEXTS)
@@ -341,13 +360,20 @@ def _string_number(text: str | None) -> int | None:
     return number if 0 <= number < 1 << 62 else None
 
 
+#: Without an attribute of this name no cell shows a shared string.
+_TYPED = re.compile(r"\bt\s*=")
+
+
 def _needed(block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in batch.to_pylist():
+            for piece in _each(batch):
                 by_block: dict[int, set[int]] = {}
+                body = _body(piece)
+                if _TYPED.search(body) is None:
+                    continue
                 try:
-                    cells = (c for _, found in plain_rows(piece["body"]) for c in found)
+                    cells = (c for _, found in plain_rows(body) for c in found)
                     shown = {_string_number(text) for _, _, kind, text, _ in cells if kind == "s"}
                 except NotPlain:
                     shown = {_shown(cell) for row in _items(piece) for cell in row}
@@ -371,7 +397,7 @@ def _converted(formulas: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         styles: tuple[str, list[str]] | None = None
         for batch in batches:
-            for piece in batch.to_pylist():
+            for piece in _each(batch):
                 key = {k: piece[k] for k in ("file", "sheet_idx", "sheet")}
                 if piece["body"] is None:
                     rest = {"error": piece["error"]} if piece["error"] else {"row": 0, "cells": []}
@@ -381,10 +407,20 @@ def _converted(formulas: bool):
                     with X._opened(piece["file"]) as book:
                         styles = (piece["file"], X._style_formats(book))
                 strings = _Strings((t["number"], t["text"]) for t in piece["texts"] or [] if t["text"] is not None)
+                body = _body(piece)
+                try:
+                    if formulas:
+                        raise NotPlain
+                    batch = X.strict_batch(key, strict_rows(body.encode()), piece["date1904"], strings, styles[1])
+                    if batch.num_rows:
+                        yield batch
+                    continue
+                except NotPlain:
+                    pass
                 try:
                     if formulas:
                         raise NotPlain
-                    plain = X.numbered_plain(plain_rows(piece["body"]), piece["before"], piece["date1904"], strings, styles[1])
+                    plain = X.numbered_plain(plain_rows(body), piece["before"], piece["date1904"], strings, styles[1])
                     rows = [(n, cells) for n, cells in plain if cells is not None]
                 except NotPlain:
                     elements = (e for e in _items(piece) if X._tag(e) == "row")
@@ -409,9 +445,9 @@ def decode_in_pieces(
     sheets = stored(X.listed_sheets(files, partitions))
     n = sheets.sparkSession.sparkContext.defaultParallelism * 4 if partitions is None else partitions
     dealt = sheets.repartition(n, "file", "sheet_idx")
-    pieces = stored(dealt.mapInArrow(_cut_sheets(piece_bytes), from_arrow_schema(_PIECES)))
+    pieces = stored(dealt.mapInArrow(_cut_sheets(piece_bytes), from_arrow_schema(_PIECES)), _GROUP)
     books = sheets.filter("part is not null").select("file").distinct().repartition(n, "file")
-    tables = stored(books.mapInArrow(_cut_strings(strings), from_arrow_schema(_PIECES)))
+    tables = stored(books.mapInArrow(_cut_strings(strings), from_arrow_schema(_PIECES)), _GROUP)
 
     # A workbook whose strings cannot be read loses each of its sheets as a whole.
     broken = tables.filter("error is not null").select("file", F.col("error").alias("broken"))

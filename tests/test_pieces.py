@@ -6,9 +6,12 @@ import io
 import random
 import zipfile
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tabrecover.plans.checkpoints import stored
 from tabrecover.sources import pieces as P
 from tabrecover.sources import workbook as X
 from tabrecover.sources.files import list_files
@@ -137,3 +140,21 @@ def test_a_task_gets_its_own_strings_only(spark, tmp_path):
     decoded = X.grid_of(P.decode_in_pieces(files, partitions=2, piece_bytes=2000, strings=16))
     texts = decoded.select("row", F.transform("cells", lambda c: c["value"]).alias("v")).collect()
     assert {r.row: r.v for r in texts} == {n: ["head", f"text {n}"] for n in rows}
+
+
+def test_pieces_are_held_packed_and_a_few_at_a_time(spark, tmp_path):
+    rows = {n: {c: Cell("n", n * c) for c in range(1, 11)} for n in range(1, 3000)}
+    path = tmp_path / "book.xlsx"
+    path.write_bytes(workbook([("lines", rows)]))
+    sheet = {"file": str(path), "sheet_idx": 0, "sheet": "lines", "part": SHEET, "date1904": False, "error": None}
+    batches = [*P._cut_sheets(1 << 16)(iter([pa.RecordBatch.from_pylist([sheet])]))]
+    pieces = [piece for batch in batches for piece in P._each(batch)]
+    with zipfile.ZipFile(path) as book:
+        assert [P._body(p) for p in pieces] == [*P._bodies(book, SHEET, P.cuts(book, SHEET, "sheetData", "row", 1 << 16, None))]
+    assert all(len(p["body"]) * 3 < len(P._body(p)) for p in pieces)
+
+    noise = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(200)), lambda i: F.sha2(F.concat_ws("-", "id", i), 256)), "")
+    wide = stored(spark.range(0, 1000, 1, 1).select("id", noise.alias("body")), 1 << 20)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in wide.inputFiles()]
+    assert max(g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)) <= 200
+    assert wide.agg(F.count("body")).first()[0] == 1000
