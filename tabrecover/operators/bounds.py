@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabrecover.functions.text import is_blank
 from tabrecover.grid import SHEET_KEYS
-from tabrecover.plans.blocks import ROW_BLOCK, blocked, per_block
+from tabrecover.plans.blocks import ROW_BLOCK, block_of, blocked, per_block
 
 DEFAULT_TOLERANCE = 1
 
@@ -58,49 +58,57 @@ def table_end(
 
     It is the first filled row, from the header row on, of the rightmost filled
     column that is followed by ``tolerance`` blank rows in that column; rows
-    past the end of the sheet count as blank. ``tasks`` deals the rows of a grid that is not stored by its
-    blocks to so many tasks.
+    past the end of the sheet count as blank. A grid that has its blocks (``land_grid``) is read where it is:
+    its blocks are cut into smaller ones of ``row_block`` rows and put together again before anything is sent on. ``tasks`` deals
+    the rows of any other grid to so many tasks.
     """
     keys = list(keys)
+    placed = "block" in grid.columns and ROW_BLOCK % row_block == 0
+    size = ROW_BLOCK if placed else row_block
     edges = per_block(
         bounds.filter("max_col is not null").select(*keys, "max_col", "header_row", "max_row"),
         F.col("header_row"),
         F.col("max_row"),
-        row_block,
+        size,
     )
     filled = F.transform(F.col("cells.value"), lambda v: ~is_blank(v))
-    rows = blocked(grid, row_block).select(*keys, "row", "block", filled.alias("filled"))
-    rows = rows.repartition(tasks, *keys, "block") if tasks else rows
+    rows = blocked(grid, size).select(*keys, "row", "block", filled.alias("filled"))
+    rows = rows.repartition(tasks, *keys, "block") if tasks and not placed else rows
     edge_rows = (
         rows.join(edges.drop("max_row"), [*keys, "block"])
         .filter((F.col("row") >= F.col("header_row")) & F.get("filled", F.col("max_col") - 1))
-        .select(*keys, "block", "row")
+        .select(*keys, "block", block_of(F.col("row"), row_block).alias("part"), "row")
     )
 
-    in_block = Window.partitionBy(*keys, "block").orderBy("row")
-    gap = F.lead("row").over(in_block) - F.col("row")
+    in_part = Window.partitionBy(*keys, "block", "part").orderBy("row")
+    gap = F.lead("row").over(in_part) - F.col("row")
     blocks = (
         edge_rows.withColumn("gap", gap)
-        .groupBy(*keys, "block")
+        .groupBy(*keys, "block", "part")
         .agg(
             F.min("row").alias("first"),
             F.max("row").alias("last"),
             F.min(F.when(F.col("gap") > tolerance, F.col("row"))).alias("stop"),
         )
     )
+
+    def stop(following: Column, at_end: Column) -> Column:
+        return F.min(F.coalesce("stop", F.when(following > tolerance, F.col("last")), at_end)).alias("stop")
+
+    if placed:
+        across_parts = Window.partitionBy(*keys, "block").orderBy("part")
+        blocks = (
+            blocks.withColumn("following", F.lead("first").over(across_parts) - F.col("last"))
+            .groupBy(*keys, "block")
+            .agg(F.min("first").alias("first"), F.max("last").alias("last"), stop(F.col("following"), F.lit(None)))
+        )
     across = Window.partitionBy(*keys).orderBy("block")
     following = F.lead("first").over(across) - F.col("last")
     ends = (
         blocks.withColumn("following", following)
         .groupBy(*keys)
-        .agg(
-            F.min(
-                F.coalesce(
-                    "stop",
-                    F.when(F.col("following").isNull() | (F.col("following") > tolerance), F.col("last")),
-                )
-            ).alias("table_end_row")
-        )
+        .agg(stop(F.col("following"), F.when(F.col("following").isNull(), F.col("last"))))
+        .withColumnRenamed("stop", "table_end_row")
     )
     return bounds.join(ends, keys, "left").withColumn(
         "table_end_row", F.coalesce("table_end_row", "header_row")

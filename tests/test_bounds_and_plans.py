@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from tabrecover.operators import formatting as Fm
 from tabrecover.operators import headers as H
 from tabrecover.operators import mapping as M
 from tabrecover.operators import reports as R
+from tabrecover.plans.blocks import block_of
+from tabrecover.plans.checkpoints import SHUFFLE_CLEANUP, stored, stored_in_buckets
 
 LAYOUT = Fm.Layout(("a", "", "b", "a", "c"), header_row=2)
 NAMES = ["h0", "h1", "<b>h2</b>", " h3 ", "h4"]
@@ -74,6 +77,37 @@ def test_bounds(spark, tolerance, row_block):
         assert r.max_row == max(sheet)
 
 
+@pytest.mark.parametrize("tolerance", [0, 1, 3])
+@pytest.mark.parametrize("row_block", [2, 4])
+def test_bounds_of_a_grid_read_where_it_is(spark, monkeypatch, tolerance, row_block):
+    monkeypatch.setattr("tabrecover.operators.bounds.ROW_BLOCK", 8)
+    sheets = random_sheets(150, seed=tolerance)
+    grid = stored_in_buckets(grid_of(spark, sheets).withColumn("block", block_of(F.col("row"), 8)), ["file", "sheet", "block"], 5)
+    monkeypatch.setattr("tabrecover.operators.bounds.blocked", lambda g, size: g if size == 8 else g.withColumn("block", block_of(F.col("row"), size)))
+    bounds = stored(B.sheet_bounds(grid))
+    ends = B.table_end(grid, bounds, tolerance, row_block=row_block, tasks=7)
+    assert {r.sheet: r.table_end_row for r in ends.collect()} == {name: bounds_of(sheet, tolerance)[2] for name, sheet in sheets.items()}
+    # Only what is known of blocks is sent on, by sheet; the rows are sent by no block of their own.
+    plan = ends._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" in plan
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION" in line]
+
+
+def test_shuffle_files_of_stored_rows_are_removed(spark):
+    def files() -> set[str]:
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    setting, before = spark.conf.get(SHUFFLE_CLEANUP, None), files()
+    tables = [stored(spark.range(1000).repartition(7, "id")), stored_in_buckets(spark.range(1000), ["id"], 3)]
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+    deadline = time.time() + 30
+    while files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - before
+    assert [t.count() for t in tables] == [1000, 1000]
+
+
 def test_headers_of_deep_and_empty_sheets(spark):
     sheets = {
         "0": {1: ["title"], 100: ["A", None, "B", "", " "], 101: ["1", None, "2"]},

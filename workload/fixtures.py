@@ -125,8 +125,8 @@ def order_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union([body, header])
 
 
-def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sheet with a third of all events and one per user; blank runs in the last column."""
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the event sheets before their cells are made: keys, row, kind (0 event, 1 title, 2 header) and an event's columns."""
     events = table(spark, sf_dir, "events")
     main = F.col("event_id") % 3 == 0
     events = events.select(
@@ -140,20 +140,35 @@ def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     keys = ["file", "sheet_idx", "sheet"]
     sheets = events.select(*keys).distinct()
-    return _union([
-        events.select(
-            *keys,
-            *_row(
-                F.col("event_id") + 3,
+    body = events.select(*keys, (F.col("event_id") + 3).cast("bigint").alias("row"), F.lit(0).alias("kind"), "user_id", "event_type", "value")
+    heads = [sheets.select(*keys, F.lit(n).cast("bigint").alias("row"), F.lit(n).alias("kind")) for n in (1, 2)]
+    return body.unionByName(_union(heads), allowMissingColumns=True)
+
+
+def event_cells(rows: DataFrame) -> DataFrame:
+    """The grid rows of ``event_rows``; a block column stays."""
+    cells = (
+        F.when(F.col("kind") == 1, F.array(text("Activity")))
+        .when(F.col("kind") == 2, F.array(text("<i>User</i>"), text("Kind\u00a0 of"), text("<br/>"), text("Value\n(unit)")))
+        .otherwise(
+            F.array(
                 cell(F.col("user_id"), "n"),
                 cell(F.col("event_type")),
                 text(" \t"),
                 cell(F.col("value"), "n", "0.00"),
-            ),
-        ),
-        sheets.select(*keys, *_row(1, text("Activity"))),
-        sheets.select(*keys, *_row(2, text("<i>User</i>"), text("Kind\u00a0 of"), text("<br/>"), text("Value\n(unit)"))),
-    ])
+            )
+        )
+    )
+    return rows.select("file", "sheet_idx", "sheet", "row", cells.alias("cells"), *[c for c in rows.columns if c == "block"])
+
+
+def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sheet with a third of all events and one per user; blank runs in the last column."""
+    return event_cells(event_rows(spark, sf_dir))
+
+
+#: Grids that are dealt out as narrow rows, and what makes cells of those.
+NARROW = {"event_grid": (event_rows, event_cells)}
 
 
 def blank_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

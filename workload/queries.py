@@ -54,7 +54,12 @@ def landed(spark: SparkSession, sf_dir: str, make: Query) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
     if key not in _LANDED:
-        _LANDED[key] = stored_in_buckets(blocked(make(spark, sf_dir)), ["file", "sheet", "block"], _tasks(spark, sf_dir, make))
+        at, tasks = ["file", "sheet", "block"], _tasks(spark, sf_dir, make)
+        if make.__name__ in X.NARROW:
+            rows, cells = X.NARROW[make.__name__]
+            _LANDED[key] = stored_in_buckets(cells(blocked(rows(spark, sf_dir)).repartition(tasks, *at)), at, tasks, dealt=True)
+        else:
+            _LANDED[key] = stored_in_buckets(blocked(make(spark, sf_dir)), at, tasks)
     return _LANDED[key]
 
 
