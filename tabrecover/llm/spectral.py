@@ -19,6 +19,10 @@ _EPS = np.finfo(float).eps
 #: From this weight on a step may use the normal equations without loss.
 _CHOLESKY = 100.0
 _STEPS = 40
+#: Coupling of two blocks, for the norm of the whole matrix, that the polishing step takes away.
+_COUPLING = 1e-13
+#: Places between the values of the diagonal where a matrix is cut if the median and the mean do not do.
+_QUANTILES = (0.25, 0.75, 0.1, 0.9)
 
 
 def polar(a: np.ndarray) -> np.ndarray:
@@ -88,13 +92,21 @@ def _divide(a: np.ndarray, scale: float) -> np.ndarray:
     if off <= _EPS * scale:
         return np.eye(size)
     # The mean lies strictly between the extreme values, the median of the diagonal halves the work more evenly.
-    for shift in (float(np.median(middle)), float(np.mean(middle))):
+    # A shift that meets a value leaves its vectors on both sides; the coupling tells, and other shifts are tried.
+    median, mean = float(np.median(middle)), float(np.mean(middle))
+    best: tuple[float, np.ndarray, np.ndarray] | None = None
+    for shift in (median, mean, (median + mean) / 2, *(float(q) for q in np.quantile(middle, _QUANTILES))):
         upper, lower = split(a, shift)
-        if upper.shape[1] and lower.shape[1]:
+        if not (upper.shape[1] and lower.shape[1]):
+            continue
+        coupling = float(np.linalg.norm(upper.T @ a @ lower))
+        if best is None or coupling < best[0]:
+            best = coupling, upper, lower
+        if coupling <= _COUPLING * scale:
             break
-    else:
+    if best is None:
         return np.eye(size)
-    return np.hstack([base @ _divide(_within(a, base), scale) for base in (upper, lower)])
+    return np.hstack([base @ _divide(_within(a, base), scale) for base in best[1:]])
 
 
 def _within(a: np.ndarray, base: np.ndarray) -> np.ndarray:

@@ -108,6 +108,18 @@ def test_spectral(seed, size, kind):
     assert np.linalg.norm(vec.T @ vec - np.eye(size)) <= 1e-12
 
 
+def test_shifts_that_meet_a_value():
+    """Cut at the median of its diagonal, a block of this matrix has vectors of both sides mixed."""
+    rng = np.random.default_rng(17)
+    turn = np.linalg.qr(rng.standard_normal((17, 17)))[0]
+    values = np.r_[rng.random(6), np.zeros(11)]
+    a = turn @ np.diag(values) @ turn.T
+    a = (a + a.T) / 2
+    found, vec = spectral.eigen(a)
+    assert np.abs(found - np.sort(values)[::-1]).max() <= 1e-13
+    assert np.linalg.norm(a @ vec - vec * found) <= 1e-13
+
+
 def test_polar_is_sign():
     """The polar factor of a symmetric matrix has its eigenvectors and the signs of its values."""
     rng = np.random.default_rng(1)
